@@ -5,7 +5,10 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable
+from itertools import chain
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -90,3 +93,41 @@ def crc_of_id(doc_id: Column, mod: int) -> Column:
 def words_of(text: str | None) -> list[bytes]:
     """Words in order; ``bytes.split`` parts at exactly the six ASCII white-space bytes."""
     return text.encode("utf-8", "surrogatepass").split() if text else []
+
+
+class IdTable:
+    """Ids of each distinct word, found once, and the ids of many words in order.
+
+    ``find`` gives the ids of a list of words that the table doesn't hold. Ids lie in one growing array,
+    so a word costs its key and three numbers. Beyond ``most`` words the table starts anew: a worker's
+    memory is bounded however many distinct words there are.
+    """
+
+    def __init__(self, find: Callable[[list], Iterable], most: int):
+        self.find, self.most = find, most
+        self._clear()
+
+    def _clear(self) -> None:
+        self.rows: dict = {}
+        self.begin, self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def gather(self, words: list) -> tuple[np.ndarray, np.ndarray]:
+        """All words' ids in one array, and where each word's end (a 0 first)."""
+        if len(self.rows) > self.most:
+            self._clear()
+        rows = list(map(self.rows.get, words))
+        if None in rows:
+            new = list(dict.fromkeys(w for w, r in zip(words, rows) if r is None))
+            found = list(self.find(new))
+            self.rows.update(zip(new, range(len(self.rows), len(self.rows) + len(new))))
+            size = np.fromiter(map(len, found), np.int64, len(found))
+            self.begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(size) - size])
+            self.size = np.concatenate([self.size, size])
+            more = np.fromiter(chain.from_iterable(found), np.int32, int(size.sum()))
+            self.flat = np.concatenate([self.flat, more])
+            rows = list(map(self.rows.get, words))
+        at = np.array(rows, np.int64)
+        size = self.size[at]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        own = np.repeat(self.begin[at] - ends[:-1], size) + np.arange(ends[-1])
+        return self.flat[own], ends

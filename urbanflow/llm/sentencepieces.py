@@ -8,6 +8,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
+
+from urbanflow.llm.common import IdTable
 
 MARK = "▁"
 #: A marked word: its run of markers and what follows up to the next marker.
@@ -33,35 +36,29 @@ def check_model(path: str) -> None:
 
 
 class ChunkTable:
-    """Ids of each distinct marked word, segmented once by the library.
-
-    The table starts anew beyond ``most`` words, so a worker's memory is bounded however many distinct
-    words there are.
-    """
+    """Ids of each distinct marked word, segmented once by the library while the table lasts."""
 
-    def __init__(self, path: str, most: int = 200_000):
+    def __init__(self, path: str, most: int = 300_000):
         import sentencepiece
 
         self.lib = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.most, self.ids = most, {}
+        self.lone = [self.lib.piece_to_id(MARK)]
+        self.table = IdTable(self._segment, most)
+
+    def _segment(self, words: list[str]) -> list[list[int]]:
+        # the library puts one marker before its input, so each word goes in without its first
+        found = self.lib.encode([w[1:] for w in words], num_threads=1)
+        return [ids if len(w) > 1 else self.lone for w, ids in zip(words, found)]
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one array, and where each text starts (with the end)."""
-        if len(self.ids) > self.most:
-            self.ids = {}
-        known = self.ids
-        cut = [_CHUNK.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        new = [c for c in set().union(*cut) if c not in known]
-        # the library puts one marker before its input, so each word goes in without its first
-        found = self.lib.encode([c[1:] if len(c) > 1 else "" for c in new], num_threads=1) if new else []
-        lone = self.lib.piece_to_id(MARK)
-        for c, ids in zip(new, found):
-            known[c] = np.array(ids if len(c) > 1 else [lone], np.int32)
-        parts = [known[c] for words in cut for c in words]
-        flat = np.concatenate(parts) if parts else np.zeros(0, np.int32)
-        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-        ends = np.concatenate([[0], np.cumsum(sizes)])
-        return flat, ends[np.concatenate([[0], np.cumsum([len(w) for w in cut])]).astype(np.int64)]
+        words, counts = [], [0]
+        for t in texts:
+            if t:
+                words += _CHUNK.findall(MARK + t.replace(" ", MARK))
+            counts.append(len(words))
+        flat, ends = self.table.gather(words)
+        return flat, ends[counts]
 
 
 def _slices(texts: list, most: int = 4_000_000) -> Iterator[slice]:
@@ -100,16 +97,12 @@ def encode(docs: DataFrame, model: str, text: str = "text", keep: tuple[str, ...
                 ids = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([*own.columns[: len(keep)], ids], [*keep, "ids"])
 
-    from pyspark.sql import types as T
-
     schema = T.StructType([*fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
     return docs.select(*keep, text).mapInArrow(run, schema)
 
 
 def decode(rows: DataFrame, model: str, ids: str = "ids", to: str = "decoded") -> DataFrame:
     """Adds ``to``: the library's decode of each row's ids; null or no ids give empty text."""
-    from pyspark.sql import types as T
-
     names, at = [c for c in rows.columns], rows.columns.index(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -7,10 +7,12 @@ another. ``index-<n>.mph`` holds one bucket of the index (see ``Mph.pack``).
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from unicodedata import is_normalized
 
 import numpy as np
 import pandas as pd
@@ -18,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from urbanflow.llm.common import Scratch, parts_for, text_bytes
+from urbanflow.llm.common import IdTable, Scratch, parts_for, text_bytes
 
 MAGIC = b"UFIDS1\0\0"
 HEADER, HEADER_BYTES = "<8sII", 16
@@ -143,38 +145,65 @@ class Mph:
 # --- encoding ----------------------------------------------------------------------------------------
 
 
+#: A full stop or comma that ends a word of ASCII letters or digits; the tokenizer parts it from the word.
+_STOP = re.compile(rb"(?<=[a-z0-9])([.,])(?=[\x20\x09-\x0D]|$)")
+
+
 class WordTable:
     """Ids of each distinct chunk between white space, encoded once by the tokenizers library.
 
-    The tokenizer drops white space and never joins characters across it, so a text's ids are those of
-    its chunks in order. The table starts anew beyond ``most`` chunks.
+    The tokenizer drops white space, never joins characters across it and ignores case, so a text's ids
+    are those of its lower-cased chunks in order. Chunks also end before a stop. Texts that might hold a
+    special token are encoded whole.
     """
 
-    def __init__(self, path: str, most: int = 200_000):
+    def __init__(self, path: str, most: int = 300_000):
         from tokenizers import Tokenizer
 
-        self.lib, self.most, self.ids = Tokenizer.from_file(path), most, {}
+        self.lib = Tokenizer.from_file(path)
         self.width = 2 if self.lib.get_vocab_size() <= 1 << 16 else 4
+        self.table = IdTable(self._encode, most)
+        # how byte-level models write a byte: as itself where it prints, else as the next of 256, 257, ...
+        prints = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        others = [b for b in range(256) if b not in prints]
+        self.characters = {b: 256 + i for i, b in enumerate(others)}
+
+    def _encode(self, chunks: list[bytes | str | int]) -> list[list[int]]:
+        """Ids of chunks (bytes), of whole texts (str) and of end ids (int: themselves).
+
+        A chunk of letters alone is one pre-token, which the library's model takes as it is, bytes
+        written as characters; all else takes the library's whole way.
+        """
+        out: list = [None] * len(chunks)
+        model, rest = self.lib.model, []
+        for i, c in enumerate(chunks):
+            if isinstance(c, int):
+                out[i] = [c]
+                continue
+            text = c.decode("utf-8", "surrogatepass") if isinstance(c, bytes) else c
+            low = text.lower()
+            if isinstance(c, bytes) and low.isalpha() and "\u03a3" not in text and is_normalized("NFC", text):
+                out[i] = [t.id for t in model.tokenize(low.encode().decode("latin-1").translate(self.characters))]
+            else:
+                rest.append((i, text))
+        found = self.lib.encode_batch_fast([t for _, t in rest], add_special_tokens=False)
+        for (i, _), e in zip(rest, found):
+            out[i] = e.ids
+        return out
 
     def encode(self, texts: list[str | None], end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each followed by ``end``, in one array, and where each starts."""
-        if len(self.ids) > self.most:
-            self.ids = {}
-        known = self.ids
-        cut = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
-        new = [c for c in set().union(*cut) if c not in known]
-        for c, e in zip(new, self.lib.encode_batch_fast(new, add_special_tokens=False)):
-            known[c] = np.array(e.ids, np.uint32)
-        last = np.array([end], np.uint32)
-        parts: list[np.ndarray] = []
-        counts = np.zeros(len(texts) + 1, np.int64)
-        for i, words in enumerate(cut):
-            parts.extend([known[c] for c in words])
-            parts.append(last)
-            counts[i + 1] = len(words) + 1
-        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-        ends = np.concatenate([[0], np.cumsum(sizes)])
-        return np.concatenate(parts) if parts else np.zeros(0, np.uint32), ends[np.cumsum(counts)]
+        chunks: list = []
+        counts = [0]
+        for t in texts:
+            if t and "<|" in t:
+                chunks.append(t)
+            elif t:
+                chunks += _STOP.sub(rb" \1", t.encode("utf-8", "surrogatepass").lower()).split()
+            chunks.append(end)
+            counts.append(len(chunks))
+        flat, ends = self.table.gather(chunks)
+        return flat, ends[counts]
 
 
 def _encode_rows(tokenizer: str, end: int, bounds: np.ndarray):
@@ -244,7 +273,7 @@ def write_tokens(
     end: int,
     doc_id: str = "doc_id",
     text: str = "text",
-    shard_bytes: int = 16 << 20,
+    shard_bytes: int = 4 << 20,
     bucket_keys: int = 10_000,
 ) -> dict:
     """Encode, write shards in ascending id order, and index them. Returns the manifest.

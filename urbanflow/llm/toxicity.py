@@ -184,18 +184,31 @@ def fit(
             )
 
     counts = own.mapInArrow(count, "term string, p long, n long").groupBy("term").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
-    odds = "ln((p + 0.5) / (pos + 1)) - ln((n + 0.5) / (neg + 1))"
     totals = counts.where("term = ''").select(F.col("p").alias("pos"), F.col("n").alias("neg"))
+
+    def cell(seen: str, expected: str) -> str:
+        return f"if({seen} > 0, {seen} * ln({seen} / ({expected})), 0)"
+
+    # log-likelihood ratio of a term's counts against independence of the label
+    ratio = " + ".join(
+        cell(f"({x})", f"({row}) * {side} / (pos + neg)")
+        for x, row, side in (
+            ("p", "p + n", "pos"),
+            ("n", "p + n", "neg"),
+            ("pos - p", "pos + neg - p - n", "pos"),
+            ("neg - n", "pos + neg - p - n", "neg"),
+        )
+    )
     ranked = (
         counts.where("term <> '' and p >= 2")
         .crossJoin(F.broadcast(totals))  # one row
-        .withColumn("z", F.expr(f"({odds}) / sqrt(1 / (p + 0.5) + 1 / (n + 0.5))"))
-        .where(f"z >= 1.8 and {odds} >= 2")
-        .orderBy(F.desc("z"), "term")
+        .withColumn("g", F.expr(f"2 * ({ratio})"))
+        .where("g >= 12 and ln((p + 0.5) / (pos + 1)) - ln((n + 0.5) / (neg + 1)) >= 3")
+        .orderBy(F.desc("g"), "term")
         .limit(TERMS)
         .collect()
     )
-    strong = [r["term"] for r in ranked if r["z"] >= 4.5]
+    strong = [r["term"] for r in ranked if r["g"] >= 40]
     chosen = strong if len(strong) >= 10 else [r["term"] for r in ranked[:40]]
     terms = {t: i for i, t in enumerate(chosen)}
     classes = np.array([crc32(t.encode()) % LEXICONS for t in chosen], np.int64)
