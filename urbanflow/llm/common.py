@@ -1,10 +1,8 @@
-"""Helpers shared by the operators: the shared scratch folder, written tables and word splitting."""
+"""Helpers shared by the operators."""
 
 from __future__ import annotations
 
 import math
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable
 from itertools import chain
 
@@ -12,62 +10,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from urbanflow.scratch import Scratch, drop_scratch, shared_dir  # noqa: F401
+
 #: Words are runs of bytes other than ASCII white space.
 WORD_GAP = "[\\x20\\x09-\\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where that is unset (a local test session) a temporary folder takes its place, for this
-    session alone.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="urbanflow-")
-        spark.sparkContext.setCheckpointDir(path)
-    return path.rstrip("/")
-
-
-class Scratch:
-    """Tables and files that one operator run writes below the shared folder.
-
-    A written table cuts the lineage and outlives a lost executor. ``drop`` removes them all; call it
-    once the operator's result has itself been written.
-    """
-
-    live: list["Scratch"] = []
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-        Scratch.live.append(self)
-
-    def path(self, name: str) -> str:
-        return f"{self.root}/{name}"
-
-    def table(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` as zstd Parquet and read it back."""
-        path = self.path(name)
-        df.write.option("compression", "zstd").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, name: str | None = None) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name) if name else self.root)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-        if name is None and self in Scratch.live:
-            Scratch.live.remove(self)
-
-
-def drop_scratch() -> None:
-    """Remove what all earlier operator runs of this driver have written.
-
-    Only for callers that have written those runs' results elsewhere, such as the stages of a pipeline.
-    """
-    for scratch in list(Scratch.live):
-        scratch.drop()
-
-
 def parts_for(total: float, each: float, least: int = 1) -> int:
     """How many parts of about ``each`` hold ``total``; grows with the input."""
     return max(least, math.ceil((total or 0) / each))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from urbanflow.llm import decontamination, sentencepieces, sharding, tokenfiles, toxicity
+from urbanflow.llm import decontamination, jaccard, sentencepieces, sharding, tokenfiles, toxicity
 from urbanflow.llm.common import Scratch, crc_of_id
 
 
@@ -43,6 +43,11 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = jaccard.jaccard_groups(_read(spark, sf_dir, "documents"), Scratch(spark, "op5"))
+    return groups.select("doc_id", "n_shingles", "component_id")
+
+
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = _path("piece_bpe_32k.model")
     coded = sentencepieces.decode(sentencepieces.encode(_read(spark, sf_dir, "documents"), model), model)
@@ -71,6 +76,7 @@ QUERIES = {
     "op2_decontamination": op2_decontamination,
     "op3_toxicity": op3_toxicity,
     "op4_token_files": op4_token_files,
+    "op5_jaccard_join": op5_jaccard_join,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_shards": op7_shards,
 }
