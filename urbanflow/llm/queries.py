@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from urbanflow.llm import decontamination, jaccard, sentencepieces, sharding, tokenfiles, toxicity
+from urbanflow.llm import decontamination, jaccard, sentencepieces, sharding, substrings, tokenfiles, toxicity
 from urbanflow.llm.common import Scratch, crc_of_id
 
 
@@ -72,6 +72,12 @@ def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    cut = substrings.cut_spans(docs, substrings.repeated_spans(docs, Scratch(spark, "op9")))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op2_decontamination": op2_decontamination,
     "op3_toxicity": op3_toxicity,
@@ -79,6 +85,7 @@ QUERIES = {
     "op5_jaccard_join": op5_jaccard_join,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_shards": op7_shards,
+    "op9_substring_dedup": op9_substring_dedup,
 }
 
 ORACLES: dict[str, str] = {"op2_decontamination": decontamination.ORACLE}
