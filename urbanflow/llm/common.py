@@ -16,6 +16,16 @@ from urbanflow.scratch import Scratch, drop_scratch, shared_dir  # noqa: F401
 WORD_GAP = "[\\x20\\x09-\\x0D]+"
 
 
+def small_batches(spark: SparkSession, size: str = "8m") -> None:
+    """Let Arrow batches end at ``size`` bytes, unless the session has its own setting.
+
+    By default a batch may hold 64 MB of long texts, several times over in JVM buffers and worker.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) == "67108864b":
+        spark.conf.set(key, size)
+
+
 def parts_for(total: float, each: float, least: int = 1) -> int:
     """How many parts of about ``each`` hold ``total``; grows with the input."""
     return max(least, math.ceil((total or 0) / each))

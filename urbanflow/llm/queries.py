@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from urbanflow.llm import decontamination, jaccard, sentencepieces, sharding, substrings, tokenfiles, toxicity
-from urbanflow.llm.common import Scratch, crc_of_id
+from urbanflow.llm.common import Scratch, crc_of_id, small_batches
 
 
 def _path(name: str) -> str:
@@ -17,6 +17,7 @@ def _path(name: str) -> str:
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
