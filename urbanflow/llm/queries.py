@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from urbanflow.llm import decontamination, jaccard, licenses, neighbours, sentencepieces, sharding, substrings, tokenfiles, toxicity
+from urbanflow.llm import decontamination, jaccard, language_model, licenses, neighbours, sentencepieces, sharding, substrings, tokenfiles, toxicity
 from urbanflow.llm.common import Scratch, crc_of_id, small_batches
 
 
@@ -21,6 +21,10 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score_texts(_read(spark, sf_dir, "documents"), Scratch(spark, "op1"))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.flag(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
@@ -89,6 +93,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_language_model": op1_language_model,
     "op2_decontamination": op2_decontamination,
     "op3_toxicity": op3_toxicity,
     "op4_token_files": op4_token_files,
