@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 #: Masks over consecutive words; 1 marks a position that is hashed, 0 one that may differ.
 MASKS = ("1110100101", "1101011001")
-#: Benchmark seeds up to this number are broadcast (24 bytes each); more are joined by a shuffle.
+#: Benchmark seeds up to this number are broadcast, with the items' words; more are joined by a shuffle.
 BROADCAST_SEEDS = 1_000_000
 _GAP = "[^\\p{L}\\p{N}]+"
 
@@ -27,7 +27,7 @@ def _seeds(rows: DataFrame, keep: list[str], masks: tuple[str, ...]) -> DataFram
     span = max(map(len, masks))
     # explode_outer: an inner explode would add a filter that computes the sequence a second time
     placed = rows.select(
-        *keep,
+        *dict.fromkeys([*keep, "hw"]),
         F.explode_outer(F.expr(f"if(size(hw) >= {span}, sequence(0, size(hw) - {span}), null)")).alias("pos"),
     ).where("pos is not null")
     hashes = ", ".join(_seed("hw", "pos", m, i) for i, m in enumerate(masks))
@@ -75,18 +75,21 @@ def overlaps(
     items = benchmark.select(F.col(item_id).alias("item_id"), word_hashes(F.col(item_text)).alias("hw")).where(
         F.col("hw").isNotNull()
     )
-    known = _seeds(items.select("item_id", F.col("hw").alias("hw"), F.col("hw").alias("bw")), ["item_id", "bw", "hw"], masks)
-    known = known.select("item_id", "bw", F.col("pos").alias("bpos"), "seed").distinct()
+    known = _seeds(items, ["item_id"], masks).select("item_id", F.col("pos").alias("bpos"), "seed").distinct()
+    placed = _seeds(rows, ["doc_id", "row_key", "hw"], masks)
+    bodies = items.select("item_id", F.col("hw").alias("bw"))
     if known.count() <= broadcast_seeds:
-        hits = _seeds(rows, ["doc_id", "row_key", "hw"], masks).join(F.broadcast(known), "seed")
+        # words stay in the row: positions are exploded, hashed and met in one generated loop
+        hits = placed.join(F.broadcast(known), "seed").join(F.broadcast(bodies), "item_id")
     else:
-        slim = _seeds(rows, ["doc_id", "row_key", "hw"], masks).select("doc_id", "row_key", "pos", "seed")
-        hits = slim.join(known, "seed").join(rows.select("row_key", "hw"), "row_key")
+        met = placed.select("doc_id", "row_key", "pos", "seed").join(known, "seed")
+        hits = met.join(rows.select("row_key", "hw"), "row_key").join(bodies, "item_id")
     scored = hits.withColumn("shift", F.col("pos") - F.col("bpos")).select(
         "doc_id", "row_key", "item_id", F.size("bw").alias("n"), _overlap().alias("score")
     )
-    found = scored.where(F.col("score") >= F.least(F.lit(least_score), F.ceil(F.col("n") * 0.6)))
-    return found.groupBy("doc_id", "row_key", "item_id").agg(F.max("score").alias("score"))
+    # filtered after the aggregate: as a join condition the score would end the generated loop
+    best = scored.groupBy("doc_id", "row_key", "item_id", "n").agg(F.max("score").alias("score"))
+    return best.where(F.col("score") >= F.least(F.lit(least_score), F.ceil(F.col("n") * 0.6))).drop("n")
 
 
 def flag(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
