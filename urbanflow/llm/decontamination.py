@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from urbanflow.llm.common import Scratch
+
 #: Masks over consecutive words; 1 marks a position that is hashed, 0 one that may differ.
 MASKS = ("1110100101", "1101011001")
 #: Benchmark seeds up to this number are broadcast, with the items' words; more are joined by a shuffle.
@@ -105,10 +107,17 @@ def flag(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: st
     )
 
 
-def remove_contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """The documents, all columns, that overlap with no benchmark item."""
-    bad = overlaps(docs, benchmark, doc_id=doc_id, text=text, **how).select("row_key").distinct()
-    return docs.withColumn("row_key", F.xxhash64(doc_id, text)).join(bad, "row_key", "left_anti").drop("row_key")
+def remove_contaminated(
+    docs: DataFrame, benchmark: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text: str = "text", broadcast_keys: int = 1_000_000, **how
+) -> DataFrame:
+    """The documents, all columns, that overlap with no benchmark item.
+
+    Keys of the others are written and counted: up to ``broadcast_keys`` (8 bytes each) they are
+    broadcast and documents stay where they are; more are joined by a shuffle.
+    """
+    bad = scratch.table(overlaps(docs, benchmark, doc_id=doc_id, text=text, **how).select("row_key").distinct(), "bad")
+    few = F.broadcast(bad) if bad.count() <= broadcast_keys else bad
+    return docs.withColumn("row_key", F.xxhash64(doc_id, text)).join(few, "row_key", "left_anti").drop("row_key")
 
 
 _WORDS = "string_split(trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g')), ' ')"
