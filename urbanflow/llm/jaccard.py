@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +26,8 @@ from urbanflow.operators.components import components
 
 #: Share of hash values whose shingles are counted over all documents before sets are compared.
 COUNTED = 0.3
+#: Shingles and sets in one block of a product, about.
+BLOCK_SHINGLES, BLOCK_SETS = 400_000, 1_200
 
 
 def shingle_set(text: str | None, n: int, hashes: WordHashes) -> np.ndarray:
@@ -105,6 +108,70 @@ def _overlap_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([a, b, pa.array(both, pa.int64()), *sizes], ["a", "b", "both", "na", "nb"])
 
 
+def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """Incidence matrix times its transpose: all sizes of intersections.
+
+    Shingles of many sets go through dense columns, those of few add to their pairs' cells.
+    """
+    m = len(sets)
+    out = np.zeros((m, m), np.float32)
+    values = np.concatenate(sets)
+    of = np.repeat(np.arange(m), [len(s) for s in sets])
+    order = np.argsort(values, kind="stable")
+    values, of = values[order], of[order]
+    starts = np.flatnonzero(np.append(True, values[1:] != values[:-1]))
+    counts = np.diff(np.append(starts, len(values)))
+    many = np.flatnonzero(counts > 48)
+    for a in range(0, len(many), 1024):
+        part = np.zeros((m, len(many[a : a + 1024])), np.float32)
+        for k, c in enumerate(many[a : a + 1024]):
+            part[of[starts[c] : starts[c] + counts[c]], k] = 1
+        out += part @ part.T
+    for k in range(2, 49):
+        own = starts[counts == k]
+        for a in range(0, len(own), max(1, 4_000_000 // (k * k))):
+            rows = of[own[a : a + max(1, 4_000_000 // (k * k))][:, None] + np.arange(k)]
+            cells = (rows[:, :, None] * m + rows[:, None, :]).ravel()
+            out += np.bincount(cells, minlength=m * m).reshape(m, m) if m <= 256 else _scatter(cells, m)
+    return out
+
+
+def _scatter(cells: np.ndarray, m: int) -> np.ndarray:
+    out = np.zeros(m * m, np.float32)
+    at, n = np.unique(cells, return_counts=True)
+    out[at] = n
+    return out.reshape(m, m)
+
+
+def _block_product(percent: int):
+    """Links among the sets of two blocks of a group, as one edge for each set to its component's least."""
+
+    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.drop_duplicates("set_id")
+        sets = [np.frombuffer(x, np.uint64) for x in rows["shingles"]]
+        ids, size = rows["set_id"].to_numpy(np.int64), np.array([len(x) for x in sets], np.float64)
+        both = _overlaps(sets)
+        link = both * (100.0 + percent) >= (size[:, None] + size[None, :]) * percent
+        # components known before hold without their links
+        known = rows["component"].to_numpy(np.int64)
+        label = np.unique(known, return_inverse=True)[1]
+        while True:
+            least = np.where(link, label[None, :], len(label)).min(1)
+            by_old = np.full(label.max() + 1, len(label))
+            np.minimum.at(by_old, label, least)
+            new = np.minimum(label, by_old[label])
+            if (new == label).all():
+                break
+            label = new
+        first = np.full(label.max() + 1, -1)
+        first[label[::-1]] = np.arange(len(label))[::-1]
+        head = ids[first[label]]
+        changed = head != ids
+        return pd.DataFrame({"u": ids[changed], "v": head[changed]})
+
+    return run
+
+
 def jaccard_groups(
     docs: DataFrame,
     scratch: Scratch,
@@ -124,11 +191,11 @@ def jaccard_groups(
        own, so sets with more unshared ones are done. That drops documents that share a passage only.
     3. The others' full sets are written. Two that link share one of their least
        s * (100 - percent) / 100 + 1 hashes (prefix). In each shingle's column every set is paired with
-       the column's least set; products give exact overlaps, and links make components.
-    4. In columns that still hold several components, sets of different components are paired. Their
-       overlaps inside the prefixes are accumulated, and pairs that can't reach the size-derived bound
-       even if all the rest agreed are discarded; products decide the rest. Sets of one component need
-       no comparison, so a large group of near copies costs one pair a set.
+       the column's most central set; products give exact overlaps, and links make components.
+    4. Groups of sets under one lead that still hold several components are multiplied in blocks of a
+       bounded size: the product of two blocks' incidence gives all overlaps, pairs below the bound that
+       sizes set are discarded in place, and only an edge from each set to its component's first leaves
+       the task. A group of near copies yields as many rows as sets, never its pairs.
 
     Exact up to collisions of 64-bit hashes. Null and empty texts have no shingles and component_id is
     their own id. Null ids form part of a group but never name it, unless it has no other id. Repeated
@@ -182,8 +249,16 @@ def jaccard_groups(
                 )
 
     cells = full_sets.mapInArrow(prefix, "h long, set_id long, n int, at int")
-    columns = cells.groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.min("set_id").alias("lead"), F.min_by("n", "set_id").alias("lead_n")).where("m > 1")
-    cells = scratch.table(cells.join(columns.select("h", "lead", "lead_n"), "h"), "cells")
+    sizes = cells.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    cells = scratch.table(cells.join(sizes, "h"), "cells")
+    # the most central set of a column: its hashes lie in the fullest columns (the original of its copies)
+    weight = cells.groupBy("set_id").agg((F.sum(F.log("m")) / (F.floor(F.max("n") * slack / 100) + 1)).alias("weight"))
+    leads = (
+        cells.join(weight, "set_id")
+        .groupBy("h")
+        .agg(F.max(F.struct("weight", "set_id", "n")).alias("lead"))
+        .select("h", F.col("lead.set_id").alias("lead"), F.col("lead.n").alias("lead_n"))
+    )
 
     def fits(x: str, y: str):
         return F.lit(100) * F.least(x, y) >= F.lit(percent) * F.greatest(x, y)
@@ -195,30 +270,33 @@ def jaccard_groups(
         products = rows.mapInArrow(_overlap_rows, "a long, b long, both long, na long, nb long")
         return scratch.table(products.where(F.col("both") * 100 >= (F.col("na") + F.col("nb") - F.col("both")) * percent).select(F.col("a").alias("u"), F.col("b").alias("v")), name)
 
-    star = cells.where("set_id <> lead").where(fits("n", "lead_n")).select(F.col("lead").alias("a"), F.col("set_id").alias("b")).distinct()
+    # every pair that shares a column meets in the group of the column's lead
+    members = scratch.table(cells.join(leads, "h").where("set_id <> lead").select("lead", "lead_n", "set_id", "n").distinct(), "members")
+    star = members.where(fits("n", "lead_n")).select(F.col("lead").alias("a"), F.col("set_id").alias("b"))
     links = linked(star, "links")
-    grouped = components(links, scratch, "cc-a")
-
-    # columns that still hold several components
-    labelled = cells.join(grouped.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
-    labelled = scratch.table(labelled.select("h", "set_id", "n", "at", "component"), "labelled")
-    mixed = labelled.groupBy("h").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("h")
-    left = labelled.join(mixed, "h")
-    a = left.select("h", F.col("set_id").alias("a"), F.col("n").alias("na"), F.col("at").alias("ia"), F.col("component").alias("ca"))
-    b = left.select("h", F.col("set_id").alias("b"), F.col("n").alias("nb"), F.col("at").alias("ib"), F.col("component").alias("cb"))
-    met = a.join(b, "h").where("ca < cb").where(fits("na", "nb"))
-    # all common hashes up to the last common one are counted; after it, the shorter rest bounds the overlap
-    bound = met.groupBy("a", "b").agg(
-        F.count(F.lit(1)).alias("common"), F.first("na").alias("na"), F.first("nb").alias("nb"), F.max("ia").alias("ia"), F.max("ib").alias("ib")
+    grouped = components(links, scratch, "cc-a").withColumnRenamed("id", "set_id")
+
+    left = members.join(grouped, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
+    mixed = (
+        left.groupBy("lead")
+        .agg(
+            F.min("component").alias("x"),
+            F.max("component").alias("y"),
+            F.ceil(F.greatest(F.sum("n") / BLOCK_SHINGLES, F.count(F.lit(1)) / BLOCK_SETS)).cast("int").alias("blocks"),
+        )
+        .where("x <> y")
+        .select("lead", "blocks")
     )
-    most = F.col("common") + F.least(F.col("na") - F.col("ia") - 1, F.col("nb") - F.col("ib") - 1)
-    rest = bound.where(most * (100 + percent) >= (F.col("na") + F.col("nb")) * percent).select("a", "b")
-    more = linked(rest, "links-more")
+    placed = left.select("lead", "set_id", "component").join(mixed, "lead").withColumn("own", F.pmod(F.xxhash64("set_id"), "blocks").cast("int"))
+    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("lead", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "set_id", "component")
+    products = dealt.join(full_sets, "set_id").groupBy("lead", "i", "j").applyInPandas(_block_product(percent), "u long, v long")
+    more = scratch.table(products, "links-more")
     final = components(links.union(more), scratch, "cc-b").withColumnRenamed("id", "set_id")
 
-    placed = sets.select("set_id", "first").join(final, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
-    least = placed.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = placed.join(least, "component").select("set_id", "component_id")
+    named = sets.select("set_id", "first").join(final, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
+    least = named.groupBy("component").agg(F.min("first").alias("component_id"))
+    named = named.join(least, "component").select("set_id", "component_id")
     return rows.join(named, "set_id", "left").select(
         "doc_id", "row_key", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")
     )
