@@ -71,7 +71,7 @@ class TopologyDerivation:
 
 @dataclass(frozen=True)
 class HydraulicDesign:
-    diameters: Sequence[float] = tuple(0.15 + 2.85 * i / 37 for i in range(38))
+    diameters: Sequence[float] = tuple(0.15 + 2.85 * i / 38 for i in range(39))
     max_fr: float = 0.8
     min_v: float = 0.75
     max_v: float = 5.0

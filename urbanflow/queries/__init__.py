@@ -1,9 +1,9 @@
 """Registered queries and their SQL, by area."""
 
-from urbanflow.queries import geometry, networks
+from urbanflow.queries import geometry, networks, results
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _area in (geometry, networks):
+for _area in (geometry, networks, results):
     QUERIES |= _area.QUERIES
     ORACLES |= _area.ORACLES

@@ -144,7 +144,7 @@ def g14(spark, sf):
 
 
 @_("g15_create_grid", """, b AS (SELECT min(x) AS x0, min(y) AS y0, greatest(ceil((max(x) - min(x)) / 100), 0) AS nx, greatest(ceil((max(y) - min(y)) / 120), 0) AS ny FROM fx_nodes)
-SELECT i AS sub_id, x0 + floor(i / ny) * 100 AS xmin, y0 + (i % CAST(ny AS BIGINT)) * 120 AS ymin, 12000.0 AS area
+SELECT i AS sub_id, x0 + floor(i / ny) * 100 AS xmin, y0 + (i % CAST(ny AS BIGINT)) * 120 AS ymin, 12000.0::DOUBLE AS area
 FROM b, range(0, 100000) r(i) WHERE i < nx * ny""", ("fx_nodes",))
 def g15(spark, sf):
     b = view(spark, sf, "fx_nodes").agg(*(f(c) for c in "xy" for f in (F.min, F.max))).first()  # one row: the extent
