@@ -7,6 +7,7 @@ another. ``index-<n>.mph`` holds one bucket of the index (see ``Mph.pack``).
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import uuid
@@ -157,7 +158,9 @@ class WordTable:
     special token are encoded whole.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 450_000):
+        # a task has one core: the library's own threads would only add their memory and idle spinning
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
@@ -180,6 +183,9 @@ class WordTable:
             if isinstance(c, int):
                 out[i] = [c]
                 continue
+            if isinstance(c, bytes) and c.isalpha():  # ASCII letters, lower-cased before
+                out[i] = [t.id for t in model.tokenize(c.decode())]
+                continue
             text = c.decode("utf-8", "surrogatepass") if isinstance(c, bytes) else c
             low = text.lower()
             if isinstance(c, bytes) and low.isalpha() and "\u03a3" not in text and is_normalized("NFC", text):
