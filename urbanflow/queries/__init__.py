@@ -1,9 +1,9 @@
 """Registered queries and their SQL, by area."""
 
-from urbanflow.queries import geometry, networks, results
+from urbanflow.queries import geometry, graphs, networks, results
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _area in (geometry, networks, results):
+for _area in (geometry, networks, results, graphs):
     QUERIES |= _area.QUERIES
     ORACLES |= _area.ORACLES
