@@ -1,9 +1,9 @@
 """Registered queries and their SQL, by area."""
 
-from urbanflow.queries import geometry, graphs, networks, results
+from urbanflow.queries import distances, geometry, graphs, networks, results, terrain
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _area in (geometry, networks, results, graphs):
+for _area in (geometry, networks, results, graphs, terrain, distances):
     QUERIES |= _area.QUERIES
     ORACLES |= _area.ORACLES

@@ -33,19 +33,22 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.places: dict[str, str] = {}
         Scratch.live.append(self)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` as zstd Parquet and read it back."""
-        path = self.path(name)
+        """Write ``df`` as zstd Parquet and read it back; a name that is used again gets a place of its own."""
+        path = self.path(f"{name}.{len(self.places)}" if name in self.places else name)
+        self.places[path] = self.places[name] = path
         df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str | None = None) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name) if name else self.root)
+        place = self.places.get(name, self.path(name)) if name else self.root
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(place)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
         if name is None and self in Scratch.live:
             Scratch.live.remove(self)
