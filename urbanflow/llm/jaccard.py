@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from urbanflow.llm.common import Scratch, parts_for, text_bytes, words_of
+from urbanflow.llm.common import Scratch, give_back, parts_for, text_bytes, words_of
 from urbanflow.llm.packed import (
     DEALT,
     DEALT_DDL,
@@ -67,6 +67,8 @@ def _sets(n: int, parts: int, counted: np.uint64):
                 k = dealt.num_rows
                 rest = [pa.nulls(k, t) for t in (pa.int64(), pa.int64(), *kinds)]
                 yield pa.RecordBatch.from_arrays([*dealt.columns, *rest], names)
+        del hashes
+        give_back()
 
     return run
 
@@ -167,6 +169,8 @@ def _block_product(percent: int):
         first[label[::-1]] = np.arange(len(label))[::-1]
         head = ids[first[label]]
         changed = head != ids
+        del both, link, sets
+        give_back()
         return pd.DataFrame({"u": ids[changed], "v": head[changed]})
 
     return run

@@ -14,6 +14,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from urbanflow.llm.common import give_back
+
 #: Odd multipliers of a polynomial over word hashes.
 _ODD = 0x9E3779B97F4A7C15
 
@@ -27,7 +29,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class WordHashes:
     """64-bit hashes of words; each distinct word is hashed once while the table (bounded) lasts."""
 
-    def __init__(self, most: int = 500_000):
+    def __init__(self, most: int = 200_000):
         self.most, self.known = most, {}
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
@@ -59,11 +61,12 @@ def sequence_id(numbers: np.ndarray) -> int:
     return signed(xxhash.xxh3_64_intdigest(numbers.tobytes()))
 
 
-def texts_of(batches: Iterator[pa.RecordBatch], column: int, most: int = 2_000) -> Iterator[tuple[pa.RecordBatch, list]]:
+def texts_of(batches: Iterator[pa.RecordBatch], column: int, most: int = 500) -> Iterator[tuple[pa.RecordBatch, list]]:
     for batch in batches:
         for start in range(0, batch.num_rows, most):
             own = batch.slice(start, most)
             yield own, own.column(column).to_pylist()
+    give_back()
 
 
 #: What a dealt row holds: the part, and packed owners and values (value i belongs to owner of[i]).

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from urbanflow.llm.common import Scratch, parts_for, text_bytes, words_of
+from urbanflow.llm.common import Scratch, give_back, parts_for, text_bytes, words_of
 from urbanflow.llm.packed import (
     DEALT,
     DEALT_DDL,
@@ -141,6 +141,8 @@ def _routes(size: int, parts: int):
                 of = np.repeat(np.arange(len(values)), [len(v) for v in values])
                 dealt = deal(np.fromiter(seqs, np.int64, len(seqs)), of, np.concatenate(values), parts)
                 yield pa.RecordBatch.from_arrays([*dealt.columns, *(pa.nulls(dealt.num_rows, pa.int64()) for _ in range(4))], names)
+        del hashes
+        give_back()
 
     return run
 
@@ -207,7 +209,7 @@ def _passages(size: int):
                         if new:
                             sent.add(cid)
                         out.append((sid, first, a, cid, signed(route), data if new else None))
-            if len(sent) > 500_000:
+            if len(sent) > 100_000:
                 sent.clear()
             cols = list(zip(*out)) or [()] * 6
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())

@@ -69,7 +69,7 @@ class ToxicityModel:
 class _Hits:
     """Distinct terms of a text; a word's terms are looked up once while the table lasts."""
 
-    def __init__(self, terms: dict[str, int], most: int = 500_000):
+    def __init__(self, terms: dict[str, int], most: int = 200_000):
         self.terms, self.most, self.known = terms, most, {}
 
     def __call__(self, text: str | None) -> tuple[list[int], int]:
