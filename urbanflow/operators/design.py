@@ -34,7 +34,7 @@ def pipe_cost(volume: Column, diam: Column) -> Column:
 
 
 def evaluate_design(df: DataFrame, params: HydraulicDesign) -> DataFrame:
-    """Adds slope, v, fr, cost_usd and the violations to (ds_elevation, floor, length, q, diam, depth).
+    """Adds slope, velocity, fr, cost_usd and the violations to (ds_elevation, floor, length, q, diam, depth).
 
     Without fall the pipe is surcharged in whole steps until it falls; the slope reported is the one
     without surcharge.
@@ -45,11 +45,11 @@ def evaluate_design(df: DataFrame, params: HydraulicDesign) -> DataFrame:
     v = F.sqrt((diff + lift) / F.col("length")) * F.pow(radius, F.lit(2 / 3)) / MANNING
     volume = F.col("length") * (F.col("diam") + 0.3) * ((F.col("depth") + F.col("floor")) / 2 + 0.1)
     return (
-        df.withColumns({"slope": diff / F.col("length"), "surcharge_feasibility": lift, "v": v})
-        .withColumn("fr", F.col("q") / (F.col("v") * area))
+        df.withColumns({"slope": diff / F.col("length"), "surcharge_feasibility": lift, "velocity": v})
+        .withColumn("fr", F.col("q") / (F.col("velocity") * area))
         .withColumns({
             "cost_usd": F.when(volume >= 0, pipe_cost(volume, F.col("diam"))),
-            "v_feasibility": F.greatest(F.lit(params.min_v) - F.col("v"), F.lit(0.0)) + F.greatest(F.col("v") - params.max_v, F.lit(0.0)),
+            "v_feasibility": F.greatest(F.lit(params.min_v) - F.col("velocity"), F.lit(0.0)) + F.greatest(F.col("velocity") - params.max_v, F.lit(0.0)),
             "fr_feasibility": F.greatest(F.col("fr") - params.max_fr, F.lit(0.0)),
         })
     )
@@ -60,7 +60,7 @@ ORDER = ("surcharge_feasibility", "v_feasibility", "fr_feasibility", "depth", "c
 
 def select_design(df: DataFrame, by: list[str]) -> DataFrame:
     """For each ``by``: the first design by violations, depth and cost; designs without a cost don't count."""
-    best = df.where("cost_usd is not null").groupBy(*by).agg(F.min(F.struct(*ORDER, "slope", "v", "fr")).alias("m"))
+    best = df.where("cost_usd is not null").groupBy(*by).agg(F.min(F.struct(*ORDER, "slope", "velocity", "fr")).alias("m"))
     return best.select(*by, "m.*")
 
 
@@ -88,7 +88,7 @@ def pipe_by_pipe(net: Network, params: HydraulicDesign, scratch: Scratch) -> Net
         # all pipes into a node of the next level lie in levels up to this one
         floors = floors.union(pipes.groupBy(F.col("v").alias("id")).agg(F.min(F.col("ds_elevation") - F.col("depth")).alias("floor")).join(at.where(F.col("level") == k + 1).select("id"), "id", "left_semi"))
         floors = scratch.table(floors, f"floor-{k}")
-    kept = {"diameter": F.col("diam"), "cost_usd": F.col("cost_usd"), "depth": F.col("depth"), "slope": F.col("slope"), "v": F.col("v"), "fr": F.col("fr")}
+    kept = {"diameter": F.col("diam"), "cost_usd": F.col("cost_usd"), "depth": F.col("depth"), "slope": F.col("slope"), "velocity": F.col("velocity"), "fr": F.col("fr")}
     chosen = pipes.select("u", "v", "key", *(kept[c].alias(c) for c in params.edge_design_parameters))
     edges = net.edges.drop(*params.edge_design_parameters).join(chosen, ["u", "v", "key"])
     nodes = net.nodes.drop("chamber_floor_elevation").join(floors.select("id", F.col("floor").alias("chamber_floor_elevation")), "id", "left")

@@ -255,7 +255,7 @@ def _candidates(spark, sf):
 @_("d2_evaluate_design", _CAND + " SELECT u, diam, depth, round(slope, 6) AS slope, round(v, 6) AS v, round(fr, 6) AS fr, round(surcharge_feasibility, 6) AS surcharge, round(v_feasibility, 6) AS v_feasibility, round(fr_feasibility, 6) AS fr_feasibility FROM e5", NF)
 def d2(spark, sf):
     r = lambda c, n=None: F.round(c, 6).alias(n or c)
-    return _candidates(spark, sf).select("u", "diam", "depth", r("slope"), r("v"), r("fr"), r("surcharge_feasibility", "surcharge"), r("v_feasibility"), r("fr_feasibility"))
+    return _candidates(spark, sf).select("u", "diam", "depth", r("slope"), r("velocity", "v"), r("fr"), r("surcharge_feasibility", "surcharge"), r("v_feasibility"), r("fr_feasibility"))
 
 
 @_("d3_pipe_cost", _CAND + " SELECT u, diam, depth, round(cost_usd, 4) AS cost_usd FROM e5", NF)
