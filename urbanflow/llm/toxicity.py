@@ -104,10 +104,10 @@ def votes_of(hits: list[int], classes: np.ndarray, exclaim: float, capitals: flo
 def label_model(votes: np.ndarray, prior: float, rounds: int = 25) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Posterior of toxic for each row, each voter's rates, and the voters' correlations given the class.
 
-    Expectation-maximisation on votes alone. A voter has, for either class, a rate of each vote. After
-    each round, voters' votes are centred on what the class explains, and the correlation that is left
-    shows voters that repeat each other: a voter's evidence is divided by 1 + its correlations' sum, so
-    a family of copies counts about once.
+    Expectation-maximisation on votes alone. A voter has, for either class, a rate of each vote. In the
+    second half of the rounds, votes are centred on what the class explains, and the correlation that is
+    left shows voters that repeat each other: a voter's evidence is divided by 1 + its correlations'
+    sum, so a family of copies counts about once.
     """
     rows, n = votes.shape
     post = np.where((votes[:, :LEXICONS] > 0).any(1), 0.9, 0.05) if rows else np.zeros(0)
@@ -115,15 +115,18 @@ def label_model(votes: np.ndarray, prior: float, rounds: int = 25) -> tuple[np.n
     if not rows:
         return post, rates, corr
     kinds = np.stack([votes == k for k in (-1, 0, 1)], 2).astype(float)
-    for _ in range(rounds):
+    for turn in range(rounds):
         for c, w in enumerate((1 - post, post)):
             rates[:, c] = (np.einsum("i,ijk->jk", w, kinds) + 0.5) / (w.sum() + 1.5)
-        mean = np.outer(1 - post, rates[:, 0] @ (-1, 0, 1)) + np.outer(post, rates[:, 1] @ (-1, 0, 1))
-        left = votes - mean
-        spread = np.sqrt((left**2).mean(0)) + 1e-9
-        corr = (left.T @ left) / rows / np.outer(spread, spread)
-        np.fill_diagonal(corr, 0)
-        share = 1 / (1 + np.clip(corr, 0, 1).sum(1))
+        share = np.ones(n)
+        if turn >= rounds // 2:
+            # classes as they stand now; what varies together inside a class is no separate evidence
+            sure = (post >= 0.5).astype(float)
+            left = votes - np.where(sure[:, None] > 0, rates[:, 1] @ (-1, 0, 1), rates[:, 0] @ (-1, 0, 1))
+            spread = np.maximum(np.sqrt((left**2).mean(0)), 0.02)
+            corr = (left.T @ left) / rows / np.outer(spread, spread)
+            np.fill_diagonal(corr, 0)
+            share = 1 / (1 + np.clip(corr, 0, 1).sum(1))
         evidence = np.log(rates[:, 1]) - np.log(rates[:, 0])
         z = np.log(prior / (1 - prior)) + np.einsum("ijk,jk,j->i", kinds, evidence, share)
         post = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
@@ -203,7 +206,7 @@ def fit(
         counts.where("term <> '' and p >= 2")
         .crossJoin(F.broadcast(totals))  # one row
         .withColumn("g", F.expr(f"2 * ({ratio})"))
-        .where("g >= 12 and ln((p + 0.5) / (pos + 1)) - ln((n + 0.5) / (neg + 1)) >= 3")
+        .where("g >= 12 and p >= 4 * n and ln((p + 0.5) / (pos + 1)) - ln((n + 0.5) / (neg + 1)) >= 3")
         .orderBy(F.desc("g"), "term")
         .limit(TERMS)
         .collect()
