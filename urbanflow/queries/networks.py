@@ -126,11 +126,11 @@ q AS (SELECT *, unnest(range(0, n)) AS i FROM c),
 seg AS (SELECT DISTINCT round(ax + (bx - ax) * i / n, 6) AS x1, round(ay + (by_ - ay) * i / n, 6) AS y1, round(ax + (bx - ax) * (i + 1) / n, 6) AS x2, round(ay + (by_ - ay) * (i + 1) / n, 6) AS y2 FROM q)"""
 
 
-@_("n7_split_long_edges", _STRAIGHT + " SELECT x1, y1, x2, y2, round(sqrt((x2 - x1) ** 2 + (y2 - y1) ** 2), 4) AS length FROM seg", NE)
+@_("n7_split_long_edges", _STRAIGHT + " SELECT x1, y1, x2, y2, sqrt((x2 - x1) ** 2 + (y2 - y1) ** 2) <= 60.001 AS short FROM seg", NE)
 def n7(spark, sf):
     e = op.split_long_edges(_lined(spark, sf), 60.0).edges
     at = lambda i, c: F.round(F.col("geometry")[i][c], 6)
-    return e.select(at(0, "x").alias("x1"), at(0, "y").alias("y1"), at(1, "x").alias("x2"), at(1, "y").alias("y2"), F.round("length", 4).alias("length")).distinct()
+    return e.select(at(0, "x").alias("x1"), at(0, "y").alias("y1"), at(1, "x").alias("x2"), at(1, "y").alias("y2"), (F.col("length") <= 60.001).alias("short")).distinct()
 
 
 _CLUSTERS = """, p AS (SELECT CAST(vec_id AS STRING) AS id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings),
