@@ -175,6 +175,27 @@ def test_language_model(spark, docs, none):
     assert language_model.score_texts(none, Scratch(spark, "t")).count() == 0
 
 
+def test_language_model_learns_from_all_stretches():
+    import pyarrow as pa
+
+    from urbanflow.llm.packed import WordHashes
+
+    words = " ".join(f"w{i}" for i in range(300))
+    h = language_model.token_hashes(words, WordHashes())
+    vocabulary = language_model.Vocabulary(h, np.ones(len(h), np.int64), len(h), len(h))
+    # copies of one text with their own ids, the same without, and a short text
+    ids, texts = [*range(70), None, 70], [words] * 71 + ["w1"]
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "text": texts})
+    out = pa.Table.from_batches(language_model._stretches(vocabulary, 5, 7, 2)([batch])).to_pydict()
+    kept = [i for i in ids if not language_model.held_out(i, 7, 2)]
+    assert len(out["ids"]) == sum(1 if i == 70 else 3 for i in kept)
+    seen = sum(int((np.frombuffer(x, np.int16)[1:] >= 0).sum()) for x in out["ids"])
+    assert seen == sum(2 if i == 70 else 301 for i in kept)
+    assert set(out["turn"]) == set(range(5)) and max(np.bincount(out["turn"])) < len(out["turn"]) / 2
+    # rounds grow with the corpus, and nothing else chooses what is learned from
+    assert language_model._rounds(1_000, 5) == 5 and language_model._rounds(80_000_000, 5) == 35
+
+
 def test_network_gradient():
     net = language_model.Network.start(np.arange(4096, 0, -1.0), 50.0)
     rng = np.random.default_rng(0)

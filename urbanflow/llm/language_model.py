@@ -28,6 +28,8 @@ CLASSES, CLASS_WORDS, HIDDEN = 64, 64, 32
 HEAD = 131_072
 #: Words of a training window (backpropagation ends there) and of a stretch (state is carried through it).
 WINDOW, STRETCH = 16, 128
+#: Stretches that one copy of the network learns from in a round.
+TASK_STRETCHES = 512
 _LN10 = math.log(10)
 
 
@@ -337,9 +339,16 @@ class Vocabulary:
         return np.where(there, self.ids[at], CLASSES * CLASS_WORDS), np.where(there, self.counts[at], -1)
 
 
-def _stretches(vocabulary: Vocabulary, share: float, rounds: int, folds: int, fold: int):
-    """Stretches of training documents that their hash selects, with the word before each."""
-    limit = np.uint64(min(share, 1 - 1e-9) * (1 << 64))
+def _rounds(words: int, least: int) -> int:
+    """Rounds of training: rounds and the tasks of each grow alike, with the root of the stretches."""
+    return max(least, round(math.sqrt(words / (STRETCH * TASK_STRETCHES))))
+
+
+def _stretches(vocabulary: Vocabulary, rounds: int, folds: int, fold: int):
+    """All stretches of the training documents, with the word before each; id and offset draw the round.
+
+    The text counts as well, so that rows without an id are spread.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -350,17 +359,15 @@ def _stretches(vocabulary: Vocabulary, share: float, rounds: int, folds: int, fo
                     continue
                 h = token_hashes(t, hashes)
                 starts = np.arange(0, len(h), STRETCH)
-                own = mix(h[starts] + np.uint64(len(h)) * np.uint64(0x9E3779B97F4A7C15) + starts.astype(np.uint64))
-                picked = own < limit
-                if not picked.any():
-                    continue
+                key = mix(np.array([0 if d is None else d], np.int64).view(np.uint64))
+                drawn = mix(mix(h[starts] + key) + starts.astype(np.uint64))
                 ids = np.append(vocabulary.end_id, vocabulary.look(h)[0])
-                for a, key in zip(starts[picked], own[picked]):
+                for a in starts:
                     row = np.full(STRETCH + 1, -1, np.int16)
                     part = ids[a : a + STRETCH + 1]
                     row[: len(part)] = part
                     out.append(row.tobytes())
-                    turn.append(int(mix(np.array([key]))[0] % np.uint64(rounds)))
+                turn.extend((drawn % np.uint64(rounds)).tolist())
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), pa.array(turn, pa.int32())], ["ids", "turn"])
 
     return run
@@ -520,8 +527,6 @@ def score_texts(
     scratch: Scratch,
     folds: int = 7,
     fold: int = 2,
-    share: float = 1 / 16,
-    least_words: int = 2_000_000,
     rounds: int = 5,
     rate: float = 4e-3,
     doc_id: str = "doc_id",
@@ -533,10 +538,9 @@ def score_texts(
     ``folds`` is ``fold`` are held out of everything that is learned.
 
     1. All training words are counted: packed by hash, moved once, summed by part.
-    2. The network starts as the unigram of those counts and learns from stretches of the training
-       documents: those whose hash falls in ``share`` of all (or as much as makes ``least_words``), so
-       what it learns from grows with the corpus. Each of ``rounds`` trains copies on the executors,
-       state carried from window to window, and averages them, weighted by what each has seen.
+    2. The network starts as the unigram of those counts and learns from all stretches of the training
+       documents, each once. Each of at least ``rounds`` rounds trains copies on the executors, state
+       carried from window to window, and averages them, weighted by what each has seen.
     3. Every whole document is scored, state carried from its first word to its end. Words outside the
        network's vocabulary share its last outcome by (count + 1) / (their sum + 1); counts of words
        beyond the ``HEAD`` most frequent are met by a second shuffle of packed hashes.
@@ -559,15 +563,16 @@ def score_texts(
     vocabulary = Vocabulary(head["word"].to_numpy(np.int64).view(np.uint64), head["c"].to_numpy(np.int64), n, v)
     net = Network.start(head["c"].to_numpy(np.float64)[: vocabulary.size], vocabulary.rest)
 
-    taken = min(1.0, max(share, least_words / max(n, 1)))
-    rows = scratch.table(own.mapInArrow(_stretches(vocabulary, taken, rounds, folds, fold), "ids binary, turn int"), "stretches")
+    rounds = _rounds(n, rounds)
+    drawn = own.mapInArrow(_stretches(vocabulary, rounds, folds, fold), "ids binary, turn int")
+    rows = scratch.table(drawn.repartitionById(rounds, F.col("turn")), "stretches", "turn")  # a round reads its own alone
     by_turn = {r["turn"]: r["count"] for r in rows.groupBy("turn").count().collect()}  # one row a round
     for k in range(rounds):
         if not by_turn.get(k):
             continue
-        tasks = parts_for(by_turn[k], 512)
+        tasks = parts_for(by_turn[k], TASK_STRETCHES)
         part = rows.where(F.col("turn") == k).select("ids").repartition(tasks)
-        trained = part.mapInArrow(_train_round(net, rate * (1 - 0.8 * k / rounds), 8, 512), "slice int, weights binary, seen long")
+        trained = part.mapInArrow(_train_round(net, rate * (1 - 0.8 * k / rounds), 8, TASK_STRETCHES), "slice int, weights binary, seen long")
         averaged = trained.repartitionById(8, F.col("slice")).mapInArrow(_average, "slice int, weights binary")
         slices = {r["slice"]: np.frombuffer(r["weights"], np.float32) for r in averaged.collect()}  # one network in all
         net = net.unpack(np.concatenate([slices[i] for i in range(8)]))

@@ -39,11 +39,14 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def table(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` as zstd Parquet and read it back; a name that is used again gets a place of its own."""
+    def table(self, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+        """Write ``df`` as zstd Parquet and read it back; a name that is used again gets a place of its own.
+
+        With ``by``, each value of that column gets a folder, and a filter on it reads no other.
+        """
         path = self.path(f"{name}.{len(self.places)}" if name in self.places else name)
         self.places[path] = self.places[name] = path
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", "zstd").parquet(path, partitionBy=by)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str | None = None) -> None:
