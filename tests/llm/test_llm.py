@@ -196,6 +196,33 @@ def test_language_model_learns_from_all_stretches():
     assert language_model._rounds(1_000, 5) == 5 and language_model._rounds(80_000_000, 5) == 35
 
 
+def test_network_masks_what_fills_up():
+    net = language_model.Network.start(np.arange(4096, 0, -1.0), 50.0)
+    rng = np.random.default_rng(0)
+    net.w = {k: rng.normal(0, 0.2, a.shape) for k, a in net.w.items()}
+    x, y, h = rng.integers(0, 4097, (5, 2)), rng.integers(0, 4097, (5, 2)), rng.normal(0, 0.3, (2, 32))
+    on = np.array([[True, True], [True, True], [True, False], [True, False], [True, False]])
+    _, loss, grad = net.window(x, y, h, on)
+    parts = [net.window(x[:5, :1], y[:5, :1], h[:1]), net.window(x[:2, 1:], y[:2, 1:], h[1:])]
+    assert abs(loss - sum(p[1] for p in parts)) < 1e-3
+    for name in grad:
+        assert np.allclose(grad[name], sum(p[2][name] for p in parts), atol=1e-3), name
+
+
+def test_network_learns_short_stretches_and_last_lanes():
+    net, size = language_model.Network.start(np.ones(4096), 1.0), language_model.CLASS_WORDS
+
+    def learned(*rows):
+        """Classes whose words were learned from: the others' weights stay zero."""
+        full = [[*ids, *[-1] * (language_model.STRETCH + 1 - len(ids))] for ids in rows]
+        return set(np.flatnonzero(net.train(np.array(full), 0.01).w["V"].any((1, 2))))
+
+    long = [0, *[size] * 128]
+    assert learned([0, 2 * size]) == {2}  # shorter than a window
+    assert learned([0, *[size] * 16, 2 * size]) == {1, 2}  # the tail after a window
+    assert learned(*[long] * 32, [0, *[2 * size] * 16]) == {1, 2}  # the last lanes
+
+
 def test_network_gradient():
     net = language_model.Network.start(np.arange(4096, 0, -1.0), 50.0)
     rng = np.random.default_rng(0)

@@ -130,8 +130,11 @@ class Network:
                 dh[own] += d @ w["V"][k].T
         return logp, dh
 
-    def window(self, x: np.ndarray, y: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, float, dict]:
-        """Truncated backpropagation through one window (words x lanes): state after it, loss, gradients."""
+    def window(self, x: np.ndarray, y: np.ndarray, h: np.ndarray, on: np.ndarray | None = None) -> tuple[np.ndarray, float, dict]:
+        """Truncated backpropagation through one window (words x lanes): state after it, loss, gradients.
+
+        Only words that are ``on`` (at the start of their lane) count; what fills up a lane adds nothing.
+        """
         w, (steps, lanes), n = self.w, x.shape, HIDDEN
         grad = {k: np.zeros_like(v) for k, v in w.items()}
         emb = w["E"][x]
@@ -143,9 +146,9 @@ class Network:
             cand = np.tanh(gx[t, :, 2 * n :] + r * gh[:, 2 * n :])
             kept.append((h, r, z, cand, gh[:, 2 * n :]))
             h = states[t] = cand + z * (h - cand)
-        flat = states.reshape(-1, n)
-        logp, dout = self.outputs(flat, y.ravel(), grad)
-        dout = dout.reshape(steps, lanes, n)
+        on = np.ones((steps, lanes), bool) if on is None else on
+        dout = np.zeros((steps, lanes, n), states.dtype)
+        logp, dout[on] = self.outputs(states[on], y[on], grad)
         dgx, dh = np.empty_like(gx), np.zeros((lanes, n), np.float32)
         for t in range(steps - 1, -1, -1):
             before, r, z, cand, gn = kept[t]
@@ -164,21 +167,28 @@ class Network:
         return h, -float(logp.sum()), grad
 
     def train(self, stretches: np.ndarray, rate: float, lanes: int = 32) -> "Network":
-        """One pass of Adam over stretches (rows of previous word and words; -1 after the end of one)."""
+        """One pass of Adam over stretches (rows of previous word and words; -1 after the end of one).
+
+        Every word of every stretch is learned from, with the same weight: short windows and the last
+        lanes are masked, and the gradient is divided by the words of a full window.
+        """
         w = {k: v.copy() for k, v in self.w.items()}
         net, m, s, k = Network(w), {}, {}, 0
         other = CLASSES * CLASS_WORDS
-        for a in range(0, len(stretches) - len(stretches) % lanes or len(stretches), lanes):
+        size = WINDOW * min(lanes, len(stretches))
+        for a in range(0, len(stretches), lanes):
             part = stretches[a : a + lanes]
             h = np.zeros((len(part), HIDDEN), np.float32)
             for t in range(0, STRETCH, WINDOW):
-                ids = part[:, t : t + WINDOW + 1].T
-                whole = (ids >= 0).all(0)
-                if not whole.any():
+                more = part[:, t + 1] >= 0
+                if not more.any():
                     break
-                part, h, ids = part[whole], h[whole], np.minimum(ids[:, whole], other)
-                h, _, grad = net.window(ids[:-1], ids[1:], h)
-                size, k = ids[1:].size, k + 1
+                part, h = part[more], h[more]
+                ids = part[:, t : t + WINDOW + 1].T
+                on = ids[1:] >= 0
+                ids = np.clip(ids[: int(on.sum(0).max()) + 1], 0, other)
+                h, _, grad = net.window(ids[:-1], ids[1:], h, on[: len(ids) - 1])
+                k += 1
                 for name, g in grad.items():
                     g /= size
                     if name not in m:
@@ -374,7 +384,7 @@ def _stretches(vocabulary: Vocabulary, rounds: int, folds: int, fold: int):
 
 
 def _train_round(net: Network, rate: float, slices: int, most: int):
-    """Train on the rows of the task and give the weights back in slices, each with the rows seen."""
+    """Train on the rows of the task and give the weights back in slices, each with the words seen."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, seen, held = net, 0, []
@@ -382,8 +392,9 @@ def _train_round(net: Network, rate: float, slices: int, most: int):
         def learn(last: bool) -> None:
             nonlocal now, seen
             if held and (last or len(held) >= most):
-                now = now.train(np.stack(held).astype(np.int64), rate)
-                seen += len(held)
+                rows = np.stack(held).astype(np.int64)
+                now = now.train(rows, rate)
+                seen += int((rows[:, 1:] >= 0).sum())
                 held.clear()
 
         for batch in batches:
