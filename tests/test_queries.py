@@ -38,3 +38,21 @@ def test_query_matches_sql(spark, duck, name):
     ours = sorted(str(tuple(plain(r[c]) for c in cols)) for r in df.collect())
     theirs = sorted(str(tuple(plain(r[i]) for i in at)) for r in sql.fetchall())
     assert ours == theirs
+
+
+def test_alignment_takes_all_nodes(spark):
+    """On the larger tables, where most ids lie above 90."""
+    from urbanflow.fixtures import with_views
+    from urbanflow.queries import results
+
+    sf, con = SF.replace("0.001", "0.01"), duckdb.connect()
+    con.sql("set timezone = 'UTC'")
+    for t in TABLES:
+        con.sql(f"create view {t} as select * from '{sf}/{t}.parquet'")
+    total = "SELECT date, sum(value) AS {} FROM fx_results WHERE part = '{}' AND variable = 'click' AND id IN (SELECT id FROM fx_nodes) GROUP BY date"
+    sql = f""", a AS ({total.format("s", "syn")}), b AS ({total.format("r", "real")}), j AS (SELECT date, s, r FROM a FULL JOIN b USING (date))"""
+    sql += results._fill("j", "") + " SELECT count(*), sum(s), sum(r) FROM f WHERE r IS NOT NULL"
+    n, syn, real = con.sql(with_views("fx_results", "fx_nodes") + sql).fetchall()[0]
+    rows = QUERIES["t5_align_by_id"](spark, sf).toPandas()
+    assert len(rows) == n
+    assert math.isclose(rows["value_syn"].sum(), syn, rel_tol=1e-6) and math.isclose(rows["value_real"].sum(), real, rel_tol=1e-6)

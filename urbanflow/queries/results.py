@@ -74,7 +74,7 @@ j AS (SELECT date, s, r FROM a FULL JOIN b USING (date))"""
 def _t5(spark, sf):
     syn, real = _parts(spark, sf)
     n = view(spark, sf, "fx_nodes")
-    return s.align_by_id(syn, real, "click", n.where("CAST(id AS BIGINT) < 60"), n.where("CAST(id AS BIGINT) < 90"))
+    return s.align_by_id(syn, real, "click", n, n)
 
 
 @_("t5_align_by_id", _T5 + _fill("j", "") + " SELECT date, round(s, 6) AS value_syn, round(r, 6) AS value_real FROM f WHERE r IS NOT NULL", R)
