@@ -56,3 +56,35 @@ def test_alignment_takes_all_nodes(spark):
     rows = QUERIES["t5_align_by_id"](spark, sf).toPandas()
     assert len(rows) == n
     assert math.isclose(rows["value_syn"].sum(), syn, rel_tol=1e-6) and math.isclose(rows["value_real"].sum(), real, rel_tol=1e-6)
+
+
+def test_netsimile_of_whole_graphs(spark):
+    """Against brute force over all driving and walking edges."""
+    import numpy as np
+
+    from urbanflow.fixtures import view
+
+    def moments(rows):
+        near = {}
+        for r in rows:
+            if r["u"] != r["v"]:
+                near.setdefault(r["u"], set()).add(r["v"])
+                near.setdefault(r["v"], set()).add(r["u"])
+        own = {i: (len(m), sum(len(near[j] & m) for j in m) / 2) for i, m in near.items()}
+        cl = {i: 2 * t / (d * (d - 1)) if d > 1 else 0.0 for i, (d, t) in own.items()}
+        table = []
+        for i, m in near.items():
+            ego = m | {i}
+            out = [n for j in ego for n in near[j] - ego]
+            inside = sum(len(near[j] & ego) for j in ego) // 2
+            table.append([len(m), cl[i], np.mean([len(near[j]) for j in m]), np.mean([cl[j] for j in m]), inside, len(set(out)), len(out)])
+        x = np.array(table, float)
+        z, sd = x - x.mean(0), x.std(0)
+        by = np.where(sd > 0, sd, 1)
+        return np.array([x.mean(0), np.median(x, 0), sd, (z**3).mean(0) / by**3, np.where(sd > 0, (z**4).mean(0) / by**4 - 3, 0)])
+
+    e = view(spark, SF, "fx_edges").select("u", "v", "network_type").collect()
+    a, b = (moments([r for r in e if r["network_type"] == t]) for t in ("drive", "walk"))
+    size = np.abs(a) + np.abs(b)
+    want = np.where(size < 1e-12, 1.0, np.abs(a - b) / np.maximum(size, 1e-12)).sum()
+    assert math.isclose(QUERIES["c9_netsimile"](spark, SF).first()["value"], want, rel_tol=1e-6)
