@@ -108,3 +108,16 @@ def test_entry_imports_without_llm(monkeypatch):
     monkeypatch.setattr(e, "HAS_PIPELINE", False)
     assert "grid_nse_flooding" in e.queries() and not any(q.startswith("op") and "_" in q and q[2].isdigit() for q in e.queries())
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_betweenness_of_a_long_chain(spark):
+    n = 103
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    e = spark.createDataFrame([(i, i + 1) for i in range(n - 1)], "u long, v long").coalesce(1)
+    first = spark.createDataFrame([(0,)], "id long").coalesce(1)
+    try:
+        got = {r["u"]: r["value"] for r in paths.betweenness(e, first, Scratch(spark, "t")).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    # from the start, edge u lies on the paths to all nodes after it; one source stands for all n
+    assert all(math.isclose(got[u], (n - 1 - u) * n / (n * (n - 1))) for u in range(n - 1))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -251,11 +253,11 @@ def spmv(coo: DataFrame, vec: DataFrame) -> DataFrame:
     return coo.join(vec.select(F.col("i").alias("j"), "x"), "j").groupBy("i").agg(F.sum(F.col("w") * F.col("x")).alias("x"))
 
 
-def betweenness(edges: DataFrame, sources: DataFrame, scratch: Scratch, of: str = "edge", rounds: int = 100) -> DataFrame:
+def betweenness(edges: DataFrame, sources: DataFrame, scratch: Scratch, of: str = "edge") -> DataFrame:
     """Shortest-path betweenness by hops from ``sources``, of edges (``u, v, value``) or nodes (``id, value``).
 
-    All sources walk level by level together (source, node, hops, paths); then dependencies are summed
-    back level by level. Normalised by n (n - 1) for edges and (n - 1) (n - 2) for nodes, times n / number
+    All sources walk level by level together (source, node, hops, paths) until none finds a new node; then
+    dependencies are summed back level by level. Normalised by n (n - 1) for edges and (n - 1) (n - 2) for nodes, times n / number
     of sources where only some are used.
     """
     e = scratch.table(edges.select("u", "v").where("u <> v").distinct(), f"bt-{of}-edges")
@@ -263,7 +265,7 @@ def betweenness(edges: DataFrame, sources: DataFrame, scratch: Scratch, of: str
     n = nodes.count()
     front = scratch.table(sources.select(F.col("id").alias("s"), "id", F.lit(0).alias("d"), F.lit(1.0).alias("paths")).distinct(), f"bt-{of}-0")
     seen, steps = front, []
-    for k in range(1, rounds + 1):
+    for k in itertools.count(1):
         went = front.join(e.select(F.col("u").alias("id"), F.col("v").alias("to")), "id").select("s", F.col("to").alias("id"), "paths")
         new = went.join(seen.select("s", "id"), ["s", "id"], "left_anti").groupBy("s", "id").agg(F.sum("paths").alias("paths"))
         front = scratch.table(new.select("s", "id", F.lit(k).alias("d"), "paths"), f"bt-{of}-{k}")
@@ -271,6 +273,8 @@ def betweenness(edges: DataFrame, sources: DataFrame, scratch: Scratch, of: str
             break
         steps.append(front)
         seen = seen.union(front)
+        if k % 20 == 0:  # keeps the plan short
+            seen = scratch.table(seen, f"bt-{of}-seen-{k}")
     seen = scratch.table(seen, f"bt-{of}-seen")
     flows, delta = None, None
     for k in range(len(steps), 0, -1):
@@ -281,8 +285,7 @@ def betweenness(edges: DataFrame, sources: DataFrame, scratch: Scratch, of: str
         flow = scratch.table(flow, f"bt-{of}-flow-{k}")
         flows = flow if flows is None else flows.union(flow)
         delta = flow.groupBy("s", F.col("u").alias("id")).agg(F.sum("f").alias("dep"))
-    count = sources.select("id").distinct().count()
-    lift = n / max(1, count)
+    lift = n / max(1, sources.select("id").distinct().count())
     if of == "edge":
         total = (e.limit(0).withColumn("f", F.lit(0.0)) if flows is None else flows).groupBy("u", "v").agg(F.sum("f").alias("f"))
         return e.join(total, ["u", "v"], "left").select("u", "v", (F.coalesce("f", F.lit(0.0)) * lift / max(1, n * (n - 1))).alias("value"))
