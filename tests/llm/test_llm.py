@@ -78,7 +78,12 @@ def test_sentencepiece(docs, none):
     lib = sentencepiece.SentencePieceProcessor(model_file=path)
     got = {r["doc_id"]: (r["ids"], r["decoded"]) for r in sentencepieces.decode(sentencepieces.encode(docs, path), path).collect()}
     assert got == {i: (lib.encode(t or ""), lib.decode(lib.encode(t or ""))) for i, t in ROWS}
-    assert sentencepieces.encode(none, path).count() == 0
+    both = sentencepieces.round_trip(docs.union(docs.where("doc_id = 3")), path)
+    assert {r["doc_id"]: (r["ids"], r["decoded"]) for r in both.collect()} == got and both.count() == len(ROWS) + 1
+    clash = docs.withColumns({"ids": F.lit(7), "decoded": F.lit(8), "doc_id": F.lit(None).cast("long")})
+    own = sentencepieces.round_trip(clash, path, keep=tuple(clash.columns)).where("length(text) > 100").first()
+    assert own["decoded"] == own["text"] and own["doc_id"] is None
+    assert sentencepieces.encode(none, path).count() == 0 == sentencepieces.round_trip(none, path).count()
 
 
 def test_jaccard(spark, docs, none):

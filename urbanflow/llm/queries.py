@@ -55,7 +55,7 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = _path("piece_bpe_32k.model")
-    coded = sentencepieces.decode(sentencepieces.encode(_read(spark, sf_dir, "documents"), model), model)
+    coded = sentencepieces.round_trip(_read(spark, sf_dir, "documents"), model)
     return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
@@ -72,7 +72,7 @@ def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
         "text_crc32",
         F.lit("bytes").alias("law"),
         "shard",
-        F.col("slot").cast("int").alias("slot"),
+        F.col("slot").cast("long").alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
     )
 

@@ -8,9 +8,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from urbanflow.llm.common import IdTable
+from urbanflow.llm.common import IdTable, give_back
 
 MARK = "▁"
 #: A marked word: its run of markers and what follows up to the next marker.
@@ -38,7 +39,7 @@ def check_model(path: str) -> None:
 class ChunkTable:
     """Ids of each distinct marked word, segmented once by the library while the table lasts."""
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 200_000):
         import sentencepiece
 
         self.lib = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -61,7 +62,7 @@ class ChunkTable:
         return flat, ends[counts]
 
 
-def _slices(texts: list, most: int = 4_000_000) -> Iterator[slice]:
+def _slices(texts: list, most: int = 2_000_000) -> Iterator[slice]:
     """Runs of texts of about ``most`` characters; a longer text makes a run of its own."""
     start = size = 0
     for i, t in enumerate(texts):
@@ -74,6 +75,12 @@ def _slices(texts: list, most: int = 4_000_000) -> Iterator[slice]:
         yield slice(start, len(texts))
 
 
+def _table(docs: DataFrame, keep: tuple[str, ...], made: dict[str, T.DataType]) -> tuple[tuple[str, ...], T.StructType]:
+    """Columns that are kept (not those named like one that is made), and the schema of the result."""
+    keep = tuple(c for c in keep if c not in made)
+    return keep, T.StructType([*(docs.schema[c] for c in keep), *(T.StructField(k, t) for k, t in made.items())])
+
+
 def encode(docs: DataFrame, model: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns and ``ids`` (array of int): what the library's encode gives for the whole text.
 
@@ -81,11 +88,26 @@ def encode(docs: DataFrame, model: str, text: str = "text", keep: tuple[str, ...
     character, no merge crosses a cut, so each distinct marked word is segmented once in a task and ids
     are joined back by position. No rows move between tasks.
 
-    Null and empty texts have no ids. Repeated rows stay. ``model`` is a path that all executors can open.
+    Null and empty texts have no ids. Repeated rows stay. A text of any length is one row of ids; about
+    2,000,000 characters are encoded at once, or one longer text. A kept column named ``ids`` gives way.
+    ``model`` is a path that all executors can open.
+    """
+    return _run(docs, model, text, keep, decoded=False)
+
+
+def round_trip(docs: DataFrame, model: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``keep`` columns, ``ids`` as ``encode`` gives them, and ``decoded``: the library's decode of those.
+
+    One pass, in which ids go from encoder to decoder inside the task. Cases are those of ``encode``; a
+    kept column named ``decoded`` gives way, too.
     """
+    return _run(docs, model, text, keep, decoded=True)
+
+
+def _run(docs: DataFrame, model: str, text: str, keep: tuple[str, ...], decoded: bool) -> DataFrame:
     check_model(model)
-    keep = tuple(keep)
-    fields = [docs.schema[c] for c in keep]
+    made = {"ids": T.ArrayType(T.IntegerType())} | ({"decoded": T.StringType()} if decoded else {})
+    keep, schema = _table(docs, tuple(keep), made)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = ChunkTable(model)
@@ -94,16 +116,23 @@ def encode(docs: DataFrame, model: str, text: str = "text", keep: tuple[str, ...
             for part in _slices(texts):
                 flat, starts = table.encode(texts[part])
                 own = batch.slice(part.start, part.stop - part.start)
-                ids = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([*own.columns[: len(keep)], ids], [*keep, "ids"])
+                out = [*own.columns[: len(keep)], pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(flat))]
+                if decoded:
+                    out.append(pa.array([table.lib.decode(flat[a:b].tolist()) if b > a else "" for a, b in zip(starts, starts[1:])], pa.string()))
+                yield pa.RecordBatch.from_arrays(out, schema.names)
+        del table
+        give_back()
 
-    schema = T.StructType([*fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    return docs.select(*keep, text).mapInArrow(run, schema)
+    return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(run, schema)
 
 
 def decode(rows: DataFrame, model: str, ids: str = "ids", to: str = "decoded") -> DataFrame:
-    """Adds ``to``: the library's decode of each row's ids; null or no ids give empty text."""
-    names, at = [c for c in rows.columns], rows.columns.index(ids)
+    """Adds ``to``: the library's decode of each row's ids; null or no ids give empty text.
+
+    An older column of that name gives way.
+    """
+    keep, schema = _table(rows, tuple(rows.columns), {to: T.StringType()})
+    at = keep.index(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import sentencepiece
@@ -113,6 +142,7 @@ def decode(rows: DataFrame, model: str, ids: str = "ids", to: str = "decoded") -
             for start in range(0, batch.num_rows, 500):
                 own = batch.slice(start, 500)
                 texts = [lib.decode(x) if x else "" for x in own.column(at).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(texts, pa.string())], [*names, to])
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(texts, pa.string())], schema.names)
+        give_back()
 
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(to, T.StringType())]))
+    return rows.select(*keep).mapInArrow(run, schema)

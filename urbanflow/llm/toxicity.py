@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from urbanflow.llm.common import crc_of_id
+from urbanflow.llm.common import crc_of_id, give_back
 
 #: Labelled rows from which terms, label model and classifier are learned, at most.
 LABELLED_ROWS = 20_000
@@ -257,6 +257,8 @@ def score(docs: DataFrame, model: ToxicityModel, text: str = "text", keep: tuple
         for batch in batches:
             scores = [model.score(*look(t)) for t in batch.column(len(keep)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(scores, pa.float64())], [*keep, "score"])
+        del look
+        give_back()
 
     schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("score", T.DoubleType())])
     own = docs.select(*keep, F.col(text).alias("__text"))
