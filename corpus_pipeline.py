@@ -62,7 +62,7 @@ def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     _start(spark, "sentencepieces")
     model = public_tokenizers.path("piece_bpe_32k.model")
-    coded = sentencepieces.decode(sentencepieces.encode(docs, model, keep=("doc_id", "lang", "source")), model)
+    coded = sentencepieces.round_trip(docs, model, keep=("doc_id", "lang", "source"))
     return coded.select(
         "doc_id",
         "lang",
