@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -49,9 +49,25 @@ def crc_of_id(doc_id: Column, mod: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(mod))
 
 
-def words_of(text: str | None) -> list[bytes]:
-    """Words in order; ``bytes.split`` parts at exactly the six ASCII white-space bytes."""
-    return text.encode("utf-8", "surrogatepass").split() if text else []
+def words_of(text: str | None, lower: bool = False) -> list[bytes]:
+    """Words in order, A-Z lower-cased if asked; ``bytes`` know exactly ASCII letters and white space."""
+    if not text:
+        return []
+    data = text.encode("utf-8", "surrogatepass")
+    return (data.lower() if lower else data).split()
+
+
+def runs_of(texts: list, most: int = 1_000_000) -> Iterator[slice]:
+    """Runs of texts of about ``most`` characters; a longer text makes a run of its own."""
+    start = size = 0
+    for i, t in enumerate(texts):
+        n = len(t) if t is not None else 0
+        if size and size + n > most:
+            yield slice(start, i)
+            start, size = i, 0
+        size += n
+    if start < len(texts):
+        yield slice(start, len(texts))
 
 
 def give_back() -> None:
@@ -84,18 +100,17 @@ class IdTable:
         """All words' ids in one array, and where each word's end (a 0 first)."""
         if len(self.rows) > self.most:
             self._clear()
-        rows = list(map(self.rows.get, words))
-        if None in rows:
-            new = list(dict.fromkeys(w for w, r in zip(words, rows) if r is None))
+        known = self.rows
+        new = list(dict.fromkeys([w for w in words if w not in known]))
+        if new:
             found = list(self.find(new))
-            self.rows.update(zip(new, range(len(self.rows), len(self.rows) + len(new))))
+            known.update(zip(new, range(len(known), len(known) + len(new))))
             size = np.fromiter(map(len, found), np.int64, len(found))
             self.begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(size) - size])
             self.size = np.concatenate([self.size, size])
             more = np.fromiter(chain.from_iterable(found), np.int32, int(size.sum()))
             self.flat = np.concatenate([self.flat, more])
-            rows = list(map(self.rows.get, words))
-        at = np.array(rows, np.int64)
+        at = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
         size = self.size[at]
         ends = np.concatenate([[0], np.cumsum(size)])
         own = np.repeat(self.begin[at] - ends[:-1], size) + np.arange(ends[-1])

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from urbanflow.llm.common import IdTable, give_back
+from urbanflow.llm.common import IdTable, give_back, runs_of
 
 MARK = "▁"
 #: A marked word: its run of markers and what follows up to the next marker.
@@ -62,19 +62,6 @@ class ChunkTable:
         return flat, ends[counts]
 
 
-def _slices(texts: list, most: int = 2_000_000) -> Iterator[slice]:
-    """Runs of texts of about ``most`` characters; a longer text makes a run of its own."""
-    start = size = 0
-    for i, t in enumerate(texts):
-        n = len(t) if t is not None else 0
-        if size and size + n > most:
-            yield slice(start, i)
-            start, size = i, 0
-        size += n
-    if start < len(texts):
-        yield slice(start, len(texts))
-
-
 def _table(docs: DataFrame, keep: tuple[str, ...], made: dict[str, T.DataType]) -> tuple[tuple[str, ...], T.StructType]:
     """Columns that are kept (not those named like one that is made), and the schema of the result."""
     keep = tuple(c for c in keep if c not in made)
@@ -113,7 +100,7 @@ def _run(docs: DataFrame, model: str, text: str, keep: tuple[str, ...], decoded:
         table = ChunkTable(model)
         for batch in batches:
             texts = batch.column(len(keep)).to_pylist()
-            for part in _slices(texts):
+            for part in runs_of(texts, 2_000_000):
                 flat, starts = table.encode(texts[part])
                 own = batch.slice(part.start, part.stop - part.start)
                 out = [*own.columns[: len(keep)], pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(flat))]

@@ -8,7 +8,6 @@ another. ``index-<n>.mph`` holds one bucket of the index (see ``Mph.pack``).
 from __future__ import annotations
 
 import os
-import re
 import struct
 import uuid
 import zlib
@@ -21,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from urbanflow.llm.common import IdTable, Scratch, parts_for, text_bytes
+from urbanflow.llm.common import IdTable, Scratch, give_back, parts_for, text_bytes, words_of
 
 MAGIC = b"UFIDS1\0\0"
 HEADER, HEADER_BYTES = "<8sII", 16
@@ -146,16 +145,11 @@ class Mph:
 # --- encoding ----------------------------------------------------------------------------------------
 
 
-#: A full stop or comma that ends a word of ASCII letters or digits; the tokenizer parts it from the word.
-_STOP = re.compile(rb"(?<=[a-z0-9])([.,])(?=[\x20\x09-\x0D]|$)")
-
-
 class WordTable:
     """Ids of each distinct chunk between white space, encoded once by the tokenizers library.
 
     The tokenizer drops white space, never joins characters across it and ignores case, so a text's ids
-    are those of its lower-cased chunks in order. Chunks also end before a stop. Texts that might hold a
-    special token are encoded whole.
+    are those of its lower-cased chunks in order. Texts that might hold a special token are encoded whole.
     """
 
     def __init__(self, path: str, most: int = 450_000):
@@ -170,28 +164,45 @@ class WordTable:
         prints = {*range(33, 127), *range(161, 173), *range(174, 256)}
         others = [b for b in range(256) if b not in prints]
         self.characters = {b: 256 + i for i, b in enumerate(others)}
+        self.stops = {c: self.lib.encode(c, add_special_tokens=False).ids for c in ".,"}
+
+    def _letters(self, text: str) -> list[int] | None:
+        """Ids of a lower-cased run of letters: one pre-token, taken by the library's model with its bytes
+        written as characters. None where the library's normaliser might change it."""
+        if text.isascii():
+            return [t.id for t in self.lib.model.tokenize(text)]
+        if not is_normalized("NFC", text):
+            return None
+        return [t.id for t in self.lib.model.tokenize(text.encode().decode("latin-1").translate(self.characters))]
 
     def _encode(self, chunks: list[bytes | str | int]) -> list[list[int]]:
         """Ids of chunks (bytes), of whole texts (str) and of end ids (int: themselves).
 
-        A chunk of letters alone is one pre-token, which the library's model takes as it is, bytes
-        written as characters; all else takes the library's whole way.
+        Letters alone, or with a full stop or comma after them, take the short way; all else goes through
+        the library as a whole.
         """
         out: list = [None] * len(chunks)
-        model, rest = self.lib.model, []
+        tokenize, rest, table = self.lib.model.tokenize, [], self.table
         for i, c in enumerate(chunks):
-            if isinstance(c, int):
+            if isinstance(c, bytes):
+                if c.isalpha():  # ASCII letters, lower-cased before
+                    out[i] = [t.id for t in tokenize(c.decode())]
+                    continue
+                if c[-1:] in (b".", b",") and (at := table.rows.get(c[:-1])) is not None and c[:-1].isalpha():
+                    out[i] = [*table.flat[table.begin[at] : table.begin[at] + table.size[at]], *self.stops[chr(c[-1])]]
+                    continue
+                text = c.decode("utf-8", "surrogatepass")
+                low = text.lower()
+                stop = self.stops.get(low[-1:])
+                base = low[:-1] if stop else low
+                if base.isalpha() and "\u03a3" not in text and (ids := self._letters(base)) is not None:
+                    out[i] = ids + stop if stop else ids
+                else:
+                    rest.append((i, text))
+            elif isinstance(c, int):
                 out[i] = [c]
-                continue
-            if isinstance(c, bytes) and c.isalpha():  # ASCII letters, lower-cased before
-                out[i] = [t.id for t in model.tokenize(c.decode())]
-                continue
-            text = c.decode("utf-8", "surrogatepass") if isinstance(c, bytes) else c
-            low = text.lower()
-            if isinstance(c, bytes) and low.isalpha() and "\u03a3" not in text and is_normalized("NFC", text):
-                out[i] = [t.id for t in model.tokenize(low.encode().decode("latin-1").translate(self.characters))]
             else:
-                rest.append((i, text))
+                rest.append((i, c))
         found = self.lib.encode_batch_fast([t for _, t in rest], add_special_tokens=False)
         for (i, _), e in zip(rest, found):
             out[i] = e.ids
@@ -205,7 +216,7 @@ class WordTable:
             if t and "<|" in t:
                 chunks.append(t)
             elif t:
-                chunks += _STOP.sub(rb" \1", t.encode("utf-8", "surrogatepass").lower()).split()
+                chunks += words_of(t, lower=True)
             chunks.append(end)
             counts.append(len(chunks))
         flat, ends = self.table.gather(chunks)
