@@ -10,24 +10,29 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from urbanflow.llm.common import Scratch, give_back, parts_for, text_bytes, words_of
+from urbanflow.llm.common import Scratch, give_back, parts_for, runs_of, text_bytes, words_of
 from urbanflow.llm.packed import (
     DEALT,
     DEALT_DDL,
     WordHashes,
     deal,
+    flat_words,
     gather,
     grams,
+    pack,
     sequence_id,
+    settle,
+    shared_pairs,
     signed,
-    sizes_of_runs,
     texts_of,
 )
 
 #: Words of the grams whose least hash names a window's route.
 GRAM = 6
-#: Texts that share a gram, beyond which its windows are routed one by one.
+#: Distinct passages of one route, beyond which their windows are grouped one by one.
 HOT = 2_000
+#: Such routes whose ids (8 bytes each) are broadcast, at most; more are joined by a shuffle.
+BROADCAST_ROUTES = 1_000_000
 #: Words of reference passages in one automaton, about.
 AUTOMATON_WORDS = 60_000
 #: A null id counts as larger than any other.
@@ -115,100 +120,125 @@ def window_routes(words: np.ndarray, size: int) -> np.ndarray:
     return least[: len(g) - span + 1]
 
 
+def _windows_of(h: np.ndarray, ends: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Routes of all windows that lie inside one text, and each one's text, for texts laid end to end."""
+    routes = window_routes(h, size)
+    of = np.repeat(np.arange(len(ends) - 1), np.diff(ends))[: len(routes)]
+    inside = np.arange(len(routes)) + size <= ends[of + 1]
+    routes, of = routes[inside], of[inside]
+    change = np.ones(len(routes), bool)  # neighbours mostly share their route
+    change[1:] = (routes[1:] != routes[:-1]) | (of[1:] != of[:-1])
+    return routes[change], of[change]
+
+
+#: What a row of the first pass is: a document, pairs whose value is asked about, pairs known to be shared.
+DOC, ASKED, TOLD = 0, 1, 2
+_DOC_DDL = "doc_id long, row_key long, seq_id long, n_words long"
+
+
+def _kind(dealt: pa.RecordBatch, kind: int) -> pa.RecordBatch:
+    m = dealt.num_rows
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.full(m, kind, np.int32)), *dealt.columns, *(pa.nulls(m, pa.int64()) for _ in range(4))],
+        ["kind", *DEALT.names, "doc_id", "row_key", "seq_id", "n_words"],
+    )
+
+
+def _by_owner(owners: np.ndarray, of: np.ndarray, values: np.ndarray, parts: int) -> pa.RecordBatch:
+    """Pairs packed by their owner's part."""
+    home = (owners.view(np.uint64) % np.uint64(parts)).astype(np.int32)
+    return pack(home[of], owners, of, values)
+
+
 def _routes(size: int, parts: int):
-    """Rows of two kinds: documents (part below 0) and the dealt routes of distinct word sequences."""
+    """Documents, and the routes of distinct word sequences: to ask about, or known to be shared."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, names = WordHashes(), [*DEALT.names, "doc_id", "row_key", "seq_id", "n_words"]
+        hashes = WordHashes()
         for batch in batches:
-            seqs, values, ids, counts = {}, [], [], []
-            for text in batch.column(2).to_pylist():
-                w = hashes(words_of(text))
-                sid = sequence_id(w)
-                ids.append(sid)
-                counts.append(len(w))
-                if sid not in seqs and len(w) >= size:
-                    seqs[sid] = len(seqs)
-                    values.append(np.unique(window_routes(w, size)))
+            texts, seqs, ids, counts, routes, owner = batch.column(2).to_pylist(), {}, [], [], [], []
+            for part in runs_of(texts):
+                h, ends = flat_words(texts[part], hashes)
+                own = [sequence_id(h[a:b]) for a, b in zip(ends, ends[1:])]
+                ids += own
+                counts.append(np.diff(ends))
+                # a sequence that has been here before brings nothing new
+                place = np.array([-1 if s in seqs else seqs.setdefault(s, len(seqs)) for s in own])
+                values, of = _windows_of(h, ends, size)
+                new = place[of] >= 0
+                routes.append(values[new])
+                owner.append(place[of[new]])
             m = batch.num_rows
-            none = pa.nulls(m, pa.binary())
-            key = np.asarray(batch.column(1))
+            none, key = pa.nulls(m, pa.binary()), np.asarray(batch.column(1))
+            n_words = np.concatenate(counts).astype(np.int64) if counts else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array((-1 - key % parts).astype(np.int32)), none, none, none, batch.column(0), batch.column(1), pa.array(ids, pa.int64()), pa.array(counts, pa.int64())],
-                names,
+                [pa.array(np.full(m, DOC, np.int32)), pa.array((key % parts).astype(np.int32)), none, none, none, batch.column(0), batch.column(1), pa.array(ids, pa.int64()), pa.array(n_words)],
+                ["kind", *DEALT.names, "doc_id", "row_key", "seq_id", "n_words"],
             )
-            if values:
-                of = np.repeat(np.arange(len(values)), [len(v) for v in values])
-                dealt = deal(np.fromiter(seqs, np.int64, len(seqs)), of, np.concatenate(values), parts)
-                yield pa.RecordBatch.from_arrays([*dealt.columns, *(pa.nulls(dealt.num_rows, pa.int64()) for _ in range(4))], names)
+            if routes:
+                owners = np.fromiter(seqs, np.int64, len(seqs))
+                of, values, asking, asked_of, asked = settle(owners, np.concatenate(owner), np.concatenate(routes))
+                yield _kind(deal(asking, asked_of, asked, parts), ASKED)
+                yield _kind(_by_owner(owners, of, values, parts), TOLD)
         del hashes
         give_back()
 
     return run
 
 
-def _shared_routes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each sequence of the part: its routes that another has too, ordinary ones and hot ones."""
-    names, held = ["doc_id", "row_key", "seq_id", "n_words", "some", "hot"], []
+def _shared_routes(parts: int):
+    """Answers what is asked about; documents and what is told already pass through."""
 
-    def dealt() -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            docs = np.asarray(batch.column(0)) < 0
-            if docs.any():
-                held.append(batch.filter(pa.array(docs)))
-            yield batch.filter(pa.array(~docs))
-
-    owners, values = gather(dealt())
-    for batch in held:
-        none = pa.nulls(batch.num_rows, pa.binary())
-        yield pa.RecordBatch.from_arrays([*batch.columns[4:8], none, none], names)
-    held.clear()
-    n = sizes_of_runs(values)
-    order = np.lexsort((values, owners))
-    owners, values, n = owners[order], values[order], n[order]
-    keep = n > 1
-    owners, values, n = owners[keep], values[keep], n[keep]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, held = ["kind", *DEALT.names, "doc_id", "row_key", "seq_id", "n_words"], []
+
+        def asked() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                own = np.asarray(batch.column(0)) == ASKED
+                if not own.all():
+                    held.append(batch.filter(pa.array(~own)))
+                yield batch.filter(pa.array(own)).select(DEALT.names)
+
+        owners, values = shared_pairs(asked())
+        yield from held
+        held.clear()
+        distinct, of = np.unique(owners, return_inverse=True)
+        yield _kind(_by_owner(distinct, of, values, parts), TOLD).select(names)
+        give_back()
+
+    return run
+
+
+def _own_routes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each sequence of the part: its shared routes."""
+    values, owners = gather(batches, by_owner=True)
     cuts = np.flatnonzero(np.diff(owners)) + 1
-    rows = []
-    for a, b in zip([0, *cuts], [*cuts, len(owners)]):
-        if a < b:
-            v, hot = values[a:b], n[a:b] > HOT
-            rows.append((int(owners[a]), v[~hot].tobytes(), v[hot].tobytes()))
-    m = len(rows)
-    cols = list(zip(*rows)) or [(), (), ()]
-    yield pa.RecordBatch.from_arrays(
-        [pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array(cols[0], pa.int64()), pa.nulls(m, pa.int64()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary())],
-        names,
-    )
+    starts = np.concatenate([[0], cuts]).astype(np.int64) if len(owners) else np.zeros(0, np.int64)
+    data = [values[a:b].tobytes() for a, b in zip(starts, [*starts[1:], len(owners)])]
+    yield pa.RecordBatch.from_arrays([pa.array(owners[starts]), pa.array(data, pa.binary())], ["seq_id", "some"])
 
 
 def _passages(size: int):
-    """Passages of a text: runs of windows with one shared route; single windows where it is hot."""
+    """Passages of a text: runs of windows with one shared route."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, sent = WordHashes(), set()
         for own, texts in texts_of(batches, 2):
             out: list[tuple] = []
-            for sid, first, text, some, hot in zip(*(own.column(i).to_pylist() for i in (0, 1)), texts, *(own.column(i).to_pylist() for i in (3, 4))):
+            for sid, first, text, some in zip(*(own.column(i).to_pylist() for i in (0, 1)), texts, own.column(3).to_pylist()):
                 w = hashes(words_of(text))
                 short = w.astype(np.uint32)
                 routes = window_routes(w, size)
-                some, hot = (np.sort(np.frombuffer(b"".join(x), np.uint64)) for x in (some, hot))
-                in_some, in_hot = np.isin(routes, some), np.isin(routes, hot)
-                change = np.ones(len(routes), bool)
-                change[1:] = (routes[1:] != routes[:-1]) | in_hot[1:]
-                starts = np.flatnonzero(change)
+                starts = np.flatnonzero(np.append(True, routes[1:] != routes[:-1]))
                 ends = np.append(starts[1:], len(routes))
-                whole = grams(w, size)
-                for a, b in zip(starts.tolist(), ends.tolist()):
-                    if in_some[a] or in_hot[a]:
-                        data = short[a : b + size - 1].tobytes()
-                        cid = signed(xxhash.xxh3_64_intdigest(data))
-                        route = int(whole[a] if in_hot[a] else routes[a])
-                        new = cid not in sent
-                        if new:
-                            sent.add(cid)
-                        out.append((sid, first, a, cid, signed(route), data if new else None))
+                shared = np.isin(routes[starts], np.frombuffer(some, np.uint64))
+                for a, b in zip(starts[shared].tolist(), ends[shared].tolist()):
+                    data = short[a : b + size - 1].tobytes()
+                    cid = signed(xxhash.xxh3_64_intdigest(data))
+                    new = cid not in sent
+                    if new:
+                        sent.add(cid)
+                    out.append((sid, first, a, cid, signed(int(routes[a])), data if new else None))
             if len(sent) > 100_000:
                 sent.clear()
             cols = list(zip(*out)) or [()] * 6
@@ -220,6 +250,22 @@ def _passages(size: int):
     return run
 
 
+def _single_windows(size: int):
+    """Each window of a passage by its own hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cols: list[list] = [[], [], [], [], []]
+            for first, cid, data, n in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                w = grams(np.frombuffer(data, np.uint32).astype(np.uint64), size).view(np.int64)
+                for c, x in zip(cols, ([cid] * len(w), [first] * len(w), [n] * len(w), range(len(w)), w.tolist())):
+                    c += x
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["passage", "first", "n", "at", "window"])
+
+    return run
+
+
 def _match(size: int):
     """Passages come sorted by route and first document; one automaton serves routes until it is full."""
 
@@ -239,8 +285,8 @@ def _match(size: int):
                     found = [doc if f is None else f for f in found]
                 if n > 1 or min(found) < doc:
                     ids.append(cid)
-                    firsts.append(np.array(found, np.int64).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(firsts, pa.binary())], ["passage", "firsts"])
+                    firsts.append(found)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(firsts, pa.list_(pa.int64()))], ["passage", "firsts"])
 
     return run
 
@@ -252,7 +298,7 @@ def _spans(size: int):
         for batch in batches:
             rows = ([], [], [])
             for sid, doc, start, data in zip(*(c.to_pylist() for c in batch.columns)):
-                early = np.flatnonzero(np.frombuffer(data, np.int64) < doc)
+                early = np.flatnonzero(np.array(data, np.int64) < doc)
                 if len(early):
                     cuts = np.flatnonzero(np.diff(early) > size) + 1
                     for part in np.split(early, cuts):
@@ -264,7 +310,9 @@ def _spans(size: int):
     return run
 
 
-def repeated_spans(docs: DataFrame, scratch: Scratch, size: int = 13, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def repeated_spans(
+    docs: DataFrame, scratch: Scratch, size: int = 13, doc_id: str = "doc_id", text: str = "text", hot: int = HOT
+) -> DataFrame:
     """row_key, doc_id, n_words, all_repeated, spans: words that an earlier document already has.
 
     A window is ``size`` consecutive words (unchanged, between ASCII white space). A window counts as
@@ -273,13 +321,16 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, size: int = 13, doc_id: st
     whose whole word sequence is that of a smaller id (with a window at least): all their words go.
 
     1. Equal word sequences are one. Each window is routed by the least hash of its grams, so equal
-       windows have equal routes; routes are dealt by value, and those of one sequence alone are dropped.
+       windows have equal routes. A batch that holds a route in several sequences knows it for shared and
+       asks about it once; the routes of one sequence alone are dealt by value and asked about. Answers
+       return to the sequence, packed by its own part.
     2. Sequences with shared routes give their passages (runs of windows of one route); distinct passages
-       are the reference, sharded by route. Where a route is hot, windows are routed by their own hash,
-       so no shard gathers the surroundings of a passage that many documents hold.
+       are the reference, sharded by route.
     3. In each shard passages go in order of their first document through suffix automata, each of a
        bounded number of words: matching statistics give every window's first document, and passages
-       with new windows are added.
+       with new windows are added. Where a route has more than ``hot`` passages, as a line in very many
+       documents has with all its surroundings, their windows are grouped one by one instead, so that no
+       shard gathers them.
     4. Each occurrence of a passage compares those first documents with its own.
 
     Shipping every automaton to every document would grow with the square of the input; routing sends a
@@ -287,34 +338,43 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, size: int = 13, doc_id: st
     (windows meet by 64-bit routes, their words by 32-bit hashes each).
 
     Null and empty texts have no words. A null id counts as larger than any other. Repeated rows with one
-    id keep their words, as neither id is smaller.
+    id keep their words, as neither id is smaller. A text of any length is one row.
     """
     own = docs.select(
         F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.xxhash64(doc_id, text).alias("row_key"), F.col(text).alias("text")
     )
     parts = parts_for(text_bytes(docs, text), 24 << 20)
-    mapped = own.mapInArrow(_routes(size, parts), f"{DEALT_DDL}, doc_id long, row_key long, seq_id long, n_words long")
-    place = F.when(F.col("part") < 0, -1 - F.col("part")).otherwise(F.col("part"))
-    seen = scratch.table(
-        mapped.repartitionById(parts, place.cast("int")).mapInArrow(
-            _shared_routes, "doc_id long, row_key long, seq_id long, n_words long, some binary, hot binary"
-        ),
-        "routes",
-    )
-    rows = seen.where("row_key is not null").select("doc_id", "row_key", "seq_id", "n_words")
-    by_seq = seen.groupBy("seq_id").agg(
-        F.min("doc_id").alias("first"), F.min("row_key").alias("row_key"), F.collect_list("some").alias("some"), F.collect_list("hot").alias("hot")
-    )
-    suspects = by_seq.where(F.size("some") > 0)
-    texts = own.select("row_key", "text").join(suspects, "row_key").select("seq_id", "first", "text", "some", "hot")
+    ddl = f"kind int, {DEALT_DDL}, {_DOC_DDL}"
+    mapped = own.mapInArrow(_routes(size, parts), ddl)
+    seen = scratch.table(mapped.repartitionById(parts, F.col("part")).mapInArrow(_shared_routes(parts), ddl), "routes", "kind")
+    rows = seen.where(F.col("kind") == DOC).select("doc_id", "row_key", "seq_id", "n_words")
+    told = seen.where(F.col("kind") == TOLD).select(*DEALT.names).repartitionById(parts, F.col("part"))
+    routes = told.mapInArrow(_own_routes, "seq_id long, some binary")
+    by_seq = rows.groupBy("seq_id").agg(F.min("doc_id").alias("first"), F.min("row_key").alias("row_key"))
+    suspects = by_seq.join(routes, "seq_id")
+    texts = own.select("row_key", "text").join(suspects, "row_key").select("seq_id", "first", "text", "some")
     passages = scratch.table(
         texts.mapInArrow(_passages(size), "seq_id long, first long, start int, passage long, route long, words binary"), "passages"
     )
     distinct = passages.groupBy("passage").agg(
         F.first("route").alias("route"), F.min("first").alias("first"), F.first("words", ignorenulls=True).alias("words"), F.count(F.lit(1)).alias("n")
     )
-    shards = distinct.repartition(parts, "route").sortWithinPartitions("route", "first").select("route", "first", "passage", "words", "n")
-    matched = scratch.table(shards.mapInArrow(_match(size), "passage long, firsts binary"), "matched")
+    distinct = scratch.table(distinct, "distinct")
+    crowded = scratch.table(distinct.groupBy("route").count().where(F.col("count") > hot).select("route"), "hot")
+    n_hot = crowded.count()
+    few = F.broadcast(crowded) if n_hot <= BROADCAST_ROUTES else crowded
+    others = distinct.join(few, "route", "left_anti") if n_hot else distinct
+    shards = others.repartition(parts, "route").sortWithinPartitions("route", "first").select("route", "first", "passage", "words", "n")
+    matched = shards.mapInArrow(_match(size), "passage long, firsts array<long>")
+    if n_hot:
+        single = distinct.join(few, "route", "left_semi").select("first", "passage", "words", "n")
+        windows = scratch.table(single.mapInArrow(_single_windows(size), "passage long, first long, n long, at int, window long"), "windows")
+        least = windows.groupBy("window").agg(F.min("first").alias("least"))
+        met = windows.join(least, "window").groupBy("passage").agg(
+            F.min("first").alias("first"), F.min("n").alias("n"), F.min("least").alias("least"), F.sort_array(F.collect_list(F.struct("at", "least"))).alias("w")
+        )
+        matched = matched.union(met.where("n > 1 or least < first").select("passage", F.col("w.least").alias("firsts")))
+    matched = scratch.table(matched, "matched")
     hits = passages.join(matched, "passage").select("seq_id", "first", "start", "firsts")
     found = hits.mapInArrow(_spans(size), "seq_id long, start int, end int")
     spans = found.groupBy("seq_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
@@ -333,25 +393,26 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, size: int = 13, doc_id: st
 
 
 def cut_spans(docs: DataFrame, spans: DataFrame, doc_id: str = "doc_id", text: str = "text", to: str = "kept") -> DataFrame:
-    """All columns of ``docs`` with n_words, n_removed and ``to``: the words outside the spans.
+    """The columns of ``docs`` with n_words, n_removed and ``to``: the words outside the spans.
 
-    Kept words are joined by one space; a text that loses no word is given so too. Rows join by key, so
-    repeated rows must be told apart by id or text to count once: equal rows share one entry.
+    Kept words are joined by one space; a text that loses no word is given so too. Rows join by key:
+    equal rows share one entry. Older columns of the three names give way.
     """
-    once = spans.dropDuplicates(["row_key"]).select("row_key", "all_repeated", "spans")
-    joined = docs.withColumn("row_key", F.xxhash64(doc_id, text)).join(once, "row_key", "left").drop("row_key")
-    names = docs.columns
-    at = names.index(text)
+    made = ("n_words", "n_removed", to)
+    once = spans.dropDuplicates(["row_key"]).select(F.col("row_key").alias("__key"), F.col("all_repeated").alias("__all"), F.col("spans").alias("__spans"))
+    names = [c for c in docs.columns if c not in made]
+    joined = docs.withColumn("__key", F.xxhash64(doc_id, text)).join(once, "__key", "left").select(*names, F.col(text).alias("__text"), "__all", "__spans")
+    at = len(names)
     schema = joined.select(*names).schema
-    for field in ("n_words long", "n_removed long", f"{to} string"):
-        schema = schema.add(field.split()[0], field.split()[1])
+    for name, kind in zip(made, ("long", "long", "string")):
+        schema = schema.add(name, kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 2_000):
                 own = batch.slice(start, 2_000)
                 n, gone, kept = [], [], []
-                for t, whole, cut in zip(own.column(at).to_pylist(), own.column(len(names)).to_pylist(), own.column(len(names) + 1).to_pylist()):
+                for t, whole, cut in zip(*(own.column(at + i).to_pylist() for i in range(3))):
                     words = words_of(t)
                     left = words
                     if whole:
@@ -365,8 +426,8 @@ def cut_spans(docs: DataFrame, spans: DataFrame, doc_id: str = "doc_id", text: s
                     gone.append(len(words) - len(left))
                     kept.append(b" ".join(left).decode("utf-8", "surrogatepass"))
                 yield pa.RecordBatch.from_arrays(
-                    [*own.columns[: len(names)], pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())],
-                    [*names, "n_words", "n_removed", to],
+                    [*own.columns[:at], pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], schema.names
                 )
+        give_back()
 
-    return joined.select(*names, "all_repeated", "spans").mapInArrow(run, schema)
+    return joined.mapInArrow(run, schema)
