@@ -16,10 +16,10 @@ from urbanflow.llm.packed import (
     DEALT_DDL,
     WordHashes,
     deal,
-    gather,
     grams,
     sequence_id,
-    sizes_of_runs,
+    settle,
+    shared_pairs,
     texts_of,
 )
 from urbanflow.operators.components import components
@@ -32,41 +32,44 @@ BLOCK_SHINGLES, BLOCK_SETS = 400_000, 1_200
 
 def shingle_set(text: str | None, n: int, hashes: WordHashes) -> np.ndarray:
     """Sorted distinct hashes of the ``n``-word shingles; fewer words make one shingle."""
-    words = words_of(text)
-    w = hashes([x.lower() for x in words])
+    w = hashes(words_of(text, lower=True))
     return np.unique(grams(w, n) if len(w) >= n else grams(w, len(w))) if len(w) else np.zeros(0, np.uint64)
 
 
 def _sets(n: int, parts: int, counted: np.uint64):
-    """Rows of two kinds: documents (part -1: owners is their set), and dealt shingles of distinct sets."""
+    """Rows of two kinds: documents (part below 0), and dealt shingles of distinct sets to ask about.
+
+    A document's ``local`` is how many of its counted shingles other sets of the batch hold; those aren't
+    asked about for each document, but once for the batch.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        names = [*DEALT.names, "doc_id", "row_key", "set_id", "n", "counted"]
+        names = [*DEALT.names, "doc_id", "row_key", "set_id", "n", "counted", "local"]
         for batch in batches:
             sets, values, rows = {}, [], []
             for text in batch.column(2).to_pylist():
                 s = shingle_set(text, n, hashes)
-                low = s[s < counted]
+                low = s[: int(np.searchsorted(s, counted))]
                 sid = sequence_id(s) if len(s) else None
                 rows.append((sid, len(s), len(low)))
                 if sid is not None and sid not in sets:
                     sets[sid] = len(sets)
                     values.append(low)
+            of = np.repeat(np.arange(len(values)), [len(v) for v in values])
+            owners = np.fromiter(sets, np.int64, len(sets))
+            flat = np.concatenate(values) if values else np.zeros(0, np.uint64)
+            told, _, asking, asked_of, asked = settle(owners, of, flat)
+            local = np.bincount(told, minlength=len(sets))
             m = batch.num_rows
-            none = pa.nulls(m, pa.binary())
-            cols = list(zip(*rows)) or [(), (), ()]
-            kinds = (pa.int64(), pa.int32(), pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(m, -1, np.int32)), none, none, none, batch.column(0), batch.column(1), *(pa.array(c, k) for c, k in zip(cols, kinds))],
-                names,
-            )
-            if values:
-                of = np.repeat(np.arange(len(values)), [len(v) for v in values])
-                dealt = deal(np.fromiter(sets, np.int64, len(sets)), of, np.concatenate(values), parts)
-                k = dealt.num_rows
-                rest = [pa.nulls(k, t) for t in (pa.int64(), pa.int64(), *kinds)]
-                yield pa.RecordBatch.from_arrays([*dealt.columns, *rest], names)
+            none, key = pa.nulls(m, pa.binary()), np.asarray(batch.column(1))
+            sids, sizes, lows = zip(*rows) if rows else ((), (), ())
+            own = [pa.array(sids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(lows, pa.int32())]
+            own.append(pa.array([0 if s is None else int(local[sets[s]]) for s in sids], pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array((-1 - key % parts).astype(np.int32)), none, none, none, batch.column(0), batch.column(1), *own], names)
+            dealt = deal(asking, asked_of, asked, parts)
+            k = dealt.num_rows
+            yield pa.RecordBatch.from_arrays([*dealt.columns, pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), *(pa.nulls(k, c.type) for c in own)], names)
         del hashes
         give_back()
 
@@ -84,18 +87,16 @@ def _count_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 held.append(batch.filter(pa.array(docs)))
             yield batch.filter(pa.array(~docs))
 
-    names = ["doc_id", "row_key", "set_id", "n", "counted", "shared"]
-    owners, values = gather(some())
+    names = ["doc_id", "row_key", "set_id", "n", "counted", "local", "shared"]
+    owners, _ = shared_pairs(some())
     for batch in held:
-        yield pa.RecordBatch.from_arrays([*batch.columns[4:9], pa.nulls(batch.num_rows, pa.int64())], names)
+        yield pa.RecordBatch.from_arrays([*batch.columns[4:10], pa.nulls(batch.num_rows, pa.int64())], names)
     held.clear()
-    many = owners[sizes_of_runs(values) > 1]
-    sid, shared = np.unique(many, return_counts=True)
+    sid, shared = np.unique(owners, return_counts=True)
     m = len(sid)
-    yield pa.RecordBatch.from_arrays(
-        [pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array(sid), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int32()), pa.array(shared.astype(np.int64))],
-        names,
-    )
+    none = [pa.nulls(m, t) for t in (pa.int32(), pa.int32(), pa.int64())]
+    yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array(sid), *none, pa.array(shared.astype(np.int64))], names)
+    give_back()
 
 
 def _overlap_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,8 +191,8 @@ def jaccard_groups(
     100 * intersection >= ``percent`` * union; a component is what links reach, named by its least id.
 
     1. Equal sets are one node, so copies never meet as pairs.
-    2. Shingles whose hash is in the lowest ``COUNTED`` share are dealt by value and counted over all
-       sets. A set of size s can link only if at most s * (100 - percent) / 100 of its shingles are its
+    2. Shingles whose hash is in the lowest ``COUNTED`` share are counted over all sets: inside a batch
+       where it alone holds several of their sets, otherwise dealt by value. A set of size s can link only if at most s * (100 - percent) / 100 of its shingles are its
        own, so sets with more unshared ones are done. That drops documents that share a passage only.
     3. The others' full sets are written. Two that link share one of their least
        s * (100 - percent) / 100 + 1 hashes (prefix). In each shingle's column every set is paired with
@@ -210,19 +211,18 @@ def jaccard_groups(
     parts = parts_for(text_bytes(docs, text), 24 << 20)
     counted = np.uint64(int(COUNTED * (1 << 64)))
     mapped = own.mapInArrow(
-        _sets(n, parts, counted), f"{DEALT_DDL}, doc_id long, row_key long, set_id long, n int, counted int"
+        _sets(n, parts, counted), f"{DEALT_DDL}, doc_id long, row_key long, set_id long, n int, counted int, local long"
     )
-    # documents have no part of their own; they go by their key
-    spread = mapped.withColumn("part", F.when(F.col("part") < 0, -1 - F.pmod("row_key", F.lit(parts))).otherwise(F.col("part")).cast("int"))
-    dealt = spread.repartitionById(parts, F.when(F.col("part") < 0, -1 - F.col("part")).otherwise(F.col("part")).cast("int"))
+    dealt = mapped.repartitionById(parts, F.when(F.col("part") < 0, -1 - F.col("part")).otherwise(F.col("part")).cast("int"))
     seen = scratch.table(
-        dealt.mapInArrow(_count_shared, "doc_id long, row_key long, set_id long, n int, counted int, shared long"), "seen"
+        dealt.mapInArrow(_count_shared, "doc_id long, row_key long, set_id long, n int, counted int, local long, shared long"), "seen"
     )
     rows = seen.where("row_key is not null").select("doc_id", "row_key", "set_id", "n")
     sets = seen.where("set_id is not null").groupBy("set_id").agg(
         F.max("n").alias("n"),
         F.max("counted").alias("counted"),
-        F.coalesce(F.sum("shared"), F.lit(0)).alias("shared"),
+        # copies of a set may count a shingle both here and there: more than it has, never fewer
+        (F.coalesce(F.sum("shared"), F.lit(0)) + F.max("local")).alias("shared"),
         F.min("doc_id").alias("first"),
         F.min("row_key").alias("row_key"),
     )
