@@ -2,123 +2,107 @@
 
 from __future__ import annotations
 
-from bisect import bisect_right
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from urbanflow.llm.common import Scratch
 
-#: Hex digits of the group key that name a bucket: 65,536 bucket sums are all that the driver holds at once.
-BUCKET_DIGITS = 4
-
-
-class _Groups:
-    """Prefix sums of group sizes in key order: bucket sums at hand, the groups of a bucket on demand."""
-
-    def __init__(self, groups: DataFrame, digits: int):
-        self.groups, self.digits, self.cache = groups, digits, {}
-        rows = (
-            groups.groupBy(F.substring("gkey", 1, digits).alias("b"))
-            .agg(F.sum("bytes").alias("bytes"), F.max("bytes").alias("most"))
-            .collect()
-        )  # at most 16 ** digits rows
-        self.names = sorted(r["b"] for r in rows)
-        sums = {r["b"]: r["bytes"] for r in rows}
-        self.largest = max((r["most"] for r in rows), default=0)
-        self.before = [0]
-        for b in self.names:
-            self.before.append(self.before[-1] + sums[b])
-        self.total = self.before[-1]
-
-    def fetch(self, at: set[int]) -> None:
-        at = {i for i in at if 0 <= i < len(self.names)} - self.cache.keys()
-        if not at:
-            return
-        rows = (
-            self.groups.where(F.substring("gkey", 1, self.digits).isin([self.names[i] for i in at]))
-            .select("gkey", "bytes")
-            .collect()
-        )
-        place = {self.names[i]: i for i in at}
-        found: dict[int, list] = {i: [] for i in at}
-        for r in rows:
-            found[place[r["gkey"][: self.digits]]].append((r["gkey"], r["bytes"]))
-        for i, items in found.items():
-            items.sort()
-            ends, sum_ = [], self.before[i]
-            for _, n in items:
-                sum_ += n
-                ends.append(sum_)
-            self.cache[i] = ([k for k, _ in items], ends)
-
-    def bucket(self, position: int) -> int:
-        return min(bisect_right(self.before, position) - 1, len(self.names) - 1)
-
-    def cut(self, position: int) -> tuple[int, str | None]:
-        """The last group end at or before ``position``, and the key of the group that follows it."""
-        i = self.bucket(position)
-        self.fetch({i})
-        keys, ends = self.cache[i]
-        n = bisect_right(ends, position)
-        if n == 0:
-            return self.before[i], keys[0]
-        if n < len(keys):
-            return ends[n - 1], keys[n]
-        return ends[-1], self.names[i + 1] if i + 1 < len(self.names) else None
-
-    def cuts(self, capacity: int, shards: int) -> list[str | None] | None:
-        """Greedy check: the keys that start shards 1, 2, ...; None if ``shards`` shards don't suffice."""
-        at, out = 0, []
-        for _ in range(shards):
-            if at + capacity >= self.total:
-                return out
-            end, key = self.cut(at + capacity)
+#: Hex digits of the group key that name a bucket at first, and by which a bucket that matters is refined.
+FIRST_DIGITS, MORE_DIGITS = 3, 2
+
+
+class _Buckets:
+    """Buckets of neighbouring groups in key order: prefix, bytes, groups. Those of one group can't be refined."""
+
+    def __init__(self, rows: list[tuple[str, int, int]]):
+        self.rows = sorted(rows)
+        self.ends = []
+        for _, size, _ in self.rows:
+            self.ends.append((self.ends[-1] if self.ends else 0) + size)
+        self.total = self.ends[-1] if self.ends else 0
+
+    def greedy(self, capacity: int, shards: int, whole: bool) -> list[int]:
+        """Ends of the shards that greedy filling gives, ``shards`` at most; it stops where nothing fits.
+
+        With ``whole`` a cut falls between buckets only, which needs as many shards or more than cutting
+        between groups; else it may fall at any byte of a bucket of several groups, which needs as many
+        or fewer.
+        """
+        at, i, out = 0, 0, []
+        while at < self.total and len(out) < shards:
+            goal = at + capacity
+            while i < len(self.rows) and self.ends[i] <= goal:
+                i += 1
+            start = self.ends[i - 1] if i else 0
+            end = goal if i < len(self.rows) and not whole and self.rows[i][2] > 1 else start
             if end <= at:
-                return None
-            at = end
-            out.append(key)
-        return out if at >= self.total else None
-
-
-def minimax_cuts(groups: DataFrame, shards: int, digits: int = BUCKET_DIGITS) -> list[str]:
+                break
+            at = min(end, self.total)
+            out.append(at)
+        return out
+
+    def least(self, low: int, shards: int, whole: bool) -> int:
+        """The smallest capacity from ``low`` on for which ``shards`` shards hold everything."""
+        high = max(low, self.total)
+        while low < high:
+            mid = (low + high) // 2
+            fits = self.greedy(mid, shards, whole)[-1:] == [self.total]
+            low, high = (low, mid) if fits else (mid + 1, high)
+        return low
+
+    def undecided(self, low: int, high: int, shards: int) -> set[str]:
+        """Prefixes of buckets of several groups in which a cut may fall, if the capacity is in [low, high]."""
+        early, late = self.greedy(low, shards, True), self.greedy(high, shards, False)
+        out = set()
+        for k in range(shards):
+            a = early[k] if k < len(early) else (early[-1] if early else 0)
+            b = late[k] if k < len(late) else self.total
+            start = 0
+            for (name, _, n), end in zip(self.rows, self.ends):
+                if n > 1 and start <= b and end >= a and not (a == b == start or a == b == end):
+                    out.add(name)
+                start = end
+        return out
+
+    def cuts(self, capacity: int, shards: int) -> list[str]:
+        """Prefixes that start shards 1, 2, ... when whole buckets fill them greedily."""
+        ends = set(self.greedy(capacity, shards, True)[:-1])
+        return [self.rows[i + 1][0] for i, e in enumerate(self.ends[:-1]) if e in ends]
+
+
+def minimax_cuts(groups: DataFrame, shards: int, digits: int = FIRST_DIGITS, more: int = MORE_DIGITS) -> list[str]:
     """Keys at which to cut so that the largest of ``shards`` contiguous shards is as small as can be.
 
     ``groups`` has ``gkey`` (hex text, the order) and ``bytes``, one row for each atomic group. The
-    capacity is searched by halving between the mean (or largest group) and what cutting at bucket
-    borders alone would need; each candidate is checked greedily. Only the groups in buckets that a cut
-    falls into reach the driver.
+    capacity is searched by halving, each candidate checked greedily: once with cuts between buckets
+    alone, once with cuts anywhere in a bucket. Where both searches agree, the capacity is found; as long
+    as they don't, the buckets in which a cut may fall are parted by ``more`` digits of the key. One job
+    a round reads bucket sums alone: 16^``digits`` rows at first, then 16^``more`` for each bucket in
+    doubt, whose number depends on ``shards`` and not on the groups.
     """
-    g = _Groups(groups, digits)
-    if not g.total:
+
+    def sums(of: DataFrame, n: int) -> list[tuple[str, int, int]]:
+        rows = of.groupBy(F.substring("gkey", 1, n).alias("b")).agg(F.sum("bytes").alias("s"), F.count(F.lit(1)).alias("n"))
+        return [(r["b"], r["s"], r["n"]) for r in rows.collect()]
+
+    known = _Buckets(sums(groups, digits))
+    if not known.total:
         return []
-    low = max(-(-g.total // shards), g.largest)
-    sums = [b - a for a, b in zip(g.before, g.before[1:])]
-    high = max(low, max(sums))
-
-    def coarse(capacity: int) -> bool:
-        used, n = 0, 1
-        for s in sums:
-            if used + s > capacity:
-                n, used = n + 1, 0
-            used += s
-        return n <= shards
-
-    a, b = high, g.total
-    while a < b:
-        mid = (a + b) // 2
-        a, b = (a, mid) if coarse(mid) else (mid + 1, b)
-    high = max(low, a)
-    ahead: set[int] = set()
-    for capacity in (low, (low + high) // 2, high):
-        for k in range(1, shards):
-            i = g.bucket(min(k * capacity, g.total))
-            ahead |= {i - 1, i}
-    g.fetch(ahead)
-    while low < high:
-        mid = (low + high) // 2
-        low, high = (low, mid) if g.cuts(mid, shards) is not None else (mid + 1, high)
-    return [k for k in g.cuts(low, shards) or [] if k is not None]
+    largest = groups.agg(F.max("bytes").alias("m")).first()["m"]
+    while True:
+        low = known.least(max(-(-known.total // shards), largest), shards, whole=False)
+        high = known.least(low, shards, whole=True)
+        if low == high:
+            return known.cuts(high, shards)
+        digits += more
+        open_ = known.undecided(low, high, shards)
+        by_length: dict[int, list[str]] = {}
+        for name in open_:
+            by_length.setdefault(len(name), []).append(name)
+        finer = []
+        for n, names in sorted(by_length.items()):
+            finer += sums(groups.where(F.substring("gkey", 1, n).isin(names)), n + more)
+        known = _Buckets([r for r in known.rows if r[0] not in open_] + finer)
 
 
 def shard_column(gkey: Column, cuts: list[str]) -> Column:
