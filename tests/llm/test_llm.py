@@ -99,9 +99,38 @@ def test_jaccard(spark, docs, none):
                     comp[a] = comp[b] = min(comp[a], comp[b])
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_groups(docs, Scratch(spark, "t")).collect()}
     assert got == {i: (len(s), comp[i]) for i, s in sets.items()}
+    again = docs.union(docs.where("doc_id in (1, 8)")).union(docs.where("doc_id = 8").withColumn("doc_id", F.lit(None).cast("long"))).repartition(9)
+    rows = [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_groups(again, Scratch(spark, "t")).collect()]
+    assert len(rows) == len(ROWS) + 3 and (None, len(sets[8]), 8) in rows
+    assert {d: (n, c) for d, n, c in rows if d is not None} == got
     assert jaccard.jaccard_groups(none, Scratch(spark, "t")).count() == 0
 
 
+def test_shared_pairs_over_batches():
+    import pyarrow as pa
+
+    from urbanflow.llm import packed
+
+    rng, pairs = np.random.default_rng(5), set()
+    batches, told = [], set()
+    for _ in range(6):
+        owners = rng.integers(1, 40, 8)
+        owners = np.unique(owners).astype(np.int64)
+        of, values = rng.integers(0, len(owners), 60), rng.integers(0, 300, 60).astype(np.uint64)
+        pairs |= set(zip(owners[of].tolist(), values.tolist()))
+        own, v, asking, asked_of, asked = packed.settle(owners, of, values)
+        told |= set(zip(owners[own].tolist(), v.tolist()))
+        batches.append(packed.deal(asking, asked_of, asked, 3))
+    whole = pa.Table.from_batches(batches)
+    for p in range(3):
+        o, v = packed.shared_pairs(whole.filter(pa.compute.equal(whole["part"], p)).to_batches())
+        told |= set(zip(o.tolist(), v.tolist()))
+    held: dict = {}
+    for o, v in pairs:
+        held.setdefault(v, set()).add(o)
+    assert told == {(o, v) for o, v in pairs if len(held[v]) > 1}
+
+
 def test_block_product_links_without_lead():
     import pandas as pd
 
@@ -125,8 +154,13 @@ def test_substrings(spark, docs, none):
             if first[tuple(w[j : j + 13])] < i:
                 keep[j : j + 13] = [False] * 13
         want[i] = b" ".join(x for x, k in zip(w, keep) if k).decode()
-    cut = substrings.cut_spans(docs, substrings.repeated_spans(docs, Scratch(spark, "t")))
-    assert {r["doc_id"]: r["kept"] for r in cut.collect()} == want
+    for hot in (2_000, 0):  # by automata, and window by window
+        cut = substrings.cut_spans(docs, substrings.repeated_spans(docs, Scratch(spark, "t"), hot=hot))
+        assert {r["doc_id"]: r["kept"] for r in cut.collect()} == want
+    clash = docs.selectExpr("*", "1 row_key", "2 n_words", "3 n_removed", "4 kept", "5 spans", "6 all_repeated").repartition(7)
+    again = clash.union(clash.where("doc_id in (1, 11)")).union(clash.where("doc_id = 8").withColumn("doc_id", F.lit(None).cast("long")))
+    cut = substrings.cut_spans(again, substrings.repeated_spans(again, Scratch(spark, "t"))).collect()
+    assert len(cut) == len(ROWS) + 3 and all(r["kept"] == want.get(r["doc_id"], "") for r in cut) and cut[0]["spans"] == 5
     assert substrings.repeated_spans(none, Scratch(spark, "t")).count() == 0
 
 
@@ -249,14 +283,43 @@ def test_neighbours(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(300, 12))
     x[50:60] = x[5]
-    rows = [(i, [float(a) for a in v]) for i, v in enumerate(x)] + [(400, None), (401, [0.0] * 12), (402, [float("nan")] * 12), (403, [None] * 12)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    got = neighbours.nearest(df, df.where("vec_id % 20 = 0"), Scratch(spark, "t"), factor=1.0, shard_rows=120).collect()
+    rows = [(i, [float(a) for a in v]) for i, v in enumerate(x)] + [(400, None), (401, [0.0] * 12), (402, [float("nan")] * 12), (403, [None] * 12), (None, [1.0] * 12), (420, [1.0, 2.0])]
+    df = spark.createDataFrame([*rows, rows[7], rows[20]], "vec_id long, embedding array<double>")
+    got = neighbours.nearest(df, df.where("vec_id % 20 = 0"), Scratch(spark, "t"), shard_rows=60).collect()
     for q in range(0, 300, 20):
         s = (x * x[q]).sum(1)
         want = [j for j in np.lexsort((np.arange(300), -s)) if j != q][:20]
         assert [r["vec_id"] for r in sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])] == want
     assert {r["query_id"] for r in got} == set(range(0, 300, 20))
+    none = df.where("false")
+    assert neighbours.nearest(none, none, Scratch(spark, "t")).count() == 0 == neighbours.nearest(none, df, Scratch(spark, "t")).count()
+
+
+def test_neighbours_ties(spark):
+    x = np.random.default_rng(4).integers(-1, 2, (400, 6)).astype(float)
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = neighbours.nearest(df, df.where("vec_id % 20 = 0"), Scratch(spark, "t"), shard_rows=50).toPandas()
+    sound = [j for j in range(400) if x[j].any()]
+    for q in range(0, 400, 20):
+        s = x @ x[q]
+        want = sorted((j for j in sound if j != q), key=lambda j: (-s[j], j))[:20] if x[q].any() else []
+        own = got[got.query_id == q].sort_values("rank")
+        assert own.vec_id.to_list() == want and own.score.to_list() == s[want].tolist()
+
+
+def test_neighbours_recall(spark):
+    """A relaxed search over several shards finds nine of ten, and leaves shards out where vectors are clustered."""
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(40, 16)) * 4
+    x = centres[rng.integers(0, 40, 2_000)] + rng.normal(size=(2_000, 16))
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = neighbours.nearest(df, df.where("vec_id % 20 = 0"), Scratch(spark, "t"), factor=0.5, shard_rows=250).toPandas()
+    hit = 0
+    for q, own in got.groupby("query_id"):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hit += len(set(own.vec_id) & set(np.argsort(-s)[:20]))
+    assert len(got) == 2_000 and hit / 2_000 >= 0.9
 
 
 def test_licenses(spark, docs, none):
