@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from urbanflow.llm.common import Scratch, parts_for, text_bytes, words_of
+from urbanflow.llm.common import Scratch, give_back, keep_memory, parts_for, text_bytes, words_of
 from urbanflow.llm.packed import DEALT, DEALT_DDL, WordHashes, deal, mix
 
 #: Hash that stands for the end of a document (no word is empty).
@@ -28,8 +28,8 @@ CLASSES, CLASS_WORDS, HIDDEN = 64, 64, 32
 HEAD = 131_072
 #: Words of a training window (backpropagation ends there) and of a stretch (state is carried through it).
 WINDOW, STRETCH = 16, 128
-#: Stretches that one copy of the network learns from in a round.
-TASK_STRETCHES = 512
+#: Stretches whose windows make one step of training, and stretches that one copy learns from in a round.
+LANES, TASK_STRETCHES = 256, 2_048
 _LN10 = math.log(10)
 
 
@@ -39,15 +39,44 @@ def held_out(doc_id: int | None, folds: int, fold: int) -> bool:
 
 def token_hashes(text: str | None, hashes: WordHashes) -> np.ndarray:
     """Hashes of the words, A-Z lower-cased, and the end."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    return np.append(hashes(words), np.uint64(END))
+    return np.append(hashes(words_of(text, lower=True)), np.uint64(END))
 
 
 # --- the network ---------------------------------------------------------------------------------------
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+    """In place."""
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
+
+
+def _softmax(z: np.ndarray, at: np.ndarray, slope: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Log probability of each row's outcome ``at``; ``z`` becomes the gradient of its loss, if asked."""
+    rows = np.arange(len(z))
+    z -= z.max(1, keepdims=True)
+    picked = z[rows, at]
+    np.exp(z, out=z)
+    total = z.sum(1)
+    if slope:
+        z /= total[:, None]
+        z[rows, at] -= 1
+    return picked - np.log(total), z
+
+
+def _step(gx: np.ndarray, gh: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
+    """One step of the recurrent unit (units x lanes): new state, reset and update gate, candidate."""
+    n = len(h)
+    rz = _sigmoid(gx[: 2 * n] + gh[: 2 * n])
+    cand = rz[:n] * gh[2 * n :]
+    cand += gx[2 * n :]
+    np.tanh(cand, out=cand)
+    new = h - cand
+    new *= rz[n:]
+    new += cand
+    return new, rz[:n], rz[n:], cand
 
 
 class Network:
@@ -96,77 +125,80 @@ class Network:
 
     def outputs(self, h: np.ndarray, y: np.ndarray, grad: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Log probability of each outcome ``y`` after state ``h``; with ``grad``, gradients and that of h."""
-        w, n = self.w, len(y)
-        z = h @ w["C"] + w["c"]
-        z -= z.max(1, keepdims=True)
-        e = np.exp(z)
-        total = e.sum(1)
-        cls = y // CLASS_WORDS
-        logp = z[np.arange(n), cls] - np.log(total)
+        w, slope = self.w, grad is not None
+        cls = (y // CLASS_WORDS).astype(np.uint8)
+        order = np.argsort(cls, kind="stable")  # class by class; the other outcome comes last
+        h, y, cls = h[order], y[order], cls[order]
+        cuts = np.searchsorted(cls, np.arange(CLASSES + 1))
+        spans = [(k, a, b) for k, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
+        known = int(cuts[-1])
+        logp, d = _softmax(h @ w["C"] + w["c"], cls, slope)
         dh = None
-        if grad is not None:
-            d = e / total[:, None]
-            d[np.arange(n), cls] -= 1
+        if slope:
             grad["C"] += h.T @ d
             grad["c"] += d.sum(0)
             dh = d @ w["C"].T
-        order = np.argsort(cls, kind="stable")
-        cuts = np.searchsorted(cls[order], np.arange(CLASSES + 1))
-        for k in range(CLASSES):
-            own = order[cuts[k] : cuts[k + 1]]
-            if not len(own):
-                continue
-            ho, word = h[own], y[own] - k * CLASS_WORDS
-            s = ho @ w["V"][k] + w["v"][k]
-            s -= s.max(1, keepdims=True)
-            e = np.exp(s)
-            total = e.sum(1)
-            logp[own] += s[np.arange(len(own)), word] - np.log(total)
-            if grad is not None:
-                d = e / total[:, None]
-                d[np.arange(len(own)), word] -= 1
-                grad["V"][k] += ho.T @ d
-                grad["v"][k] += d.sum(0)
-                dh[own] += d @ w["V"][k].T
-        return logp, dh
+        s = np.empty((known, CLASS_WORDS), np.result_type(h, w["V"]))
+        for k, a, b in spans:
+            np.matmul(h[a:b], w["V"][k], out=s[a:b])
+            s[a:b] += w["v"][k]
+        more, d = _softmax(s, y[:known] % CLASS_WORDS, slope)
+        logp[:known] += more
+        out = np.empty_like(logp)
+        out[order] = logp
+        if not slope:
+            return out, None
+        for k, a, b in spans:
+            grad["V"][k] += h[a:b].T @ d[a:b]
+            grad["v"][k] += d[a:b].sum(0)
+            dh[a:b] += d[a:b] @ w["V"][k].T
+        back = np.empty_like(dh)
+        back[order] = dh
+        return out, back
 
     def window(self, x: np.ndarray, y: np.ndarray, h: np.ndarray, on: np.ndarray | None = None) -> tuple[np.ndarray, float, dict]:
         """Truncated backpropagation through one window (words x lanes): state after it, loss, gradients.
 
         Only words that are ``on`` (at the start of their lane) count; what fills up a lane adds nothing.
+        States and gates lie by unit and lane inside, so that each gate is one block.
         """
         w, (steps, lanes), n = self.w, x.shape, HIDDEN
-        grad = {k: np.zeros_like(v) for k, v in w.items()}
+        grad = {k: np.zeros_like(v) for k, v in w.items() if k != "E"}
         emb = w["E"][x]
-        gx = emb @ w["W"] + w["b"]
-        kept, states = [], np.empty((steps, lanes, n), np.float32)
+        gx = np.matmul(w["W"].T, emb.transpose(0, 2, 1)) + w["b"][:, None]
+        kept, now, into = [], np.ascontiguousarray(h.T), np.ascontiguousarray(w["U"].T)
+        states = np.empty((steps, n, lanes), np.result_type(h, into))
         for t in range(steps):
-            gh = h @ w["U"]
-            r, z = _sigmoid(gx[t, :, :n] + gh[:, :n]), _sigmoid(gx[t, :, n : 2 * n] + gh[:, n : 2 * n])
-            cand = np.tanh(gx[t, :, 2 * n :] + r * gh[:, 2 * n :])
-            kept.append((h, r, z, cand, gh[:, 2 * n :]))
-            h = states[t] = cand + z * (h - cand)
+            gh, before = into @ now, now
+            now, r, z, cand = _step(gx[t], gh, now)
+            states[t] = now
+            kept.append((before, r, z, cand, gh[2 * n :]))
         on = np.ones((steps, lanes), bool) if on is None else on
         dout = np.zeros((steps, lanes, n), states.dtype)
-        logp, dout[on] = self.outputs(states[on], y[on], grad)
-        dgx, dh = np.empty_like(gx), np.zeros((lanes, n), np.float32)
+        logp, dout[on] = self.outputs(states.transpose(0, 2, 1)[on], y[on], grad)
+        dout = np.ascontiguousarray(dout.transpose(0, 2, 1))
+        dgx, dgh, dh = np.empty_like(gx), np.empty((3 * n, lanes), gx.dtype), np.zeros((n, lanes), states.dtype)
         for t in range(steps - 1, -1, -1):
             before, r, z, cand, gn = kept[t]
-            dh = dh + dout[t]
-            dc = dh * (1 - z) * (1 - cand**2)
-            dz = dh * (before - cand) * z * (1 - z)
-            dr = dc * gn * r * (1 - r)
-            dgx[t] = np.concatenate([dr, dz, dc], 1)
-            dgh = np.concatenate([dr, dz, dc * r], 1)
-            grad["U"] += before.T @ dgh
-            dh = dh * z + dgh @ w["U"].T
-        flat_x = dgx.reshape(-1, 3 * n)
+            dh += dout[t]
+            dc = dh * (1 - z)
+            dc *= 1 - cand * cand
+            dgx[t, :n] = dc * gn * r * (1 - r)
+            dgx[t, n : 2 * n] = dh * (before - cand) * z * (1 - z)
+            dgx[t, 2 * n :] = dc
+            dgh[: 2 * n] = dgx[t, : 2 * n]
+            np.multiply(dc, r, out=dgh[2 * n :])
+            grad["U"] += before @ dgh.T
+            dh *= z
+            dh += w["U"] @ dgh
+        flat_x, flat = np.ascontiguousarray(dgx.transpose(0, 2, 1)).reshape(-1, 3 * n), x.ravel()
         grad["W"] += emb.reshape(-1, n).T @ flat_x
         grad["b"] += flat_x.sum(0)
-        np.add.at(grad["E"], x.ravel(), flat_x @ w["W"].T)
-        return h, -float(logp.sum()), grad
+        back = flat_x @ w["W"].T
+        grad["E"] = np.stack([np.bincount(flat, c, len(w["E"])) for c in back.T], 1).astype(w["E"].dtype)
+        return now.T, -float(logp.sum()), grad
 
-    def train(self, stretches: np.ndarray, rate: float, lanes: int = 32) -> "Network":
+    def train(self, stretches: np.ndarray, rate: float, lanes: int = LANES) -> "Network":
         """One pass of Adam over stretches (rows of previous word and words; -1 after the end of one).
 
         Every word of every stretch is learned from, with the same weight: short windows and the last
@@ -194,7 +226,10 @@ class Network:
                     if name not in m:
                         m[name], s[name] = np.zeros_like(g), np.zeros_like(g)
                     m[name] += 0.1 * (g - m[name])
-                    s[name] += 0.01 * (g * g - s[name])
+                    g *= g
+                    g -= s[name]
+                    g *= 0.01
+                    s[name] += g
                     w[name] -= rate * (m[name] / (1 - 0.9**k)) / (np.sqrt(s[name] / (1 - 0.99**k)) + 1e-6)
         return net
 
@@ -203,50 +238,45 @@ class Network:
 
         Documents lie end to end in lanes of about equal length; a lane's state is cleared where one starts.
         """
-        total = np.zeros(len(docs))
+        sizes = [len(d) for d in docs]
         loads = [(0, i) for i in range(min(lanes, len(docs)))]
         rows: list[list[int]] = [[] for _ in loads]
-        for i in sorted(range(len(docs)), key=lambda i: -len(docs[i])):
+        for i in sorted(range(len(docs)), key=lambda i: -sizes[i]):
             load, lane = heapq.heappop(loads)
             rows[lane].append(i)
-            heapq.heappush(loads, (load + len(docs[i]), lane))
-        rows.sort(key=lambda own: -sum(len(docs[i]) for i in own))
-        lengths = [sum(len(docs[i]) for i in own) for own in rows]
-        seq = [np.concatenate([docs[i] for i in own]) if own else np.zeros(0, np.int64) for own in rows]
-        of = [np.repeat(own, [len(docs[i]) for i in own]) if own else np.zeros(0, np.int64) for own in rows]
-        end_id = self.end_id
-        gates, u, n = self.inputs(), self.w["U"], HIDDEN
-        h = np.zeros((len(rows), n), np.float32)
-        active = len(rows)
-        for a in range(0, max(lengths, default=0), steps):
-            while active and lengths[active - 1] <= a:
-                active -= 1
-            T = min(steps, lengths[0] - a)
-            y = np.zeros((T, active), np.int64)
-            who = np.full((T, active), -1, np.int64)
-            x = np.full((T, active), end_id, np.int64)
-            fresh = np.zeros((T, active), bool)
-            for lane in range(active):
-                m = min(T, lengths[lane] - a)
-                y[:m, lane], who[:m, lane] = seq[lane][a : a + m], of[lane][a : a + m]
-                x[:m, lane] = np.append(seq[lane][a - 1] if a else end_id, seq[lane][a : a + m - 1])
-                before = np.append(of[lane][a - 1] if a else -1, of[lane][a : a + m - 1])
-                fresh[:m, lane] = before != who[:m, lane]
-            x[fresh] = end_id
-            h = h[:active]
-            states = np.empty((T, active, n), np.float32)
-            gx = gates[x]
-            cleared = fresh.any(1)
-            for t in range(T):
+            heapq.heappush(loads, (load + sizes[i], lane))
+        rows.sort(key=lambda own: -sum(sizes[i] for i in own))
+        lengths = np.array([sum(sizes[i] for i in own) for own in rows], np.int64)
+        longest = int(max(lengths, default=0))
+        # words and documents by step and lane; lanes that end leave -1
+        y, who = np.zeros((longest, len(rows)), np.int16), np.full((longest, len(rows)), -1, np.int32)
+        for lane, own in enumerate(rows):
+            if lengths[lane]:
+                y[: lengths[lane], lane] = np.concatenate([docs[i] for i in own])
+                who[: lengths[lane], lane] = np.repeat(own, [sizes[i] for i in own])
+        fresh = np.ones(who.shape, bool)
+        fresh[1:] = who[1:] != who[:-1]
+        total, gates, into = np.zeros(len(docs)), self.inputs(), np.ascontiguousarray(self.w["U"].T)
+        h = np.zeros((HIDDEN, len(rows)), np.float32)
+        for a in range(0, longest, steps):
+            active = int((lengths > a).sum())
+            end = min(longest, a + steps)
+            own_y, own_who, new = (m[a:end, :active] for m in (y, who, fresh))
+            x = np.full(own_y.shape, self.end_id, np.int64)
+            x[1:] = own_y[:-1]
+            if a:
+                x[0] = y[a - 1, :active]
+            x[new] = self.end_id
+            h, gx = h[:, :active], np.ascontiguousarray(gates[x].transpose(0, 2, 1))
+            states = np.empty((len(x), HIDDEN, active), np.float32)
+            cleared = new.any(1)
+            for t in range(len(x)):
                 if cleared[t]:
-                    h = h * ~fresh[t][:, None]
-                g, gh = gx[t], h @ u
-                rz = _sigmoid(g[:, : 2 * n] + gh[:, : 2 * n])
-                cand = np.tanh(g[:, 2 * n :] + rz[:, :n] * gh[:, 2 * n :])
-                h = states[t] = cand + rz[:, n:] * (h - cand)
-            on = who >= 0
-            logp, _ = self.outputs(states[on], y[on])
-            total += np.bincount(who[on], logp, len(docs))
+                    h = h * ~new[t]
+                h = states[t] = _step(gx[t], into @ h, h)[0]
+            on = own_who >= 0
+            logp, _ = self.outputs(states.transpose(0, 2, 1)[on], own_y[on].astype(np.int64))
+            total += np.bincount(own_who[on], logp, len(docs))
         return total
 
     end_id: int = 0
@@ -283,6 +313,8 @@ def _count_words(folds: int, fold: int, parts: int, most: int = 3_000_000):
                 yield flush()
                 words, counts = words[:0], counts[:0]
         yield flush()
+        del hashes
+        give_back()
 
     return run
 
@@ -317,17 +349,31 @@ def _histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(n, pa.int64())], ["step", "n"])
 
 
-def _words_from(least: int):
+def _words_from(step: int, share: float):
+    """Words above a count step, and that share of the step's own which their hash draws."""
+    bound = min((1 << 64) - 1, int(share * (1 << 64)))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for w, c in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                w, c = np.frombuffer(w, np.int64), np.frombuffer(c, np.int64)
-                top = _steps(c) >= least
-                yield pa.RecordBatch.from_arrays([pa.array(w[top]), pa.array(c[top])], ["word", "c"])
+                w, c = np.frombuffer(w, np.uint64), np.frombuffer(c, np.int64)
+                at = _steps(c)
+                top = (at > step) | ((at == step) & (mix(w) < np.uint64(bound)))
+                yield pa.RecordBatch.from_arrays([pa.array(w[top].view(np.int64)), pa.array(c[top])], ["word", "c"])
 
     return run
 
 
+def _edge(scale: list[tuple[int, int]], most: int) -> tuple[int, float]:
+    """The count step (of (step, words), falling) in which ``most`` words are reached, and what share of it fits."""
+    total = 0
+    for step, n in scale:
+        if total + n > most:
+            return step, (most - total) / n
+        total += n
+    return -1, 0.0
+
+
 class Vocabulary:
     """Counts of the most frequent words (given by falling count); the first are the network's."""
 
@@ -354,24 +400,70 @@ def _rounds(words: int, least: int) -> int:
     return max(least, round(math.sqrt(words / (STRETCH * TASK_STRETCHES))))
 
 
-def _stretches(vocabulary: Vocabulary, rounds: int, folds: int, fold: int):
-    """All stretches of the training documents, with the word before each; id and offset draw the round.
+#: What a coded row is: a document, or hashes of rare words dealt by value.
+DOC, RARE = 0, 1
+#: A document's row: what is known of it without the counts of its rare words.
+_DOC = {
+    "rid": "long", "doc_id": "long", "held_out": "boolean", "n_tokens": "long",
+    "n_known": "long", "log_counts": "double", "outcome": "double", "shared": "long", "shared_log": "double",
+}
+_ARROW = {"long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64()}
+_DOC_DDL = ", ".join(f"{k} {t}" for k, t in _DOC.items())
 
-    The text counts as well, so that rows without an id are spread.
-    """
+
+def _code(vocabulary: Vocabulary, folds: int, fold: int, parts: int):
+    """Documents with the network's ids of their words, and hashes of rare words dealt by their value."""
+    kinds = [_ARROW[k] for k in _DOC.values()]
+    names = ["kind", *DEALT.names, *_DOC, "ids"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            out, turn = [], []
-            for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if held_out(d, folds, fold):
-                    continue
+            docs, rows, owners, of, rare = [], [], [], [], []
+            for rid, d, t in zip(*(c.to_pylist() for c in batch.columns)):
                 h = token_hashes(t, hashes)
-                starts = np.arange(0, len(h), STRETCH)
-                key = mix(np.array([0 if d is None else d], np.int64).view(np.uint64))
-                drawn = mix(mix(h[starts] + key) + starts.astype(np.uint64))
-                ids = np.append(vocabulary.end_id, vocabulary.look(h)[0])
+                ids, c = vocabulary.look(h)
+                far, other = c < 0, ids == CLASSES * CLASS_WORDS
+                logs = np.log10(np.maximum(c, 0) + 1.0)
+                near = int((~far).sum())
+                rows.append((rid, d, held_out(d, folds, fold), len(h), near, float(logs.sum()), 0.0, int(other.sum()), float(logs[other].sum())))
+                docs.append(ids.astype(np.int16).tobytes())
+                if near < len(h):
+                    of.append(np.full(len(h) - near, len(owners)))
+                    owners.append(rid)
+                    rare.append(h[far])
+            m = len(rows)
+            none, cols = pa.nulls(m, pa.binary()), list(zip(*rows)) or [()] * len(_DOC)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(m, DOC, np.int32)), pa.nulls(m, pa.int32()), none, none, none, *(pa.array(c, k) for c, k in zip(cols, kinds)), pa.array(docs, pa.binary())], names
+            )
+            if rare:
+                dealt = deal(np.array(owners, np.int64), np.concatenate(of), np.concatenate(rare), parts)
+                k = dealt.num_rows
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(k, RARE, np.int32)), *dealt.columns, *(pa.nulls(k, x) for x in kinds), pa.nulls(k, pa.binary())], names
+                )
+        del hashes
+        give_back()
+
+    return run
+
+
+def _rounds(words: int, least: int) -> int:
+    """Rounds of training: rounds and the tasks of each grow alike, with the root of the stretches."""
+    return max(least, round(math.sqrt(words / (STRETCH * TASK_STRETCHES))))
+
+
+def _stretches(end_id: int, rounds: int):
+    """All stretches of coded documents (row and ids), with the word before each; row and offset draw the round."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out, turn = [], []
+            for rid, data in zip(*(c.to_pylist() for c in batch.columns)):
+                ids = np.append(np.int16(end_id), np.frombuffer(data, np.int16))
+                starts = np.arange(0, len(ids) - 1, STRETCH)
+                drawn = mix(mix(np.array([rid], np.int64).view(np.uint64)) + starts.astype(np.uint64))
                 for a in starts:
                     row = np.full(STRETCH + 1, -1, np.int16)
                     part = ids[a : a + STRETCH + 1]
@@ -387,6 +479,7 @@ def _train_round(net: Network, rate: float, slices: int, most: int):
     """Train on the rows of the task and give the weights back in slices, each with the words seen."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_memory()
         now, seen, held = net, 0, []
 
         def learn(last: bool) -> None:
@@ -408,6 +501,7 @@ def _train_round(net: Network, rate: float, slices: int, most: int):
                 [pa.array(range(slices), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary()), pa.array([seen] * slices, pa.int64())],
                 ["slice", "weights", "seen"],
             )
+        give_back()
 
     return run
 
@@ -424,52 +518,32 @@ def _average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     )
 
 
-#: A document's row: what is known of it without the counts of its rare words.
-_DOC = {
-    "rid": "long", "doc_id": "long", "held_out": "boolean", "n_tokens": "long",
-    "n_known": "long", "log_counts": "double", "outcome": "double", "shared": "long", "shared_log": "double",
-}
-_ARROW = {"long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64()}
-
-
-def _score_docs(net: Network, vocabulary: Vocabulary, folds: int, fold: int, parts: int, chunk: int = 4_000_000):
-    """Rows of two kinds: documents (part below 0), and hashes of rare words dealt by their value."""
-    kinds = [_ARROW[k] for k in _DOC.values()]
+def _score_docs(net: Network, parts: int, chunk: int = 2_000_000):
+    """Coded documents with the network's log probability of their ids, for the part of their row."""
     names = [*DEALT.names, *_DOC]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, docs, rows, tokens = WordHashes(), [], [], 0
+        keep_memory()
+        held, tokens = [], 0
 
         def flush() -> pa.RecordBatch:
-            nonlocal docs, rows, tokens
-            none, cols = pa.nulls(len(docs), pa.binary()), [list(c) for c in zip(*rows)]
-            cols[6] = net.score(docs)
-            part = (-1 - np.array(cols[0]) % parts).astype(np.int32)
-            docs, rows, tokens = [], [], 0
-            return pa.RecordBatch.from_arrays([pa.array(part), none, none, none, *(pa.array(c, k) for c, k in zip(cols, kinds))], names)
+            nonlocal held, tokens
+            own = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            outcome = net.score([np.frombuffer(x, np.int16) for x in own.column(len(_DOC)).to_pylist()])
+            held, tokens, m = [], 0, own.num_rows
+            cols = [pa.array(outcome) if k == "outcome" else own.column(i) for i, k in enumerate(_DOC)]
+            part = (-1 - np.asarray(own.column(0)) % parts).astype(np.int32)
+            return pa.RecordBatch.from_arrays([pa.array(part), *(pa.nulls(m, pa.binary()) for _ in range(3)), *cols], names)
 
         for batch in batches:
-            owners, of, rare = [], [], []
-            for rid, d, t in zip(*(c.to_pylist() for c in batch.columns)):
-                h = token_hashes(t, hashes)
-                ids, c = vocabulary.look(h)
-                far, other = c < 0, ids == CLASSES * CLASS_WORDS
-                logs = np.log10(np.maximum(c, 0) + 1.0)
-                near = int((~far).sum())
-                rows.append((rid, d, held_out(d, folds, fold), len(h), near, float(logs.sum()), 0.0, int(other.sum()), float(logs[other].sum())))
-                docs.append(ids.astype(np.int16))
-                tokens += len(h)
-                if near < len(h):
-                    of.append(np.full(len(h) - near, len(owners)))
-                    owners.append(rid)
-                    rare.append(h[far])
-            if rare:
-                dealt = deal(np.array(owners, np.int64), np.concatenate(of), np.concatenate(rare), parts)
-                yield pa.RecordBatch.from_arrays([*dealt.columns, *(pa.nulls(dealt.num_rows, k) for k in kinds)], names)
+            if batch.num_rows:
+                held.append(batch)
+                tokens += int(np.asarray(batch.column(3)).sum())
             if tokens >= chunk:
                 yield flush()
-        if docs:
+        if held:
             yield flush()
+        give_back()
 
     return run
 
@@ -539,7 +613,7 @@ def score_texts(
     folds: int = 7,
     fold: int = 2,
     rounds: int = 5,
-    rate: float = 4e-3,
+    rate: float = 1.5e-2,
     doc_id: str = "doc_id",
     text: str = "text",
 ) -> DataFrame:
@@ -549,10 +623,11 @@ def score_texts(
     ``folds`` is ``fold`` are held out of everything that is learned.
 
     1. All training words are counted: packed by hash, moved once, summed by part.
-    2. The network starts as the unigram of those counts and learns from all stretches of the training
+    2. Words become the network's ids, written once with what the frequent words' counts give.
+    3. The network starts as the unigram of those counts and learns from all stretches of the training
        documents, each once. Each of at least ``rounds`` rounds trains copies on the executors, state
        carried from window to window, and averages them, weighted by what each has seen.
-    3. Every whole document is scored, state carried from its first word to its end. Words outside the
+    4. Every whole document is scored, state carried from its first word to its end. Words outside the
        network's vocabulary share its last outcome by (count + 1) / (their sum + 1); counts of words
        beyond the ``HEAD`` most frequent are met by a second shuffle of packed hashes.
 
@@ -566,16 +641,19 @@ def score_texts(
     counts = scratch.table(dealt.mapInArrow(_sum_counts, "part int, words binary, counts binary, n long, v long"), "counts")
     totals = counts.agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
     n, v = int(totals["n"] or 0), int(totals["v"] or 0)
-    # the scale has a few hundred steps; from the least one whose words and all more frequent fit, words are taken
+    # the scale has a few hundred steps; the head is what lies above one of them and a share of that one
     scale = counts.mapInArrow(_histogram, "step int, n long").groupBy("step").agg(F.sum("n").alias("n")).orderBy(F.desc("step")).collect()
-    fits = [r["step"] for r, total in zip(scale, np.cumsum([r["n"] for r in scale])) if total <= HEAD]
-    head = counts.mapInArrow(_words_from(min(fits, default=1 << 20)), "word long, c long").toPandas()
+    edge = _edge([(r["step"], r["n"]) for r in scale], HEAD)
+    head = counts.mapInArrow(_words_from(*edge), "word long, c long").toPandas()
     head = head.sort_values(["c", "word"], ascending=[False, True])
     vocabulary = Vocabulary(head["word"].to_numpy(np.int64).view(np.uint64), head["c"].to_numpy(np.int64), n, v)
     net = Network.start(head["c"].to_numpy(np.float64)[: vocabulary.size], vocabulary.rest)
 
+    keyed = own.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text")
+    coded = scratch.table(keyed.mapInArrow(_code(vocabulary, folds, fold, parts), f"kind int, {DEALT_DDL}, {_DOC_DDL}, ids binary"), "coded", "kind")
+    texts = coded.where(F.col("kind") == DOC)
     rounds = _rounds(n, rounds)
-    drawn = own.mapInArrow(_stretches(vocabulary, rounds, folds, fold), "ids binary, turn int")
+    drawn = texts.where("not held_out").select("rid", "ids").mapInArrow(_stretches(vocabulary.end_id, rounds), "ids binary, turn int")
     rows = scratch.table(drawn.repartitionById(rounds, F.col("turn")), "stretches", "turn")  # a round reads its own alone
     by_turn = {r["turn"]: r["count"] for r in rows.groupBy("turn").count().collect()}  # one row a round
     for k in range(rounds):
@@ -588,16 +666,15 @@ def score_texts(
         slices = {r["slice"]: np.frombuffer(r["weights"], np.float32) for r in averaged.collect()}  # one network in all
         net = net.unpack(np.concatenate([slices[i] for i in range(8)]))
     net.end_id = vocabulary.end_id
-    keyed = own.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text")
-    ddl = ", ".join(f"{k} {t}" for k, t in _DOC.items())
-    scored = keyed.mapInArrow(_score_docs(net, vocabulary, folds, fold, parts), f"{DEALT_DDL}, {ddl}")
+    scored = texts.select(*_DOC, "ids").mapInArrow(_score_docs(net, parts), f"{DEALT_DDL}, {_DOC_DDL}")
+    rare = coded.where(F.col("kind") == RARE).select(*DEALT.names, *_DOC)
     stored = counts.select(
         "part", F.lit(None).cast("binary").alias("owners"), F.col("counts").alias("of"), F.col("words").alias("values"),
         *(F.lit(None).cast(t).alias(k) for k, t in _DOC.items()),
     )
     place = F.when(F.col("part") < 0, -1 - F.col("part")).otherwise(F.col("part")).cast("int")
-    met = scored.unionByName(stored).repartitionById(parts, place).mapInArrow(
-        partial(_meet_counts, parts), f"part int, {ddl}, rids binary, far_known binary, far_log binary"
+    met = scored.unionByName(rare).unionByName(stored).repartitionById(parts, place).mapInArrow(
+        partial(_meet_counts, parts), f"part int, {_DOC_DDL}, rids binary, far_known binary, far_log binary"
     )
     # to the documents' own parts: one packed row for each pair of parts, however many documents
     home = met.repartitionById(parts, (-1 - F.col("part")).cast("int"))
