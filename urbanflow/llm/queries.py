@@ -1,4 +1,4 @@
-"""One query for each operator, over its whole table, and the SQL of those that SQL can express."""
+"""One query for each operator, over its whole table; the SQL of those that SQL can express is in ``oracles``."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from urbanflow.llm import decontamination, jaccard, language_model, licenses, neighbours, sentencepieces, sharding, substrings, tokenfiles, toxicity
 from urbanflow.llm.common import Scratch, crc_of_id, small_batches
+from urbanflow.llm.oracles import ORACLES  # noqa: F401
 
 
 def _path(name: str) -> str:
@@ -104,5 +105,3 @@ QUERIES = {
     "op9_substring_dedup": op9_substring_dedup,
     "op10_license_scan": op10_license_scan,
 }
-
-ORACLES: dict[str, str] = {"op2_decontamination": decontamination.ORACLE}

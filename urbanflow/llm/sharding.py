@@ -75,8 +75,9 @@ def minimax_cuts(groups: DataFrame, shards: int, digits: int = FIRST_DIGITS, mor
 
     ``groups`` has ``gkey`` (hex text, the order) and ``bytes``, one row for each atomic group. The
     capacity is searched by halving, each candidate checked greedily: once with cuts between buckets
-    alone, once with cuts anywhere in a bucket. Where both searches agree, the capacity is found; as long
-    as they don't, the buckets in which a cut may fall are parted by ``more`` digits of the key. One job
+    alone, once with cuts anywhere in a bucket. As long as both differ, in capacity or in the cuts, the
+    buckets in which a cut may fall are parted by ``more`` digits of the key. Each shard but the last
+    then holds as many groups as the capacity allows. One job
     a round reads bucket sums alone: 16^``digits`` rows at first, then 16^``more`` for each bucket in
     doubt, whose number depends on ``shards`` and not on the groups.
     """
@@ -92,10 +93,9 @@ def minimax_cuts(groups: DataFrame, shards: int, digits: int = FIRST_DIGITS, mor
     while True:
         low = known.least(max(-(-known.total // shards), largest), shards, whole=False)
         high = known.least(low, shards, whole=True)
-        if low == high:
-            return known.cuts(high, shards)
-        digits += more
         open_ = known.undecided(low, high, shards)
+        if low == high and not open_:
+            return known.cuts(high, shards)
         by_length: dict[int, list[str]] = {}
         for name in open_:
             by_length.setdefault(len(name), []).append(name)
@@ -123,7 +123,7 @@ def assign_shards(
     shards: int = 8,
     doc_id: str = "doc_id",
     text: str = "text",
-    salts: int = 512,
+    salt_digits: int = 3,
 ) -> DataFrame:
     """Every row with its ``shard`` (0 to ``shards`` - 1) and ``slot`` (gapless from 0 in a shard).
 
@@ -132,7 +132,7 @@ def assign_shards(
     one that is larger than the mean sets the largest shard.
 
     Slots: rows are numbered within (shard, salt), the salt hashing id and text, and ``shards`` x
-    ``salts`` offsets lift that to the shard. No task gets a whole shard or a whole group of copies.
+    16^``salt_digits`` offsets lift that to the shard. No task gets a whole shard or a whole group of copies.
 
     Null and empty texts are one group of size 1 a row. Repeated rows each get their own slot. Null ids
     sort first. An empty table gives an empty result. Other columns are not read.
@@ -151,10 +151,10 @@ def assign_shards(
     )
     groups = scratch.table(rows.groupBy("gkey").agg(F.sum("size").alias("bytes")), "groups")
     placed = rows.withColumn("shard", shard_column(F.col("gkey"), minimax_cuts(groups, shards))).withColumn(
-        "salt", F.pmod(F.xxhash64("doc_id", "gkey"), F.lit(salts)).cast("int")
+        "salt", F.substring(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("gkey")).cast("binary")), 1, salt_digits)
     )
     counted = placed.groupBy("shard", "salt").agg(F.count(F.lit(1)).alias("n"))
-    # at most shards x salts rows, so this window and broadcast have a fixed bound
+    # at most shards x 16 ** salt_digits rows, so this window and broadcast have a fixed bound
     offsets = counted.select(
         "shard",
         "salt",
