@@ -115,9 +115,9 @@ def remove_contaminated(
     Keys of the others are written and counted: up to ``broadcast_keys`` (8 bytes each) they are
     broadcast and documents stay where they are; more are joined by a shuffle.
     """
-    bad = scratch.table(overlaps(docs, benchmark, doc_id=doc_id, text=text, **how).select("row_key").distinct(), "bad")
+    bad = scratch.table(overlaps(docs, benchmark, doc_id=doc_id, text=text, **how).select(F.col("row_key").alias("__key")).distinct(), "bad")
     few = F.broadcast(bad) if bad.count() <= broadcast_keys else bad
-    return docs.withColumn("row_key", F.xxhash64(doc_id, text)).join(few, "row_key", "left_anti").drop("row_key")
+    return docs.withColumn("__key", F.xxhash64(doc_id, text)).join(few, "__key", "left_anti").select(*docs.columns)
 
 
 _WORDS = "string_split(trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g')), ' ')"

@@ -185,7 +185,7 @@ def jaccard_groups(
     doc_id: str = "doc_id",
     text: str = "text",
 ) -> DataFrame:
-    """doc_id, row_key, n_shingles, component_id: groups of documents linked by Jaccard similarity.
+    """doc_id, row_key, n_shingles, component_id, group_key: groups of documents linked by Jaccard similarity.
 
     Words are lower-cased (A-Z); a document is the set of its distinct ``n``-word shingles. Two link when
     100 * intersection >= ``percent`` * union; a component is what links reach, named by its least id.
@@ -203,8 +203,8 @@ def jaccard_groups(
        the task. A group of near copies yields as many rows as sets, never its pairs.
 
     Exact up to collisions of 64-bit hashes. Null and empty texts have no shingles and component_id is
-    their own id. Null ids form part of a group but never name it, unless it has no other id. Repeated
-    rows are copies.
+    their own id. Null ids form part of a group but never name it, unless it has no other id; ``group_key``
+    tells groups apart in any case (null: no shingles). Repeated rows are copies. Long texts count whole.
     """
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(doc_id, text).alias("row_key"), F.col(text).alias("text"))
     slack = 100 - percent
@@ -300,7 +300,7 @@ def jaccard_groups(
 
     named = sets.select("set_id", "first").join(final, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     least = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = named.join(least, "component").select("set_id", "component_id")
+    named = named.join(least, "component").select("set_id", "component_id", F.col("component").alias("group_key"))
     return rows.join(named, "set_id", "left").select(
-        "doc_id", "row_key", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")
+        "doc_id", "row_key", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "group_key"
     )

@@ -369,7 +369,8 @@ def repeated_spans(
     if n_hot:
         single = distinct.join(few, "route", "left_semi").select("first", "passage", "words", "n")
         windows = scratch.table(single.mapInArrow(_single_windows(size), "passage long, first long, n long, at int, window long"), "windows")
-        least = windows.groupBy("window").agg(F.min("first").alias("least"))
+        # written, so that the join below meets it by a shuffle of its own and a crowded window can be split
+        least = scratch.table(windows.groupBy("window").agg(F.min("first").alias("least")), "least")
         met = windows.join(least, "window").groupBy("passage").agg(
             F.min("first").alias("first"), F.min("n").alias("n"), F.min("least").alias("least"), F.sort_array(F.collect_list(F.struct("at", "least"))).alias("w")
         )
@@ -392,13 +393,14 @@ def repeated_spans(
     )
 
 
-def cut_spans(docs: DataFrame, spans: DataFrame, doc_id: str = "doc_id", text: str = "text", to: str = "kept") -> DataFrame:
-    """The columns of ``docs`` with n_words, n_removed and ``to``: the words outside the spans.
+def cut_spans(
+    docs: DataFrame, spans: DataFrame, doc_id: str = "doc_id", text: str = "text", made: tuple[str, str, str] = ("n_words", "n_removed", "kept")
+) -> DataFrame:
+    """The columns of ``docs`` and those ``made``: number of words, how many are removed, and the words outside the spans.
 
     Kept words are joined by one space; a text that loses no word is given so too. Rows join by key:
     equal rows share one entry. Older columns of the three names give way.
     """
-    made = ("n_words", "n_removed", to)
     once = spans.dropDuplicates(["row_key"]).select(F.col("row_key").alias("__key"), F.col("all_repeated").alias("__all"), F.col("spans").alias("__spans"))
     names = [c for c in docs.columns if c not in made]
     joined = docs.withColumn("__key", F.xxhash64(doc_id, text)).join(once, "__key", "left").select(*names, F.col(text).alias("__text"), "__all", "__spans")

@@ -242,24 +242,25 @@ def fit(
     return model
 
 
-def score(docs: DataFrame, model: ToxicityModel, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns and ``score`` (0 to 1) for each row; only the text is read for the score.
+def score(docs: DataFrame, model: ToxicityModel, text: str = "text", keep: tuple[str, ...] = ("doc_id",), to: str = "score") -> DataFrame:
+    """``keep`` columns and ``to`` (0 to 1) for each row; only the text is read for the score.
 
-    Null and empty texts get the score of a text without any term. Repeated rows get equal scores. Rows
-    don't move. The model (bounded by ``TERMS``) travels with the task.
+    Null and empty texts get the score of a text without any term. Repeated rows get equal scores, long
+    texts count whole. Rows don't move. A kept column named ``to`` gives way. The model travels with the
+    task.
     """
     from pyspark.sql import types as T
 
-    keep = tuple(keep)
+    keep = tuple(c for c in keep if c != to)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         look = _Hits(model.terms)
         for batch in batches:
             scores = [model.score(*look(t)) for t in batch.column(len(keep)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(scores, pa.float64())], [*keep, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(scores, pa.float64())], [*keep, to])
         del look
         give_back()
 
-    schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField(to, T.DoubleType())])
     own = docs.select(*keep, F.col(text).alias("__text"))
     return own.mapInArrow(run, schema)
