@@ -224,15 +224,34 @@ def test_language_model_learns_from_all_stretches():
     vocabulary = language_model.Vocabulary(h, np.ones(len(h), np.int64), len(h), len(h))
     # copies of one text with their own ids, the same without, and a short text
     ids, texts = [*range(70), None, 70], [words] * 71 + ["w1"]
-    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "text": texts})
-    out = pa.Table.from_batches(language_model._stretches(vocabulary, 5, 7, 2)([batch])).to_pydict()
+    batch = pa.RecordBatch.from_pydict({"rid": pa.array(range(len(ids))), "doc_id": pa.array(ids, pa.int64()), "text": texts})
+    coded = pa.Table.from_batches(language_model._code(vocabulary, 7, 2, 3)([batch]))
+    known = coded.filter(pa.compute.and_(pa.compute.equal(coded["kind"], 0), pa.compute.invert(coded["held_out"]))).select(["rid", "ids"])
+    out = pa.Table.from_batches(language_model._stretches(vocabulary.end_id, 5)(known.to_batches())).to_pydict()
     kept = [i for i in ids if not language_model.held_out(i, 7, 2)]
     assert len(out["ids"]) == sum(1 if i == 70 else 3 for i in kept)
     seen = sum(int((np.frombuffer(x, np.int16)[1:] >= 0).sum()) for x in out["ids"])
     assert seen == sum(2 if i == 70 else 301 for i in kept)
     assert set(out["turn"]) == set(range(5)) and max(np.bincount(out["turn"])) < len(out["turn"]) / 2
     # rounds grow with the corpus, and nothing else chooses what is learned from
-    assert language_model._rounds(1_000, 5) == 5 and language_model._rounds(80_000_000, 5) == 35
+    assert language_model._rounds(1_000, 5) == 5 and language_model._rounds(80_000_000, 5) == 17
+    # the head is filled from the step that is too large for it, too
+    assert language_model._edge([(8, 10), (0, 30)], 25) == (0, 0.5) and language_model._edge([(8, 10)], 25) == (-1, 0.0)
+
+
+def test_language_model_score_is_that_of_each_document(spark):
+    """Scores of many documents in lanes are those of one after the other."""
+    rng = np.random.default_rng(2)
+    net = language_model.Network.start(np.arange(4096, 0, -1.0), 50.0)
+    net.w = {k: rng.normal(0, 0.3, a.shape).astype(np.float32) for k, a in net.w.items()}
+    net.end_id = 5
+    docs = [rng.integers(0, 4097, n).astype(np.int16) for n in (1, 40, 3, 700, 1, 90)]
+    for d, got in zip(docs, net.score(docs, lanes=4, steps=8)):
+        h, want = np.zeros((1, language_model.HIDDEN), np.float32), 0.0
+        for before, word in zip([5, *d], d):
+            h, loss, _ = net.window(np.array([[before]]), np.array([[word]]), h)
+            want -= loss
+        assert abs(got - want) < 1e-3 * max(1, abs(want))
 
 
 def test_network_masks_what_fills_up():
@@ -331,10 +350,59 @@ def test_licenses(spark, docs, none):
     assert licenses.scan(none).count() == 0
 
 
-def test_pipeline_columns(spark, docs):
-    import corpus_pipeline
+@pytest.fixture(scope="module")
+def tables(spark, docs, tmp_path_factory):
+    """Documents with names that stages might use, repeated rows and null ids, and small labels and benchmark."""
+    path = tmp_path_factory.mktemp("tables")
+    odd = docs.selectExpr(
+        "*", "1 score", "2 row_key", "3 n_words", "4 n_removed", "'k' kept", "5 spans", "true all_repeated", "6 ids", "7 decoded", "8 held_out", "9 set_id"
+    )
+    odd = odd.union(odd.where("doc_id = 8")).union(odd.where("doc_id in (7, 12)").withColumn("doc_id", F.lit(None).cast("long")))
+    odd.repartition(3).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(i, int(i == 14)) for i in range(15)], "doc_id long, toxic int").write.parquet(f"{path}/labels.parquet")
+    bench = [(1, "w1500 w1501 w1502 w1503 w1504 w1505 w1506 w1507 w1508 w1509 w1510 w1511"), (2, None)]
+    spark.createDataFrame(bench, "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    return str(path)
+
+
+def test_pipeline_stages(spark, tables):
+    import corpus_pipeline as P
+
+    docs = spark.read.parquet(f"{tables}/documents.parquet")
+
+    def ids(rows):
+        return sorted(-1 if r["doc_id"] is None else r["doc_id"] for r in rows)
+
+    for name, stage in P.STAGES:
+        out, none = stage(spark, docs, tables).collect(), stage(spark, docs.where("false"), tables)
+        assert none.count() == 0, name
+        if name != "sentencepiece":
+            assert none.columns == docs.columns, name
+            assert all((r["score"], r["row_key"], r["n_words"], r["spans"], r["ids"]) == (1, 2, 3, 5, 6) for r in out), name
+        if name == "jaccard_join":
+            assert ids(out) == [-1, 0, 3, 5, 6, 7, 8, 10, 11, 12]  # of the null ids, the one without words
+        if name == "substring_dedup":
+            assert all(r["n_chars"] == len(r["text"] or "") for r in out) and 1 not in ids(out)
+        if name == "decontamination":
+            assert ids(out) == [-1, -1, *range(8), *range(10, 15)]
+        if name == "sentencepiece":
+            assert len(out) == docs.count() and len({r["doc_id"]: r for r in out}) == 16
+
+
+def test_pipeline_run(spark, tables):
+    import hashlib
+
+    import corpus_pipeline as P
+    import sentencepiece
 
-    out = corpus_pipeline.cut_repeats(spark, docs, "")
-    assert out.columns == docs.columns
-    left = corpus_pipeline.one_of_each_group(spark, docs, "")
-    assert {r["doc_id"] for r in left.collect()} == {0, 3, 5, 6, 7, 8, 10, 11, 12}
+    lib = sentencepiece.SentencePieceProcessor(model_file=tokenizers.path("piece_bpe_32k.model"))
+    want, docs = {}, spark.read.parquet(f"{tables}/documents.parquet")
+    for _, stage in P.STAGES[:4]:
+        docs = Scratch(spark, "t").table(stage(spark, docs, tables), "s")
+    for r in docs.collect():
+        coded = lib.encode(r["text"] or "")
+        digest = [hashlib.sha256(x.encode()).hexdigest() for x in (",".join(map(str, coded)), lib.decode(coded))]
+        want[r["doc_id"]] = (len(coded), *digest)
+    out = P.run(spark, tables)
+    assert {r["doc_id"]: (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in out.collect()} == want
+    assert not {8, 9, 1, 2, 4} & set(want)
