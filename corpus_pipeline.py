@@ -11,43 +11,67 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from urbanflow.llm import decontamination, jaccard, sentencepieces, substrings, toxicity
-from urbanflow.llm.common import Scratch, drop_scratch, small_batches
+from urbanflow.llm.common import Scratch, small_batches
+
+#: Keys of removed documents (8 bytes each) that are broadcast, at most; more meet documents by a shuffle.
+BROADCAST_KEYS = 1_000_000
+#: What the stage before has written below the shared folder.
+_last: list[Scratch] = []
 
 
 def _start(spark: SparkSession, name: str) -> Scratch:
-    """Scratch space of a stage. Earlier stages' results have been written by now, so theirs is dropped."""
-    drop_scratch()
+    """Scratch space of a stage. The stage before has been written by now, so its space is dropped."""
+    while _last:
+        _last.pop().drop()
     small_batches(spark)
-    return Scratch(spark, name)
+    _last.append(Scratch(spark, name))
+    return _last[-1]
 
 
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored below 0.5; the model learns from the labels of the training folds."""
     _start(spark, "toxicity")
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs, model, keep=tuple(docs.columns)).where("score < 0.5").drop("score")
+    scored = toxicity.score(docs, model, keep=tuple(docs.columns), to="__toxicity")
+    return scored.where(F.col("__toxicity") < 0.5).select(*docs.columns)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each group that Jaccard links join; texts without words stay."""
+    """One document of each group that Jaccard links join: that with the least id; texts without words stay.
+
+    Rows of a group that share the least id, or all have none, are told apart by their text; of equal
+    rows one stays.
+    """
     scratch = _start(spark, "jaccard")
-    groups = jaccard.jaccard_groups(docs, scratch)
-    gone = groups.where((F.col("n_shingles") > 0) & (F.col("doc_id") != F.col("component_id")))
-    # keys of the removed: broadcast only while they are few, documents otherwise meet them by a shuffle
-    keys = scratch.table(gone.select("row_key").distinct(), "gone")
-    few = F.broadcast(keys) if keys.count() <= 1_000_000 else keys
-    return docs.withColumn("row_key", F.xxhash64("doc_id", "text")).join(few, "row_key", "left_anti").select(*docs.columns)
+    groups = scratch.table(jaccard.jaccard_groups(docs, scratch).where("n_shingles > 0").drop("n_shingles"), "groups")
+    least = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    # mostly one row a group
+    firsts = groups.where(least).groupBy("group_key").agg(F.min("row_key").alias("keep"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    rivals = groups.where(least).join(firsts, "group_key")
+    gone = groups.where(~least).select("row_key").union(rivals.where("row_key <> keep").select("row_key"))
+    gone = scratch.table(gone.select(F.col("row_key").alias("__key")).distinct(), "gone")
+    equal = rivals.where("row_key = keep").groupBy(F.col("row_key").alias("__key")).count().where("count > 1").select("__key")
+    equal = scratch.table(equal, "equal")
+    few, repeated = ((F.broadcast(k), n) if (n := k.count()) <= BROADCAST_KEYS else (k, n) for k in (gone, equal))
+    kept = docs.withColumn("__key", F.xxhash64("doc_id", "text")).join(few[0], "__key", "left_anti")
+    if repeated[1]:
+        kept = kept.join(repeated[0], "__key", "left_anti").unionByName(kept.join(repeated[0], "__key", "left_semi").dropDuplicates(["__key"]))
+    return kept.select(*docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the 13-word windows that an earlier document has; a text that loses none is unchanged."""
+    """Texts without the 13-word windows that an earlier document has; a text that loses none is unchanged.
+
+    A text whose words all go is dropped, one that had none stays. ``n_chars``, if there, is that of the new text.
+    """
     spans = substrings.repeated_spans(docs, _start(spark, "substrings"))
-    cut = substrings.cut_spans(docs, spans)
-    # a text whose words all go is dropped, one that had none stays
-    kept = cut.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_words")))
-    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
-    n_chars = F.when(F.col("n_removed") > 0, F.length("kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return kept.withColumn("n_chars", n_chars).withColumn("text", text).select(*docs.columns)
+    cut = substrings.cut_spans(docs, spans, made=("__n", "__gone", "__kept"))
+    kept = cut.where("__gone = 0 or __gone < __n")
+    new = {"text": F.when(F.col("__gone") > 0, F.col("__kept")).otherwise(F.col("text"))}
+    if "n_chars" in docs.columns:
+        n_chars = F.length("__kept").cast(docs.schema["n_chars"].dataType)
+        new["n_chars"] = F.when(F.col("__gone") > 0, n_chars).otherwise(F.col("n_chars"))
+    return kept.withColumns(new).select(*docs.columns)
 
 
 def remove_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -90,10 +114,10 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     kept = Scratch(spark, "pipeline")
-    Scratch.live.remove(kept)  # stages drop each other's scratch, not what the pipeline has kept
     for k, (name, stage) in enumerate(STAGES):
         docs = kept.table(stage(spark, docs, sf_dir), name)
         if k:
             kept.drop(STAGES[k - 1][0])
-    drop_scratch()
+    while _last:
+        _last.pop().drop()
     return docs
