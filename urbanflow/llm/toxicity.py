@@ -5,8 +5,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
-from zlib import crc32
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -17,25 +16,75 @@ from urbanflow.llm.common import crc_of_id, give_back
 
 #: Labelled rows from which terms, label model and classifier are learned, at most.
 LABELLED_ROWS = 20_000
-#: Terms that the lexicons hold together, at most.
-TERMS = 1_000
-#: Lexicon voters: each holds the terms of one hash class.
-LEXICONS = 24
+#: What a term's counts must show to be learned: twice the log-likelihood ratio against independence of the label.
+EVIDENCE = 20
 PREFIXES = (4, 5, 6)
 _WORD = re.compile(r"[^\W\d_]+")
 
+# Common abusive words by kind, in English, German, French and Spanish.
+LEXICONS = {
+    "insult": "idiot idiots moron morons stupid dumb imbecile fool clown loser losers jerk retard dimwit vollidiot blödmann trottel depp dummkopf spinner "
+    "versager idiote imbécile crétin abruti débile bouffon idiota imbécil estúpido estúpida tonto payaso",
+    "contempt": "pathetic disgusting worthless useless hideous repulsive ekelhaft erbärmlich wertlos widerlich dégoûtant minable pitoyable "
+    "asqueroso asquerosa patético patética despreciable",
+    "vermin": "scum trash vermin garbage filth filthy subhuman abschaum ungeziefer gesindel dreck ordure racaille vermine pourriture escoria basura alimaña",
+    "threat": "kill murder strangle exterminate töten umbringen erwürgen vernichten tuer crever étrangler exterminer matar matarte degollar exterminar",
+    "obscene": "shit fuck fucking bitch bastard asshole crap slut whore scheiße arschloch hure ficken wichser merde putain connard salope enculé "
+    "mierda puta cabrón joder gilipollas",
+}
+#: Figures and letters that stand for another letter.
+_DISGUISE = str.maketrans("013457@$!|", "oieastasil")
+_ODD = re.compile(r"[^\W\d_]*[013457@$!|]+[^\W_][\w@$!|]*")
+_LONG = re.compile(r"(.)\1{2,}")
+_SPACED = re.compile(r"\b(?:[^\W\d_][ .*-]){3,}[^\W\d_]\b")
+_AGAIN = re.compile(r"\b([^\W\d_]{4,})(?:\W+\1\b){2,}")
+_SHOUT = re.compile("[A-Z]")
+PATTERNS = ("disguised letters", "stretched letters", "spaced letters", "a word three times over", "exclamations", "capitals")
+_ABUSIVE = {w: kind for kind, words in LEXICONS.items() for w in words.split()}
+
 
 def word_terms(word: str) -> tuple[str, ...]:
     """What lexicons look a word up by: the word itself and its beginnings (marked by a ``*``)."""
     return (word, *(f"{word[:n]}*" for n in PREFIXES if len(word) >= n))
 
 
-def _patterns(text: str) -> tuple[float, ...]:
-    """Pattern voters' figures: exclamations in percent of characters, and the share of capitals."""
+def _lexicons_of(term: str, learned: bool) -> list[str]:
+    """Lexicons that hold a term: the given one of its kind, and of the learned ones that of its form and letters."""
+    out = [_ABUSIVE[term]] if term in _ABUSIVE else []
+    if learned:
+        form = f"beginnings of {len(term) - 1}" if term.endswith("*") else "words"
+        out.append(f"learned {form}, {'plain' if term.isascii() else 'accented'} letters")
+    return out
+
+
+#: All voters: lexicons, patterns, then those that speak for a clean text or count what others find.
+VOTERS = [
+    *LEXICONS,
+    *(f"learned {form}, {letters} letters" for form in ("words", *(f"beginnings of {n}" for n in PREFIXES)) for letters in ("plain", "accented")),
+    *PATTERNS,
+    "three terms",
+    "no term",
+    "fewer than two terms",
+    "no exclamation",
+]
+N_LEXICONS = len(VOTERS) - len(PATTERNS) - 4
+
+
+def patterns(text: str) -> tuple[int, ...]:
+    """1 where a pattern shows: abusive words in disguise, repetition, exclamations over 1 % and capitals over 30 % of characters."""
+    low = text.lower()
     n = max(1, len(text))
+
+    def known(words: Iterator[str]) -> bool:
+        return any(w in _ABUSIVE for w in words)
+
     return (
-        100 * text.count("!") / n,
-        sum(map(str.isupper, text)) / n,
+        int(known(m[0].translate(_DISGUISE) for m in _ODD.finditer(low))),
+        int(known(_LONG.sub(r"\1", w) for w in _WORD.findall(low) if _LONG.search(w)) if _LONG.search(low) else False),
+        int(known(re.sub(r"\W", "", m[0]) for m in _SPACED.finditer(low))),
+        int(_AGAIN.search(low) is not None),
+        int(100 * text.count("!") > n),
+        int(len(_SHOUT.findall(text)) > 0.3 * n),
     )
 
 
@@ -45,27 +94,28 @@ def _distinct_words(text: str | None) -> set[str]:
 
 @dataclass
 class ToxicityModel:
+    """Terms by number, the label model's rates and correlations by voter, and the classifier's weights:
+    one a term, one a pattern, then any term, their number, and terms for each distinct word."""
+
     terms: dict[str, int]
-    accuracies: np.ndarray
+    rates: np.ndarray
     correlations: np.ndarray
     weights: np.ndarray
     bias: float
+    voters: list[str] = field(default_factory=lambda: VOTERS)
 
-    def features(self, hits: list[int], words: int) -> np.ndarray:
-        """Term indicators, then: any term, the number of terms, and terms for each distinct word."""
-        x = np.zeros(len(self.terms) + 3)
-        x[hits] = 1.0
-        x[-3:] = (len(hits) > 0, min(len(hits), 10) / 10, min(1.0, 5 * len(hits) / max(1, words)))
-        return x
-
-    def score(self, hits: list[int], words: int) -> float:
-        n = len(hits)
-        z = self.bias + self.weights[hits].sum() if n else self.bias
-        if n:
-            z += self.weights[-3:] @ (1.0, min(n, 10) / 10, min(1.0, 5 * n / max(1, words)))
+    def score(self, hits: list[int], words: int, shown: tuple[int, ...]) -> float:
+        t = len(self.terms)
+        z = self.bias + self.weights[t : t + len(shown)] @ shown
+        if hits:
+            z += self.weights[hits].sum() + self.weights[t + len(shown) :] @ _summary(len(hits), words)
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
+def _summary(hits: int, words: int) -> tuple[float, ...]:
+    return (float(hits > 0), min(hits, 10) / 10, min(1.0, 5 * hits / max(1, words)))
+
+
 class _Hits:
     """Distinct terms of a text; a word's terms are looked up once while the table lasts."""
 
@@ -85,19 +135,16 @@ class _Hits:
         return sorted(out), len(words)
 
 
-def votes_of(hits: list[int], classes: np.ndarray, exclaim: float, capitals: float) -> np.ndarray:
-    """1 toxic, -1 clean, 0 no vote: each lexicon, then the patterns, then their absence.
+def votes_of(hits: list[int], lexicons: np.ndarray, shown: tuple[int, ...], exclaims: bool) -> np.ndarray:
+    """1 toxic, -1 clean, 0 no vote, in the order of ``VOTERS``.
 
-    A lexicon votes toxic where one of its terms occurs. Clean votes come from texts without any term,
-    with few exclamations and with few capitals.
+    ``lexicons`` (terms x lexicons) tells which lexicon holds a term; it votes toxic where one occurs.
     """
-    v = np.zeros(LEXICONS + 5, np.int8)
-    v[classes[hits]] = 1
-    v[LEXICONS] = 1 if len(hits) >= 3 else 0
-    v[LEXICONS + 1] = -1 if not hits else 0
-    v[LEXICONS + 2] = 1 if exclaim > 1 else (-1 if exclaim == 0 else 0)
-    v[LEXICONS + 3] = 1 if capitals > 0.3 else 0
-    v[LEXICONS + 4] = -1 if len(hits) < 2 else 0
+    v = np.zeros(len(VOTERS), np.int8)
+    if hits:
+        v[:N_LEXICONS] = lexicons[hits].any(0)
+    v[N_LEXICONS : N_LEXICONS + len(shown)] = shown
+    v[-4:] = (len(hits) >= 3, -(not hits), -(len(hits) < 2), -(not exclaims))
     return v
 
 
@@ -110,7 +157,7 @@ def label_model(votes: np.ndarray, prior: float, rounds: int = 25) -> tuple[np.n
     sum, so a family of copies counts about once.
     """
     rows, n = votes.shape
-    post = np.where((votes[:, :LEXICONS] > 0).any(1), 0.9, 0.05) if rows else np.zeros(0)
+    post = np.where((votes[:, :N_LEXICONS] > 0).any(1), 0.9, 0.05) if rows else np.zeros(0)
     rates, corr = np.full((n, 2, 3), 1 / 3), np.zeros((n, n))
     if not rows:
         return post, rates, corr
@@ -133,30 +180,53 @@ def label_model(votes: np.ndarray, prior: float, rounds: int = 25) -> tuple[np.n
     return post, rates, corr
 
 
-def _train_linear(x: np.ndarray, y: np.ndarray, l2: float = 1e-3, rounds: int = 300) -> tuple[np.ndarray, float]:
-    """Logistic regression on posterior labels, by full gradient steps with momentum."""
-    w, b, vw, vb = np.zeros(x.shape[1]), 0.0, 0.0, 0.0
+def _train_linear(row: np.ndarray, col: np.ndarray, x: np.ndarray, y: np.ndarray, n: int, l2: float = 1e-3, rounds: int = 300) -> tuple[np.ndarray, float]:
+    """Logistic regression of ``y`` on a sparse matrix of ``n`` columns, by full gradient steps with momentum."""
+    w, b, vw, vb = np.zeros(n), 0.0, np.zeros(n), 0.0
     for _ in range(rounds if len(y) else 0):
-        p = 1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30)))
-        vw = 0.9 * vw + x.T @ (p - y) / len(y) + l2 * w
-        vb = 0.9 * vb + (p - y).mean()
+        e = 1 / (1 + np.exp(-np.clip(np.bincount(row, x * w[col], len(y)) + b, -30, 30))) - y
+        vw = 0.9 * vw + np.bincount(col, x * e[row], n) / len(y) + l2 * w
+        vb = 0.9 * vb + e.mean()
         w, b = w - 0.5 * vw, b - 0.5 * vb
     return w, b
 
 
+def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts of either label that hold a term: p toxic, n others; the empty term counts all."""
+    total, seen = (Counter(), Counter()), [0, 0]
+    for batch in batches:
+        for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            seen[y] += 1
+            total[y].update({t for w in _distinct_words(text) for t in word_terms(w)})
+    yield pa.RecordBatch.from_pydict({"term": [""], "p": [seen[1]], "n": [seen[0]]})
+    terms = list(total[0] | total[1])
+    for i in range(0, len(terms), 100_000):
+        part = terms[i : i + 100_000]
+        yield pa.RecordBatch.from_pydict({"term": part, "p": [total[1][t] for t in part], "n": [total[0][t] for t in part]})
+
+
 def fit(
     docs: DataFrame,
     labels: DataFrame,
     label: str = "toxic",
     folds: int = 5,
     rows: int = LABELLED_ROWS,
+    evidence: float = EVIDENCE,
 ) -> ToxicityModel:
     """Learn from labelled documents whose crc32(doc_id) mod ``folds`` is not 0; ``rows`` at most.
 
-    The rows are those with the smallest hash of their id. Terms (words and word beginnings) that mark
-    labelled toxic texts fill the lexicons; the label model then sees votes alone, and the classifier
-    sees the label model's posteriors alone. What reaches the driver is bounded by ``rows`` and
-    ``TERMS``.
+    The rows are those with the smallest hash of their id; of rows that repeat an id the least text
+    counts, of labels that do the largest. Null ids and labels are left out, null and empty texts hold
+    no term.
+
+    1. Voters: given lexicons by kind of abuse; learned lexicons of words and word beginnings whose
+       counts mark labelled toxic texts by at least ``evidence``, parted by form and letters; patterns of
+       disguised and stretched spelling, repetition and punctuation; and what speaks for a clean text.
+    2. The label model estimates their accuracies and correlations from the votes alone.
+    3. The classifier learns from its posteriors alone.
+
+    What reaches the driver are the terms and, for each of the ``rows``, which of them it holds: bounded
+    by ``rows``, as each learned term needs its evidence among them.
     """
     picked = (
         labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (crc_of_id(F.col("doc_id"), folds) != 0))
@@ -165,28 +235,8 @@ def fit(
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(rows)
     )
-    own = docs.join(F.broadcast(picked), "doc_id").select("text", "y")
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, seen = (Counter(), Counter()), [0, 0]
-        for batch in batches:
-            for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                seen[y] += 1
-                total[y].update({t for w in _distinct_words(text) for t in word_terms(w)})
-        terms = list(total[1])
-        yield pa.RecordBatch.from_pydict(
-            {"term": ["", *terms], "p": [seen[1], *(total[1][t] for t in terms)], "n": [seen[0], *(total[0][t] for t in terms)]},
-            schema=pa.schema([("term", pa.string()), ("p", pa.int64()), ("n", pa.int64())]),
-        )
-        rest = [t for t in total[0] if t not in total[1]]
-        for i in range(0, len(rest), 100_000):
-            part = rest[i : i + 100_000]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(part), pa.array(np.zeros(len(part), np.int64)), pa.array([total[0][t] for t in part], pa.int64())],
-                ["term", "p", "n"],
-            )
-
-    counts = own.mapInArrow(count, "term string, p long, n long").groupBy("term").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
+    own = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y")).select("text", "y")
+    counts = own.mapInArrow(_count_terms, "term string, p long, n long").groupBy("term").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
     totals = counts.where("term = ''").select(F.col("p").alias("pos"), F.col("n").alias("neg"))
 
     def cell(seen: str, expected: str) -> str:
@@ -202,44 +252,51 @@ def fit(
             ("neg - n", "pos + neg - p - n", "neg"),
         )
     )
-    ranked = (
-        counts.where("term <> '' and p >= 2")
+    learned = [
+        r["term"]
+        for r in counts.where("term <> '' and p >= 2")
         .crossJoin(F.broadcast(totals))  # one row
-        .withColumn("g", F.expr(f"2 * ({ratio})"))
-        .where("g >= 12 and p >= 4 * n and ln((p + 0.5) / (pos + 1)) - ln((n + 0.5) / (neg + 1)) >= 3")
-        .orderBy(F.desc("g"), "term")
-        .limit(TERMS)
+        .where(f"2 * ({ratio}) >= {evidence} and p >= 4 * n and ln((p + 0.5) / (pos + 1)) - ln((n + 0.5) / (neg + 1)) >= 3")
+        .select("term")
+        .orderBy("term")
         .collect()
-    )
-    strong = [r["term"] for r in ranked if r["g"] >= 40]
-    chosen = strong if len(strong) >= 10 else [r["term"] for r in ranked[:40]]
-    terms = {t: i for i, t in enumerate(chosen)}
-    classes = np.array([crc32(t.encode()) % LEXICONS for t in chosen], np.int64)
-
-    def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    ]
+    terms = {t: i for i, t in enumerate([*learned, *sorted(_ABUSIVE.keys() - set(learned))])}
+    place = {v: i for i, v in enumerate(VOTERS)}
+    lexicons = np.zeros((len(terms), N_LEXICONS), bool)
+    for t, i in terms.items():
+        lexicons[i, [place[x] for x in _lexicons_of(t, i < len(learned))]] = True
+
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         look = _Hits(terms)
         for batch in batches:
             texts = batch.column(0).to_pylist()
             found = [look(t) for t in texts]
-            figures = [_patterns(t or "") for t in texts]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(1),
-                    pa.array([h for h, _ in found], pa.list_(pa.int32())),
-                    pa.array([n for _, n in found], pa.int32()),
-                    *(pa.array([f[i] for f in figures], pa.float64()) for i in range(2)),
-                ],
-                ["y", "hits", "words", "exclaim", "capitals"],
-            )
-
-    seen = own.mapInArrow(vote, "y int, hits array<int>, words int, exclaim double, capitals double").collect()
-    votes = np.array([votes_of(r["hits"], classes, r["exclaim"], r["capitals"]) for r in seen]).reshape(-1, LEXICONS + 5)
+            cols = [
+                pa.array([h for h, _ in found], pa.list_(pa.int32())),
+                pa.array([n for _, n in found], pa.int32()),
+                pa.array([patterns(t or "") for t in texts], pa.list_(pa.int32())),
+                pa.array(["!" in (t or "") for t in texts]),
+            ]
+            yield pa.RecordBatch.from_arrays([batch.column(1), *cols], ["y", "hits", "words", "shown", "exclaims"])
+
+    seen = own.mapInArrow(look_up, "y int, hits array<int>, words int, shown array<int>, exclaims boolean").collect()
+    votes = np.array([votes_of(r["hits"], lexicons, r["shown"], r["exclaims"]) for r in seen]).reshape(-1, len(VOTERS))
     prior = min(0.5, max(0.01, (sum(r["y"] for r in seen) + 0.5) / (len(seen) + 1)))
     post, rates, corr = label_model(votes, prior)
-    model = ToxicityModel(terms, rates, corr, np.zeros(len(terms) + 3), 0.0)
-    x = np.array([model.features(r["hits"], r["words"]) for r in seen]).reshape(-1, len(terms) + 3)
-    model.weights, model.bias = _train_linear(x, post)
-    return model
+    n = len(terms) + len(PATTERNS)
+    cells = [(i, c, x) for i, r in enumerate(seen) for c, x in _features(r["hits"], r["shown"], r["words"], len(terms))]
+    row, col, x = (np.array(c) for c in zip(*cells)) if cells else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    weights, bias = _train_linear(row, col, x, post, n + 3)
+    return ToxicityModel(terms, rates, corr, weights, bias)
+
+
+def _features(hits: list[int], shown: list[int], words: int, n_terms: int) -> Iterator[tuple[int, float]]:
+    """Columns and values other than 0 of a text's row."""
+    yield from ((h, 1.0) for h in hits)
+    yield from ((n_terms + k, 1.0) for k, x in enumerate(shown) if x)
+    if hits:
+        yield from ((n_terms + len(shown) + k, x) for k, x in enumerate(_summary(len(hits), words)))
 
 
 def score(docs: DataFrame, model: ToxicityModel, text: str = "text", keep: tuple[str, ...] = ("doc_id",), to: str = "score") -> DataFrame:
@@ -256,7 +313,7 @@ def score(docs: DataFrame, model: ToxicityModel, text: str = "text", keep: tuple
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         look = _Hits(model.terms)
         for batch in batches:
-            scores = [model.score(*look(t)) for t in batch.column(len(keep)).to_pylist()]
+            scores = [model.score(*look(t), patterns(t or "")) for t in batch.column(len(keep)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(scores, pa.float64())], [*keep, to])
         del look
         give_back()
