@@ -243,10 +243,8 @@ def test_language_model(spark, docs, none):
 def test_language_model_learns_from_all_stretches():
     import pyarrow as pa
 
-    from urbanflow.llm.packed import WordHashes
-
     words = " ".join(f"w{i}" for i in range(300))
-    h = language_model.token_hashes(words, WordHashes())
+    h = language_model.token_hashes([words])[0]
     vocabulary = language_model.Vocabulary(h, np.ones(len(h), np.int64), len(h), len(h))
     # copies of one text with their own ids, the same without, and a short text
     ids, texts = [*range(70), None, 70], [words] * 71 + ["w1"]
@@ -260,7 +258,7 @@ def test_language_model_learns_from_all_stretches():
     assert seen == sum(2 if i == 70 else 301 for i in kept)
     assert set(out["turn"]) == set(range(5)) and max(np.bincount(out["turn"])) < len(out["turn"]) / 2
     # rounds grow with the corpus, and nothing else chooses what is learned from
-    assert language_model._rounds(1_000, 5) == 5 and language_model._rounds(80_000_000, 5) == 17
+    assert language_model._rounds(1_000, 5) == 5 and language_model._rounds(80_000_000, 5) == 12
     # the head is filled from the step that is too large for it, too
     assert language_model._edge([(8, 10), (0, 30)], 25) == (0, 0.5) and language_model._edge([(8, 10)], 25) == (-1, 0.0)
 

@@ -14,13 +14,13 @@ from urbanflow.llm.common import Scratch, give_back, parts_for, text_bytes, word
 from urbanflow.llm.packed import (
     DEALT,
     DEALT_DDL,
-    WordHashes,
     deal,
     grams,
     sequence_id,
     settle,
     shared_pairs,
     texts_of,
+    word_hashes,
 )
 from urbanflow.operators.components import components
 
@@ -30,9 +30,9 @@ COUNTED = 0.3
 BLOCK_SHINGLES, BLOCK_SETS = 400_000, 1_200
 
 
-def shingle_set(text: str | None, n: int, hashes: WordHashes) -> np.ndarray:
+def shingle_set(text: str | None, n: int) -> np.ndarray:
     """Sorted distinct hashes of the ``n``-word shingles; fewer words make one shingle."""
-    w = hashes(words_of(text, lower=True))
+    w = word_hashes(words_of(text, lower=True))
     return np.unique(grams(w, n) if len(w) >= n else grams(w, len(w))) if len(w) else np.zeros(0, np.uint64)
 
 
@@ -44,12 +44,11 @@ def _sets(n: int, parts: int, counted: np.uint64):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         names = [*DEALT.names, "doc_id", "row_key", "set_id", "n", "counted", "local"]
         for batch in batches:
             sets, values, rows = {}, [], []
             for text in batch.column(2).to_pylist():
-                s = shingle_set(text, n, hashes)
+                s = shingle_set(text, n)
                 low = s[: int(np.searchsorted(s, counted))]
                 sid = sequence_id(s) if len(s) else None
                 rows.append((sid, len(s), len(low)))
@@ -70,7 +69,6 @@ def _sets(n: int, parts: int, counted: np.uint64):
             dealt = deal(asking, asked_of, asked, parts)
             k = dealt.num_rows
             yield pa.RecordBatch.from_arrays([*dealt.columns, pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), *(pa.nulls(k, c.type) for c in own)], names)
-        del hashes
         give_back()
 
     return run
@@ -229,13 +227,13 @@ def jaccard_groups(
     maybe = sets.where(F.col("counted") - F.col("shared") <= F.floor(F.col("n") * slack / 100)).select("set_id", "row_key", "n")
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, done = WordHashes(), set()
+        done = set()
         for own_, texts in texts_of(batches, 1):
             new = {}
             for sid, t in zip(own_.column(0).to_pylist(), texts):
                 if sid not in done:  # repeated rows meet here, as the join brings equal keys together
                     done.add(sid)
-                    new[sid] = shingle_set(t, n, hashes).tobytes()
+                    new[sid] = shingle_set(t, n).tobytes()
             yield pa.RecordBatch.from_arrays([pa.array(list(new), pa.int64()), pa.array(list(new.values()), pa.binary())], ["set_id", "shingles"])
 
     picked = own.select("row_key", "text").join(maybe.select("set_id", "row_key"), "row_key").select("set_id", "text")

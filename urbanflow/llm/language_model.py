@@ -18,8 +18,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from urbanflow.llm.common import Scratch, give_back, keep_memory, parts_for, text_bytes, words_of
-from urbanflow.llm.packed import DEALT, DEALT_DDL, WordHashes, deal, mix
+from urbanflow.llm.common import Scratch, give_back, keep_memory, parts_for, runs_of, text_bytes, words_of
+from urbanflow.llm.packed import DEALT, DEALT_DDL, deal, mix, word_hashes
 
 #: Hash that stands for the end of a document (no word is empty).
 END = xxhash.xxh3_64_intdigest(b"")
@@ -29,7 +29,7 @@ HEAD = 131_072
 #: Words of a training window (backpropagation ends there) and of a stretch (state is carried through it).
 WINDOW, STRETCH = 16, 128
 #: Stretches whose windows make one step of training, and stretches that one copy learns from in a round.
-LANES, TASK_STRETCHES = 256, 2_048
+LANES, TASK_STRETCHES = 512, 4_096
 _LN10 = math.log(10)
 
 
@@ -37,9 +37,14 @@ def held_out(doc_id: int | None, folds: int, fold: int) -> bool:
     return crc32(b"" if doc_id is None else str(doc_id).encode()) % folds == fold
 
 
-def token_hashes(text: str | None, hashes: WordHashes) -> np.ndarray:
-    """Hashes of the words, A-Z lower-cased, and the end."""
-    return np.append(hashes(words_of(text, lower=True)), np.uint64(END))
+def token_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts, A-Z lower-cased, each text's followed by the end; and where each starts."""
+    words, ends = [], [0]
+    for t in texts:
+        words += words_of(t, lower=True)
+        words.append(b"")  # hashes to END
+        ends.append(len(words))
+    return word_hashes(words), np.array(ends)
 
 
 # --- the network ---------------------------------------------------------------------------------------
@@ -54,14 +59,17 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def _softmax(z: np.ndarray, at: np.ndarray, slope: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Log probability of each row's outcome ``at``; ``z`` becomes the gradient of its loss, if asked."""
+    """Log probability of each row's outcome ``at``; ``z`` becomes the gradient of its loss, if asked.
+
+    Figures are kept where their exponential and its sum are finite, which is cheaper than shifting rows.
+    """
     rows = np.arange(len(z))
-    z -= z.max(1, keepdims=True)
+    np.clip(z, -80, 80, out=z)
     picked = z[rows, at]
     np.exp(z, out=z)
-    total = z.sum(1)
+    total = z @ np.ones(z.shape[1], z.dtype)
     if slope:
-        z /= total[:, None]
+        z *= (1 / total)[:, None]
         z[rows, at] -= 1
     return picked - np.log(total), z
 
@@ -289,31 +297,33 @@ def _count_words(folds: int, fold: int, parts: int, most: int = 3_000_000):
     """Counts of the training words of a task, packed by part: ``of`` holds the counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, words, counts = WordHashes(), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        words, counts, held = [], [], 0
 
         def flush() -> pa.RecordBatch:
-            part = (words % np.uint64(parts)).astype(np.int32)
+            nonlocal words, counts, held
+            w, at = np.unique(np.concatenate([*words, np.zeros(0, np.uint64)]), return_inverse=True)
+            c = np.bincount(at, np.concatenate([*counts, np.zeros(0, np.int64)]), len(w)).astype(np.int64)
+            words, counts, held = [], [], 0
+            part = (w % np.uint64(parts)).astype(np.int32)
             order = np.argsort(part, kind="stable")
             cuts = np.searchsorted(part[order], np.arange(parts + 1))
             rows = [(p, order[a:b]) for p, a, b in zip(range(parts), cuts, cuts[1:]) if b > a]
             none = pa.nulls(len(rows), pa.binary())
             return pa.RecordBatch.from_arrays(
-                [pa.array([p for p, _ in rows], pa.int32()), none, pa.array([counts[o].tobytes() for _, o in rows], pa.binary()), pa.array([words[o].tobytes() for _, o in rows], pa.binary())],
+                [pa.array([p for p, _ in rows], pa.int32()), none, pa.array([c[o].tobytes() for _, o in rows], pa.binary()), pa.array([w[o].tobytes() for _, o in rows], pa.binary())],
                 schema=DEALT,
             )
 
         for batch in batches:
-            found = [token_hashes(t, hashes) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if not held_out(d, folds, fold)]
-            if not found:
-                continue
-            w, c = np.unique(np.concatenate(found), return_counts=True)
-            words, at = np.unique(np.concatenate([words, w]), return_inverse=True)
-            counts = np.bincount(at, np.concatenate([counts, c])).astype(np.int64)
-            if len(words) > most:
+            texts = [t for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if not held_out(d, folds, fold)]
+            for run_ in runs_of(texts):
+                w, c = np.unique(token_hashes(texts[run_])[0], return_counts=True)
+                words.append(w)
+                counts.append(c)
+                held += len(w)
+            if held > most:
                 yield flush()
-                words, counts = words[:0], counts[:0]
         yield flush()
-        del hashes
         give_back()
 
     return run
@@ -395,11 +405,6 @@ class Vocabulary:
         return np.where(there, self.ids[at], CLASSES * CLASS_WORDS), np.where(there, self.counts[at], -1)
 
 
-def _rounds(words: int, least: int) -> int:
-    """Rounds of training: rounds and the tasks of each grow alike, with the root of the stretches."""
-    return max(least, round(math.sqrt(words / (STRETCH * TASK_STRETCHES))))
-
-
 #: What a coded row is: a document, or hashes of rare words dealt by value.
 DOC, RARE = 0, 1
 #: A document's row: what is known of it without the counts of its rare words.
@@ -417,33 +422,36 @@ def _code(vocabulary: Vocabulary, folds: int, fold: int, parts: int):
     names = ["kind", *DEALT.names, *_DOC, "ids"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
-            docs, rows, owners, of, rare = [], [], [], [], []
-            for rid, d, t in zip(*(c.to_pylist() for c in batch.columns)):
-                h = token_hashes(t, hashes)
+            rids, ids_, texts = (c.to_pylist() for c in batch.columns)
+            docs, cols, owners, rare = [], [[] for _ in range(5)], [], []
+            for run_ in runs_of(texts):
+                h, ends = token_hashes(texts[run_])
+                starts, size = ends[:-1], np.diff(ends)
                 ids, c = vocabulary.look(h)
                 far, other = c < 0, ids == CLASSES * CLASS_WORDS
                 logs = np.log10(np.maximum(c, 0) + 1.0)
-                near = int((~far).sum())
-                rows.append((rid, d, held_out(d, folds, fold), len(h), near, float(logs.sum()), 0.0, int(other.sum()), float(logs[other].sum())))
-                docs.append(ids.astype(np.int16).tobytes())
-                if near < len(h):
-                    of.append(np.full(len(h) - near, len(owners)))
-                    owners.append(rid)
-                    rare.append(h[far])
-            m = len(rows)
-            none, cols = pa.nulls(m, pa.binary()), list(zip(*rows)) or [()] * len(_DOC)
+                sums = (np.add.reduceat(x, starts) for x in ((~far).astype(np.int64), logs, other.astype(np.int64), np.where(other, logs, 0.0)))
+                for col, x in zip(cols, (size, *sums)):
+                    col.append(x)
+                data = ids.astype(np.int16).tobytes()
+                docs += [data[2 * a : 2 * b] for a, b in zip(starts.tolist(), ends[1:].tolist())]
+                owners.append(np.repeat(np.arange(run_.start, run_.stop), size)[far])
+                rare.append(h[far])
+            m = len(rids)
+            none = pa.nulls(m, pa.binary())
+            n, near, logs, shared, shared_log = (np.concatenate([*c, np.zeros(0)]) for c in cols)
+            held = [held_out(d, folds, fold) for d in ids_]
+            own = (rids, ids_, held, n.astype(np.int64), near.astype(np.int64), logs, np.zeros(m), shared.astype(np.int64), shared_log)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(m, DOC, np.int32)), pa.nulls(m, pa.int32()), none, none, none, *(pa.array(c, k) for c, k in zip(cols, kinds)), pa.array(docs, pa.binary())], names
+                [pa.array(np.full(m, DOC, np.int32)), pa.nulls(m, pa.int32()), none, none, none, *(pa.array(c, k) for c, k in zip(own, kinds)), pa.array(docs, pa.binary())], names
             )
-            if rare:
-                dealt = deal(np.array(owners, np.int64), np.concatenate(of), np.concatenate(rare), parts)
+            if m:
+                dealt = deal(np.array(rids, np.int64), np.concatenate(owners), np.concatenate(rare), parts)
                 k = dealt.num_rows
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(k, RARE, np.int32)), *dealt.columns, *(pa.nulls(k, x) for x in kinds), pa.nulls(k, pa.binary())], names
                 )
-        del hashes
         give_back()
 
     return run
@@ -613,7 +621,7 @@ def score_texts(
     folds: int = 7,
     fold: int = 2,
     rounds: int = 5,
-    rate: float = 1.5e-2,
+    rate: float = 2e-2,
     doc_id: str = "doc_id",
     text: str = "text",
 ) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from urbanflow.llm.common import give_back, runs_of
-from urbanflow.llm.packed import WordHashes, grams, mix
+from urbanflow.llm.packed import grams, mix, word_hashes
 
 # Public license texts and notices.
 _NO_WARRANTY_MIT = (
@@ -137,13 +137,13 @@ class Plan:
     """
 
     def __init__(self, templates: dict[str, str], least: float, sure: float, rows: int):
-        hashes, self.least, self.names, self.sets, self.sizes = WordHashes(), least, [], [], []
+        self.least, self.names, self.sets, self.sizes = least, [], [], []
         runs: dict[int, list[tuple[int, np.ndarray]]] = {}
         for name, text in templates.items():
             words = license_words(text)
             if len(words) < SHINGLE:
                 continue
-            g = grams(hashes(words), SHINGLE)
+            g = grams(word_hashes(words), SHINGLE)
             n = min(len(g), WINDOW)
             for a in range(0, len(g) - n + 1, n):
                 runs.setdefault(n, []).append((len(self.names), g[a : a + n]))
@@ -203,13 +203,13 @@ class Plan:
                 out += [(int(t), int(k), int(ends[t])) for k in set(of.tolist()) if have[t] >= self.least * len(self.sets[k])]
         return list(dict.fromkeys(out))
 
-    def hits(self, texts: list[str | None], hashes: WordHashes) -> list[tuple[int, str, int, int, float]]:
+    def hits(self, texts: list[str | None]) -> list[tuple[int, str, int, int, float]]:
         """(text, template, start, end, containment), start and end in words, in order."""
         words, counts = [], [0]
         for t in texts:
             words += license_words(t)
             counts.append(len(words))
-        shingles, ends = grams(hashes(words), SHINGLE), np.array(counts)
+        shingles, ends = grams(word_hashes(words), SHINGLE), np.array(counts)
         found = {}
         for doc, k, at in self.candidates(shingles, ends):
             # a run may be any part of the template: what lies a template's length to either side may hold the rest
@@ -262,19 +262,18 @@ def scan(
     chosen = TEMPLATES if templates is None else templates
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plan, hashes = Plan(chosen, least, sure, rows), WordHashes()
+        plan = Plan(chosen, least, sure, rows)
         for batch in batches:
             texts = batch.column(2).to_pylist()
             for part in runs_of(texts):
                 own = batch.slice(part.start, part.stop - part.start)
-                cols = list(zip(*plan.hits(texts[part], hashes))) or [()] * 5
+                cols = list(zip(*plan.hits(texts[part]))) or [()] * 5
                 at = pa.array(cols[0], pa.int64())
                 kinds = (pa.string(), pa.int32(), pa.int32(), pa.float64())
                 yield pa.RecordBatch.from_arrays(
                     [own.column(0).take(at), own.column(1).take(at), *(pa.array(c, k) for c, k in zip(cols[1:], kinds))],
                     ["doc_id", "row_key", "template", "start", "end", "containment"],
                 )
-        del hashes
         give_back()
 
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(doc_id, text).alias("row_key"), F.col(text).alias("text"))

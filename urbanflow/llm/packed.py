@@ -26,19 +26,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class WordHashes:
-    """64-bit hashes of words; each distinct word is hashed once while the table (bounded) lasts."""
-
-    def __init__(self, most: int = 200_000):
-        self.most, self.known = most, {}
-
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        known = self.known
-        if len(known) > self.most:
-            known.clear()
-        for w in set(words).difference(known):
-            known[w] = xxhash.xxh3_64_intdigest(w)
-        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """64-bit hashes of words. A table of known ones would cost more than the hash, besides its memory."""
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
 def grams(words: np.ndarray, n: int) -> np.ndarray:
@@ -53,13 +43,13 @@ def grams(words: np.ndarray, n: int) -> np.ndarray:
     return mix(out)
 
 
-def flat_words(texts: list[str | None], hashes: WordHashes, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+def flat_words(texts: list[str | None], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of all texts in one array, and where each text's start (with the end)."""
     words, ends = [], [0]
     for t in texts:
         words += words_of(t, lower)
         ends.append(len(words))
-    return hashes(words), np.array(ends)
+    return word_hashes(words), np.array(ends)
 
 
 def signed(x: int) -> int:

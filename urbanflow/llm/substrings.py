@@ -14,7 +14,6 @@ from urbanflow.llm.common import Scratch, give_back, parts_for, runs_of, text_by
 from urbanflow.llm.packed import (
     DEALT,
     DEALT_DDL,
-    WordHashes,
     deal,
     flat_words,
     gather,
@@ -25,6 +24,7 @@ from urbanflow.llm.packed import (
     shared_pairs,
     signed,
     texts_of,
+    word_hashes,
 )
 
 #: Words of the grams whose least hash names a window's route.
@@ -154,11 +154,10 @@ def _routes(size: int, parts: int):
     """Documents, and the routes of distinct word sequences: to ask about, or known to be shared."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
             texts, seqs, ids, counts, routes, owner = batch.column(2).to_pylist(), {}, [], [], [], []
             for part in runs_of(texts):
-                h, ends = flat_words(texts[part], hashes)
+                h, ends = flat_words(texts[part])
                 own = [sequence_id(h[a:b]) for a, b in zip(ends, ends[1:])]
                 ids += own
                 counts.append(np.diff(ends))
@@ -180,7 +179,6 @@ def _routes(size: int, parts: int):
                 of, values, asking, asked_of, asked = settle(owners, np.concatenate(owner), np.concatenate(routes))
                 yield _kind(deal(asking, asked_of, asked, parts), ASKED)
                 yield _kind(_by_owner(owners, of, values, parts), TOLD)
-        del hashes
         give_back()
 
     return run
@@ -222,11 +220,11 @@ def _passages(size: int):
     """Passages of a text: runs of windows with one shared route."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, sent = WordHashes(), set()
+        sent = set()
         for own, texts in texts_of(batches, 2):
             out: list[tuple] = []
             for sid, first, text, some in zip(*(own.column(i).to_pylist() for i in (0, 1)), texts, own.column(3).to_pylist()):
-                w = hashes(words_of(text))
+                w = word_hashes(words_of(text))
                 short = w.astype(np.uint32)
                 routes = window_routes(w, size)
                 starts = np.flatnonzero(np.append(True, routes[1:] != routes[:-1]))
