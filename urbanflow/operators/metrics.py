@@ -69,15 +69,15 @@ def dominant_outfall(net: Network, results: DataFrame, scratch: Scratch) -> tupl
     return subgraph(net, up), best
 
 
-def ks_2samp(a: DataFrame, b: DataFrame, col: str = "value", parts: int = 8) -> DataFrame:
+def ks_2samp(a: DataFrame, b: DataFrame, col: str = "value") -> DataFrame:
     """One row ``value``: the largest gap of the two distribution functions (values compared at 12 places).
 
-    Distinct values are dealt over ranges; counts are summed inside each and lifted by the sums before it.
+    Distinct values are dealt over as many ranges as the session shuffles to; counts are summed inside each and lifted by the sums before it.
     """
     v = F.round(F.col(col).cast("double"), 12).alias("v")
     both = a.select(v, F.lit(1).alias("a"), F.lit(0).alias("b")).union(b.select(v, F.lit(0).alias("a"), F.lit(1).alias("b")))
     counts = both.where("v is not null").groupBy("v").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    ranged = counts.repartitionByRange(parts, "v").withColumn("p", F.spark_partition_id())
+    ranged = counts.repartitionByRange("v").withColumn("p", F.spark_partition_id())
     inside = Window.partitionBy("p").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     ranged = ranged.withColumns({"ca": F.sum("a").over(inside), "cb": F.sum("b").over(inside)})
     totals = ranged.groupBy("p").agg(F.max("ca").alias("ta"), F.max("cb").alias("tb"))  # one row a range
@@ -107,7 +107,6 @@ RESTRICTIONS = {
     "nmanholes": ("outfall", "relerror"),
     "diameter": ("outfall", "relerror"),
 }
-SCALES = ("outfall", "grid", "subcatchment")
 
 
 def scale_subcatchment(coef: Coefficient, variable: str, syn, real, syn_nodes, real_nodes, subs, bucket: float) -> DataFrame:
@@ -146,18 +145,25 @@ def scale_outfall(coef: Coefficient, variable: str, syn_net: Network, real_net:
     return value.select(F.coalesce("value", F.lit(INF)).alias("value"))
 
 
-def metric_factory(name: str) -> Callable[..., DataFrame]:
-    """The metric ``<scale>_<coefficient>_<variable>`` as a function of its inputs."""
+#: Scales by name; a further one is a function of (coefficient, variable, its inputs) that gives one row ``value``.
+SCALES: dict[str, Callable[..., DataFrame]] = {"outfall": scale_outfall, "grid": scale_grid, "subcatchment": scale_subcatchment}
+
+
+def metric_factory(name: str, coefficients: dict[str, Coefficient] | None = None, scales: dict[str, Callable[..., DataFrame]] | None = None) -> Callable[..., DataFrame]:
+    """The metric ``<scale>_<coefficient>_<variable>`` as a function of its inputs.
+
+    ``coefficients`` and ``scales`` add a user's own to those that are built in.
+    """
+    coefficients, scales = COEFFICIENTS | (coefficients or {}), SCALES | (scales or {})
     parts = name.split("_")
     if len(parts) != 3:
         raise ValueError(f"a metric is named scale_coefficient_variable, not {name}")
     scale, coef, variable = parts
-    if scale not in SCALES or coef not in COEFFICIENTS:
+    if scale not in scales or coef not in coefficients:
         raise ValueError(f"unknown scale or coefficient in {name}")
-    if variable in RESTRICTIONS and (scale, coef) != RESTRICTIONS[variable]:
+    if scale in SCALES and variable in RESTRICTIONS and (scale, coef) != RESTRICTIONS[variable]:
         raise ValueError(f"{variable} is measured as {'_'.join(RESTRICTIONS[variable])} alone")
-    make = {"outfall": scale_outfall, "grid": scale_grid, "subcatchment": scale_subcatchment}[scale]
-    return lambda *inputs, **named: make(COEFFICIENTS[coef], named.pop("variable", variable), *inputs, **named)
+    return lambda *inputs, **named: scales[scale](coefficients[coef], named.pop("variable", variable), *inputs, **named)
 
 
 METRICS = [
@@ -176,6 +182,19 @@ def run_metrics(plans: dict[str, Callable[[], DataFrame]], names: list[str]) ->
     return reduce(DataFrame.unionByName, rows)
 
 
+def compare_all(pairs: dict[str, tuple[Network, Network]], metrics: dict[str, Callable[[Network, Network], DataFrame]]) -> DataFrame:
+    """``pair_id, metric, value`` of every metric for every pair of networks.
+
+    A metric is a function of (synthetic, real) that gives one row ``value``; the rows are one plan.
+    """
+    rows = [
+        run(syn, real).select(F.lit(pair).alias("pair_id"), F.lit(name).alias("metric"), F.col("value").cast("double").alias("value"))
+        for pair, (syn, real) in pairs.items()
+        for name, run in metrics.items()
+    ]
+    return reduce(DataFrame.unionByName, rows)
+
+
 def grid_over(spark: SparkSession, nodes: DataFrame, scale: float) -> DataFrame:
     b = nodes.agg(F.min("x"), F.min("y"), F.max("x"), F.max("y")).first()  # one row: the extent
     return create_grid(spark, (b[0], b[1], b[2], b[3]), scale)

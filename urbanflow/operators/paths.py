@@ -129,18 +129,24 @@ def accumulate_forest(parents: DataFrame, values: DataFrame, scratch: Scratch, r
     raise RuntimeError("the forest has a cycle")
 
 
-def accumulate(edges: DataFrame, values: DataFrame, scratch: Scratch, rounds: int = ROUNDS) -> DataFrame:
-    """As ``accumulate_forest`` for any acyclic graph: each distinct ancestor counts once."""
-    step = edges.select(F.col("u").alias("a"), F.col("v").alias("id")).distinct()
-    pairs = scratch.table(values.select(F.col("id").alias("a"), "id"), "anc-0")
-    front = pairs
+def accumulate(edges: DataFrame, values: DataFrame, scratch: Scratch, rounds: int = 40) -> DataFrame:
+    """As ``accumulate_forest`` for any graph: each distinct ancestor counts once, a node also for itself.
+
+    Walks double: round k adds the pairs that walks of 2^k to 2^(k+1) - 1 edges join, so rounds grow
+    with the logarithm of the depth. Cycles do no harm. The pairs of ancestor and node are what the
+    result needs; a forest doesn't need them.
+    """
+    step = scratch.table(edges.select(F.col("u").alias("a"), F.col("v").alias("id")).distinct(), "anc-step-0")
+    pairs, known = scratch.table(values.select(F.col("id").alias("a"), "id").distinct(), "anc-0"), 0
     for k in range(1, rounds + 1):
-        new = front.select("a", F.col("id").alias("mid")).join(step.select(F.col("a").alias("mid"), "id"), "mid").select("a", "id").distinct()
-        front = scratch.table(new.join(pairs, ["a", "id"], "left_anti"), f"anc-{k}")
-        if front.isEmpty():
-            break
-        pairs = pairs.union(front)
-    return pairs.join(values.select(F.col("id").alias("a"), "value"), "a").groupBy("id").agg(F.sum("value").alias("total"))
+        more = pairs.select("a", F.col("id").alias("mid")).join(step.select(F.col("a").alias("mid"), "id"), "mid").select("a", "id")
+        pairs = scratch.table(pairs.union(more).distinct(), f"anc-{k}")
+        n = pairs.count()
+        if n == known:
+            return pairs.join(values.select(F.col("id").alias("a"), "value"), "a").groupBy("id").agg(F.sum("value").alias("total"))
+        known = n
+        step = scratch.table(step.select("a", F.col("id").alias("mid")).join(step.select(F.col("a").alias("mid"), "id"), "mid").select("a", "id").distinct(), f"anc-step-{k}")
+    raise RuntimeError(f"paths of more than 2^{rounds} edges")
 
 
 def min_spanning_forest(edges: DataFrame, scratch: Scratch, weight: str = "length", rounds: int = 40) -> DataFrame:
@@ -164,34 +170,66 @@ def min_spanning_forest(edges: DataFrame, scratch: Scratch, weight: str = "lengt
     return (e.limit(0) if tree is None else tree).select("u", "v", "key").distinct()
 
 
-def communities(edges: DataFrame, scratch: Scratch, weight: str = "length", rounds: int = 10) -> DataFrame:
-    """``id, community`` by rounds of modularity moves; ties go to the least community.
+def _moved(sym: DataFrame, scratch: Scratch, name: str, tol: float) -> tuple[DataFrame, float]:
+    """``id, community`` after rounds of moves on one level of the graph, and its modularity.
 
     In a round every node may move to the neighbouring community of largest gain; odd rounds only to
-    lower labels and even ones only to higher, so neighbours don't swap for ever.
+    lower labels and even ones only to higher, so neighbours don't swap for ever. Moves of a round are
+    made together and may spoil each other: rounds end when two in a row gain less than ``tol``, and the
+    best labels seen are given back.
     """
-    sym = edges.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), F.col(weight).alias("w"))
-    sym = sym.union(sym.select("v", "u", "w")).groupBy("u", "v").agg(F.sum("w").alias("w"))
-    sym = scratch.table(sym, "com-edges")
-    degree = scratch.table(sym.groupBy(F.col("u").alias("id")).agg(F.sum("w").alias("k")), "com-degree")
+    degree = scratch.table(sym.groupBy(F.col("u").alias("id")).agg(F.sum("w").alias("k")), f"{name}-degree")
     total = degree.agg(F.sum("k")).first()[0] or 1.0  # one row
-    label = scratch.table(degree.select("id", F.col("id").alias("community")), "com-0")
-    for r in range(1, rounds + 1):
-        weight_of = label.join(degree, "id").groupBy("community").agg(F.sum("k").alias("tot"))
-        near = sym.join(label.select(F.col("id").alias("v"), "community"), "v").groupBy(F.col("u").alias("id"), "community").agg(F.sum("w").alias("inside"))
-        own = label.join(degree, "id").withColumnRenamed("community", "now")
+
+    def quality(label: DataFrame) -> float:
+        inside = sym.join(label.select(F.col("id").alias("u"), F.col("community").alias("a")), "u").join(label.select(F.col("id").alias("v"), F.col("community").alias("b")), "v")
+        tot = label.join(degree, "id").groupBy("community").agg(F.sum("k").alias("k")).agg(F.sum(F.col("k") * F.col("k")).alias("kk"))
+        row = inside.where("a = b").agg(F.coalesce(F.sum("w"), F.lit(0.0)).alias("w")).crossJoin(tot).first()  # one row each
+        return row["w"] / total - (row["kk"] or 0.0) / total**2
+
+    now = best = scratch.table(degree.select("id", F.col("id").alias("community")), f"{name}-0")
+    value, idle = quality(now), 0
+    for r in itertools.count(1):
+        weight_of = now.join(degree, "id").groupBy("community").agg(F.sum("k").alias("tot"))
+        near = sym.where("u <> v").join(now.select(F.col("id").alias("v"), "community"), "v").groupBy(F.col("u").alias("id"), "community").agg(F.sum("w").alias("inside"))
+        own = now.join(degree, "id").withColumnRenamed("community", "now")
         offer = near.join(own, "id").join(weight_of, "community")
         tot = F.col("tot") - F.when(F.col("community") == F.col("now"), F.col("k")).otherwise(0.0)
-        gain = F.col("inside") - F.col("k") * tot / total
-        best = offer.withColumn("g", F.round(gain, 9)).groupBy("id").agg(
-            F.min(F.struct((-F.col("g")).alias("g"), "community")).alias("best"), F.max(F.when(F.col("community") == F.col("now"), F.col("g"))).alias("stay"), F.first("now").alias("now")
+        gain = F.round(F.col("inside") - F.col("k") * tot / total, 9)
+        # staying gains nothing from inside where no neighbour shares the community, and still loses by its weight
+        alone = own.join(weight_of.withColumnRenamed("community", "now"), "now").select("id", F.round(-F.col("k") * (F.col("tot") - F.col("k")) / total, 9).alias("alone"))
+        allowed = (F.col("community") < F.col("now")) if r % 2 else (F.col("community") > F.col("now"))
+        top = offer.withColumn("g", gain).groupBy("id").agg(
+            F.min(F.when(allowed, F.struct((-F.col("g")).alias("g"), "community"))).alias("best"), F.max(F.when(F.col("community") == F.col("now"), F.col("g"))).alias("stay")
         )
-        stay = F.coalesce("stay", F.lit(0.0))
-        allowed = (F.col("best.community") < F.col("now")) if r % 2 else (F.col("best.community") > F.col("now"))
-        moves = F.when((-F.col("best.g") > stay) & allowed, F.col("best.community")).otherwise(F.col("now"))
-        nxt = label.join(best, "id", "left").select("id", F.coalesce(F.when(F.col("best").isNotNull(), moves), "community").alias("community"))
-        label = scratch.table(nxt, f"com-{r}")
-    return label
+        chosen = now.join(top, "id", "left").join(alone, "id", "left")
+        to = F.when(-F.col("best.g") > F.coalesce("stay", "alone"), F.col("best.community")).otherwise(F.col("community"))
+        now = scratch.table(chosen.select("id", to.alias("community")), f"{name}-{r}")
+        new = quality(now)
+        if new > value + tol:
+            best, value, idle = now, new, 0
+        elif (idle := idle + 1) == 2:
+            return best, value
+
+
+def communities(edges: DataFrame, scratch: Scratch, weight: str = "length", tol: float = 1e-6) -> DataFrame:
+    """``id, community`` by modularity: moves on the graph, then on the graph of its communities, and so on.
+
+    Each level moves nodes until that gains less than ``tol``; communities become the nodes of the next
+    level, with the weight among their members as a loop. The levels end when one gains nothing. Ties go
+    to the least community, which carries the name of one of its members.
+    """
+    sym = edges.where("u <> v").select("u", "v", F.col(weight).alias("w"))
+    sym = scratch.table(sym.union(sym.select("v", "u", "w")).groupBy("u", "v").agg(F.sum("w").alias("w")), "com-edges")
+    label, last = None, float("-inf")
+    for level in itertools.count():
+        found, value = _moved(sym, scratch, f"com-{level}", tol)
+        if label is not None and value <= last + tol:
+            return label
+        whole = found if label is None else label.join(found.select(F.col("id").alias("community"), F.col("community").alias("c")), "community").select("id", F.col("c").alias("community"))
+        label, last = scratch.table(whole, f"com-label-{level}"), value
+        ends = [found.select(F.col("id").alias(e), F.col("community").alias(f"c{e}")) for e in "uv"]
+        sym = scratch.table(sym.join(ends[0], "u").join(ends[1], "v").groupBy(F.col("cu").alias("u"), F.col("cv").alias("v")).agg(F.sum("w").alias("w")), f"com-edges-{level}")
 
 
 def modularity(edges: DataFrame, label: DataFrame, weight: str = "length") -> DataFrame:

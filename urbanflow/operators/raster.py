@@ -188,7 +188,8 @@ def remove_overlaps(covers: DataFrame, id: str = "id") -> DataFrame:
 def attach_parts(parts: DataFrame, scratch: Scratch, id: str = "id") -> DataFrame:
     """Each id keeps its largest region; cells of the others go to the touching or nearest kept id.
 
-    ``parts`` is (id, r, c). Nearest is by cell distance, searched in growing rings of buckets.
+    ``parts`` is (id, r, c). Nearest is by cell distance, searched in growing rings of buckets until no
+    cell is left over: wherever a region was parted there is a kept one.
     """
     reg = scratch.table(regions(parts.withColumnRenamed(id, "value"), scratch), "parts")
     size = reg.groupBy("value", "region").agg(F.count(F.lit(1)).alias("n"))
@@ -208,8 +209,6 @@ def attach_parts(parts: DataFrame, scratch: Scratch, id: str = "id") -> DataFram
         found = found.union(loose.join(near, "region").select(id, "r", "c"))
         loose = scratch.table(loose.join(near, "region", "left_anti"), f"loose-{size_}")
         size_ *= 2
-        if size_ > 1 << 20:
-            break
     return found
 
 
@@ -243,10 +242,11 @@ def contributing_area(net: Network, subs: DataFrame) -> Network:
     return net.with_(nodes=nodes, edges=edges)
 
 
-def set_elevation(nodes: DataFrame, cells: DataFrame, spec: GridSpec) -> DataFrame:
+def set_elevation(nodes: DataFrame, cells: DataFrame, spec: GridSpec, scratch: Scratch | None = None) -> DataFrame:
     """``surface_elevation`` by bilinear interpolation; grid points span the bounds from edge to edge.
 
-    A node that misses one of its four points takes the nearest of the others.
+    A node that misses one of its four points takes the nearest grid point that is there (ties: least row,
+    then column), searched in growing rings of buckets among those nodes alone. No cells give nulls.
     """
     sx = (spec.cols - 1) / (spec.dx * spec.cols) if spec.cols > 1 else 0.0
     sy = (spec.rows - 1) / (spec.dy * spec.rows) if spec.rows > 1 else 0.0
@@ -258,8 +258,24 @@ def set_elevation(nodes: DataFrame, cells: DataFrame, spec: GridSpec) -> DataFra
     tx, ty = F.col("_fx") - F.col("_c"), F.col("_fy") - F.col("_r")
     weight = F.when(F.col("k.j") == 1, tx).otherwise(1 - tx) * F.when(F.col("k.i") == 1, ty).otherwise(1 - ty)
     met = at.join(cells, ["r", "c"]).withColumn("_w", weight)
-    z = met.groupBy("id").agg(F.sum(F.col("_w") * F.col("z")).alias("s"), F.count(F.lit(1)).alias("n"), F.max(F.struct("_w", "z")).alias("m"))
-    return nodes.drop("surface_elevation").join(z.select("id", F.when(F.col("n") == 4, F.col("s")).otherwise(F.col("m.z")).alias("surface_elevation")), "id", "left")
+    z = met.groupBy("id").agg(F.sum(F.col("_w") * F.col("z")).alias("s"), F.count(F.lit(1)).alias("n")).where("n = 4").select("id", F.col("s").alias("surface_elevation"))
+    scratch = scratch or Scratch(nodes.sparkSession, "elevation")
+    found = scratch.table(z, "whole")
+    open_ = scratch.table(n.select("id", "_fx", "_fy").join(found, "id", "left_anti"), "open")
+    size_ = 2
+    while not open_.isEmpty() and not cells.isEmpty():
+        steps = F.array(*(F.lit(i) for i in (-1, 0, 1)))
+        at = open_.withColumn("dr", F.explode(steps)).withColumn("dc", F.explode(steps))
+        at = at.withColumns({"br": F.floor(F.col("_fy") / size_) + F.col("dr"), "bc": F.floor(F.col("_fx") / size_) + F.col("dc")})
+        near = at.join(cells.select(F.floor(F.col("r") / size_).alias("br"), F.floor(F.col("c") / size_).alias("bc"), "r", "c", "z"), ["br", "bc"])
+        # in map units, as rows and columns may differ in size
+        d = F.hypot((F.col("r") - F.col("_fy")) / (sy or 1.0), (F.col("c") - F.col("_fx")) / (sx or 1.0))
+        within = size_ * min(1 / (sx or 1.0), 1 / (sy or 1.0))
+        best = near.where(d <= within).groupBy("id").agg(F.min(F.struct(d.alias("d"), "r", "c", "z")).alias("m"))
+        found = scratch.table(found.union(best.select("id", "m.z")), f"found-{size_}")
+        open_ = scratch.table(open_.join(found, "id", "left_anti"), f"open-{size_}")
+        size_ *= 2
+    return nodes.drop("surface_elevation").join(found, "id", "left")
 
 
 def reproject_cells(cells: DataFrame, source: GridSpec, target: GridSpec, zone: int, south: bool = False) -> DataFrame:

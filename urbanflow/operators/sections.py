@@ -11,19 +11,28 @@ from urbanflow.functions.geometry import ring_vertices
 from urbanflow.model import Network
 from urbanflow.operators.network import filter_streets, sinks
 
-# Columns of each section in order; a leading slash marks a constant.
-SECTIONS = {
-    "CONDUITS": ("id", "u", "v", "length", "roughness", "/0.0001", "/0.0001", "/0", "capacity"),
-    "OUTFALLS": ("id", "chamber_floor_elevation", "/FREE", "/ ", "/NO", "/*"),
-    "STORAGE": ("id", "chamber_floor_elevation", "max_depth", "/0", "/FUNCTIONAL", "/0", "/0", "manhole_area", "/0", "/0", "/0", "/0"),
-    "SUBCATCHMENTS": ("subcatchment", "rain_gage", "id", "area", "rc", "width", "slope", "/0", "/empty"),
-    "SUBAREAS": ("subcatchment", "/0", "/0", "/0", "/0", "/0", "/OUTLET", "/0"),
-    "INFILTRATION": ("subcatchment", "/0", "/0", "/0", "/0", "/0"),
-    "XSECTIONS": ("id", "/CIRCULAR", "diameter", "/0", "/0", "/0", "/1", "/*"),
+class Const(str):
+    """A cell that is the same in every row of a section."""
+
+
+ZERO, STAR = Const("0"), Const("*")
+
+# The fields of each section in the order that the model format asks for.
+SECTIONS: dict[str, tuple[str, ...]] = {
+    "RAINGAGES": ("name", Const("INTENSITY"), "interval", Const("1.0"), Const("FILE"), "file", "station", Const("MM")),
+    "SUBCATCHMENTS": ("subcatchment", "rain_gage", "id", "area", "rc", "width", "slope", ZERO, Const("empty")),
+    "SUBAREAS": ("subcatchment", ZERO, ZERO, ZERO, ZERO, ZERO, Const("OUTLET"), ZERO),
+    "INFILTRATION": ("subcatchment", ZERO, ZERO, ZERO, ZERO, ZERO),
+    "JUNCTIONS": ("id", "chamber_floor_elevation", "max_depth", ZERO, "surcharge_depth", "flooded_area"),
+    "STORAGE": ("id", "chamber_floor_elevation", "max_depth", ZERO, Const("FUNCTIONAL"), ZERO, ZERO, "manhole_area", ZERO, ZERO, ZERO, ZERO),
+    "OUTFALLS": ("id", "chamber_floor_elevation", Const("FREE"), Const(" "), Const("NO"), STAR),
+    "CONDUITS": ("id", "u", "v", "length", "roughness", Const("0.0001"), Const("0.0001"), ZERO, "capacity"),
+    "XSECTIONS": ("id", Const("CIRCULAR"), "diameter", ZERO, ZERO, ZERO, Const("1"), STAR),
     "COORDINATES": ("id", "x", "y"),
+    "VERTICES": ("id", "x", "y"),
     "POLYGONS": ("subcatchment", "x", "y"),
-    "MAP": ("/DIMENSIONS", "x1", "y1", "x2", "y2"),
     "SYMBOLS": ("name", "x", "y"),
+    "MAP": (Const("DIMENSIONS"), "x1", "y1", "x2", "y2"),
 }
 
 
@@ -42,19 +51,23 @@ def extents(nodes: DataFrame) -> DataFrame:
 
 
 def to_section(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Columns in section order as ``c0, c1, ...``; missing numbers become 0, ``/x`` is the constant x."""
+    """Columns in section order as ``c0, c1, ...``; missing numbers become 0, a ``Const`` is the same in every row."""
     kinds = dict(df.dtypes)
 
     def cell(c: str) -> Column:
-        if c.startswith("/"):
-            return F.lit(c[1:])
+        if isinstance(c, Const):
+            return F.lit(str(c))
         return F.coalesce(F.col(c), F.lit(0).cast(kinds[c])) if kinds[c] in ("double", "int", "bigint", "float") else F.col(c)
 
     return df.select(*(cell(c).alias(f"c{i}") for i, c in enumerate(columns)))
 
 
-def section_tables(net: Network, subs: DataFrame, ring: str = "ring") -> dict[str, DataFrame]:
-    """Section name to table, from nodes, edges and subcatchments (id, area, rc, width, slope, ring)."""
+def section_tables(net: Network, subs: DataFrame, ring: str = "ring", rain: tuple[str, str, str] = ("0:05", "storm.dat", "1")) -> dict[str, DataFrame]:
+    """Section name to table, from nodes, edges and subcatchments (id, area, rc, width, slope, ring).
+
+    ``rain`` has the gauge's interval, file and station. Edges with a ``geometry`` give the vertices
+    between their ends.
+    """
     nodes = net.nodes.withColumns({"max_depth": F.col("surface_elevation") - F.col("chamber_floor_elevation"), "surcharge_depth": F.lit(0.0), "flooded_area": F.lit(100.0), "manhole_area": F.lit(0.5)})
     out, links = outfall_twins(net.with_(nodes=nodes))
     own = net.edges.withColumns({"roughness": F.lit(0.01), "capacity": F.lit(1e10)})
@@ -64,7 +77,11 @@ def section_tables(net: Network, subs: DataFrame, ring: str = "ring") -> dict[st
     s = subs.join(net.nodes.select("id"), "id", "left_semi").withColumns({"subcatchment": F.concat("id", F.lit("-sub")), "area": F.col("area") / 10000, "slope": F.col("slope") * 100, "rain_gage": F.lit("1")})
     points = nodes.select("id", "x", "y").union(out.select("id", "x", "y"))
     e = extents(nodes)
+    gauge = e.select(F.lit("1").alias("name"), *(F.lit(x).alias(n) for n, x in zip(("interval", "file", "station"), rain)))
+    bends = net.edges.where("size(geometry) > 2").select("id", F.explode(F.expr("slice(geometry, 2, size(geometry) - 2)")).alias("p")) if "geometry" in net.edges.columns else None
+    bends = points.where("false") if bends is None else bends.select("id", "p.x", "p.y")
     sources = {
+        "RAINGAGES": gauge, "JUNCTIONS": nodes, "VERTICES": bends,
         "CONDUITS": pipes, "XSECTIONS": pipes, "STORAGE": nodes, "OUTFALLS": out, "COORDINATES": points, "MAP": e,
         "SUBCATCHMENTS": s, "SUBAREAS": s, "INFILTRATION": s, "POLYGONS": ring_vertices(s, ring, "subcatchment"),
         "SYMBOLS": e.select(F.lit("1").alias("name"), F.col("x1").alias("x"), F.col("y1").alias("y")),
@@ -108,10 +125,11 @@ def check_pipeline(net: Network, steps: Sequence[Callable]) -> None:
         have["edge"] |= set(more_edges)
 
 
-def run_pipeline(net: Network, steps: Sequence[Callable[..., Network]], stop_when_empty: bool = False, **params) -> Network:
+def run_pipeline(net: Network, steps: Sequence[Callable[..., Network]], stop_when_empty: bool = True, **params) -> Network:
     """Apply the steps in order after checking them; each takes the network and keyword parameters.
 
-    With ``stop_when_empty`` a job after each step looks for a street edge and ends early without one.
+    A job after each step looks for a street edge and ends early without one; without
+    ``stop_when_empty`` all steps stay one plan.
     """
     check_pipeline(net, steps)
     for step in steps:

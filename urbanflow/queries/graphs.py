@@ -24,10 +24,10 @@ _DOWN = """, dn AS (SELECT u AS a, v AS b, 1 AS hops, length AS len, length AS m
 UNION ALL SELECT dn.a, f.v, dn.hops + 1, dn.len + f.length, greatest(dn.most, f.length) FROM dn JOIN fx_forest f ON f.u = dn.b)"""
 
 
-@_("p1_components", """, e AS (SELECT u, v FROM fx_forest WHERE CAST(u AS BIGINT) % 5 <> 0), s AS (SELECT u, v FROM e UNION SELECT v, u FROM e),
+@_("p1_components", """, e AS (SELECT u, v FROM fx_forest WHERE length <= 60), s AS (SELECT u, v FROM e UNION SELECT v, u FROM e),
 r AS (SELECT u AS id, v AS o FROM s UNION SELECT r.id, s.v FROM r JOIN s ON s.u = r.o) SELECT id, least(id, min(o)) AS component FROM r GROUP BY id""", NF, recursive=True)
 def p1(spark, sf):
-    return components(view(spark, sf, "fx_forest").where("CAST(u AS BIGINT) % 5 <> 0"), Scratch(spark, "p1"))
+    return components(view(spark, sf, "fx_forest").where("length <= 60"), Scratch(spark, "p1"))
 
 
 @_("p2_reach", _DOWN + " SELECT a AS id FROM dn WHERE b = '3' UNION SELECT '3'", NF, recursive=True)
@@ -135,7 +135,7 @@ def p14(spark, sf):
 def _with_river(spark, sf) -> Network:
     """The forest cut in parts as streets, the supplier points chained as a river."""
     net = forest(spark, sf)
-    street = net.edges.where("CAST(u AS BIGINT) % 9 <> 0").select("u", "v", "key", "length", F.lit("street").alias("edge_type"))
+    street = net.edges.where("length <= 65").select("u", "v", "key", "length", F.lit("street").alias("edge_type"))
     r = view(spark, sf, "fx_river")
     nxt = r.select(F.col("id").alias("u"), F.concat(F.lit("river"), (F.substring("id", 6, 20).cast("long") + 1).cast("string")).alias("v"), F.lit(0).alias("key"), F.lit(10.0).alias("length"), F.lit("river").alias("edge_type"))
     chain = nxt.join(r.select(F.col("id").alias("v")), "v", "left_semi").select("u", "v", "key", "length", "edge_type")
@@ -143,7 +143,7 @@ def _with_river(spark, sf) -> Network:
     return Network(nodes, street.union(chain).withColumn("weight", F.col("length")))
 
 
-_PAIRED = """, st AS (SELECT u, v, length FROM fx_forest WHERE CAST(u AS BIGINT) % 9 <> 0), sp AS (SELECT id, x, y, surface_elevation FROM fx_nodes WHERE id IN (SELECT u FROM st UNION SELECT v FROM st)),
+_PAIRED = """, st AS (SELECT u, v, length FROM fx_forest WHERE length <= 65), sp AS (SELECT id, x, y, surface_elevation FROM fx_nodes WHERE id IN (SELECT u FROM st UNION SELECT v FROM st)),
 near AS (SELECT u, v FROM (SELECT n.id AS u, r.id AS v, sqrt((n.x - r.x) ** 2 + (n.y - r.y) ** 2) AS d, row_number() OVER (PARTITION BY n.id ORDER BY sqrt((n.x - r.x) ** 2 + (n.y - r.y) ** 2), r.id) AS k FROM sp n, fx_river r) WHERE k = 1 AND d <= 40),
 sy AS (SELECT u, v FROM st UNION SELECT v, u FROM st), r AS (SELECT u AS id, v AS o FROM sy UNION SELECT r.id, sy.v FROM r JOIN sy ON sy.u = r.o), cc AS (SELECT id, least(id, min(o)) AS c FROM r GROUP BY id),
 lost AS (SELECT cc.c, cc.id, n.surface_elevation, row_number() OVER (PARTITION BY cc.c ORDER BY n.surface_elevation, cc.id) AS k FROM cc JOIN fx_nodes n USING (id) WHERE cc.c NOT IN (SELECT c FROM cc JOIN near ON near.u = cc.id)),
@@ -234,7 +234,7 @@ def d1(spark, sf):
 
 
 _CAND = """, cand AS (SELECT f.u, b.surface_elevation AS ds_elevation, a.surface_elevation - 0.5 AS floor, f.length, a.contributing_area * 0.006 / 3600 AS q, diam, depth
-FROM fx_forest f JOIN fx_nodes a ON a.id = f.u JOIN fx_nodes b ON b.id = f.v, (SELECT unnest([0.15, 0.45, 1.2])::DOUBLE AS diam), (SELECT unnest([0.5, 2.0, 4.5])::DOUBLE AS depth)),
+FROM fx_forest f JOIN fx_nodes a ON a.id = f.u JOIN fx_nodes b ON b.id = f.v, (SELECT 0.15::DOUBLE + 2.85::DOUBLE * i / 38 AS diam FROM range(39) g(i)), (SELECT 0.5::DOUBLE + 4.5::DOUBLE * j / 9 AS depth FROM range(10) h(j))),
 e1 AS (SELECT *, floor - (ds_elevation - depth) AS diff FROM cand),
 e2 AS (SELECT *, CASE WHEN diff > 0 THEN 0 ELSE (floor(-diff / 0.05) + 1) * 0.05 END AS surcharge_feasibility FROM e1),
 e3 AS (SELECT *, diff / length AS slope, sqrt((diff + surcharge_feasibility) / length) * (diam / 4) ** (2.0::DOUBLE / 3) / 0.012 AS v, length * (diam + 0.3) * ((depth + floor) / 2 + 0.1) AS vol FROM e2),
@@ -247,25 +247,23 @@ def _candidates(spark, sf):
     n = net.nodes
     e = net.edges.join(n.select(F.col("id").alias("u"), (F.col("surface_elevation") - 0.5).alias("floor"), (F.col("contributing_area") * 0.006 / 3600).alias("q")), "u")
     e = e.join(n.select(F.col("id").alias("v"), F.col("surface_elevation").alias("ds_elevation")), "v").select("u", "floor", "q", "ds_elevation", "length")
-    grid = d.design_grid(spark, HydraulicDesign(diameters=(0.15, 0.45, 1.2), depth_nbins=1)).drop("depth")
-    depths = spark.range(3).select(F.element_at(F.array(F.lit(0.5), F.lit(2.0), F.lit(4.5)), (F.col("id") + 1).cast("int")).alias("depth"))
-    return d.evaluate_design(e.crossJoin(F.broadcast(grid)).crossJoin(F.broadcast(depths)), _PARAMS)
+    return d.evaluate_design(e.crossJoin(F.broadcast(d.design_grid(spark, _PARAMS))), _PARAMS)  # 390 designs a pipe
 
 
-@_("d2_evaluate_design", _CAND + " SELECT u, diam, depth, round(slope, 6) AS slope, round(v, 6) AS v, round(fr, 6) AS fr, round(surcharge_feasibility, 6) AS surcharge, round(v_feasibility, 6) AS v_feasibility, round(fr_feasibility, 6) AS fr_feasibility FROM e5", NF)
+@_("d2_evaluate_design", _CAND + " SELECT u, round(diam, 6) AS diam, round(depth, 6) AS depth, round(slope, 6) AS slope, round(v, 6) AS v, round(fr, 6) AS fr, round(surcharge_feasibility, 6) AS surcharge, round(v_feasibility, 6) AS v_feasibility, round(fr_feasibility, 6) AS fr_feasibility FROM e5", NF)
 def d2(spark, sf):
     r = lambda c, n=None: F.round(c, 6).alias(n or c)
-    return _candidates(spark, sf).select("u", "diam", "depth", r("slope"), r("velocity", "v"), r("fr"), r("surcharge_feasibility", "surcharge"), r("v_feasibility"), r("fr_feasibility"))
+    return _candidates(spark, sf).select("u", r("diam"), r("depth"), r("slope"), r("velocity", "v"), r("fr"), r("surcharge_feasibility", "surcharge"), r("v_feasibility"), r("fr_feasibility"))
 
 
-@_("d3_pipe_cost", _CAND + " SELECT u, diam, depth, round(cost_usd, 4) AS cost_usd FROM e5", NF)
+@_("d3_pipe_cost", _CAND + " SELECT u, round(diam, 6) AS diam, round(depth, 6) AS depth, round(cost_usd, 4) AS cost_usd FROM e5", NF)
 def d3(spark, sf):
-    return _candidates(spark, sf).select("u", "diam", "depth", F.round("cost_usd", 4).alias("cost_usd"))
+    return _candidates(spark, sf).select("u", F.round("diam", 6).alias("diam"), F.round("depth", 6).alias("depth"), F.round("cost_usd", 4).alias("cost_usd"))
 
 
-@_("d4_select_design", _CAND + """ SELECT u, diam, depth FROM (SELECT *, row_number() OVER (PARTITION BY u ORDER BY surcharge_feasibility, v_feasibility, fr_feasibility, depth, cost_usd, diam) AS k FROM e5 WHERE cost_usd IS NOT NULL) WHERE k = 1""", NF)
+@_("d4_select_design", _CAND + """ SELECT u, round(diam, 6) AS diam, round(depth, 6) AS depth FROM (SELECT *, row_number() OVER (PARTITION BY u ORDER BY surcharge_feasibility, v_feasibility, fr_feasibility, depth, cost_usd, diam) AS k FROM e5 WHERE cost_usd IS NOT NULL) WHERE k = 1""", NF)
 def d4(spark, sf):
-    return d.select_design(_candidates(spark, sf), ["u"]).select("u", "diam", "depth")
+    return d.select_design(_candidates(spark, sf), ["u"]).select("u", F.round("diam", 6).alias("diam"), F.round("depth", 6).alias("depth"))
 
 
 @_("d5_pipe_by_pipe", None)

@@ -15,6 +15,7 @@ from urbanflow.scratch import Scratch
 _ = Area()
 QUERIES, ORACLES = _.queries, _.oracles
 R = ("fx_results",)
+RN = ("fx_results", "fx_nodes")
 
 
 def _parts(spark, sf):
@@ -66,8 +67,8 @@ def t4(spark, sf):
     return s.interpolate_by(gaps, ["id"], "date", "value").withColumn("value", F.round("value", 6))
 
 
-_T5 = """, a AS (SELECT date, sum(value) AS s FROM fx_results WHERE part = 'syn' AND variable = 'click' AND CAST(id AS BIGINT) < 60 GROUP BY date),
-b AS (SELECT date, sum(value) AS r FROM fx_results WHERE part = 'real' AND variable = 'click' AND CAST(id AS BIGINT) < 90 GROUP BY date),
+_T5 = """, a AS (SELECT date, sum(value) AS s FROM fx_results WHERE part = 'syn' AND variable = 'click' AND id IN (SELECT id FROM fx_nodes) GROUP BY date),
+b AS (SELECT date, sum(value) AS r FROM fx_results WHERE part = 'real' AND variable = 'click' AND id IN (SELECT id FROM fx_nodes) GROUP BY date),
 j AS (SELECT date, s, r FROM a FULL JOIN b USING (date))"""
 
 
@@ -77,7 +78,7 @@ def _t5(spark, sf):
     return s.align_by_id(syn, real, "click", n, n)
 
 
-@_("t5_align_by_id", _T5 + _fill("j", "") + " SELECT date, round(s, 6) AS value_syn, round(r, 6) AS value_real FROM f WHERE r IS NOT NULL", R)
+@_("t5_align_by_id", _T5 + _fill("j", "") + " SELECT date, round(s, 6) AS value_syn, round(r, 6) AS value_real FROM f WHERE r IS NOT NULL", RN)
 def t5(spark, sf):
     return _t5(spark, sf).select("date", F.round("value_syn", 6).alias("value_syn"), F.round("value_real", 6).alias("value_real"))
 
@@ -120,7 +121,7 @@ _COEF = {
 def _coefficients():
     for k, (name, sql) in enumerate(_COEF.items(), 1):
 
-        @_(f"m{k}_{name}", _T5 + _fill("j", "") + f" SELECT round({sql}, 6) AS value FROM f WHERE r IS NOT NULL AND s IS NOT NULL", R)
+        @_(f"m{k}_{name}", _T5 + _fill("j", "") + f" SELECT round({sql}, 6) AS value FROM f WHERE r IS NOT NULL AND s IS NOT NULL", RN)
         def one(spark, sf, name=name):
             whole = _t5(spark, sf).where("value_syn is not null")
             return m.coef_of(whole, m.COEFFICIENTS[name]).select(F.round("value", 6).alias("value"))
@@ -225,6 +226,28 @@ def _outfall_series():
 
 _outfall_series()
 
+_M9E = _DRAIN + """, oe AS (SELECT f.u FROM fx_forest f WHERE f.u IN (SELECT id FROM own) AND f.v IN (SELECT id FROM own) AND f.v NOT IN (SELECT u FROM fx_forest WHERE u IN (SELECT id FROM own) AND v IN (SELECT id FROM own))),
+se AS (SELECT u FROM fx_forest WHERE v NOT IN (SELECT u FROM fx_forest)),
+a AS (SELECT date, sum(value) AS s FROM fx_results WHERE part = 'syn' AND variable = 'view' AND id IN (SELECT u FROM se) GROUP BY date),
+b AS (SELECT date, sum(value) AS r FROM fx_results WHERE part = 'real' AND variable = 'view' AND id IN (SELECT u FROM oe) GROUP BY date),
+j AS (SELECT date, s, r FROM a FULL JOIN b USING (date))"""
+
+
+def _outfall_flows():
+    """Flow of the pipes into the sinks; a pipe's series is that of its upper node."""
+    for name, sql in _COEF.items():
+
+        @_(f"m9_outfall_{name}_flow", _M9E + _fill("j", "") + f" SELECT coalesce(round({sql}, 5), 'inf'::DOUBLE) AS value FROM f WHERE r IS NOT NULL AND s IS NOT NULL", (*RNB, "fx_forest"))
+        def one(spark, sf, name=name):
+            net = _drained(spark, sf)
+            net = net.with_(edges=net.edges.withColumn("id", F.col("u")))
+            best = m.best_outfall_network(net, _boxes(spark, sf), 100.0)
+            syn, real = (r.withColumn("variable", F.when(F.col("variable") == "view", "flow").otherwise("-")) for r in _parts(spark, sf))
+            return m.metric_factory(f"outfall_{name}_flow")(net, best, syn, real).select(F.round("value", 5).alias("value"))
+
+
+_outfall_flows()
+
 
 @_("m12_bias_flood_depth", _TRAP + """, t AS (SELECT part, sum(integral) AS i FROM tr GROUP BY part), ar AS (SELECT sum(contributing_area) AS a FROM fx_nodes)
 SELECT round(((SELECT i FROM t WHERE part = 'syn') / a - (SELECT i FROM t WHERE part = 'real') / (a * 2)) / ((SELECT i FROM t WHERE part = 'real') / (a * 2)), 6) AS value FROM ar""", ("fx_results", "fx_nodes"))
@@ -248,7 +271,7 @@ def m15(spark, sf):
     return m.ks_2samp(net.edges, best.edges, "diameter").select(F.round("value", 9).alias("value"))
 
 
-@_("m16_run_metrics", _T5 + _fill("j", "") + f" SELECT 'relerror' AS metric, round({_COEF['relerror']}, 6) AS value FROM f WHERE r IS NOT NULL AND s IS NOT NULL UNION ALL SELECT 'nse', round({_COEF['nse']}, 6) FROM f WHERE r IS NOT NULL AND s IS NOT NULL", R)
+@_("m16_run_metrics", _T5 + _fill("j", "") + f" SELECT 'relerror' AS metric, round({_COEF['relerror']}, 6) AS value FROM f WHERE r IS NOT NULL AND s IS NOT NULL UNION ALL SELECT 'nse', round({_COEF['nse']}, 6) FROM f WHERE r IS NOT NULL AND s IS NOT NULL", RN)
 def m16(spark, sf):
     whole = _t5(spark, sf).where("value_syn is not null")
     plans = {n: (lambda n=n: m.coef_of(whole, m.COEFFICIENTS[n])) for n in m.COEFFICIENTS}

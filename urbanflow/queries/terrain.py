@@ -21,18 +21,19 @@ def _spec(spark, sf) -> GridSpec:
     return GridSpec(0.0, 0.0, 1.0, 1.0, rows, 50)
 
 
-_LINES = "SELECT r * 1.0 + 0.25 AS y1, c * 1.0 + 0.25 AS x1, r + 2.75 AS y2, c + 1.75 AS x2 FROM fx_cells WHERE r % 7 = 0 AND c % 11 = 0"
+_LINES = "SELECT id, y / 50 AS y1, x / 50 AS x1, y / 50 + 2.5 AS y2, x / 50 + 1.5 AS x2 FROM fx_river"
 
 
 def _lines(spark, sf):
-    c = view(spark, sf, "fx_cells").where("r % 7 = 0 AND c % 11 = 0")
-    p = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
-    return c.select(F.concat_ws("_", "r", "c").alias("id"), F.array(p(F.col("c") + 0.25, F.col("r") + 0.25), p(F.col("c") + 1.75, F.col("r") + 2.75)).alias("line"))
+    """A short line from every river point, in cells."""
+    x, y = F.col("x") / 50, F.col("y") / 50
+    p = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    return view(spark, sf, "fx_river").select("id", F.array(p(x, y), p(x + 1.5, y + 2.5)).alias("line"))
 
 
 @_("r1_burn", f""", l AS ({_LINES}), q AS (SELECT *, CAST(ceil(sqrt((x2 - x1) ** 2 + (y2 - y1) ** 2) / 0.5) AS INT) AS n FROM l), i AS (SELECT *, unnest(range(0, n + 1)) AS i FROM q),
 m AS (SELECT DISTINCT CAST(floor(y1 + (y2 - y1) * i / n) AS INT) AS r, CAST(floor(x1 + (x2 - x1) * i / n) AS INT) AS c FROM i)
-SELECT r, c, round(z - CASE WHEN (r, c) IN (SELECT (r, c) FROM m) THEN 2 ELSE 0 END, 6) AS z FROM fx_cells""", C)
+SELECT r, c, round(z - CASE WHEN (r, c) IN (SELECT (r, c) FROM m) THEN 2 ELSE 0 END, 6) AS z FROM fx_cells""", (*C, "fx_river"))
 def r1(spark, sf):
     marked = r.line_cells(_lines(spark, sf), _spec(spark, sf))
     return r.burn(view(spark, sf, "fx_cells"), marked, 2.0).select("r", "c", F.round("z", 6).alias("z"))
@@ -109,20 +110,20 @@ def r8(spark, sf):
     return r.cover(_polys(spark, sf), _spec(spark, sf))
 
 
-@_("r8_buffer_cover", f""", l AS (SELECT r || '_' || c AS id, r * 1.0 + 0.25 AS y1, c * 1.0 + 0.25 AS x1, r + 2.75 AS y2, c + 1.75 AS x2 FROM fx_cells WHERE r % 7 = 0 AND c % 11 = 0),
-k AS (SELECT l.*, x + 0.5 AS px, y + 0.5 AS py, x, y FROM l, range(-5, 60) a(x), range(-5, 60) b(y) WHERE y <= 60)
+@_("r8_buffer_cover", f""", l AS ({_LINES}),
+k AS (SELECT l.*, x + 0.5 AS px, y + 0.5 AS py, x, y FROM l, range(-5, 100) a(x), range(-5, 100) b(y))
 SELECT id, CAST(y AS INT) AS r, CAST(x AS INT) AS c FROM k WHERE ((px - x1) * (x2 - x1) + (py - y1) * (y2 - y1)) / ((x2 - x1) ** 2 + (y2 - y1) ** 2) BETWEEN 0 AND 1
-AND abs((px - x1) * (y2 - y1) - (py - y1) * (x2 - x1)) <= 0.8 * sqrt((x2 - x1) ** 2 + (y2 - y1) ** 2)""", C)
+AND abs((px - x1) * (y2 - y1) - (py - y1) * (x2 - x1)) <= 0.8 * sqrt((x2 - x1) ** 2 + (y2 - y1) ** 2)""", ("fx_river",))
 def r8b(spark, sf):
     return r.buffer_cover(_lines(spark, sf).withColumn("w", F.lit(0.8)), _spec(spark, sf), "w")
 
 
-_NODEC = ", nc AS (SELECT CAST(floor(y / 50) AS INT) AS r, CAST(floor(x / 50) AS INT) AS c, min(id) AS id FROM fx_nodes WHERE CAST(id AS BIGINT) % 3 = 0 GROUP BY 1, 2)"
+_NODEC = ", nc AS (SELECT CAST(floor(y / 50) AS INT) AS r, CAST(floor(x / 50) AS INT) AS c, min(id) AS id FROM fx_nodes WHERE contributing_area <= 17 GROUP BY 1, 2)"
 
 
 @_("r9_delineate", _FLOW + _NODEC + """, o AS (SELECT nc.* FROM nc JOIN fl ON fl.r = nc.r AND fl.c = nc.c), w AS (SELECT r, c, id FROM o UNION ALL SELECT fl.r, fl.c, w.id FROM w JOIN fl ON fl.to_r = w.r AND fl.to_c = w.c AND (fl.r, fl.c) NOT IN (SELECT (r, c) FROM o)) SELECT r, c, id FROM w""", ("fx_nodes", "fx_cells"), recursive=True)
 def r9(spark, sf):
-    n = view(spark, sf, "fx_nodes").where("CAST(id AS BIGINT) % 3 = 0").withColumns({"x": F.col("x") / 50, "y": F.col("y") / 50})
+    n = view(spark, sf, "fx_nodes").where("contributing_area <= 17").withColumns({"x": F.col("x") / 50, "y": F.col("y") / 50})
     return r.delineate(r.d8(view(spark, sf, "fx_cells")), n, _spec(spark, sf), Scratch(spark, "r9"))
 
 
@@ -145,7 +146,7 @@ def r12(spark, sf):
 
 @_("r13_derive_subcatchments", None)
 def r13(spark, sf):
-    n = view(spark, sf, "fx_nodes").where("CAST(id AS BIGINT) % 3 = 0").withColumns({"x": F.col("x") / 50, "y": F.col("y") / 50})
+    n = view(spark, sf, "fx_nodes").where("contributing_area <= 17").withColumns({"x": F.col("x") / 50, "y": F.col("y") / 50})
     return r.derive_subcatchments(view(spark, sf, "fx_cells"), n, _spec(spark, sf), Scratch(spark, "r13"))[0]
 
 
@@ -167,7 +168,7 @@ def r15(spark, sf):
 @_("w1_set_elevation", """, b AS (SELECT max(r) + 1 AS rows FROM fx_cells), n AS (SELECT id, (x / 101) * 49.0 / 50 AS fx, y / 50 * (rows - 1) / rows AS fy, rows FROM fx_nodes, b),
 q AS (SELECT *, CAST(least(floor(fx), 48) AS INT) AS c, CAST(least(floor(fy), rows - 2) AS INT) AS r FROM n),
 k AS (SELECT q.id, sum(z * (CASE WHEN cc.c = q.c THEN 1 - (fx - q.c) ELSE fx - q.c END) * (CASE WHEN cc.r = q.r THEN 1 - (fy - q.r) ELSE fy - q.r END)) AS z, count(*) AS n FROM q JOIN fx_cells cc ON cc.r IN (q.r, q.r + 1) AND cc.c IN (q.c, q.c + 1) GROUP BY q.id)
-SELECT id, round(z, 5) AS surface_elevation FROM k WHERE n = 4""", ("fx_nodes", "fx_cells"))
+SELECT id, round(z, 5) AS surface_elevation FROM k""", ("fx_nodes", "fx_cells"))
 def w1(spark, sf):
     n = view(spark, sf, "fx_nodes").withColumns({"x": F.col("x") / 101, "y": F.col("y") / 50})
     return r.set_elevation(n, view(spark, sf, "fx_cells"), _spec(spark, sf)).select("id", F.round("surface_elevation", 5).alias("surface_elevation"))

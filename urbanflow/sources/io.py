@@ -13,25 +13,37 @@ from urbanflow.model import Network
 LINE = "array<struct<x:double,y:double>>"
 
 
+def _whole(spark: SparkSession, path: str) -> bool:
+    """Whether JSON at ``path`` is one document over several lines, told by its first line."""
+    first = spark.read.text(path).where("trim(value) <> ''").first()
+    return first is not None and not first["value"].rstrip().endswith("}")
+
+
 def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """By extension: parquet and geoparquet; geojson (features to rows); json; jsonl and ndgeojson by line."""
+    """By extension: parquet and geoparquet; geojson and ndgeojson (features to rows); json and jsonl.
+
+    JSON of any kind may hold a record a line, which large inputs need to be split, or one document.
+    """
     kind = path.rstrip("/").rsplit(".", 1)[-1].lower()
     if kind in ("parquet", "geoparquet"):
         return spark.read.parquet(path)
-    if kind in ("geojson", "ndgeojson"):
-        raw = spark.read.option("multiLine", kind == "geojson").json(path)
+    if kind in ("geojson", "ndgeojson", "json", "jsonl"):
+        raw = spark.read.option("multiLine", _whole(spark, path)).json(path)
+        if "geojson" not in kind:
+            return raw
         features = raw.select(F.explode("features").alias("f")).select("f.*") if "features" in raw.columns else raw
         return features.select("properties.*", "geometry")
-    if kind in ("json", "jsonl"):
-        return spark.read.option("multiLine", kind == "json").json(path)
     raise ValueError(f"unknown extension {kind}")
 
 
 def write_table(df: DataFrame, path: str) -> None:
+    """By extension, as ``read_table`` takes it; geojson has a feature a line: points of x and y, or lines of ``geometry``."""
     kind = path.rstrip("/").rsplit(".", 1)[-1].lower()
     if kind in ("parquet", "geoparquet"):
         df.write.parquet(path)
-    elif kind in ("json", "jsonl", "geojson", "ndgeojson"):
+    elif kind in ("geojson", "ndgeojson"):
+        (_line_features(df) if "geometry" in df.columns else _point_features(df)).write.text(path)
+    elif kind in ("json", "jsonl"):
         df.write.json(path)
     else:
         raise ValueError(f"unknown extension {kind}")
@@ -65,6 +77,11 @@ def load_network(spark: SparkSession, path: str) -> Network:
     return Network(nodes, edges.withColumn("geometry", F.coalesce("geometry", F.array("_u", "_v"))).drop("_u", "_v"), crs or "")
 
 
+def saved_network(spark: SparkSession, path: str, crs: str = "") -> Network:
+    """What ``save_network`` has written."""
+    return Network(spark.read.parquet(f"{path}/nodes.parquet"), spark.read.parquet(f"{path}/edges.parquet"), crs)
+
+
 def save_network(net: Network, path: str) -> None:
     """Nodes and links as Parquet side by side."""
     net.nodes.write.parquet(f"{path}/nodes.parquet")
@@ -75,17 +92,27 @@ def _safe(df: DataFrame, skip: tuple[str, ...]) -> Column:
     return F.struct(*(F.col(c) for c in df.columns if c not in skip))
 
 
+def _feature(df: DataFrame, kind: str, coordinates: Column, skip: tuple[str, ...]) -> DataFrame:
+    shape = F.struct(F.lit(kind).alias("type"), coordinates.alias("coordinates"))
+    f = F.struct(F.lit("Feature").alias("type"), shape.alias("geometry"), _safe(df, skip).alias("properties"))
+    return df.select(F.to_json(f).alias("value"))
+
+
+def _point_features(df: DataFrame) -> DataFrame:
+    return _feature(df, "Point", F.array("x", "y"), ("x", "y"))
+
+
+def _line_features(df: DataFrame) -> DataFrame:
+    return _feature(df, "LineString", F.transform("geometry", lambda p: F.array(p["x"], p["y"])), ("geometry",))
+
+
 def node_features(net: Network) -> DataFrame:
     """One GeoJSON text for each node."""
-    point = F.struct(F.lit("Point").alias("type"), F.array("x", "y").alias("coordinates"))
-    f = F.struct(F.lit("Feature").alias("type"), point.alias("geometry"), _safe(net.nodes, ("x", "y")).alias("properties"))
-    return net.nodes.select(F.to_json(f).alias("value"))
+    return _point_features(net.nodes)
 
 
 def edge_features(net: Network) -> DataFrame:
-    line = F.struct(F.lit("LineString").alias("type"), F.transform("geometry", lambda p: F.array(p["x"], p["y"])).alias("coordinates"))
-    f = F.struct(F.lit("Feature").alias("type"), line.alias("geometry"), _safe(net.edges, ("geometry",)).alias("properties"))
-    return net.edges.select(F.to_json(f).alias("value"))
+    return _line_features(net.edges)
 
 
 def flat_columns(df: DataFrame) -> DataFrame:
@@ -112,8 +139,7 @@ def scan_bbox(df: DataFrame, xmin: float, ymin: float, xmax: float, ymax: float)
 
 def country_iso3(df: DataFrame, codes: DataFrame, col: str) -> DataFrame:
     """Adds ``iso3`` by ``codes`` (iso2, iso3), one row a country; unknown codes give empty text."""
-    own = F.broadcast(codes.select(F.col("iso2").alias(col), "iso3"))
-    return df.join(own, col, "left").withColumn("iso3", F.coalesce("iso3", F.lit("")))
+    return df.join(codes.select(F.col("iso2").alias(col), "iso3"), col, "left").withColumn("iso3", F.coalesce("iso3", F.lit("")))
 
 
 def prepare_precipitation(df: DataFrame) -> DataFrame:
