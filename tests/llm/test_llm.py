@@ -107,6 +107,36 @@ def test_jaccard(spark, docs, none):
     assert jaccard.jaccard_groups(none, Scratch(spark, "t")).count() == 0
 
 
+def test_jaccard_chains_and_sizes(spark, monkeypatch):
+    """Many near copies that link in chains, of many sizes, in blocks of few sets, against all pairs."""
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", 4)
+    monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", 500)
+    rng = np.random.default_rng(9)
+    base = [f"w{i}" for i in range(80)]
+    rows = []
+    for i in range(120):
+        words = list(base[: int(rng.integers(50, 81))])
+        for _ in range(int(rng.integers(0, 4))):
+            words[int(rng.integers(len(words)))] = f"x{rng.integers(3)}"
+        rows.append((i, " ".join(words)))
+    sets = {}
+    for i, t in rows:
+        w = t.split()
+        sets[i] = {tuple(w[j : j + 4]) for j in range(len(w) - 3)}
+    comp = {i: i for i in sets}
+    changed = True
+    while changed:
+        changed = False
+        for a in sets:
+            for b in sets:
+                if comp[a] != comp[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+                    comp[a] = comp[b] = min(comp[a], comp[b])
+                    changed = True
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_groups(frame, Scratch(spark, "t")).collect()}
+    assert got == comp and 2 < len(set(comp.values())) < 100
+
+
 def test_shared_pairs_over_batches():
     import pyarrow as pa
 
