@@ -39,12 +39,17 @@ def r1(spark, sf):
     return r.burn(view(spark, sf, "fx_cells"), marked, 2.0).select("r", "c", F.round("z", 6).alias("z"))
 
 
-@_("r2_fill_pits", None)
+_STEP = ", s(d8, dr, dc) AS (VALUES (1, 0, 1), (2, 1, 1), (4, 1, 0), (8, 1, -1), (16, 0, -1), (32, -1, -1), (64, -1, 0), (128, -1, 1))"
+
+
+@_("r2_fill_pits", _STEP + """, nb AS (SELECT a.r, a.c, a.z, b.r AS br, b.c AS bc, b.z AS bz FROM fx_cells a, s JOIN fx_cells b ON b.r = a.r + s.dr AND b.c = a.c + s.dc),
+rim AS (SELECT r, c, z FROM fx_cells WHERE (r, c) NOT IN (SELECT (r, c) FROM nb GROUP BY r, c HAVING count(*) = 8)),
+w(r, c, z) USING KEY (r, c) AS (SELECT r, c, z FROM rim UNION SELECT nb.br, nb.bc, min(greatest(nb.bz, w.z)) FROM w JOIN nb ON nb.r = w.r AND nb.c = w.c LEFT JOIN recurring.w AS old ON old.r = nb.br AND old.c = nb.bc
+ WHERE old.z IS NULL OR greatest(nb.bz, w.z) < old.z GROUP BY nb.br, nb.bc) SELECT r, c, z FROM w""", C, recursive=True)
 def r2(spark, sf):
     return r.fill_pits(view(spark, sf, "fx_cells"), Scratch(spark, "r2"))
 
 
-_STEP = ", s(d8, dr, dc) AS (VALUES (1, 0, 1), (2, 1, 1), (4, 1, 0), (8, 1, -1), (16, 0, -1), (32, -1, -1), (64, -1, 0), (128, -1, 1))"
 _FLOW = _STEP + """, nb AS (SELECT a.r, a.c, s.d8, b.r AS to_r, b.c AS to_c, (a.z - b.z) / CASE WHEN dr = 0 OR dc = 0 THEN 1 ELSE sqrt(2) END AS drop FROM fx_cells a, s JOIN fx_cells b ON b.r = a.r + s.dr AND b.c = a.c + s.dc),
 fl AS (SELECT k.r, k.c, q.d8, q.to_r, q.to_c FROM fx_cells k LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY r, c ORDER BY drop DESC, d8) AS n FROM nb WHERE drop > 0) q ON q.r = k.r AND q.c = k.c AND q.n = 1)"""
 
@@ -77,12 +82,21 @@ def r5(spark, sf):
     return r.basins(r.d8(view(spark, sf, "fx_cells")), None, Scratch(spark, "r5"))
 
 
-@_("r6_stream_order", None)
+#: A cell is of order k + 1 or more where, at it or above it, two cells of order k or more meet.
+_ORDER = _FLOW + """, e AS (SELECT r || '_' || c AS u, to_r || '_' || to_c AS v FROM fl WHERE to_r IS NOT NULL), dn AS (SELECT r || '_' || c AS a, r || '_' || c AS b FROM fl UNION ALL SELECT dn.a, e.v FROM dn JOIN e ON e.u = dn.b),
+s1 AS (SELECT r || '_' || c AS id FROM fl)""" + "".join(
+    f", j{k} AS (SELECT v FROM e JOIN s{k} ON s{k}.id = e.u GROUP BY v HAVING count(*) > 1), s{k + 1} AS (SELECT DISTINCT dn.b AS id FROM dn JOIN j{k} ON j{k}.v = dn.a)" for k in range(1, 9)
+) + ", so AS (SELECT r, c, r || '_' || c AS id, " + " + ".join(["1", *(f"CASE WHEN r || '_' || c IN (SELECT id FROM s{k}) THEN 1 ELSE 0 END" for k in range(2, 10))]) + " AS strahler FROM fl)"
+
+
+@_("r6_stream_order", _ORDER + " SELECT r, c, strahler FROM so", C, recursive=True)
 def r6(spark, sf):
     return r.stream_order(r.d8(view(spark, sf, "fx_cells")), Scratch(spark, "r6"))
 
 
-@_("r6_subbasins", None)
+@_("r6_subbasins", _ORDER + """, hi AS (SELECT * FROM so WHERE strahler >= 2), o AS (SELECT hi.r, hi.c, hi.id FROM hi LEFT JOIN e ON e.u = hi.id LEFT JOIN hi b ON b.id = e.v WHERE b.id IS NULL OR b.strahler > hi.strahler),
+w AS (SELECT r, c, id FROM o UNION ALL SELECT fl.r, fl.c, w.id FROM w JOIN fl ON fl.to_r = w.r AND fl.to_c = w.c AND (fl.r, fl.c) NOT IN (SELECT (r, c) FROM o)),
+q AS (SELECT fl.r, fl.c, w.id FROM fl LEFT JOIN w USING (r, c)) SELECT r, c, id AS basin FROM q""", C, recursive=True)
 def r6s(spark, sf):
     return r.subbasins(r.d8(view(spark, sf, "fx_cells")), 2, Scratch(spark, "r6s"))
 
