@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from urbanflow.scratch import Scratch, drop_scratch, shared_dir  # noqa: F401
+from urbanflow.scratch import Scratch  # noqa: F401
 
 #: Words are runs of bytes other than ASCII white space.
 WORD_GAP = "[\\x20\\x09-\\x0D]+"

@@ -287,7 +287,8 @@ def jaccard_groups(
 
     # sets whose sizes lie in bands further apart than the next can't link: a band meets itself and the next
     # (bands are a hair wider than the bound, for rounding)
-    band = F.floor(F.log(F.col("n").cast("double")) / (-math.log(percent / 100) * (1 + 1e-9))).cast("int")
+    width = max(-math.log(percent / 100), 1e-9) * (1 + 1e-9)
+    band = F.floor(F.log(F.col("n").cast("double")) / width).cast("int")
     left = members.join(grouped, "set_id", "left").withColumn("component", F.coalesce("component", "set_id")).withColumn("band", band)
     bands = left.select("lead", F.col("band").alias("key")).distinct()
     reach = left.withColumn("key", F.explode(F.array("band", F.col("band") - 1))).join(bands, ["lead", "key"])
