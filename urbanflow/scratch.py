@@ -11,11 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where that is unset (a local test session) a temporary folder takes its place, for this
-    session alone.
+    Where that is unset in a local session, as in tests, a temporary folder takes its place, for this
+    session alone. On a cluster no folder of the driver's would do, so there it is an error.
     """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith(("local[", "local*")) and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="urbanflow-")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
@@ -28,13 +30,10 @@ class Scratch:
     once the operator's result has itself been written.
     """
 
-    live: list["Scratch"] = []
-
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.places: dict[str, str] = {}
-        Scratch.live.append(self)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -53,14 +52,3 @@ class Scratch:
         place = self.places.get(name, self.path(name)) if name else self.root
         path = self.spark._jvm.org.apache.hadoop.fs.Path(place)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-        if name is None and self in Scratch.live:
-            Scratch.live.remove(self)
-
-
-def drop_scratch() -> None:
-    """Remove what all earlier operator runs of this driver have written.
-
-    Only for callers that have written those runs' results elsewhere, such as the stages of a pipeline.
-    """
-    for scratch in list(Scratch.live):
-        scratch.drop()
