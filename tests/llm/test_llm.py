@@ -34,23 +34,32 @@ def none(docs):
 
 
 def test_sharding(spark, docs, none):
-    got = sharding.assign_shards(docs, Scratch(spark, "t"), shards=3).toPandas()
-    assert (got["size"].to_numpy() == got["doc_id"].map(dict((i, len((t or "").encode()) + 1) for i, t in ROWS)).to_numpy()).all()
-    assert got.groupby("gkey")["shard"].nunique().max() == 1
-    for _, own in got.groupby("shard"):
-        assert sorted(own["slot"]) == list(range(len(own)))
-    sizes = got.groupby("gkey")["size"].sum().sort_index().to_list()
-
-    def parts(cap):
-        n, used = 1, 0
-        for s in sizes:
-            if used + s > cap:
-                n, used = n + 1, 0
-            used += s
-        return n
-
-    best = next(c for c in range(max(sizes), sum(sizes) + 1) if parts(c) <= 3)
-    assert got.groupby("shard")["size"].sum().max() == best
+    """Against the least capacity for which greedy filling, in the order of SHA-256, needs three shards."""
+    import hashlib
+
+    again = docs.select("doc_id", "text").union(docs.select("doc_id", "text").where("doc_id in (1, 8)")).union(docs.selectExpr("CAST(NULL AS LONG)", "text").where("doc_id = 3"))
+    rows = [*ROWS, ROWS[1], ROWS[8], (None, ROWS[3][1])]
+    groups: dict = {}
+    for _, t in rows:
+        key = hashlib.sha256((t or "").encode()).hexdigest()
+        groups[key] = groups.get(key, 0) + len((t or "").encode()) + 1
+
+    def fill(cap):
+        shard, used, out = 0, 0, {}
+        for key in sorted(groups):
+            if used + groups[key] > cap:
+                shard, used = shard + 1, 0
+            used += groups[key]
+            out[key] = shard
+        return out
+
+    best = next(c for c in range(max(groups.values()), sum(groups.values()) + 1) if max(fill(c).values()) < 3)
+    want = sorted((-1 if i is None else i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode()), fill(best)[hashlib.sha256((t or "").encode()).hexdigest()]) for i, t in rows)
+    got = sharding.assign_shards(again, Scratch(spark, "t"), shards=3).collect()
+    assert sorted((-1 if r["doc_id"] is None else r["doc_id"], r["size"], r["text_crc32"], r["shard"]) for r in got) == want
+    for shard in range(3):
+        own = sorted(r["slot"] for r in got if r["shard"] == shard)
+        assert own == list(range(len(own)))
     assert sharding.assign_shards(none, Scratch(spark, "t")).count() == 0
 
 

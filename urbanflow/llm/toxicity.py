@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from urbanflow.llm.common import crc_of_id, give_back
+from urbanflow.llm.common import Scratch, crc_of_id, give_back
 
 #: Labelled rows from which terms, label model and classifier are learned, at most.
 LABELLED_ROWS = 20_000
@@ -34,10 +34,9 @@ LEXICONS = {
 }
 #: Figures and letters that stand for another letter.
 _DISGUISE = str.maketrans("013457@$!|", "oieastasil")
-_ODD = re.compile(r"[^\W\d_]*[013457@$!|]+[^\W_][\w@$!|]*")
-_LONG = re.compile(r"(.)\1{2,}")
+_LONG = re.compile(r"([^\W\d_])\1{2,}")
 _SPACED = re.compile(r"\b(?:[^\W\d_][ .*-]){3,}[^\W\d_]\b")
-_AGAIN = re.compile(r"\b([^\W\d_]{4,})(?:\W+\1\b){2,}")
+_EDGE = ".,;:?!\"'()"
 _SHOUT = re.compile("[A-Z]")
 PATTERNS = ("disguised letters", "stretched letters", "spaced letters", "a word three times over", "exclamations", "capitals")
 _ABUSIVE = {w: kind for kind, words in LEXICONS.items() for w in words.split()}
@@ -73,16 +72,17 @@ N_LEXICONS = len(VOTERS) - len(PATTERNS) - 4
 def patterns(text: str) -> tuple[int, ...]:
     """1 where a pattern shows: abusive words in disguise, repetition, exclamations over 1 % and capitals over 30 % of characters."""
     low = text.lower()
-    n = max(1, len(text))
+    return _patterns(text, low, _WORD.findall(low))
 
-    def known(words: Iterator[str]) -> bool:
-        return any(w in _ABUSIVE for w in words)
 
+def _patterns(text: str, low: str, words: list[str]) -> tuple[int, ...]:
+    n = max(1, len(text))
+    odd = (w.strip(_EDGE).translate(_DISGUISE) for w in low.split() if not w.isalpha() and not w[:-1].isalpha())
     return (
-        int(known(m[0].translate(_DISGUISE) for m in _ODD.finditer(low))),
-        int(known(_LONG.sub(r"\1", w) for w in _WORD.findall(low) if _LONG.search(w)) if _LONG.search(low) else False),
-        int(known(re.sub(r"\W", "", m[0]) for m in _SPACED.finditer(low))),
-        int(_AGAIN.search(low) is not None),
+        int(any(w in _ABUSIVE for w in odd)),
+        int(_LONG.search(low) is not None and any(_LONG.sub(r"\1", w) in _ABUSIVE for w in set(words) if _LONG.search(w))),
+        int(any(re.sub(r"\W", "", m[0]) in _ABUSIVE for m in _SPACED.finditer(low))),
+        int(any(a == b == c and len(a) > 3 for a, b, c in zip(words, words[1:], words[2:]))),
         int(100 * text.count("!") > n),
         int(len(_SHOUT.findall(text)) > 0.3 * n),
     )
@@ -116,23 +116,30 @@ def _summary(hits: int, words: int) -> tuple[float, ...]:
     return (float(hits > 0), min(hits, 10) / 10, min(1.0, 5 * hits / max(1, words)))
 
 
-class _Hits:
-    """Distinct terms of a text; a word's terms are looked up once while the table lasts."""
+class _Reader:
+    """Distinct terms of a text, how many distinct words it has, and its patterns.
+
+    A word's terms are looked up once while the table lasts.
+    """
 
     def __init__(self, terms: dict[str, int], most: int = 200_000):
         self.terms, self.most, self.known = terms, most, {}
 
-    def __call__(self, text: str | None) -> tuple[list[int], int]:
+    def __call__(self, text: str | None) -> tuple[list[int], int, tuple[int, ...]]:
         if len(self.known) > self.most:
             self.known = {}
-        words, out, known = _distinct_words(text), set(), self.known
+        text = text or ""
+        low = text.lower()
+        found = _WORD.findall(low)
+        shown = _patterns(text, low, found)
+        words, out, known = set(found), set(), self.known
         for w in words:
-            found = known.get(w)
-            if found is None:
-                found = known[w] = tuple(self.terms[t] for t in word_terms(w) if t in self.terms)
-            if found:
-                out.update(found)
-        return sorted(out), len(words)
+            own = known.get(w)
+            if own is None:
+                own = known[w] = tuple(self.terms[t] for t in word_terms(w) if t in self.terms)
+            if own:
+                out.update(own)
+        return sorted(out), len(words), shown
 
 
 def votes_of(hits: list[int], lexicons: np.ndarray, shown: tuple[int, ...], exclaims: bool) -> np.ndarray:
@@ -212,6 +219,7 @@ def fit(
     folds: int = 5,
     rows: int = LABELLED_ROWS,
     evidence: float = EVIDENCE,
+    scratch: Scratch | None = None,
 ) -> ToxicityModel:
     """Learn from labelled documents whose crc32(doc_id) mod ``folds`` is not 0; ``rows`` at most.
 
@@ -236,6 +244,7 @@ def fit(
         .limit(rows)
     )
     own = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y")).select("text", "y")
+    own = (scratch or Scratch(docs.sparkSession, "toxicity")).table(own, "labelled")
     counts = own.mapInArrow(_count_terms, "term string, p long, n long").groupBy("term").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
     totals = counts.where("term = ''").select(F.col("p").alias("pos"), F.col("n").alias("neg"))
 
@@ -268,14 +277,14 @@ def fit(
         lexicons[i, [place[x] for x in _lexicons_of(t, i < len(learned))]] = True
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        look = _Hits(terms)
+        look = _Reader(terms)
         for batch in batches:
             texts = batch.column(0).to_pylist()
             found = [look(t) for t in texts]
             cols = [
-                pa.array([h for h, _ in found], pa.list_(pa.int32())),
-                pa.array([n for _, n in found], pa.int32()),
-                pa.array([patterns(t or "") for t in texts], pa.list_(pa.int32())),
+                pa.array([h for h, _, _ in found], pa.list_(pa.int32())),
+                pa.array([n for _, n, _ in found], pa.int32()),
+                pa.array([s for _, _, s in found], pa.list_(pa.int32())),
                 pa.array(["!" in (t or "") for t in texts]),
             ]
             yield pa.RecordBatch.from_arrays([batch.column(1), *cols], ["y", "hits", "words", "shown", "exclaims"])
@@ -311,9 +320,9 @@ def score(docs: DataFrame, model: ToxicityModel, text: str = "text", keep: tuple
     keep = tuple(c for c in keep if c != to)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        look = _Hits(model.terms)
+        look = _Reader(model.terms)
         for batch in batches:
-            scores = [model.score(*look(t), patterns(t or "")) for t in batch.column(len(keep)).to_pylist()]
+            scores = [model.score(*look(t)) for t in batch.column(len(keep)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(scores, pa.float64())], [*keep, to])
         del look
         give_back()
