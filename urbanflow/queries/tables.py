@@ -143,7 +143,7 @@ _SINKS = ", sk AS (SELECT * FROM fx_nodes WHERE id NOT IN (SELECT u FROM fx_fore
 
 @_("x1_section_tables", _SINKS + """, k AS (SELECT (SELECT count(*) FROM fx_nodes) AS n, (SELECT count(*) FROM fx_forest) AS e, (SELECT count(*) FROM sk) AS s, (SELECT count(*) FROM fx_boxes WHERE sub_id IN (SELECT id FROM fx_nodes)) AS b)
 SELECT section, n FROM (SELECT unnest(['CONDUITS', 'XSECTIONS', 'STORAGE', 'JUNCTIONS', 'OUTFALLS', 'COORDINATES', 'MAP', 'SYMBOLS', 'RAINGAGES', 'SUBCATCHMENTS', 'SUBAREAS', 'INFILTRATION', 'POLYGONS', 'VERTICES']) AS section,
-unnest([e + s, e + s, k.n, k.n, s, k.n + s, 1, 1, 1, b, b, b, b * 4, 0]) AS n FROM k)""", (*NF, "fx_boxes"))
+unnest([e + s, e + s, k.n, k.n, s, k.n + s, 1, 1, 1, b, b, b, b * 5, 0]) AS n FROM k)""", (*NF, "fx_boxes"))
 def x1(spark, sf) -> DataFrame:
     tables = x.section_tables(*_model(spark, sf))
     out = None
