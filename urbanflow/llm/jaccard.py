@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +27,7 @@ from urbanflow.operators.components import components
 #: Share of hash values whose shingles are counted over all documents before sets are compared.
 COUNTED = 0.3
 #: Shingles and sets in one block of a product, about.
-BLOCK_SHINGLES, BLOCK_SETS = 400_000, 1_200
+BLOCK_SHINGLES, BLOCK_SETS = 800_000, 1_600
 
 
 def shingle_set(text: str | None, n: int) -> np.ndarray:
@@ -202,8 +200,7 @@ def jaccard_groups(
        s * (100 - percent) / 100 + 1 hashes (prefix). In each shingle's column every set is paired with
        the column's most central set; products give exact overlaps, and links make components.
     4. Groups of sets under one lead that still hold several components are multiplied in blocks of a
-       bounded size: bands of sizes that may link meet, and in each all but the largest component meets
-       everything. The product of two blocks' incidence gives all overlaps, pairs below the bound that
+       bounded size, in which all but the largest component meets everything. The product of two blocks' incidence gives all overlaps, pairs below the bound that
        sizes set are discarded in place, and only an edge from each set to its component's first leaves
        the task. A group of near copies yields as many rows as sets, never its pairs.
 
@@ -285,29 +282,22 @@ def jaccard_groups(
     links = linked(star, "links")
     grouped = components(links, scratch, "cc-a").withColumnRenamed("id", "set_id")
 
-    # sets whose sizes lie in bands further apart than the next can't link: a band meets itself and the next
-    # (bands are a hair wider than the bound, for rounding)
-    width = max(-math.log(percent / 100), 1e-9) * (1 + 1e-9)
-    band = F.floor(F.log(F.col("n").cast("double")) / width).cast("int")
-    left = members.join(grouped, "set_id", "left").withColumn("component", F.coalesce("component", "set_id")).withColumn("band", band)
-    bands = left.select("lead", F.col("band").alias("key")).distinct()
-    reach = left.withColumn("key", F.explode(F.array("band", F.col("band") - 1))).join(bands, ["lead", "key"])
-    reach = scratch.table(reach.select("lead", "key", "set_id", "n", "component"), "reach")
-    # the largest component of a key is bulk: its own pairs are joined already, so it meets the rest alone
-    parts_of = reach.groupBy("lead", "key", "component").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("s"))
+    left = scratch.table(members.join(grouped, "set_id", "left").withColumn("component", F.coalesce("component", "set_id")), "left")
+    # the largest component of a group is bulk: its own pairs are joined already, so it meets the rest alone
+    parts_of = left.groupBy("lead", "component").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("s"))
     mixed = (
-        parts_of.groupBy("lead", "key")
+        parts_of.groupBy("lead")
         .agg(F.max(F.struct("m", "component", "s")).alias("bulk"), F.sum("m").alias("m"), F.sum("s").alias("s"), F.count(F.lit(1)).alias("components"))
         .where("components > 1")
-        .select("lead", "key", F.col("bulk.component").alias("bulk"), _blocks(F.col("m") - F.col("bulk.m"), F.col("s") - F.col("bulk.s")).alias("rest_blocks"), _blocks(F.col("bulk.m"), F.col("bulk.s")).alias("bulk_blocks"))
+        .select("lead", F.col("bulk.component").alias("bulk"), _blocks(F.col("m") - F.col("bulk.m"), F.col("s") - F.col("bulk.s")).alias("rest_blocks"), _blocks(F.col("bulk.m"), F.col("bulk.s")).alias("bulk_blocks"))
     )
     h = F.xxhash64("set_id")
-    placed = reach.join(scratch.table(mixed, "mixed"), ["lead", "key"]).withColumn("in_rest", F.col("component") != F.col("bulk"))
+    placed = left.join(scratch.table(mixed, "mixed"), "lead").withColumn("in_rest", F.col("component") != F.col("bulk"))
     own = F.when(F.col("in_rest"), F.pmod(h, "rest_blocks")).otherwise(F.col("rest_blocks") + F.pmod(h, "bulk_blocks")).cast("int")
     to = F.when(F.col("in_rest"), F.col("rest_blocks") + F.col("bulk_blocks") - 1).otherwise(F.col("rest_blocks") - 1)
     dealt = placed.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), to)))
-    dealt = dealt.select("lead", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "set_id", "component")
-    products = dealt.join(full_sets, "set_id").groupBy("lead", "key", "i", "j").applyInPandas(_block_product(percent), "u long, v long")
+    dealt = dealt.select("lead", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "set_id", "component")
+    products = dealt.join(full_sets, "set_id").groupBy("lead", "i", "j").applyInPandas(_block_product(percent), "u long, v long")
     more = scratch.table(products, "links-more")
     final = components(links.union(more), scratch, "cc-b").withColumnRenamed("id", "set_id")
 
