@@ -75,6 +75,18 @@ def test_token_files(spark, docs, none):
     manifest = tokenfiles.write_tokens(docs, Scratch(spark, "t"), path, 2, shard_bytes=2_000, bucket_keys=4)
     got = tokenfiles.read_tokens(tokenfiles.document_keys(docs), manifest, digest=True)
     assert {r["doc_id"]: (r["start"], r["n_tokens"], r["ids_crc32"]) for r in got.collect()} == want
+    # null ids, the least id, ids beyond a double's precision and repeated rows each have their own key
+    least = -(1 << 63)
+    odd = [(None, "a b c"), (None, "d"), (least, "e f"), (1 << 60, "g"), ((1 << 60) + 1, "h i"), (7, "same words"), (7, "same words"), (7, None)]
+    ids = [[*lib.encode(t or "", add_special_tokens=False).ids, 2] for _, t in odd]
+    frame = spark.createDataFrame(odd, "doc_id long, text string")
+    placed = tokenfiles.write_tokens(frame, Scratch(spark, "t"), path, 2, bucket_keys=100)
+    rows = tokenfiles.read_tokens(tokenfiles.document_keys(frame), placed, digest=True).collect()
+    order = lambda i: least - 1 if i is None else i
+    assert sorted((order(r["doc_id"]), r["n_tokens"], r["ids_crc32"]) for r in rows) == sorted((order(i), len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for (i, _), x in zip(odd, ids))
+    by_start = sorted(rows, key=lambda r: r["start"])
+    assert [r["start"] for r in by_start] == [sum(r["n_tokens"] for r in by_start[:k]) for k in range(len(odd))]
+    assert [order(r["doc_id"]) for r in by_start] == sorted(order(i) for i, _ in odd)
     unknown = spark.createDataFrame([(10**9, 0)], "doc_id long, nth int")
     assert tokenfiles.read_tokens(unknown, manifest).count() == 0
     empty = tokenfiles.write_tokens(none, Scratch(spark, "t"), path, 2)

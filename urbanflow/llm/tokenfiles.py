@@ -52,10 +52,20 @@ def read_file(uri: str) -> bytes:
 # --- minimal perfect hash ----------------------------------------------------------------------------
 
 
-def key_hash(doc_id: np.ndarray, nth: np.ndarray) -> np.ndarray:
-    """64-bit hash of a document key: its id and which of the rows of that id it is."""
-    x = doc_id.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + nth.astype(np.uint64)
-    return _mix(x, 1)
+def key_hash(doc_id: np.ndarray, nth: np.ndarray, null: np.ndarray) -> np.ndarray:
+    """64-bit hash of a document key: its id (or that it has none) and which of the rows of that id it is."""
+    x = _mix(doc_id.astype(np.int64).view(np.uint64), 3) * np.uint64(0x9E3779B97F4A7C15)
+    return _mix(x + nth.astype(np.uint64) + (null.astype(np.uint64) << np.uint64(40)), 1)
+
+
+def _keyed(rows: DataFrame, buckets: int) -> DataFrame:
+    """Rows (doc_id, nth) with their bucket; ids go through pandas without nulls, which would make them floats."""
+    own = rows.withColumns({"bucket": _bucket("doc_id", "nth", buckets), "no_id": F.col("doc_id").isNull()})
+    return own.withColumn("doc_id", F.coalesce("doc_id", F.lit(0)))
+
+
+def _hashes(rows: pd.DataFrame) -> np.ndarray:
+    return key_hash(rows["doc_id"].to_numpy(np.int64), rows["nth"].to_numpy(), rows["no_id"].to_numpy(bool))
 
 
 def _mix(x: np.ndarray, seed: int) -> np.ndarray:
@@ -300,7 +310,7 @@ def write_tokens(
     about ``bucket_keys`` keys. Nothing of either grows with the input but their number.
 
     Null and empty texts are the end id alone. Null ids sort first. Rows that repeat an id follow each
-    other, in the order of their text's hash, under keys (id, 0), (id, 1), ...; other columns are
+    other, in the order of their ids' hash, under keys (id, 0), (id, 1), ...; other columns are
     not read. An empty table writes no files.
     """
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
@@ -320,15 +330,12 @@ def write_tokens(
     buckets = parts_for(n, bucket_keys)
 
     def index(key, rows: pd.DataFrame) -> pd.DataFrame:
-        ids = rows["doc_id"].astype("Int64").fillna(np.iinfo(np.int64).min).to_numpy(np.int64)
-        table = Mph.build(
-            key_hash(ids, rows["nth"].to_numpy()), rows["shard"].to_numpy(), rows["first"].to_numpy(), rows["n_tokens"].to_numpy()
-        )
+        table = Mph.build(_hashes(rows), rows["shard"].to_numpy(), rows["first"].to_numpy(), rows["n_tokens"].to_numpy())
         write_file(f"{folder}/index-{key[0]:08d}.mph", [table.pack()])
         return pd.DataFrame({"bucket": [key[0]], "n": [len(rows)]})
 
     built = (
-        places.withColumn("bucket", _bucket("doc_id", "nth", buckets))
+        _keyed(places, buckets)
         .groupBy("bucket")
         .applyInPandas(index, "bucket int, n long")
     )
@@ -347,15 +354,15 @@ def locate(keys: DataFrame, manifest: dict) -> DataFrame:
 
     def look(key, rows: pd.DataFrame) -> pd.DataFrame:
         table = Mph.unpack(read_file(f"{folder}/index-{key[0]:08d}.mph"))
-        ids = rows["doc_id"].astype("Int64").fillna(np.iinfo(np.int64).min).to_numpy(np.int64)
-        rows["shard"], rows["first"], rows["n_tokens"] = table.find(key_hash(ids, rows["nth"].to_numpy()))
-        return rows[["doc_id", "nth", "shard", "first", "n_tokens"]]
+        rows["shard"], rows["first"], rows["n_tokens"] = table.find(_hashes(rows))
+        return rows[["doc_id", "no_id", "nth", "shard", "first", "n_tokens"]]
 
-    return (
-        keys.withColumn("bucket", _bucket("doc_id", "nth", manifest["buckets"]))
+    found = (
+        _keyed(keys.select("doc_id", "nth"), manifest["buckets"])
         .groupBy("bucket")
-        .applyInPandas(look, "doc_id long, nth int, shard int, first long, n_tokens long")
+        .applyInPandas(look, "doc_id long, no_id boolean, nth int, shard int, first long, n_tokens long")
     )
+    return found.withColumn("doc_id", F.when(~F.col("no_id"), F.col("doc_id"))).drop("no_id")
 
 
 def read_tokens(keys: DataFrame, manifest: dict, digest: bool = False) -> DataFrame:
