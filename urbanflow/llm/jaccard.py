@@ -283,16 +283,23 @@ def jaccard_groups(
     grouped = components(links, scratch, "cc-a").withColumnRenamed("id", "set_id")
 
     left = scratch.table(members.join(grouped, "set_id", "left").withColumn("component", F.coalesce("component", "set_id")), "left")
-    # the largest component of a group is bulk: its own pairs are joined already, so it meets the rest alone
+    # the largest component of a group is bulk: its own pairs are joined already, so it meets the rest alone;
+    # a group that fits in one block stays whole
     parts_of = left.groupBy("lead", "component").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("s"))
     mixed = (
         parts_of.groupBy("lead")
         .agg(F.max(F.struct("m", "component", "s")).alias("bulk"), F.sum("m").alias("m"), F.sum("s").alias("s"), F.count(F.lit(1)).alias("components"))
         .where("components > 1")
-        .select("lead", F.col("bulk.component").alias("bulk"), _blocks(F.col("m") - F.col("bulk.m"), F.col("s") - F.col("bulk.s")).alias("rest_blocks"), _blocks(F.col("bulk.m"), F.col("bulk.s")).alias("bulk_blocks"))
+        .withColumn("whole", _blocks(F.col("m"), F.col("s")) == 1)
+        .select(
+            "lead",
+            F.col("bulk.component").alias("bulk"),
+            F.when(F.col("whole"), 1).otherwise(_blocks(F.col("m") - F.col("bulk.m"), F.col("s") - F.col("bulk.s"))).alias("rest_blocks"),
+            F.when(F.col("whole"), 0).otherwise(_blocks(F.col("bulk.m"), F.col("bulk.s"))).alias("bulk_blocks"),
+        )
     )
     h = F.xxhash64("set_id")
-    placed = left.join(scratch.table(mixed, "mixed"), "lead").withColumn("in_rest", F.col("component") != F.col("bulk"))
+    placed = left.join(scratch.table(mixed, "mixed"), "lead").withColumn("in_rest", (F.col("component") != F.col("bulk")) | (F.col("bulk_blocks") == 0))
     own = F.when(F.col("in_rest"), F.pmod(h, "rest_blocks")).otherwise(F.col("rest_blocks") + F.pmod(h, "bulk_blocks")).cast("int")
     to = F.when(F.col("in_rest"), F.col("rest_blocks") + F.col("bulk_blocks") - 1).otherwise(F.col("rest_blocks") - 1)
     dealt = placed.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), to)))
