@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from urbanflow.llm import decontamination, jaccard, language_model, licenses, neighbours, sentencepieces, sharding, substrings, tokenfiles, toxicity
+from urbanflow.llm import bytepairs, decontamination, jaccard, language_model, licenses, neighbours, sentencepieces, sharding, substrings, tokenfiles, toxicity
 from urbanflow.llm.common import Scratch, crc_of_id, small_batches
 from urbanflow.llm.oracles import ORACLES  # noqa: F401
 
@@ -93,6 +93,18 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_documents(_read(spark, sf_dir, "documents"))
 
 
+def op13_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    coded = bytepairs.round_trip(_read(spark, sf_dir, "documents"), _path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES = {
     "op1_language_model": op1_language_model,
     "op2_decontamination": op2_decontamination,
@@ -104,4 +116,5 @@ QUERIES = {
     "op8_neighbours": op8_neighbours,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_license_scan": op10_license_scan,
+    "op13_byte_pairs": op13_byte_pairs,
 }
