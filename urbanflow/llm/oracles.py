@@ -45,10 +45,49 @@ SELECT * FROM r WHERE rank <= 20
 """
 
 
+def _tree(name: str, leaves: str, levels: int) -> str:
+    """Levels of a tree for each ``grp`` over ``leaves`` (grp, i, h, ...), and each node's siblings: 16^levels leaves at most."""
+    out = [f"{name}0 AS (SELECT grp, i, h FROM {leaves})"]
+    for k in range(levels):
+        up = "sha256(string_agg(h, '' ORDER BY i))"
+        out.append(f"{name}{k + 1} AS (SELECT grp, i // 16 AS i, CASE WHEN any_value(n) > 1 THEN {up} ELSE any_value(h) END AS h FROM (SELECT *, count(*) OVER (PARTITION BY grp) AS n FROM {name}{k}) GROUP BY ALL)")
+        side = "coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i {} a.i), '')"
+        out.append(f"{name}s{k} AS (SELECT a.grp, a.i, {side.format('<')} AS l, {side.format('>')} AS r, (SELECT count(*) FROM {name}{k} c WHERE c.grp = a.grp) > 1 AS many FROM {name}{k} a JOIN {name}{k} b ON a.grp = b.grp AND a.i // 16 = b.i // 16 GROUP BY a.grp, a.i)")
+    return ", ".join(out)
+
+
+def _climb(name: str, frm: str, grp: str, levels: int) -> str:
+    """Adds siblings (``proof``) and folds ``cur`` up the levels of one tree, level by level."""
+    out, last = [], frm
+    for k in range(levels):
+        new = f"{name}c{k}"
+        out.append(f"{new} AS (SELECT x.* REPLACE (proof || CASE WHEN s.many THEN s.l || s.r ELSE '' END AS proof, CASE WHEN s.many THEN sha256(s.l || cur || s.r) ELSE cur END AS cur) FROM {last} x JOIN {name}s{k} s ON s.grp = x.{grp} AND s.i = x.{name}i // {16**k})")
+        last = new
+    return ", ".join(out)
+
+
+_CRC = """list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda ch: [CAST(ascii(ch) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+      lambda c, b: CASE WHEN b >= 0 THEN xor(c, b) WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)"""
+_FIELDS = " || ".join(f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in ("doc_id", "source", "lang", "n_chars", "t"))
+
+MANIFEST = f"""
+WITH d AS (SELECT doc_id, source, lang, n_chars, text AS t, xor({_CRC}, 4294967295) % 5 = 0 AS bad FROM documents),
+v AS (SELECT doc_id, source, bad, sha256({_FIELDS}) AS h FROM d),
+b AS (SELECT doc_id, source, sha256({_FIELDS}) AS h FROM (SELECT * REPLACE ({_LOWER.replace("text", "t")} AS t) FROM d) WHERE bad),
+p AS (SELECT v.*, coalesce('s' || source, 'n') AS grp, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS ti, dense_rank() OVER (ORDER BY coalesce('s' || source, 'n')) - 1 AS ui FROM v),
+{_tree("t", "p", 4)}, tops AS (SELECT 'all' AS grp, row_number() OVER (ORDER BY grp) - 1 AS i, h, grp AS own FROM t4), {_tree("u", "tops", 3)},
+st AS (SELECT p.doc_id, p.h AS leaf, p.grp, p.ti, p.ui, 'all' AS top, coalesce(b.h, p.h) AS cur, '' AS proof FROM p LEFT JOIN b ON b.doc_id = p.doc_id),
+{_climb("t", "st", "grp", 4)}, {_climb("u", "tc3", "top", 3)}
+SELECT x.doc_id, x.leaf, o.h AS subroot, u3.h AS root, sha256(x.proof) AS proof_sha256, x.cur AS folded_root, x.cur = u3.h AS verified
+FROM uc2 x JOIN tops o ON o.own = x.grp CROSS JOIN u3
+"""
+
+
 #: op7_shards has none: DuckDB lacks CRC-32, and byte by byte in SQL it takes over ten minutes on the whole table.
 ORACLES: dict[str, str] = {
     "op2_decontamination": decontamination.ORACLE,
     "op5_jaccard_join": JACCARD,
     "op8_neighbours": NEIGHBOURS,
     "op9_substring_dedup": SUBSTRINGS,
+    "op12_manifest": MANIFEST,
 }

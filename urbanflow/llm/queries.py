@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from urbanflow.llm import bytepairs, decontamination, jaccard, language_model, licenses, neighbours, sentencepieces, sharding, substrings, tokenfiles, toxicity
-from urbanflow.llm.common import Scratch, crc_of_id, small_batches
+from urbanflow.llm import bytepairs, decontamination, jaccard, language_model, licenses, merkle, neighbours, sentencepieces, sharding, substrings, tokenfiles, toxicity
+from urbanflow.llm.common import Scratch, crc_of_id, lower_ascii, small_batches
 from urbanflow.llm.oracles import ORACLES  # noqa: F401
 
 
@@ -93,6 +93,16 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_documents(_read(spark, sf_dir, "documents"))
 
 
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    leaf, changed = (merkle.leaf_hash(*(f(F.col(c)) if c == "text" else F.col(c) for c in fields)) for f in (lambda t: t, lower_ascii))
+    keep = {"doc_id": F.col("doc_id"), "changed": F.when(crc_of_id(F.col("doc_id"), 5) == 0, changed)}
+    proven = merkle.manifest(docs, leaf, Scratch(spark, "op12"), keep=keep)
+    folded = proven.withColumn("folded_root", merkle.fold(F.coalesce("changed", "leaf"), F.col("proof")))
+    return folded.select("doc_id", "leaf", "subroot", "root", merkle.proof_hash(F.col("proof")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 def op13_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -116,5 +126,6 @@ QUERIES = {
     "op8_neighbours": op8_neighbours,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_license_scan": op10_license_scan,
+    "op12_manifest": op12_manifest,
     "op13_byte_pairs": op13_byte_pairs,
 }
