@@ -44,6 +44,18 @@ r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY sc
 SELECT * FROM r WHERE rank <= 20
 """
 
+HARD_NEGATIVES = """
+WITH e AS (SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+      WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+v AS (SELECT vec_id, label, list_transform(e, lambda x: floor(256 * x)) AS q FROM e),
+p AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+      FROM v a JOIN v b ON b.vec_id <> a.vec_id AND len(a.q) = len(b.q) WHERE a.vec_id % 100 = 0),
+g AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM p WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+r AS (SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY p.score DESC, p.vec_id) AS INTEGER) AS rank, p.vec_id AS negative_id, positive_score, p.score AS negative_score
+      FROM g JOIN p USING (anchor_id) WHERE NOT p.same AND 80 * positive_score <= 100 * p.score AND 100 * p.score <= 100 * positive_score)
+SELECT * FROM r WHERE rank <= 5
+"""
+
 
 def _tree(name: str, leaves: str, levels: int) -> str:
     """Levels of a tree for each ``grp`` over ``leaves`` (grp, i, h, ...), and each node's siblings: 16^levels leaves at most."""
@@ -89,5 +101,6 @@ ORACLES: dict[str, str] = {
     "op5_jaccard_join": JACCARD,
     "op8_neighbours": NEIGHBOURS,
     "op9_substring_dedup": SUBSTRINGS,
+    "op11_hard_negatives": HARD_NEGATIVES,
     "op12_manifest": MANIFEST,
 }

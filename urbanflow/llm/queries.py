@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from urbanflow.llm import bytepairs, decontamination, jaccard, language_model, licenses, merkle, neighbours, sentencepieces, sharding, substrings, tokenfiles, toxicity
+from urbanflow.llm import bytepairs, decontamination, hardnegatives, jaccard, language_model, licenses, merkle, neighbours, sentencepieces, sharding, substrings, tokenfiles, toxicity
 from urbanflow.llm.common import Scratch, crc_of_id, lower_ascii, small_batches
 from urbanflow.llm.oracles import ORACLES  # noqa: F401
 
@@ -93,6 +93,12 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_documents(_read(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = _read(spark, sf_dir, "embeddings").select("vec_id", label.alias("label"), hardnegatives.quantised(F.col("embedding")).alias("vector"))
+    return hardnegatives.mine(rows, rows.where("vec_id % 100 = 0"), Scratch(spark, "op11"))
+
+
 def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     fields = ["doc_id", "source", "lang", "n_chars", "text"]
@@ -126,6 +132,7 @@ QUERIES = {
     "op8_neighbours": op8_neighbours,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_license_scan": op10_license_scan,
+    "op11_hard_negatives": op11_hard_negatives,
     "op12_manifest": op12_manifest,
     "op13_byte_pairs": op13_byte_pairs,
 }
