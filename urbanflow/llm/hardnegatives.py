@@ -65,7 +65,10 @@ class Index:
         norms = _prefix_norms(q)
         exact = self.norms[:, -1].max(initial=0) * norms[:, -1].max(initial=0)
         kind = np.float32 if exact < 2**24 else np.float64 if exact < 2**53 else object  # sums stay exact integers
-        x, d = self.x.astype(kind), q.shape[1]
+        if kind is object:  # Python's own integers
+            q, x, d = q.astype(np.int64), self.x.astype(np.int64).astype(object), q.shape[1]
+        else:
+            x, d = self.x.astype(kind), q.shape[1]
         starts = list(range(0, d, _RUN)) or [0]
         rank = np.argsort(least / np.maximum(norms[:, -1], 1e-300), kind="stable")
         for own in (rank[i : i + together] for i in range(0, len(rank), together)):
