@@ -64,7 +64,7 @@ def test_threshold_join(scale):
     rng = np.random.default_rng(6)
     weight = rng.random(37) ** 3
     x, q = (np.floor(rng.normal(size=(n, 37)) * weight * scale) for n in (400, 150))
-    exact = q.astype(object) @ x.T.astype(object)
+    exact = q.astype(np.int64).astype(object) @ x.T.astype(np.int64).astype(object)
     for level in (-1e30, 0.0, 0.3, 0.8, 2.0):
         least = np.floor(level * np.sort(exact.astype(float), 1)[:, -20]) if level >= 0 else np.full(150, level)
         least[:10] = -np.inf
