@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import itertools
+import math
+import warnings
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,7 +16,6 @@ from urbanflow.scratch import Scratch
 
 # Flow codes, the step of each in rows and columns, and its length in cells.
 D8 = ((1, 0, 1), (2, 1, 1), (4, 1, 0), (8, 1, -1), (16, 0, -1), (32, -1, -1), (64, -1, 0), (128, -1, 1))
-ROUNDS = 400
 
 
 def _neighbours(cells: DataFrame, cols: list[str]) -> DataFrame:
@@ -40,21 +43,60 @@ def burn(cells: DataFrame, marked: DataFrame, depth: float) -> DataFrame:
     return cells.join(own, ["r", "c"], "left").withColumn("z", F.col("z") - F.when(F.col("_m"), depth).otherwise(0.0)).drop("_m")
 
 
-def fill_pits(cells: DataFrame, scratch: Scratch, rounds: int = ROUNDS) -> DataFrame:
-    """Depressionless surface: water starts high and sinks to the lowest way out; cells at the edge drain."""
-    n = _neighbours(cells.select("r", "c"), []).join(cells.select("r", "c"), ["r", "c"], "left_semi").groupBy("r", "c").count()
-    edge = cells.join(n, ["r", "c"], "left").withColumn("w", F.when(F.coalesce("count", F.lit(0)) < 8, F.col("z")).otherwise(float("inf"))).select("r", "c", "z", "w")
-    now = scratch.table(edge, "fill-0")
-    for k in range(1, rounds + 1):
-        low = _neighbours(now, ["w"]).groupBy("r", "c").agg(F.min("n_w").alias("m"))
-        w = F.when(F.col("w") > F.col("z"), F.least("w", F.greatest("z", F.coalesce("m", F.col("w"))))).otherwise(F.col("w"))
-        nxt = scratch.table(now.join(low, ["r", "c"], "left").select("r", "c", "z", w.alias("w"), (w < F.col("w")).alias("sank")), f"fill-{k}")
-        if k > 1:
-            scratch.drop(f"fill-{k - 1}")
-        now = nxt.drop("sank")
-        if nxt.where("sank").isEmpty():
-            return now.select("r", "c", F.col("w").alias("z"))
-    raise RuntimeError(f"water still sinks after {rounds} rounds")
+#: Name of all that drains over the rim; it sorts before every cell's name.
+OUT = "!"
+
+
+def fill_pits(cells: DataFrame, scratch: Scratch) -> DataFrame:
+    """Depressionless surface: each cell at the height over which its water gets to the rim; rim cells drain.
+
+    Every cell belongs to the pit that the way down leads to, or to the rim. Neighbouring basins are joined
+    by their lowest pass, and on that small graph each round lets every basin that doesn't drain yet flow
+    over its lowest pass, basins that meet becoming one. A cell stands as high as the highest such pass of
+    its basin, or itself. Ways double and basins at least halve, so rounds grow with logarithms alone.
+    """
+    cells = cells.select("r", "c", "z")
+    near = _neighbours(cells, ["z", "r", "c"]).join(cells, ["r", "c"])
+    low = near.groupBy("r", "c", "z").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("n_z", "n_r", "n_c")).alias("m"))
+    down = (F.col("n") == 8) & (F.col("m") < F.struct(F.col("z").alias("n_z"), F.col("r").alias("n_r"), F.col("c").alias("n_c")))
+    at = cells.join(low.drop("z"), ["r", "c"], "left")
+    at = scratch.table(at.select("r", "c", "z", (F.coalesce("n", F.lit(0)) < 8).alias("rim"), F.when(down, F.col("m.n_r")).alias("to_r"), F.when(down, F.col("m.n_c")).alias("to_c")), "fill-ways")
+    ends = basins(at.select("r", "c", "to_r", "to_c"), None, scratch)
+    rim = at.where("rim").select(_key().alias("basin"), F.lit(OUT).alias("out"))
+    lake = ends.join(rim, "basin", "left").select("r", "c", F.coalesce("out", "basin").alias("basin")).join(cells, ["r", "c"])
+    lake = scratch.table(lake, "fill-lakes")
+    beside = lake.join(_neighbours(lake, ["z", "basin"]), ["r", "c"]).where("basin < n_basin")
+    passes = scratch.table(beside.groupBy(F.col("basin").alias("u"), F.col("n_basin").alias("v")).agg(F.min(F.greatest("z", "n_z")).alias("h")), "fill-passes")
+    start = lake.where(F.col("basin") != OUT).select(F.col("basin").alias("id")).distinct()
+    label = scratch.table(start.select("id", F.col("id").alias("lake"), F.lit(float("-inf")).alias("level")), "fill-0")
+    for k in itertools.count(1):
+        open_ = label.where(F.col("lake") != OUT)
+        if open_.isEmpty():
+            break
+        for end in "uv":  # names of what the pits have become
+            own = label.select(F.col("id").alias(end), F.col("lake").alias(f"_{end}"))
+            passes = passes.join(own, end, "left").withColumn(f"l{end}", F.coalesce(f"_{end}", F.lit(OUT))).drop(f"_{end}")
+        across = passes.where("lu <> lv")
+        both = across.select(F.col("lu").alias("lake"), F.struct("h", "u", "v", F.col("lv").alias("to")).alias("e")).union(across.select("lv", F.struct("h", "u", "v", F.col("lu").alias("to"))))
+        least = scratch.table(both.where(F.col("lake") != OUT).groupBy("lake").agg(F.min("e").alias("e")).select("lake", "e.h", "e.to"), f"fill-least-{k}")
+        passes = scratch.table(across.groupBy("u", "v").agg(F.min("h").alias("h")), f"fill-passes-{k}")
+        # where two flow into each other the lesser name stays
+        back = least.select(F.col("lake").alias("to"), F.col("to").alias("back"))
+        way = least.join(back, "to", "left").select("lake", F.when((F.col("back") == F.col("lake")) & (F.col("lake") < F.col("to")), F.lit(None)).otherwise(F.col("to")).alias("to"))
+        roots = _ends(way.select(F.col("lake").alias("id"), "to"), scratch, f"fill-merge-{k}")
+        new = label.join(least.select("lake", "h"), "lake", "left").join(roots.select(F.col("id").alias("lake"), F.col("end").alias("root")), "lake", "left")
+        label = scratch.table(new.select("id", F.coalesce("root", "lake").alias("lake"), F.greatest("level", F.coalesce("h", "level")).alias("level")), f"fill-{k}")
+    return lake.join(label.select(F.col("id").alias("basin"), "level"), "basin", "left").select("r", "c", F.greatest("z", "level").alias("z"))
+
+
+def _ends(ways: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """``id, end``: where the way (id, to) from each id ends; pointers double."""
+    now = scratch.table(ways.select("id", "to", F.coalesce("to", "id").alias("end")), f"{name}-0")
+    for k in itertools.count(1):
+        if now.where("to is not null").isEmpty():
+            return now.select("id", "end")
+        far = now.select(F.col("id").alias("to"), F.col("to").alias("_t"), F.col("end").alias("_e"))
+        now = scratch.table(now.join(far, "to", "left").select("id", F.col("_t").alias("to"), F.coalesce("_e", "end").alias("end")), f"{name}-{k}")
 
 
 def d8(cells: DataFrame) -> DataFrame:
@@ -107,28 +149,50 @@ def basins(flow: DataFrame, outlets: DataFrame | None, scratch: Scratch, rounds:
     raise RuntimeError("flow runs in a circle")
 
 
-def stream_order(flow: DataFrame, scratch: Scratch, rounds: int = ROUNDS) -> DataFrame:
-    """``r, c, strahler``: headwaters 1; where two of the highest order meet, one more."""
-    e = scratch.table(flow.where("to_r is not null").select(_key().alias("u"), _key("to_r", "to_c").alias("v")), "so-edges")
-    wait = scratch.table(e.groupBy(F.col("v").alias("id")).agg(F.count(F.lit(1)).alias("n")), "so-wait")
-    every = flow.select(_key().alias("id"), "r", "c")
-    wave = scratch.table(every.join(wait, "id", "left_anti").select("id", F.lit(1).alias("o")), "so-0")
-    done = wave
-    for k in range(1, rounds + 1):
-        came = done.join(e, done["id"] == e["u"]).groupBy("v").agg(F.count(F.lit(1)).alias("got"), F.max(F.struct("o")).alias("m"), F.collect_list("o").alias("os"))
-        ready = came.join(wait, came["v"] == wait["id"]).where("got = n").join(done.select(F.col("id").alias("v")), "v", "left_anti")
-        top = F.array_max("os")  # at most eight
-        wave = scratch.table(ready.select(F.col("v").alias("id"), (top + F.when(F.size(F.filter("os", lambda x: x == top)) > 1, 1).otherwise(0)).alias("o")), f"so-{k}")
-        if wave.isEmpty():
-            return every.join(done, "id").select("r", "c", F.col("o").alias("strahler"))
-        done = scratch.table(done.union(wave), f"so-done-{k}")
-    raise RuntimeError(f"more than {rounds} cells in a row")
+def stream_order(flow: DataFrame, scratch: Scratch) -> DataFrame:
+    """``r, c, strahler``: headwaters 1; where two of the highest order meet, one more.
+
+    Streams are pruned: the cells of order k are those below no confluence once all lesser orders are
+    gone. Which cells lie below a confluence is told by doubling pointers, and orders are at most the
+    logarithm of the headwaters, so a long stream takes few rounds.
+    """
+    f = flow.select(_key().alias("id"), F.when(F.col("to_r").isNotNull(), _key("to_r", "to_c")).alias("to"), "r", "c")
+    known = f.select(F.col("id").alias("to"), F.lit(True).alias("_k"))
+    left = scratch.table(f.join(known, "to", "left").select("id", "r", "c", F.when(F.col("_k"), F.col("to")).alias("to")), "so-0")
+    out = None
+    for k in itertools.count(1):
+        meet = left.where("to is not null").groupBy("to").count().where("count > 1").select(F.col("to").alias("id"), F.lit(True).alias("below"))
+        marked = scratch.table(left.join(meet, "id", "left").select("id", "r", "c", "to", F.coalesce("below", F.lit(False)).alias("below")), f"so-meet-{k}")
+        if marked.where("below").isEmpty():
+            last = left.select("r", "c", F.lit(k).alias("strahler"))
+            return last if out is None else out.union(last)
+        kept = _below(marked, scratch, f"so-{k}")
+        own = marked.drop("below").join(kept, "id")
+        own = scratch.table(own, f"so-left-{k}")
+        gone = own.where("not below").select("r", "c", F.lit(k).alias("strahler"))
+        out = gone if out is None else out.union(gone)
+        left = own.where("below").drop("below")
+
+
+def _below(marked: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """``id, below``: whether an id is marked or lies on the way (id, to) from one that is."""
+    now, longest = marked.select("id", "to", "below"), math.ceil(math.log2(max(2, marked.count()))) + 1
+    for k in itertools.count(1):
+        given = now.where("below and to is not null").groupBy(F.col("to").alias("id")).agg(F.lit(True).alias("_g"))
+        far = now.select(F.col("id").alias("to"), F.col("to").alias("_t"))
+        now = now.join(given, "id", "left").join(far, "to", "left").select("id", F.col("_t").alias("to"), (F.col("below") | F.coalesce("_g", F.lit(False))).alias("below"))
+        now = scratch.table(now, f"{name}-{k}")
+        if now.where("to is not null").isEmpty():
+            return now.select("id", "below")
+        if k > longest:
+            raise ValueError("flow runs in a circle")
 
 
 def subbasins(flow: DataFrame, min_order: int, scratch: Scratch) -> DataFrame:
     """Basins of the cells where segments of at least ``min_order`` end; without any, whole basins."""
     order = scratch.table(stream_order(flow, scratch).where(F.col("strahler") >= min_order), "so-high")
     if order.isEmpty():
+        warnings.warn(f"no stream of order {min_order} or more: whole basins are taken instead", stacklevel=2)
         return basins(flow, None, scratch)
     on = flow.join(order, ["r", "c"]).select("r", "c", "strahler", "to_r", "to_c")
     below = order.select(F.col("r").alias("to_r"), F.col("c").alias("to_c"), F.col("strahler").alias("_o"))
