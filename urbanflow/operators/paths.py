@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import math
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,98 +11,141 @@ from pyspark.sql import functions as F
 from urbanflow.operators.components import components
 from urbanflow.scratch import Scratch
 
-ROUNDS = 200
+#: Rounds after which a result that grows by unions is written as one table, so that its plan stays short.
+_GATHER = 20
 
 
-def reach(edges: DataFrame, targets: DataFrame, scratch: Scratch, name: str = "reach", rounds: int = ROUNDS) -> DataFrame:
+def reach(edges: DataFrame, targets: DataFrame, scratch: Scratch, name: str = "reach") -> DataFrame:
     """``id`` of the targets and of all nodes with a path to one."""
-    back = edges.select(F.col("v").alias("id"), F.col("u").alias("next")).distinct()
-    return _spread(back, targets, scratch, name, rounds)
+    return _spread(edges, targets, scratch, name)
 
 
-def descendants(edges: DataFrame, sources: DataFrame, scratch: Scratch, name: str = "down", rounds: int = ROUNDS) -> DataFrame:
-    return _spread(edges.select(F.col("u").alias("id"), F.col("v").alias("next")).distinct(), sources, scratch, name, rounds)
+def descendants(edges: DataFrame, sources: DataFrame, scratch: Scratch, name: str = "down") -> DataFrame:
+    return _spread(edges.select(F.col("v").alias("u"), F.col("u").alias("v")), sources, scratch, name)
 
 
-def _spread(step: DataFrame, start: DataFrame, scratch: Scratch, name: str, rounds: int) -> DataFrame:
+def _spread(edges: DataFrame, start: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    arcs = shortcuts(edges.select("u", "v", F.lit(0.0).alias("w")).distinct(), scratch, f"{name}-arcs")
+    step = arcs.select(F.col("v").alias("id"), F.col("u").alias("next")).distinct()
     seen = front = scratch.table(start.select("id").distinct(), f"{name}-0")
-    for k in range(1, rounds + 1):
+    for k in itertools.count(1):
         front = scratch.table(front.join(step, "id").select(F.col("next").alias("id")).distinct().join(seen, "id", "left_anti"), f"{name}-{k}")
         if front.isEmpty():
             return seen
         seen = seen.union(front)
-    raise RuntimeError(f"not all nodes were reached in {rounds} rounds")
+        if k % _GATHER == 0:
+            seen = scratch.table(seen, f"{name}-seen-{k}")
+
+
+def shortcuts(edges: DataFrame, scratch: Scratch, name: str, widest: bool = False) -> DataFrame:
+    """``u, v, w, hops, first``: the edges (u, v, w) and walks of 2, 4, 8, ... of them along chains.
+
+    A chain node has two neighbours, direction aside. Walks double where they meet at one and go straight
+    on, so there are at most as many of each length as edges, and a chain is crossed in a logarithmic
+    number of rounds. ``w`` is the sum of the weights, with ``widest`` the largest; ``first`` the node
+    after ``u``. The edges themselves come with one hop each.
+    """
+    one = scratch.table(edges.select("u", "v", "w", F.lit(1).alias("hops"), F.col("v").alias("first"), F.col("u").alias("before")), f"{name}-0")
+    ends = one.where("u <> v").select("u", "v")
+    beside = ends.union(ends.select("v", "u")).distinct().groupBy("u").count().where("count = 2")
+    chain = scratch.table(beside.select(F.col("u").alias("v")), f"{name}-chain")
+    out = last = one
+    for k in itertools.count(1):
+        on = last.where("u <> v").join(chain, "v").select("u", "v", "w", "hops", "first", "before")
+        more = last.where("u <> v").select(F.col("u").alias("v"), F.col("v").alias("end"), F.col("w").alias("_w"), F.col("hops").alias("_h"), F.col("first").alias("_f"), F.col("before").alias("_b"))
+        w = F.greatest("w", "_w") if widest else F.col("w") + F.col("_w")
+        met = on.join(more, "v").where("_f <> before and u <> end")
+        last = scratch.table(met.select("u", F.col("end").alias("v"), w.alias("w"), (F.col("hops") + F.col("_h")).alias("hops"), "first", F.col("_b").alias("before")), f"{name}-{k}")
+        if last.isEmpty():
+            return out.drop("before")
+        out = out.union(last)
 
 
-def shortest_paths(edges: DataFrame, sources: DataFrame, scratch: Scratch, weight: str = "weight", rounds: int = ROUNDS) -> DataFrame:
+def shortest_paths(edges: DataFrame, sources: DataFrame, scratch: Scratch, weight: str = "weight") -> DataFrame:
     """``id, dist, parent, outfall``: shortest paths along the edges to the nearest source.
 
-    Ties go to the least parent. A negative cycle keeps improving and is reported as an error.
+    Ties go to fewer hops and then to the least parent; sums that differ by rounding alone are ties.
+    Chains are crossed by shortcuts. A negative cycle would improve for ever: more rounds than nodes are
+    an error.
     """
-    into = scratch.table(edges.groupBy("u", "v").agg(F.min(weight).alias("w")), "sp-edges")
-    now = scratch.table(
-        sources.select("id", F.lit(0.0).alias("dist"), F.lit(None).cast("string").alias("parent"), F.col("id").alias("outfall")).distinct(), "sp-0"
-    )
-    front = now
-    for k in range(1, rounds + 1):
-        offers = front.join(into, front["id"] == into["v"]).select(
-            F.col("u").alias("id"), (F.col("dist") + F.col("w")).alias("d"), F.col("v").alias("p"), F.col("outfall").alias("o")
-        )
-        best = offers.groupBy("id").agg(F.min(F.struct("d", "p", "o")).alias("m"))
+    into = scratch.table(edges.groupBy("u", "v").agg(F.min(weight).cast("double").alias("w")), "sp-edges")
+    arcs = scratch.table(shortcuts(into, scratch, "sp-arcs"), "sp-arcs-all")
+    now = scratch.table(sources.select("id", F.lit(0.0).alias("dist"), F.lit(0).alias("hops"), F.lit(None).cast("string").alias("parent")).distinct(), "sp-0")
+    most, front = None, now
+    for k in itertools.count(1):
+        offers = front.select(F.col("id").alias("v"), "dist", F.col("hops").alias("h")).join(arcs, "v")
+        d = F.col("dist") + F.col("w")
+        best = offers.groupBy(F.col("u").alias("id")).agg(F.min(F.struct(F.round(d, 9).alias("r"), (F.col("h") + F.col("hops")).alias("h"), F.col("first").alias("p"), d.alias("d"))).alias("m"))
         both = now.join(best, "id", "full")
-        better = F.col("m").isNotNull() & (F.col("dist").isNull() | (F.col("m.d") < F.col("dist")))
-        now = scratch.table(
-            both.select(
-                "id",
-                F.when(better, F.col("m.d")).otherwise(F.col("dist")).alias("dist"),
-                F.when(better, F.col("m.p")).otherwise(F.col("parent")).alias("parent"),
-                F.when(better, F.col("m.o")).otherwise(F.col("outfall")).alias("outfall"),
-                better.alias("changed"),
-            ),
-            f"sp-{k}",
-        )
+        slack = (F.abs("dist") + 1) * 1e-12
+        tie = (F.abs(F.col("m.d") - F.col("dist")) <= slack) & (F.struct("m.h", "m.p") < F.struct("hops", F.coalesce("parent", F.lit(""))))
+        better = F.col("m").isNotNull() & (F.col("dist").isNull() | (F.col("m.d") < F.col("dist") - slack) | F.coalesce(tie, F.lit(False)))
+        cols = [F.when(better, F.col(new)).otherwise(F.col(old)).alias(old) for new, old in (("m.d", "dist"), ("m.h", "hops"), ("m.p", "parent"))]
+        now = scratch.table(both.select("id", *cols, better.alias("changed")), f"sp-{k}")
         front = now.where("changed").drop("changed")
         now = now.drop("changed")
         if front.isEmpty():
-            return now
-    raise RuntimeError("distances still improve: a negative cycle, or more rounds are needed")
+            break
+        if k > 100:  # counted only where it may matter
+            most = most or into.select("u").union(into.select("v")).distinct().count() + 1
+            if k > most:
+                raise RuntimeError("distances still improve after as many rounds as nodes: a negative cycle")
+    ends = ends_of(now.select("id", F.col("parent").alias("to")), scratch, "sp-ends")
+    return now.join(ends, "id").select("id", "dist", "parent", F.col("end").alias("outfall"))
+
+
+def ends_of(ways: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """``id, end``: where the way (id, to) from each id ends; pointers double. A circle is an error."""
+    now, longest = scratch.table(ways.select("id", "to", F.coalesce("to", "id").alias("end")), f"{name}-0"), None
+    for k in itertools.count(1):
+        if now.where("to is not null").isEmpty():
+            return now.select("id", "end")
+        longest = longest or math.ceil(math.log2(max(2, now.count()))) + 1
+        if k > longest:
+            raise ValueError("the ways run in a circle")
+        far = now.select(F.col("id").alias("to"), F.col("to").alias("_t"), F.col("end").alias("_e"))
+        now = scratch.table(now.join(far, "to", "left").select("id", F.col("_t").alias("to"), F.coalesce("_e", "end").alias("end")), f"{name}-{k}")
 
 
-def greedy_in_tree(edges: DataFrame, root: str, scratch: Scratch, weight: str = "weight", rounds: int = ROUNDS) -> DataFrame:
+def greedy_in_tree(edges: DataFrame, root: str, scratch: Scratch, weight: str = "weight") -> DataFrame:
     """``id, parent, bottleneck, hops``: the in-tree whose paths have the least possible largest weight.
 
-    Ties go to fewer hops and then to the least parent.
+    Ties go to fewer hops and then to the least parent. Chains are crossed by shortcuts.
     """
     into = scratch.table(edges.groupBy("u", "v").agg(F.min(weight).alias("w")), "tree-edges")
+    arcs = scratch.table(shortcuts(into, scratch, "tree-arcs", widest=True), "tree-arcs-all")
     spark = edges.sparkSession
-    now = front = scratch.table(spark.range(1).select(F.lit(root).alias("id"), F.lit(float("-inf")).alias("b"), F.lit(0).alias("hops"), F.lit(None).cast("string").alias("parent")), "tree-0")
-    for k in range(1, rounds + 1):
-        offers = front.join(into, front["id"] == into["v"]).select(F.col("u").alias("id"), F.struct(F.greatest("b", "w").alias("b"), (F.col("hops") + 1).alias("hops"), F.col("v").alias("parent")).alias("o"))
-        best = offers.groupBy("id").agg(F.min("o").alias("o"))
+    now = front = scratch.table(spark.range(1).select(F.lit(root).alias("id"), F.lit(float("-inf")).alias("b"), F.lit(0).alias("hops"), F.lit("").alias("parent")), "tree-0")
+    for k in itertools.count(1):
+        offers = front.select(F.col("id").alias("v"), "b", F.col("hops").alias("h")).join(arcs, "v")
+        best = offers.groupBy(F.col("u").alias("id")).agg(F.min(F.struct(F.greatest("b", "w").alias("b"), (F.col("h") + F.col("hops")).alias("hops"), F.col("first").alias("parent"))).alias("o"))
         both = now.join(best, "id", "full")
-        better = F.col("o").isNotNull() & (F.col("b").isNull() | (F.struct("o.b", "o.hops") < F.struct("b", "hops")))
+        better = F.col("o").isNotNull() & (F.col("b").isNull() | (F.col("o") < F.struct("b", "hops", "parent")))
         cols = [F.when(better, F.col(f"o.{c}")).otherwise(F.col(c)).alias(c) for c in ("b", "hops", "parent")]
         now = scratch.table(both.select("id", *cols, better.alias("changed")), f"tree-{k}")
         front = now.where("changed").drop("changed")
         now = now.drop("changed")
         if front.isEmpty():
-            return now.select("id", "parent", F.col("b").alias("bottleneck"), "hops")
-    raise RuntimeError(f"the tree didn't settle in {rounds} rounds")
+            return now.select("id", F.nullif("parent", F.lit("")).alias("parent"), F.col("b").alias("bottleneck"), "hops")
 
 
-def levels(edges: DataFrame, scratch: Scratch, rounds: int = ROUNDS) -> DataFrame:
+def levels(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """``id, level``: the longest distance from a node without predecessors; a cycle is an error.
 
-    Nodes leave in waves: a wave holds the nodes whose predecessors have all left.
+    In a forest, where no node has two ways on, pointers double and a node hands on how far what lies
+    above it reaches. Elsewhere nodes leave in waves: a wave holds the nodes whose predecessors have left.
     """
     left = scratch.table(edges.select("u", "v").where("u <> v").distinct(), "lv-0")
     every = left.select(F.col("u").alias("id")).union(left.select("v")).distinct()
+    if left.groupBy("u").count().where("count > 1").isEmpty():
+        return _heights(every.join(left.select(F.col("u").alias("id"), F.col("v").alias("to")), "id", "left"), scratch)
     out, done = None, None
-    for k in range(rounds):
+    for k in itertools.count():
         heads = left.select(F.col("v").alias("id")).distinct()
         open_ = every if done is None else every.join(done, "id", "left_anti")
         wave = scratch.table(open_.join(heads, "id", "left_anti").select("id", F.lit(k).alias("level")), f"lv-wave-{k}")
         out = wave if out is None else out.union(wave)
+        out = scratch.table(out, f"lv-out-{k}") if k and k % _GATHER == 0 else out
         done = out.select("id")
         nxt = scratch.table(left.join(wave.select(F.col("id").alias("u")), "u", "left_anti"), f"lv-{k + 1}")
         if wave.isEmpty():
@@ -109,7 +153,21 @@ def levels(edges: DataFrame, scratch: Scratch, rounds: int = ROUNDS) -> DataFram
                 raise ValueError("the graph has a cycle")
             return out
         left = nxt
-    raise RuntimeError(f"more than {rounds} levels")
+
+
+def _heights(ways: DataFrame, scratch: Scratch) -> DataFrame:
+    """``id, level`` in a forest (id, to): in round k a node passes its level, and 2^k more, to who is 2^k on."""
+    now = scratch.table(ways.select("id", "to", F.lit(0).alias("level")), "lv-forest-0")
+    longest = math.ceil(math.log2(max(2, now.count()))) + 1
+    for k in itertools.count():
+        if now.where("to is not null").isEmpty():
+            return now.select("id", "level")
+        if k > longest:
+            raise ValueError("the graph has a cycle")
+        given = now.where("to is not null").groupBy(F.col("to").alias("id")).agg((F.max("level") + 2**k).alias("_l"))
+        far = now.select(F.col("id").alias("to"), F.col("to").alias("_t"))
+        nxt = now.join(given, "id", "left").join(far, "to", "left")
+        now = scratch.table(nxt.select("id", F.col("_t").alias("to"), F.greatest("level", F.coalesce("_l", "level")).cast("int").alias("level")), f"lv-forest-{k + 1}")
 
 
 def accumulate_forest(parents: DataFrame, values: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFrame:

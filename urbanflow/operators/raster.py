@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from urbanflow.functions.geometry import from_utm, point_in_ring, ring_bbox, segmentize, within_buffer
 from urbanflow.model import GridSpec, Network
 from urbanflow.operators.components import components
+from urbanflow.operators.paths import ends_of
 from urbanflow.scratch import Scratch
 
 # Flow codes, the step of each in rows and columns, and its length in cells.
@@ -83,22 +84,12 @@ def fill_pits(cells: DataFrame, scratch: Scratch) -> DataFrame:
         # where two flow into each other the lesser name stays
         back = least.select(F.col("lake").alias("to"), F.col("to").alias("back"))
         way = least.join(back, "to", "left").select("lake", F.when((F.col("back") == F.col("lake")) & (F.col("lake") < F.col("to")), F.lit(None)).otherwise(F.col("to")).alias("to"))
-        roots = _ends(way.select(F.col("lake").alias("id"), "to"), scratch, f"fill-merge-{k}")
+        roots = ends_of(way.select(F.col("lake").alias("id"), "to"), scratch, f"fill-merge-{k}")
         new = label.join(least.select("lake", "h"), "lake", "left").join(roots.select(F.col("id").alias("lake"), F.col("end").alias("root")), "lake", "left")
         label = scratch.table(new.select("id", F.coalesce("root", "lake").alias("lake"), F.greatest("level", F.coalesce("h", "level")).alias("level")), f"fill-{k}")
     return lake.join(label.select(F.col("id").alias("basin"), "level"), "basin", "left").select("r", "c", F.greatest("z", "level").alias("z"))
 
 
-def _ends(ways: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """``id, end``: where the way (id, to) from each id ends; pointers double."""
-    now = scratch.table(ways.select("id", "to", F.coalesce("to", "id").alias("end")), f"{name}-0")
-    for k in itertools.count(1):
-        if now.where("to is not null").isEmpty():
-            return now.select("id", "end")
-        far = now.select(F.col("id").alias("to"), F.col("to").alias("_t"), F.col("end").alias("_e"))
-        now = scratch.table(now.join(far, "to", "left").select("id", F.col("_t").alias("to"), F.coalesce("_e", "end").alias("end")), f"{name}-{k}")
-
-
 def d8(cells: DataFrame) -> DataFrame:
     """``r, c, d8, to_r, to_c``: steepest way down (ties: least code); cells without one have none."""
     pairs = cells.join(_neighbours(cells, ["z"]), ["r", "c"]).withColumn("drop", (F.col("z") - F.col("n_z")) / _dist(F.col("d8")))

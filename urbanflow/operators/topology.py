@@ -120,15 +120,16 @@ def negative_weights(net: Network) -> DataFrame:
 def negative_cycle(net: Network, scratch: Scratch) -> bool:
     """Whether some cycle's weights sum to less than 0.
 
-    All nodes start at 0 and take the least of what their successors offer. A path without a cycle can't
-    sink below the sum of all negative weights, so a node that does lies above a negative cycle; without
-    one, offers end.
+    All nodes start at 0 and take the least of what their successors offer. Without a negative cycle the
+    best paths have fewer edges than there are nodes, so offers end by then; a node that sinks in as many
+    rounds as nodes, or below the sum of all negative weights, lies above a negative cycle.
     """
     e = scratch.table(net.edges.groupBy("u", "v").agg(F.min("weight").alias("w")), "neg-edges")
     floor = e.agg(F.coalesce(F.sum(F.least("w", F.lit(0.0))), F.lit(0.0)).alias("s")).first()["s"]  # one row
     if floor >= 0:
         return False
     now = scratch.table(e.select(F.col("u").alias("id")).union(e.select("v")).distinct().withColumn("d", F.lit(0.0)), "neg-0")
+    nodes = now.count()
     for k in itertools.count(1):
         offers = e.join(now.select(F.col("id").alias("v"), "d"), "v").groupBy(F.col("u").alias("id")).agg(F.min(F.col("d") + F.col("w")).alias("o"))
         nxt = now.join(offers, "id", "left").select("id", F.least("d", "o").alias("d"), (F.col("o") < F.col("d") - 1e-12).alias("sank"))
@@ -136,6 +137,7 @@ def negative_cycle(net: Network, scratch: Scratch) -> bool:
         low = nxt.agg(F.min("d").alias("d"), F.coalesce(F.bool_or("sank"), F.lit(False)).alias("sank")).first()  # one row
         if not low["sank"]:
             return False
-        if low["d"] < floor - 1e-9:
+        if k >= nodes or low["d"] < floor - 1e-9:
             return True
+        scratch.drop(f"neg-{k - 1}")
         now = nxt.drop("sank")
