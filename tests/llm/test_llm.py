@@ -514,3 +514,27 @@ def test_pipeline_run(spark, tables):
     out = P.run(spark, tables)
     assert {r["doc_id"]: (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in out.collect()} == want
     assert not {8, 9, 1, 2, 4} & set(want)
+
+
+def test_neighbours_in_full_blocks(spark, monkeypatch):
+    """Further cells are asked by more queries than a block holds."""
+    rng = np.random.default_rng(12)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(900, 8)))]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    sizes, table = [], Scratch.table
+
+    def seen(self, df, name, by=None):
+        out = table(self, df, name, by)
+        if name == "rest":
+            sizes.extend(r["count"] for r in out.groupBy("dim", "cell").count().collect())
+        return out
+
+    monkeypatch.setattr(Scratch, "table", seen)
+    got = neighbours.nearest(frame, frame.where("vec_id % 10 = 0"), Scratch(spark, "t"), k=5, shard_rows=90, block_rows=40)
+    found = {(r["query_id"], r["rank"]): r["vec_id"] for r in got.collect()}
+    x = np.array([v for _, v in rows])
+    for q in range(0, 900, 10):
+        s = x @ x[q]
+        s[q] = -np.inf
+        assert [found[q, k + 1] for k in range(5)] == list(np.argsort(-s, kind="stable")[:5])
+    assert sizes and max(sizes) > 40

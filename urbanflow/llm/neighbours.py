@@ -255,9 +255,9 @@ def nearest(
 
     def search(asked: DataFrame, name: str) -> DataFrame:
         """The best of each query (vec_id, v, dim) in the cell that its row names."""
-        # blocks by count, a bounded number of queries each
-        blocks = parts_for(asked.count(), block_rows)
-        by_block = asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
+        # blocks by each cell's own count, so that they are full and no larger than ``block_rows`` by far
+        counts = asked.groupBy("dim", "cell").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("blocks"))
+        by_block = asked.join(counts, ["dim", "cell"]).withColumn("block", F.pmod(F.xxhash64("vec_id"), "blocks").cast("int"))
         packed = by_block.groupBy("dim", "cell", "block").applyInPandas(block, "dim int, cell int, queries binary")
         met = trees.join(packed, ["dim", "cell"]).select("tree", "queries").mapInArrow(meet, "query_id long, vec_id long, score double")
         top = met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
