@@ -7,7 +7,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from urbanflow.model import GridSpec, Network
+from urbanflow.model import GridSpec, HydraulicDesign, Network
 from urbanflow.operators import metrics, paths, raster, sections, topology
 from urbanflow.scratch import Scratch
 from urbanflow.sources import io
@@ -156,3 +156,18 @@ def test_pipelines_check_and_stop(spark):
     with pytest.raises(ValueError):
         metrics.metric_factory("outfall_nse_length")
     assert set(sections.SECTIONS) >= {"JUNCTIONS", "VERTICES", "RAINGAGES"}
+
+
+def test_designs_inside_the_row(spark):
+    """The same choice as from all designs as rows: falls, rises, ties, no cost, no flow."""
+    from urbanflow.operators import design
+
+    rows = [(str(i), float(10 + i % 7), float(9 + i % 5 - (i == 30) * 80), float(5 + i % 90), 0.001 * (i % 13)) for i in range(60)] + [("null", None, 1.0, 2.0, 0.1)]
+    pipes = spark.createDataFrame(rows, "u string, ds_elevation double, floor double, length double, q double")
+    params = HydraulicDesign()
+    plain = design.select_design(design.evaluate_design(pipes.crossJoin(F.broadcast(design.design_grid(spark, params))), params), ["u"])
+    want = {r["u"]: tuple(r) for r in plain.collect()}
+    chosen = design.choose_design(pipes, params, ["u"])
+    assert chosen.columns == plain.columns
+    assert {r["u"]: tuple(r) for r in chosen.collect()} == want and len(want) > 50
+    assert "Exchange" not in chosen._jdf.queryExecution().executedPlan().toString()

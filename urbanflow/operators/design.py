@@ -33,23 +33,42 @@ def pipe_cost(volume: Column, diam: Column) -> Column:
     return (F.pow(diam, F.lit(0.5737)) * 9579.31 + F.pow(volume, F.lit(1.31)) * 1163.77) * (1.32 / 2000)
 
 
+def _lift(diff: Column) -> Column:
+    """Surcharge in whole steps until a pipe without fall falls."""
+    return F.when(diff > 0, 0.0).otherwise((F.floor(-diff / SURCHARGE_STEP) + 1) * SURCHARGE_STEP)
+
+
+def _velocity(diff: Column, lift: Column, length: Column, diam: Column) -> Column:
+    return F.sqrt((diff + lift) / length) * F.pow(diam / 4, F.lit(2 / 3)) / MANNING
+
+
+def _cost(length: Column, floor: Column, diam: Column, depth: Column) -> Column:
+    volume = length * (diam + 0.3) * ((depth + floor) / 2 + 0.1)
+    return F.when(volume >= 0, pipe_cost(volume, diam))
+
+
+def _filling(q: Column, velocity: Column, diam: Column) -> Column:
+    return q / (velocity * (diam**2 * (math.pi / 4)))
+
+
+def _too_fast(velocity: Column, params: HydraulicDesign) -> Column:
+    return F.greatest(F.lit(params.min_v) - velocity, F.lit(0.0)) + F.greatest(velocity - params.max_v, F.lit(0.0))
+
+
 def evaluate_design(df: DataFrame, params: HydraulicDesign) -> DataFrame:
     """Adds slope, velocity, fr, cost_usd and the violations to (ds_elevation, floor, length, q, diam, depth).
 
     Without fall the pipe is surcharged in whole steps until it falls; the slope reported is the one
     without surcharge.
     """
-    diff = F.col("floor") - (F.col("ds_elevation") - F.col("depth"))
-    lift = F.when(diff > 0, 0.0).otherwise((F.floor(-diff / SURCHARGE_STEP) + 1) * SURCHARGE_STEP)
-    area, radius = F.col("diam") ** 2 * (math.pi / 4), F.col("diam") / 4
-    v = F.sqrt((diff + lift) / F.col("length")) * F.pow(radius, F.lit(2 / 3)) / MANNING
-    volume = F.col("length") * (F.col("diam") + 0.3) * ((F.col("depth") + F.col("floor")) / 2 + 0.1)
+    diff, length, diam = F.col("floor") - (F.col("ds_elevation") - F.col("depth")), F.col("length"), F.col("diam")
+    lift = _lift(diff)
     return (
-        df.withColumns({"slope": diff / F.col("length"), "surcharge_feasibility": lift, "velocity": v})
-        .withColumn("fr", F.col("q") / (F.col("velocity") * area))
+        df.withColumns({"slope": diff / length, "surcharge_feasibility": lift, "velocity": _velocity(diff, lift, length, diam)})
+        .withColumn("fr", _filling(F.col("q"), F.col("velocity"), diam))
         .withColumns({
-            "cost_usd": F.when(volume >= 0, pipe_cost(volume, F.col("diam"))),
-            "v_feasibility": F.greatest(F.lit(params.min_v) - F.col("velocity"), F.lit(0.0)) + F.greatest(F.col("velocity") - params.max_v, F.lit(0.0)),
+            "cost_usd": _cost(length, F.col("floor"), diam, F.col("depth")),
+            "v_feasibility": _too_fast(F.col("velocity"), params),
             "fr_feasibility": F.greatest(F.col("fr") - params.max_fr, F.lit(0.0)),
         })
     )
@@ -64,13 +83,34 @@ def select_design(df: DataFrame, by: list[str]) -> DataFrame:
     return best.select(*by, "m.*")
 
 
+def choose_design(df: DataFrame, params: HydraulicDesign, by: list[str]) -> DataFrame:
+    """As ``evaluate_design`` and ``select_design`` over all designs, for one row of (ds_elevation, floor, length, q)
+    for each ``by``: the designs stay an array inside the row, so nothing is exploded, sorted or shuffled."""
+    n, numbers = params.depth_nbins, lambda xs: F.split(F.lit(",".join(repr(float(x)) for x in xs)), ",").cast("array<double>")
+    depths = numbers(params.min_depth + (params.max_depth - params.min_depth) * i / max(1, n - 1) for i in range(n))
+    floor, length, q = F.col("floor"), F.col("length"), F.col("q")
+    grid = F.flatten(F.transform(numbers(params.diameters), lambda d: F.transform(depths, lambda z: F.struct(d.alias("diam"), z.alias("depth")))))
+    fall = F.transform(grid, lambda g: F.struct(g["diam"].alias("diam"), g["depth"].alias("depth"), (floor - (F.col("ds_elevation") - g["depth"])).alias("diff")))
+    lifted = F.transform(fall, lambda g: F.struct(g["diam"].alias("diam"), g["depth"].alias("depth"), g["diff"].alias("diff"), _lift(g["diff"]).alias("lift")))
+    moving = F.transform(lifted, lambda g: F.struct(
+        g["diam"].alias("diam"), g["depth"].alias("depth"), g["diff"].alias("diff"), g["lift"].alias("lift"),
+        _velocity(g["diff"], g["lift"], length, g["diam"]).alias("velocity"), _cost(length, floor, g["diam"], g["depth"]).alias("cost"),
+    ))
+    filled = F.transform(F.filter(moving, lambda g: g["cost"].isNotNull()), lambda g: F.struct(
+        g["lift"].alias("surcharge_feasibility"), _too_fast(g["velocity"], params).alias("v_feasibility"),
+        F.greatest(_filling(q, g["velocity"], g["diam"]) - params.max_fr, F.lit(0.0)).alias("fr_feasibility"),
+        g["depth"].alias("depth"), g["cost"].alias("cost_usd"), g["diam"].alias("diam"),
+        (g["diff"] / length).alias("slope"), g["velocity"].alias("velocity"), _filling(q, g["velocity"], g["diam"]).alias("fr"),
+    ))
+    return df.select(*by, F.array_min(filled).alias("m")).where("m is not null").select(*by, "m.*")
+
+
 def pipe_by_pipe(net: Network, params: HydraulicDesign, scratch: Scratch) -> Network:
     """Edges of a forest with their designed ``diameter`` and cost; nodes with ``chamber_floor_elevation``.
 
     Heads start at the least depth. All edges that leave a level are designed at once: each meets the
-    small design table, and a node's floor is the least of what its incoming pipes need.
+    designs inside its row, and a node's floor is the least of what its incoming pipes need.
     """
-    grid = F.broadcast(design_grid(net.edges.sparkSession, params))
     flow = scratch.table(design_flow(net.edges, net.nodes, params.precipitation, scratch), "flow")
     at = scratch.table(levels(net.edges, scratch), "level")
     z = net.nodes.select("id", F.col("surface_elevation").alias("z"))
@@ -83,7 +123,7 @@ def pipe_by_pipe(net: Network, params: HydraulicDesign, scratch: Scratch) -> Net
     pipes = None
     for k in range(last + 1):
         own = e.where(F.col("level") == k).join(floors.select(F.col("id").alias("u"), "floor"), "u")
-        done = scratch.table(select_design(evaluate_design(own.crossJoin(grid), params), ["u", "v", "key", "ds_elevation"]), f"pipes-{k}")
+        done = scratch.table(choose_design(own, params, ["u", "v", "key", "ds_elevation"]), f"pipes-{k}")
         pipes = done if pipes is None else pipes.union(done)
         # all pipes into a node of the next level lie in levels up to this one
         floors = floors.union(pipes.groupBy(F.col("v").alias("id")).agg(F.min(F.col("ds_elevation") - F.col("depth")).alias("floor")).join(at.where(F.col("level") == k + 1).select("id"), "id", "left_semi"))

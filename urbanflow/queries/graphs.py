@@ -220,11 +220,12 @@ def o10(spark, sf):
 _PARAMS = HydraulicDesign()
 
 
-@_("j11_design_grid", """SELECT 0.15::DOUBLE + 2.85::DOUBLE * i / 38 AS diam, 0.5::DOUBLE + 4.5::DOUBLE * j / 9 AS depth, count(*) AS parts
-FROM range(39) a(i), range(10) b(j), part GROUP BY i, j""")
+@_("j11_design_grid", """, p AS (SELECT count(*) AS pipes, sum(length) AS length FROM fx_forest)
+SELECT 0.15::DOUBLE + 2.85::DOUBLE * i / 38 AS diam, 0.5::DOUBLE + 4.5::DOUBLE * j / 9 AS depth, pipes, round(length * (0.45::DOUBLE + 2.85::DOUBLE * i / 38), 4) AS trench_area FROM range(39) a(i), range(10) b(j), p""", ("fx_forest",))
 def j11(spark, sf):
-    n = spark.read.parquet(f"{sf}/part.parquet").agg(F.count(F.lit(1)).alias("parts"))
-    return d.design_grid(spark, _PARAMS).crossJoin(F.broadcast(n))
+    """What trenches of all pipes take up under each design."""
+    pipes = forest(spark, sf).edges.agg(F.count(F.lit(1)).alias("pipes"), F.sum("length").alias("length"))  # one row
+    return d.design_grid(spark, _PARAMS).crossJoin(F.broadcast(pipes)).select("diam", "depth", "pipes", F.round(F.col("length") * (F.col("diam") + 0.3), 4).alias("trench_area"))
 
 
 @_("d1_design_flow", _UP + " SELECT id, round(total * 0.006 / 3600, 12) AS q FROM acc", NF, recursive=True)
@@ -242,12 +243,16 @@ e4 AS (SELECT *, q / (v * diam ** 2 * (pi() / 4)) AS fr, CASE WHEN vol >= 0 THEN
  greatest(0.75 - v, 0) + greatest(v - 5, 0) AS v_feasibility FROM e3), e5 AS (SELECT *, greatest(fr - 0.8, 0) AS fr_feasibility FROM e4)"""
 
 
-def _candidates(spark, sf):
+def _pipes(spark, sf):
+    """A row for each pipe, with all that its design depends on."""
     net = forest(spark, sf)
     n = net.nodes
     e = net.edges.join(n.select(F.col("id").alias("u"), (F.col("surface_elevation") - 0.5).alias("floor"), (F.col("contributing_area") * 0.006 / 3600).alias("q")), "u")
-    e = e.join(n.select(F.col("id").alias("v"), F.col("surface_elevation").alias("ds_elevation")), "v").select("u", "floor", "q", "ds_elevation", "length")
-    return d.evaluate_design(e.crossJoin(F.broadcast(d.design_grid(spark, _PARAMS))), _PARAMS)  # 390 designs a pipe
+    return e.join(n.select(F.col("id").alias("v"), F.col("surface_elevation").alias("ds_elevation")), "v").select("u", "floor", "q", "ds_elevation", "length")
+
+
+def _candidates(spark, sf):
+    return d.evaluate_design(_pipes(spark, sf).crossJoin(F.broadcast(d.design_grid(spark, _PARAMS))), _PARAMS)  # 390 designs a pipe
 
 
 @_("d2_evaluate_design", _CAND + " SELECT u, round(diam, 6) AS diam, round(depth, 6) AS depth, round(slope, 6) AS slope, round(v, 6) AS v, round(fr, 6) AS fr, round(surcharge_feasibility, 6) AS surcharge, round(v_feasibility, 6) AS v_feasibility, round(fr_feasibility, 6) AS fr_feasibility FROM e5", NF)
@@ -263,7 +268,7 @@ def d3(spark, sf):
 
 @_("d4_select_design", _CAND + """ SELECT u, round(diam, 6) AS diam, round(depth, 6) AS depth FROM (SELECT *, row_number() OVER (PARTITION BY u ORDER BY surcharge_feasibility, v_feasibility, fr_feasibility, depth, cost_usd, diam) AS k FROM e5 WHERE cost_usd IS NOT NULL) WHERE k = 1""", NF)
 def d4(spark, sf):
-    return d.select_design(_candidates(spark, sf), ["u"]).select("u", F.round("diam", 6).alias("diam"), F.round("depth", 6).alias("depth"))
+    return d.choose_design(_pipes(spark, sf), _PARAMS, ["u"]).select("u", F.round("diam", 6).alias("diam"), F.round("depth", 6).alias("depth"))
 
 
 @_("d5_pipe_by_pipe", None)

@@ -132,12 +132,12 @@ def r8b(spark, sf):
     return r.buffer_cover(_lines(spark, sf).withColumn("w", F.lit(0.8)), _spec(spark, sf), "w")
 
 
-_NODEC = ", nc AS (SELECT CAST(floor(y / 50) AS INT) AS r, CAST(floor(x / 50) AS INT) AS c, min(id) AS id FROM fx_nodes WHERE contributing_area <= 17 GROUP BY 1, 2)"
+_NODEC = ", nc AS (SELECT CAST(floor(y / 50) AS INT) AS r, CAST(floor(x / 50) AS INT) AS c, min(id) AS id FROM fx_nodes GROUP BY 1, 2)"
 
 
 @_("r9_delineate", _FLOW + _NODEC + """, o AS (SELECT nc.* FROM nc JOIN fl ON fl.r = nc.r AND fl.c = nc.c), w AS (SELECT r, c, id FROM o UNION ALL SELECT fl.r, fl.c, w.id FROM w JOIN fl ON fl.to_r = w.r AND fl.to_c = w.c AND (fl.r, fl.c) NOT IN (SELECT (r, c) FROM o)) SELECT r, c, id FROM w""", ("fx_nodes", "fx_cells"), recursive=True)
 def r9(spark, sf):
-    n = view(spark, sf, "fx_nodes").where("contributing_area <= 17").withColumns({"x": F.col("x") / 50, "y": F.col("y") / 50})
+    n = view(spark, sf, "fx_nodes").withColumns({"x": F.col("x") / 50, "y": F.col("y") / 50})
     return r.delineate(r.d8(view(spark, sf, "fx_cells")), n, _spec(spark, sf), Scratch(spark, "r9"))
 
 
@@ -160,7 +160,7 @@ def r12(spark, sf):
 
 @_("r13_derive_subcatchments", None)
 def r13(spark, sf):
-    n = view(spark, sf, "fx_nodes").where("contributing_area <= 17").withColumns({"x": F.col("x") / 50, "y": F.col("y") / 50})
+    n = view(spark, sf, "fx_nodes").withColumns({"x": F.col("x") / 50, "y": F.col("y") / 50})
     return r.derive_subcatchments(view(spark, sf, "fx_cells"), n, _spec(spark, sf), Scratch(spark, "r13"))[0]
 
 
