@@ -95,7 +95,12 @@ def overlaps(
 
 
 def flag(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """One row for each document: doc_id, n_items (items found in it), best_score, contaminated."""
+    """One row for each document: doc_id, n_items (items found in it), best_score, contaminated.
+
+    Null and empty texts, and no benchmark, give rows that aren't contaminated; an empty table gives no
+    rows. Rows are told apart by id and text, so repeated rows each get the same answer and null ids are
+    rows like others. Very long texts are looked at whole. Other columns are not looked at.
+    """
     found = overlaps(docs, benchmark, doc_id=doc_id, text=text, **how)
     by_row = found.groupBy("row_key").agg(F.count(F.lit(1)).alias("n_items"), F.max("score").alias("best_score"))
     keyed = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(doc_id, text).alias("row_key"))

@@ -640,7 +640,9 @@ def score_texts(
        beyond the ``HEAD`` most frequent are met by a second shuffle of packed hashes.
 
     ``base_score`` is the add-one unigram. Null texts are empty: the end alone. A null id is no fold but
-    that of the empty string. Repeated rows are scored alike. Word counts are exact up to collisions of
+    that of the empty string. Repeated rows are scored alike and each
+    counts in training. A very long text is scored window by window, whole. Other columns are not looked
+    at, whatever their names. Word counts are exact up to collisions of
     64-bit hashes. An empty table gives no rows.
     """
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))

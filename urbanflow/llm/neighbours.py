@@ -174,8 +174,9 @@ def nearest(
 
     Scores are products of the original vectors in double precision, summed alike for every pair. Ties
     go to the smaller id. Vectors that are null, zero or hold null or non-finite components, and null
-    ids, take no part. Rows that repeat id and vector count once. Only vectors of a query's length are
-    searched. No rows give no rows.
+    ids, take no part. Rows that repeat id and vector count once. Of an id with two different vectors each
+    may take a rank of its own, and such rows are never each other's candidates. Only vectors of a query's
+    length are searched. No rows give no rows. Other columns are not looked at, whatever their names.
     """
     sound = f"""{embedding} is not null and {vec_id} is not null
         and not exists({embedding}, x -> x is null or isnan(x) or abs(x) = double('infinity'))

@@ -134,7 +134,8 @@ def assign_shards(
     Slots: rows are numbered within (shard, salt), the salt hashing id and text, and ``shards`` x
     16^``salt_digits`` offsets lift that to the shard. No task gets a whole shard or a whole group of copies.
 
-    Null and empty texts are one group of size 1 a row. Repeated rows each get their own slot. Null ids
+    Null and empty texts are one group of size 1 a row. A very long text is measured and hashed where it is
+    read, and never moves. Repeated rows each get their own slot. Null ids
     sort first. An empty table gives an empty result. Other columns are not read.
 
     Returns doc_id, size, text_crc32, gkey, shard, slot.
