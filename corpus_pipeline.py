@@ -29,7 +29,12 @@ def _start(spark: SparkSession, name: str) -> Scratch:
 
 
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents scored below 0.5; the model learns from the labels of the training folds."""
+    """Documents scored below 0.5; the model learns from the labels of the training folds.
+
+    Whole texts are scored, however long. Null and empty texts are scored as texts without words. Repeated
+    rows share a score and stay or go together; null ids are rows like others. No rows give no rows. All
+    columns stay, whatever their names.
+    """
     _start(spark, "toxicity")
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     scored = toxicity.score(docs, model, keep=tuple(docs.columns), to="__toxicity")
@@ -75,13 +80,22 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def remove_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that overlap with no benchmark item."""
+    """Documents that overlap with no benchmark item.
+
+    Null, empty and very short texts overlap with none and stay; long ones are looked at whole. Rows of
+    equal id and text stay or go together, null ids included. No rows, or no benchmark, drop nothing. All
+    columns stay, whatever their names.
+    """
     scratch = _start(spark, "decontamination")
     return decontamination.remove_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), scratch)
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, n_tokens, ids_sha256, decoded_sha256 of every document that is left."""
+    """doc_id, lang, source, n_tokens, ids_sha256, decoded_sha256 of every document that is left.
+
+    Null and empty texts have no ids and the hashes of empty text; a text of any length is one row.
+    Repeated rows and null ids stay as they are. No rows give no rows. Other columns go.
+    """
     import public_tokenizers
 
     _start(spark, "sentencepieces")
