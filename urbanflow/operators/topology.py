@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from urbanflow.model import Network, OutfallDerivation
 from urbanflow.operators.components import components
 from urbanflow.operators.network import filter_streets, sinks
-from urbanflow.operators.paths import greedy_in_tree, min_spanning_forest, reach, shortest_paths
+from urbanflow.operators.paths import ends_of, greedy_in_tree, min_spanning_forest, reach, shortest_paths
 from urbanflow.operators.spatial import nearest_within
 from urbanflow.scratch import Scratch
 
@@ -120,24 +120,29 @@ def negative_weights(net: Network) -> DataFrame:
 def negative_cycle(net: Network, scratch: Scratch) -> bool:
     """Whether some cycle's weights sum to less than 0.
 
-    All nodes start at 0 and take the least of what their successors offer. Without a negative cycle the
-    best paths have fewer edges than there are nodes, so offers end by then; a node that sinks in as many
-    rounds as nodes, or below the sum of all negative weights, lies above a negative cycle.
+    All nodes start at 0 and take the least of what their successors offer, and remember whose it was. If
+    those ways run in a circle, its weights sum to less than 0; that is looked at after 2, 4, 8, ... rounds.
+    Without a negative cycle the best paths have fewer edges than there are nodes, so offers end by then.
     """
     e = scratch.table(net.edges.groupBy("u", "v").agg(F.min("weight").alias("w")), "neg-edges")
-    floor = e.agg(F.coalesce(F.sum(F.least("w", F.lit(0.0))), F.lit(0.0)).alias("s")).first()["s"]  # one row
-    if floor >= 0:
+    if e.where("w < 0").isEmpty():
         return False
-    now = scratch.table(e.select(F.col("u").alias("id")).union(e.select("v")).distinct().withColumn("d", F.lit(0.0)), "neg-0")
+    start = e.select(F.col("u").alias("id")).union(e.select("v")).distinct()
+    now = scratch.table(start.select("id", F.lit(0.0).alias("d"), F.lit(None).cast("string").alias("to")), "neg-0")
     nodes = now.count()
     for k in itertools.count(1):
-        offers = e.join(now.select(F.col("id").alias("v"), "d"), "v").groupBy(F.col("u").alias("id")).agg(F.min(F.col("d") + F.col("w")).alias("o"))
-        nxt = now.join(offers, "id", "left").select("id", F.least("d", "o").alias("d"), (F.col("o") < F.col("d") - 1e-12).alias("sank"))
+        offers = e.join(now.select(F.col("id").alias("v"), "d"), "v").groupBy(F.col("u").alias("id")).agg(F.min(F.struct((F.col("d") + F.col("w")).alias("d"), "v")).alias("o"))
+        sank = F.coalesce(F.col("o.d") < F.col("d") - 1e-12, F.lit(False))
+        nxt = now.join(offers, "id", "left").select("id", F.when(sank, F.col("o.d")).otherwise(F.col("d")).alias("d"), F.when(sank, F.col("o.v")).otherwise(F.col("to")).alias("to"), sank.alias("sank"))
         nxt = scratch.table(nxt, f"neg-{k}")
-        low = nxt.agg(F.min("d").alias("d"), F.coalesce(F.bool_or("sank"), F.lit(False)).alias("sank")).first()  # one row
-        if not low["sank"]:
+        if nxt.where("sank").isEmpty():
             return False
-        if k >= nodes or low["d"] < floor - 1e-9:
+        if k >= nodes:
             return True
+        if k & (k - 1) == 0:
+            try:
+                ends_of(nxt.select("id", "to"), scratch, f"neg-ways-{k}")
+            except ValueError:
+                return True
         scratch.drop(f"neg-{k - 1}")
         now = nxt.drop("sank")

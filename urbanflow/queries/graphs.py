@@ -209,6 +209,16 @@ def o9(spark, sf):
     return t.negative_weights(net.with_(edges=net.edges.withColumn("weight", F.col("length"))))
 
 
+#: In a forest walked both ways every simple cycle is a pipe there and back.
+@_("o9_negative_cycle", """, w AS (SELECT min(length) - 25 AS least FROM fx_forest) SELECT way_back, least + way_back < 0 AS negative FROM w, (VALUES (3.0::DOUBLE), (4.5::DOUBLE)) v(way_back)""", ("fx_forest",))
+def o9_cycle(spark, sf):
+    """Pipes cost their length less 25, the way back 3 or 4.5."""
+    e = forest(spark, sf).edges.select("u", "v", (F.col("length") - 25).alias("weight"))
+    net = lambda back: Network(None, e.union(e.select("v", "u", F.lit(back))))
+    found = [(back, t.negative_cycle(net(back), Scratch(spark, "o9"))) for back in (3.0, 4.5)]
+    return spark.createDataFrame(found, "way_back double, negative boolean")
+
+
 @_("o10_total_weight", " SELECT sum(length) AS total_weight FROM fx_edges", NE)
 def o10(spark, sf):
     net = streets(spark, sf)
