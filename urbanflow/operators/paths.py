@@ -329,18 +329,37 @@ def clustering(edges: DataFrame) -> DataFrame:
     )
 
 
-def ego(edges: DataFrame) -> DataFrame:
+def ego(edges: DataFrame, heavy: int = 1_000) -> DataFrame:
     """``id, ego_edges, ego_neighbours, ego_out``: of the node with its neighbours: edges inside, distinct
-    neighbours outside, edges to the outside."""
+    neighbours outside, edges to the outside.
+
+    Edges follow from degrees and triangles. Neighbours outside are paired through nodes of up to ``heavy``
+    neighbours, so pairs are at most ``heavy`` times edges. Through heavier nodes nothing is paired: all
+    that lies beside a set of them is counted once for each distinct set, and a pair that such a node
+    joins, too, is left out of the others (each node carries the list of its heavy neighbours).
+    """
     s = _simple(edges)
     both = s.union(s.select("b", "a"))
-    member = both.select(F.col("a").alias("id"), F.col("b").alias("m")).union(both.select(F.col("a").alias("id"), F.col("a").alias("m"))).distinct()
-    steps = member.join(both.select(F.col("a").alias("m"), F.col("b").alias("n")), "m")
-    marked = steps.join(member.select("id", F.col("m").alias("n"), F.lit(1).alias("_in")), ["id", "n"], "left")
-    return marked.groupBy("id").agg(
-        (F.count("_in") / 2).cast("long").alias("ego_edges"),
-        F.countDistinct(F.when(F.col("_in").isNull(), F.col("n"))).alias("ego_neighbours"),
-        F.sum(F.when(F.col("_in").isNull(), 1).otherwise(0)).alias("ego_out"),
+    own = clustering(edges).select("id", "degree", "triangles")
+    deg = own.select(F.col("id").alias("b"), F.col("degree").alias("db"))
+    placed = both.join(deg, "b")
+    hubs = placed.groupBy(F.col("a").alias("id")).agg(F.sum("db").alias("steps"), F.array_sort(F.collect_list(F.when(F.col("db") > heavy, F.col("b")))).alias("hubs"))
+    hubs_of = lambda end: hubs.select(F.col("id").alias(end), F.col("hubs").alias(f"h{end}"))
+    # light centres: distinct pairs two steps apart that are neither neighbours nor joined by a heavy node
+    light = placed.where(F.col("db") <= heavy).select("a", F.col("b").alias("m"))
+    apart = light.join(light.select("m", F.col("a").alias("b")), "m").where("a <> b").select("a", "b").distinct().join(both, ["a", "b"], "left_anti")
+    by_light = apart.join(hubs_of("a"), "a").join(hubs_of("b"), "b").where(~F.arrays_overlap("ha", "hb")).groupBy(F.col("a").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    # heavy centres: what lies beside the set, less the node itself and its neighbours there
+    sets = hubs.where("size(hubs) > 0").select("hubs").distinct()
+    beside = sets.select("hubs", F.explode("hubs").alias("b")).join(both, "b").groupBy("hubs").agg(F.countDistinct("a").alias("beside"))
+    near = both.join(hubs_of("a").where("size(ha) > 0"), "a").join(hubs_of("b"), "b").where(F.arrays_overlap("ha", "hb")).groupBy(F.col("a").alias("id")).agg(F.count(F.lit(1)).alias("near"))
+    by_heavy = hubs.where("size(hubs) > 0").join(beside, "hubs").join(near, "id", "left").select("id", (F.col("beside") - 1 - F.coalesce("near", F.lit(0))).alias("far"))
+    out = own.join(hubs.select("id", "steps"), "id").join(by_light, "id", "left").join(by_heavy, "id", "left")
+    return out.select(
+        "id",
+        (F.col("degree") + F.col("triangles")).alias("ego_edges"),
+        (F.coalesce("n", F.lit(0)) + F.coalesce("far", F.lit(0))).alias("ego_neighbours"),
+        (F.col("steps") - F.col("degree") - 2 * F.col("triangles")).alias("ego_out"),
     )
 
 
@@ -349,43 +368,113 @@ def spmv(coo: DataFrame, vec: DataFrame) -> DataFrame:
     return coo.join(vec.select(F.col("i").alias("j"), "x"), "j").groupBy("i").agg(F.sum(F.col("w") * F.col("x")).alias("x"))
 
 
-def betweenness(edges: DataFrame, sources: DataFrame, scratch: Scratch, of: str = "edge") -> DataFrame:
-    """Shortest-path betweenness by hops from ``sources``, of edges (``u, v, value``) or nodes (``id, value``).
+def _leaves_folded(e: DataFrame, nodes: DataFrame, least: float, scratch: Scratch, name: str) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """The nodes ``id, s, t`` and edges that are left once leaves are folded into their only neighbour.
 
-    All sources walk level by level together (source, node, hops, paths) until none finds a new node; then
-    dependencies are summed back level by level. Normalised by n (n - 1) for edges and (n - 1) (n - 2) for nodes, times n / number
-    of sources where only some are used.
+    ``s`` and ``t`` count the sources that reach a node and the targets it reaches in what it has taken in,
+    itself included. A round's leaves (id, p, s, t, up, down) come back in order, ``up`` and ``down`` for
+    the edges (id, p) and (p, id). Rounds end where less than the share ``least`` of the nodes would go:
+    what is left is walked, with the same result.
     """
-    e = scratch.table(edges.select("u", "v").where("u <> v").distinct(), f"bt-{of}-edges")
-    nodes = e.select(F.col("u").alias("id")).union(e.select("v")).distinct()
-    n = nodes.count()
-    front = scratch.table(sources.select(F.col("id").alias("s"), "id", F.lit(0).alias("d"), F.lit(1.0).alias("paths")).distinct(), f"bt-{of}-0")
+    rounds: list[DataFrame] = []
+    left = nodes.count()
+    for k in itertools.count(1):
+        pairs = e.select(F.col("u").alias("id"), F.col("v").alias("p"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(e.select("v", "u", F.lit(0), F.lit(1)))
+        beside = pairs.groupBy("id", "p").agg(F.max("up").alias("up"), F.max("down").alias("down"))
+        ends = scratch.table(beside.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.first("p").alias("p"), F.first("up").alias("up"), F.first("down").alias("down")).where("n = 1").drop("n"), f"{name}-ends-{k}")
+        # of two nodes that have only each other, the lesser stays
+        kept = ends.select(F.col("id").alias("p"), F.col("p").alias("id"), F.lit(True).alias("_both"))
+        gone = scratch.table(ends.join(kept, ["id", "p"], "left").where("_both is null or id > p").drop("_both").join(nodes, "id"), f"{name}-gone-{k}")
+        n = gone.count()
+        if n == 0 or n < least * left:
+            return nodes, e, rounds
+        given = gone.groupBy(F.col("p").alias("id")).agg(F.sum(F.col("s") * F.col("up")).alias("_s"), F.sum(F.col("t") * F.col("down")).alias("_t"))
+        rest = nodes.join(gone.select("id"), "id", "left_anti").join(given, "id", "left")
+        nodes = scratch.table(rest.select("id", *((F.col(c) + F.coalesce(f"_{c}", F.lit(0))).alias(c) for c in "st")), f"{name}-nodes-{k}")
+        ids = gone.select("id")
+        e = scratch.table(e.join(ids.withColumnRenamed("id", "u"), "u", "left_anti").join(ids.withColumnRenamed("id", "v"), "v", "left_anti").select("u", "v"), f"{name}-rest-{k}")
+        rounds.append(gone)
+        left -= n
+
+
+def _walked(e: DataFrame, nodes: DataFrame, starts: DataFrame, scratch: Scratch, name: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One batch of sources: ``u, v, f`` (flow of an edge), ``id, t`` (targets a source reaches), ``id, s`` (sources that reach a node)."""
+    front = scratch.table(starts.select(F.col("id").alias("src"), "id", F.lit(0).alias("d"), F.lit(1.0).alias("paths")), f"{name}-0")
     seen, steps = front, []
     for k in itertools.count(1):
-        went = front.join(e.select(F.col("u").alias("id"), F.col("v").alias("to")), "id").select("s", F.col("to").alias("id"), "paths")
-        new = went.join(seen.select("s", "id"), ["s", "id"], "left_anti").groupBy("s", "id").agg(F.sum("paths").alias("paths"))
-        front = scratch.table(new.select("s", "id", F.lit(k).alias("d"), "paths"), f"bt-{of}-{k}")
+        went = front.join(e.select(F.col("u").alias("id"), F.col("v").alias("to")), "id").select("src", F.col("to").alias("id"), "paths")
+        new = went.join(seen.select("src", "id"), ["src", "id"], "left_anti").groupBy("src", "id").agg(F.sum("paths").alias("paths"))
+        front = scratch.table(new.select("src", "id", F.lit(k).alias("d"), "paths"), f"{name}-{k}")
         if front.isEmpty():
             break
         steps.append(front)
         seen = seen.union(front)
-        if k % 20 == 0:  # keeps the plan short
-            seen = scratch.table(seen, f"bt-{of}-seen-{k}")
-    seen = scratch.table(seen, f"bt-{of}-seen")
+        if k % _GATHER == 0:
+            seen = scratch.table(seen, f"{name}-seen-{k}")
+    seen = scratch.table(seen, f"{name}-seen")
     flows, delta = None, None
     for k in range(len(steps), 0, -1):
-        heads = steps[k - 1]
-        gain = heads.withColumn("dep", F.lit(1.0)) if delta is None else heads.join(delta, ["s", "id"], "left").withColumn("dep", F.coalesce("dep", F.lit(0.0)) + 1)
-        tails = seen.where(F.col("d") == k - 1).select("s", F.col("id").alias("u"), F.col("paths").alias("p"))
-        flow = gain.join(e, gain["id"] == e["v"]).join(tails, ["s", "u"]).select("s", "u", "v", (F.col("p") / F.col("paths") * F.col("dep")).alias("f"))
-        flow = scratch.table(flow, f"bt-{of}-flow-{k}")
+        heads = steps[k - 1].join(nodes.select("id", "t"), "id")
+        gain = heads.withColumn("dep", F.col("t").cast("double")) if delta is None else heads.join(delta, ["src", "id"], "left").withColumn("dep", F.coalesce("dep", F.lit(0.0)) + F.col("t"))
+        tails = seen.where(F.col("d") == k - 1).select("src", F.col("id").alias("u"), F.col("paths").alias("p"))
+        flow = gain.select("src", F.col("id").alias("v"), "paths", "dep").join(e, "v").join(tails, ["src", "u"])
+        flow = scratch.table(flow.select("src", "u", "v", (F.col("p") / F.col("paths") * F.col("dep")).alias("f")), f"{name}-flow-{k}")
         flows = flow if flows is None else flows.union(flow)
-        delta = flow.groupBy("s", F.col("u").alias("id")).agg(F.sum("f").alias("dep"))
+        delta = flow.groupBy("src", F.col("u").alias("id")).agg(F.sum("f").alias("dep"))
+    weight = nodes.select(F.col("id").alias("src"), "s")
+    flows = e.limit(0).select(F.col("u").alias("src"), "u", "v", F.lit(0.0).alias("f")) if flows is None else flows
+    by_edge = scratch.table(flows.join(weight, "src").groupBy("u", "v").agg(F.sum(F.col("f") * F.col("s")).alias("f")), f"{name}-edges")
+    out = scratch.table(seen.join(nodes.select("id", "t"), "id").groupBy(F.col("src").alias("id")).agg(F.sum("t").alias("t")), f"{name}-targets")
+    into = scratch.table(seen.join(weight, "src").groupBy("id").agg(F.sum("s").alias("s")), f"{name}-sources")
+    return by_edge, out, into
+
+
+def betweenness(edges: DataFrame, sources: DataFrame, scratch: Scratch, of: str = "edge", state: int = 200_000_000, least: float = 0.05) -> DataFrame:
+    """Shortest-path betweenness by hops from ``sources``, of edges (``u, v, value``) or nodes (``id, value``).
+
+    Leaves are folded away first, as long as a round takes at least the share ``least`` of the nodes: what
+    passes them is a product of counts. The rest is walked level by level in batches of sources, each with
+    at most about ``state`` rows (source, node, hops, paths); a batch leaves its sums, and its tables are
+    dropped. Normalised by n (n - 1) for edges and (n - 1) (n - 2) for nodes, times n / number of sources
+    where only some are used.
+    """
+    e = scratch.table(edges.select("u", "v").where("u <> v").distinct(), f"bt-{of}-edges")
+    every = e.select(F.col("u").alias("id")).union(e.select("v")).distinct()
+    start = sources.select("id").distinct().withColumn("s", F.lit(1).cast("long"))
+    nodes = scratch.table(every.join(start, "id", "left").select("id", F.coalesce("s", F.lit(0)).cast("long").alias("s"), F.lit(1).cast("long").alias("t")), f"bt-{of}-nodes")
+    n = nodes.count()
+    core, rest, rounds = _leaves_folded(e, nodes, least, scratch, f"bt-{of}-fold")
+    # a core node without a source still walks where a leaf asks how far it reaches
+    starts = core if rounds else core.where("s > 0")
+    batches = max(1, math.ceil(starts.count() * core.count() / state))
+    parts = []
+    for b in range(batches):
+        own = Scratch(scratch.spark, f"bt-{of}-batch-{b}")
+        mine = starts if batches == 1 else starts.where(F.pmod(F.xxhash64("id"), F.lit(batches)) == b)
+        parts.append([scratch.table(x, f"bt-{of}-{what}-{b}") for what, x in zip(("flow", "out", "in"), _walked(rest, core, mine, own, "w"))])
+        own.drop()
+    whole = [parts[0][i] for i in range(3)]
+    for part in parts[1:]:
+        whole = [a.union(b) for a, b in zip(whole, part)]
+    flows = whole[0].groupBy("u", "v").agg(F.sum("f").alias("f"))
+    # beyond: targets a node reaches, and sources that reach it, outside of what was folded into it
+    out, into = whole[1].withColumnRenamed("t", "_t"), whole[2].groupBy("id").agg(F.sum("s").alias("_s"))
+    far = core.join(out, "id", "left").join(into, "id", "left")
+    now = scratch.table(far.select("id", "s", "t", (F.coalesce("_t", "t") - F.col("t")).alias("out"), (F.coalesce("_s", "s") - F.col("s")).alias("into")), f"bt-{of}-beyond-0")
+    for k, gone in enumerate(reversed(rounds), 1):
+        near = gone.join(now.select(F.col("id").alias("p"), F.col("s").alias("_s"), F.col("t").alias("_t"), F.col("out").alias("_out"), F.col("into").alias("_into")), "p")
+        out = F.col("up") * (F.col("_out") + F.col("_t") - F.col("t") * F.col("down"))
+        into = F.col("down") * (F.col("_into") + F.col("_s") - F.col("s") * F.col("up"))
+        near = scratch.table(near.select("id", "p", "s", "t", "up", "down", out.alias("out"), into.alias("into")), f"bt-{of}-near-{k}")
+        flows = flows.union(near.where("up = 1").select(F.col("id").alias("u"), F.col("p").alias("v"), (F.col("s") * F.col("out")).cast("double").alias("f")))
+        flows = flows.union(near.where("down = 1").select(F.col("p").alias("u"), F.col("id").alias("v"), (F.col("t") * F.col("into")).cast("double").alias("f")))
+        now = scratch.table(now.union(near.select(*now.columns)), f"bt-{of}-beyond-{k}")
+    flows = scratch.table(flows, f"bt-{of}-flows")
     lift = n / max(1, sources.select("id").distinct().count())
     if of == "edge":
-        total = (e.limit(0).withColumn("f", F.lit(0.0)) if flows is None else flows).groupBy("u", "v").agg(F.sum("f").alias("f"))
-        return e.join(total, ["u", "v"], "left").select("u", "v", (F.coalesce("f", F.lit(0.0)) * lift / max(1, n * (n - 1))).alias("value"))
-    if flows is None:
-        return nodes.select("id", F.lit(0.0).alias("value"))
-    through = flows.where("s <> u").groupBy(F.col("u").alias("id")).agg(F.sum("f").alias("f"))
-    return nodes.join(through, "id", "left").select("id", (F.coalesce("f", F.lit(0.0)) * lift / max(1, (n - 1) * (n - 2))).alias("value"))
+        return e.join(flows, ["u", "v"], "left").select("u", "v", (F.coalesce("f", F.lit(0.0)) * lift / max(1, n * (n - 1))).alias("value"))
+    # what leaves a node, but for what starts there: all it reaches in what it took in and beyond, where it is a source itself
+    sent = flows.groupBy(F.col("u").alias("id")).agg(F.sum("f").alias("f"))
+    own = nodes.select("id", F.col("s").alias("_own")).join(now, "id").select("id", (F.col("_own") * (F.col("out") + F.col("t") - 1)).alias("own"))
+    through = F.coalesce("f", F.lit(0.0)) - F.col("own")
+    return own.join(sent, "id", "left").select("id", (through * lift / max(1, (n - 1) * (n - 2))).alias("value"))

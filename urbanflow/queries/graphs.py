@@ -299,4 +299,12 @@ def m14(spark, sf):
     return metrics.ks_2samp(b, b.select((F.col("value") * 2).alias("value"))).select(F.round("value", 9).alias("value"))
 
 
+@_("m14_kstest_edge_betweenness", _BT + ", val AS (SELECT (above + 1) * (below + 1) / (n * (n - 1)) AS value FROM fx_forest f JOIN up ON up.id = f.u JOIN below ON below.id = f.v, c)" + _KS.format(x="SELECT value, 1 AS x, 0 AS y FROM val", y="SELECT value * 2, 0, 1 FROM val"), NF, recursive=True)
+def m14_edges(spark, sf):
+    net, scratch = forest(spark, sf), Scratch(spark, "m14e")
+    every = net.edges.select(F.col("u").alias("id")).union(net.edges.select("v")).distinct()
+    b = scratch.table(p.betweenness(net.edges, every, scratch), "value")
+    return metrics.ks_2samp(b, b.select((F.col("value") * 2).alias("value"))).select(F.round("value", 9).alias("value"))
+
+
 assert math.isclose(_PARAMS.diameters[-1], 3.0)
