@@ -50,23 +50,21 @@ def graph(seed):
     return rows + [("x", "y"), ("y", "x"), ("p", "q")]
 
 
-@pytest.mark.parametrize("seed, state, least, some", [(1, 10**9, 0.05, False), (2, 60, 0.0, True), (3, 500, 2.0, False)])
-def test_betweenness(spark, seed, state, least, some):
+@pytest.mark.parametrize("seed, state, least, some, of", [(1, 10**9, 0.05, False, "node"), (2, 60, 0.0, True, "node"), (2, 60, 0.0, True, "edge"), (3, 500, 2.0, False, "edge")])
+def test_betweenness(spark, seed, state, least, some, of):
     """One batch and many, leaves folded to the end, for a while and not at all, all sources and some."""
     rows = graph(seed)
     ids = sorted({x for e in rows for x in e})
     sources = ids[::3] if some else ids
-    edge, node = by_hand(rows, sources)
+    want = by_hand(rows, sources)[of == "node"]
     e = spark.createDataFrame(rows, "u string, v string").coalesce(1)
-    of = spark.createDataFrame([(i,) for i in sources], "id string").coalesce(1)
+    starts = spark.createDataFrame([(i,) for i in sources], "id string").coalesce(1)
     spark.conf.set("spark.sql.shuffle.partitions", "1")
     try:
-        edges = paths.betweenness(e, of, Scratch(spark, "t"), state=state, least=least).collect()
-        nodes = paths.betweenness(e, of, Scratch(spark, "t"), "node", state, least).collect()
+        got = paths.betweenness(e, starts, Scratch(spark, "t"), of, state, least).collect()
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
-    assert {(r["u"], r["v"]): r["value"] for r in edges} == pytest.approx(edge)
-    assert {r["id"]: r["value"] for r in nodes} == pytest.approx(node)
+    assert {r["id"] if of == "node" else (r["u"], r["v"]): r["value"] for r in got} == pytest.approx(want)
 
 
 @pytest.mark.parametrize("heavy", [0, 3, 1_000])

@@ -50,6 +50,46 @@ def interpolate_by(df: DataFrame, keys: Sequence[str], order: str, col: str, met
     return d.withColumn(col, filled).select(*df.columns)
 
 
+def _in_ranges(df: DataFrame, order: str, ranges: int | None) -> DataFrame:
+    """Adds ``_r``, ranges of ``order`` of about equal size, as many as the session shuffles to by default.
+
+    The cuts, one number a range, are literals, so that every reading of the rows finds the same ranges.
+    """
+    n = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    micros = F.unix_micros(F.col(order).cast("timestamp"))
+    cuts = df.agg(F.percentile_approx(micros, [k / n for k in range(1, n)], 10_000)).first()[0] if n > 1 else None
+    if not cuts:
+        return df.withColumn("_r", F.lit(0))
+    below = F.filter(F.array(*(F.lit(c) for c in sorted(set(cuts)))), lambda c: c < micros)
+    return df.withColumn("_r", F.when(F.col(order).isNull(), 0).otherwise(F.size(below)))
+
+
+def interpolate_all(df: DataFrame, order: str, col: str, method: str = "row", ranges: int | None = None) -> DataFrame:
+    """As ``interpolate_by`` over all rows as one group, range by range of ``order``.
+
+    Each range is filled for itself; its number of rows and its first and last known value go to one row,
+    and those rows tell a range how many rows lie before it and what is known before and after it.
+    """
+    w = Window.partitionBy("_r").orderBy(order)
+    back, on = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    d = _in_ranges(df, order, ranges).withColumn("_k", F.row_number().over(w))
+    place = F.col("_k").cast("double") if method == "row" else F.unix_micros(F.col(order).cast("timestamp")) / 1e6
+    d = d.withColumn("_known", F.when(F.col(col).isNotNull(), F.struct(place.alias("t"), F.col(col).alias("v"))))
+    totals = d.groupBy("_r").agg(F.count(F.lit(1)).alias("_n"), F.min_by("_known", F.when(F.col("_known").isNotNull(), F.col("_k"))).alias("_first"), F.max_by("_known", F.when(F.col("_known").isNotNull(), F.col("_k"))).alias("_last"))
+    earlier = Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    later = Window.orderBy("_r").rowsBetween(1, Window.unboundedFollowing)
+    lifted = totals.withColumn("_off", F.coalesce(F.sum("_n").over(earlier), F.lit(0)) if method == "row" else F.lit(0))
+    on_line = lambda known: F.when(F.col(known).isNotNull(), F.struct((F.col(f"{known}.t") + F.col("_off")).alias("t"), F.col(f"{known}.v").alias("v")))
+    lifted = lifted.withColumns({"_first": on_line("_first"), "_last": on_line("_last")})
+    around = lifted.select("_r", "_off", F.last("_last", ignorenulls=True).over(earlier).alias("_before"), F.first("_first", ignorenulls=True).over(later).alias("_after"))
+    d = d.withColumns({"_p": F.last("_known", ignorenulls=True).over(back), "_x": F.first("_known", ignorenulls=True).over(on)}).join(F.broadcast(around), "_r")
+    at = place + F.col("_off")
+    d = d.withColumns({"_p": F.coalesce(on_line("_p"), "_before"), "_x": F.coalesce(on_line("_x"), "_after")})
+    line = F.col("_p.v") + (F.col("_x.v") - F.col("_p.v")) * (at - F.col("_p.t")) / (F.col("_x.t") - F.col("_p.t"))
+    filled = F.when(F.col(col).isNotNull(), F.col(col)).when(F.col("_x").isNull(), F.col("_p.v")).when(F.col("_p").isNotNull(), line)
+    return d.withColumn(col, filled).select(*df.columns)
+
+
 def _aligned(syn: DataFrame, real: DataFrame, keys: list[str]) -> DataFrame:
     both = syn.join(real, [*keys, "date"], "full")
     return interpolate_by(both, keys, "date", "value_syn").where("value_real is not null")
@@ -64,8 +104,7 @@ def align_by_id(syn: DataFrame, real: DataFrame, variable: str, syn_ids: DataFra
         return own.groupBy("date").agg(F.sum("value").alias(name))
 
     a, b = total(syn, syn_ids, "value_syn"), total(real, real_ids, "value_real")
-    both = a.join(b, "date", "full").withColumn("_g", F.lit(0))
-    return interpolate_by(both, ["_g"], "date", "value_syn").where("value_real is not null").drop("_g")
+    return interpolate_all(a.join(b, "date", "full"), "date", "value_syn").where("value_real is not null")
 
 
 def align_by_shape(
@@ -96,7 +135,7 @@ def align_by_cell(variable: str, syn: DataFrame, real: DataFrame, nodes: DataFra
 def thin_results(results: DataFrame, n: int, duration: float | None = None, variables: Sequence[str] | None = None) -> DataFrame:
     """Stored variables, at most ``duration`` seconds, every ``n``-th date (1st, n+1-th, ...); 1 keeps all.
 
-    Dates are numbered once from the table of distinct dates, not over all rows.
+    Dates are numbered once from the table of distinct dates, range by range, not over all rows.
     """
     own = results if variables is None else results.where(F.col("variable").isin(list(variables)))
     micros = F.unix_micros(F.col("date").cast("timestamp"))
@@ -105,5 +144,8 @@ def thin_results(results: DataFrame, n: int, duration: float | None = None, vari
         own = own.crossJoin(F.broadcast(start)).where(micros - F.col("_a") <= duration * 1e6).select(*results.columns)  # one row
     if n <= 1:
         return own
-    dates = own.select("date").distinct().withColumn("_k", F.row_number().over(Window.orderBy("date"))).where(F.col("_k") % n == 1)
+    ranged = _in_ranges(own.select("date").distinct(), "date", None)
+    sizes = ranged.groupBy("_r").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.select("_r", (F.sum("_n").over(Window.orderBy("_r")) - F.col("_n")).alias("_off"))  # one row a range
+    dates = ranged.withColumn("_k", F.row_number().over(Window.partitionBy("_r").orderBy("date"))).join(F.broadcast(before), "_r").where((F.col("_k") + F.col("_off")) % n == 1)
     return own.join(dates.select("date"), "date", "left_semi").select(*results.columns)
