@@ -136,6 +136,29 @@ def test_bbox_is_pushed_to_the_scan(spark, tmp_path):
     assert "LessThan(bbox.xmin,4.0)" in plan
 
 
+def test_boxes_by_place_skip_row_groups(spark, tmp_path):
+    """A hundredth of the area: few of the row groups overlap it, and the scan reads no others."""
+    import pyarrow.parquet as pq
+
+    side = 300
+    boxes = spark.range(side * side).select("id", ((F.col("id") * 7919) % (side * side)).alias("k"))
+    x, y = (F.col("k") % side).cast("double"), F.floor(F.col("k") / side).cast("double")
+    boxes = boxes.select("id", F.struct(x.alias("xmin"), y.alias("ymin"), (x + 1).alias("xmax"), (y + 1).alias("ymax")).alias("bbox"))
+    boxes = boxes.union(spark.range(1).select(F.lit(-1).alias("id"), F.lit(None).cast(boxes.schema["bbox"].dataType).alias("bbox")))
+    path = str(tmp_path / "boxes.parquet")
+    io.write_by_place(boxes, path, files=8, row_group=64 * 1024)
+    box = (100.5, 200.5, 129.5, 229.5)
+    groups = [pq.ParquetFile(f).metadata.row_group(g) for f in sorted((tmp_path / "boxes.parquet").glob("*.parquet")) for g in range(pq.ParquetFile(f).metadata.num_row_groups)]
+    stats = [{g.column(c).path_in_schema: g.column(c).statistics for c in range(g.num_columns)} for g in groups]
+    hit = [g.num_rows for g, s in zip(groups, stats) if s["bbox.xmin"].min < box[2] and s["bbox.xmax"].max > box[0] and s["bbox.ymin"].min < box[3] and s["bbox.ymax"].max > box[1]]
+    assert len(groups) >= 16 and len(hit) <= len(groups) / 4
+    found = io.scan_bbox(spark.read.parquet(path), *box)
+    rows = found.collect()
+    scan = found._jdf.queryExecution().executedPlan().collectLeaves().head()
+    assert len(rows) == 30 * 30 and scan.metrics().apply("numOutputRows").value() <= sum(hit)
+    assert spark.read.parquet(path).where("bbox IS NULL").count() == 1
+
+
 def test_pipelines_check_and_stop(spark):
     nodes = spark.createDataFrame([("1",), ("2",)], "id string")
     net = Network(nodes, spark.createDataFrame([("1", "2", 0, "street")], "u string, v string, key int, edge_type string"))

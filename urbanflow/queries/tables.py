@@ -73,7 +73,7 @@ def s6(spark, sf) -> DataFrame:
 @_("s7_scan_bbox", " SELECT sub_id FROM fx_boxes WHERE xmin < 900 AND xmax > 300 AND ymin < 900 AND ymax > -20", ("fx_boxes",))
 def s7(spark, sf) -> DataFrame:
     path = Scratch(spark, "s7").path("boxes.parquet")
-    io.write_table(view(spark, sf, "fx_boxes").select("sub_id", F.struct("xmin", "ymin", "xmax", "ymax").alias("bbox")), path)
+    io.write_by_place(view(spark, sf, "fx_boxes").select("sub_id", F.struct("xmin", "ymin", "xmax", "ymax").alias("bbox")), path)
     return io.scan_bbox(io.read_table(spark, path), 300.0, -20.0, 900.0, 900.0).select("sub_id")
 
 
