@@ -187,24 +187,95 @@ def accumulate_forest(parents: DataFrame, values: DataFrame, scratch: Scratch, r
     raise RuntimeError("the forest has a cycle")
 
 
-def accumulate(edges: DataFrame, values: DataFrame, scratch: Scratch, rounds: int = 40) -> DataFrame:
+def _circles(ways: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """``id`` of the nodes on circles of (id, to): where pointers still lie after as many steps as there are ways."""
+    now = scratch.table(ways.where("to is not null").select("id", "to"), f"{name}-0")
+    for k in range(1, math.ceil(math.log2(max(2, now.count()))) + 2):
+        if now.isEmpty():
+            break
+        now = scratch.table(now.join(now.select(F.col("id").alias("to"), F.col("to").alias("_t")), "to").select("id", F.col("_t").alias("to")), f"{name}-{k}")
+    return now.select(F.col("to").alias("id")).distinct()
+
+
+def _mutual_merged(e: DataFrame, values: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Edges, values and ``id, g`` once nodes that have edges both ways are one, as often as that brings more."""
+    label = values.select("id", F.col("id").alias("g"))
+    for k in itertools.count():
+        both = scratch.table(e.join(e.select(F.col("v").alias("u"), F.col("u").alias("v")), ["u", "v"], "left_semi"), f"acc-mutual-{k}")
+        if both.isEmpty():
+            return e, values, label
+        one = components(both, scratch, f"acc-one-{k}")
+        of = lambda c: one.select(F.col("id").alias(c), F.col("component").alias(f"_{c}"))
+        label = scratch.table(label.join(of("g"), "g", "left").select("id", F.coalesce("_g", "g").alias("g")), f"acc-label-{k}")
+        values = scratch.table(values.join(of("id"), "id", "left").groupBy(F.coalesce("_id", "id").alias("id")).agg(F.sum("value").alias("value")), f"acc-values-{k}")
+        moved = e.join(of("u"), "u", "left").join(of("v"), "v", "left").select(F.coalesce("_u", "u").alias("u"), F.coalesce("_v", "v").alias("v"))
+        e = scratch.table(moved.where("u <> v").distinct(), f"acc-merged-{k}")
+
+
+def accumulate(edges: DataFrame, values: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFrame:
     """As ``accumulate_forest`` for any graph: each distinct ancestor counts once, a node also for itself.
 
-    Walks double: round k adds the pairs that walks of 2^k to 2^(k+1) - 1 edges join, so rounds grow
-    with the logarithm of the depth. Cycles do no harm. The pairs of ancestor and node are what the
-    result needs; a forest doesn't need them.
+    Nodes without a value count nothing; cycles do no harm. Nodes with edges both ways are merged first.
+    What no branching node or circle leads to is a forest, whose sums go to the node it drains to. In the
+    rest, a node with one predecessor adds itself to that one's total, and what lies between two joints
+    (branching or meeting nodes) is one sum, so pairs of ancestor and node are made of joints alone.
     """
-    step = scratch.table(edges.select(F.col("u").alias("a"), F.col("v").alias("id")).distinct(), "anc-step-0")
-    pairs, known = scratch.table(values.select(F.col("id").alias("a"), "id").distinct(), "anc-0"), 0
+    e = scratch.table(edges.where("u <> v").select("u", "v").distinct(), "acc-edges")
+    given = values.groupBy("id").agg(F.sum(F.col("value").cast("double")).alias("value"))
+    ids = e.select(F.col("u").alias("id")).union(e.select("v")).union(values.select("id")).distinct()
+    whole = scratch.table(ids.join(given, "id", "left").select("id", F.coalesce("value", F.lit(0.0)).alias("value")), "acc-values")
+    e, own, label = _mutual_merged(e, whole, scratch)
+
+    # forest: what neither a branching node nor a circle leads to
+    outs = scratch.table(e.groupBy(F.col("u").alias("id")).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("to")), "acc-outs")
+    branching = outs.where("n > 1").select("id")
+    circles = _circles(outs.where("n = 1").select("id", "to"), scratch, "acc-circles")
+    core = scratch.table(descendants(e, branching.union(circles).distinct(), scratch, "acc-core"), "acc-core-all")
+    trees = outs.join(core, "id", "left_anti").select("id", F.col("to").alias("parent"))
+    held = scratch.table(accumulate_forest(trees, own, scratch, rounds), "acc-held")
+    total = held.join(core, "id", "left_anti")
+    if not core.isEmpty():
+        total = total.union(_accumulate_joints(e.join(core.select(F.col("id").alias("u")), "u", "left_semi"), held.join(core, "id", "left_semi"), scratch, rounds))
+    return label.join(total.withColumnRenamed("id", "g"), "g").select("id", "total")
+
+
+def _accumulate_joints(e: DataFrame, weights: DataFrame, scratch: Scratch, rounds: int) -> DataFrame:
+    """``id, total`` for (id, total) of nodes' own weights, by pairs of joints."""
+    ups = e.groupBy(F.col("v").alias("id")).agg(F.count(F.lit(1)).alias("n_in"), F.min("u").alias("up"))
+    downs = e.groupBy(F.col("u").alias("id")).agg(F.count(F.lit(1)).alias("n_out"), F.min("v").alias("on"))
+    nodes = weights.withColumnRenamed("total", "w").join(ups, "id", "left").join(downs, "id", "left").fillna(0, ["n_in", "n_out"])
+    nodes = scratch.table(nodes, "joint-nodes")
+    rings = _circles(nodes.where("n_in = 1").select("id", F.col("up").alias("to")), scratch, "joint-circles").withColumn("_ring", F.lit(True))
+    nodes = scratch.table(nodes.join(rings, "id", "left").withColumn("joint", (F.col("n_in") != 1) | F.col("_ring").isNotNull()).drop("_ring"), "joint-nodes-marked")
+    head = ends_of(nodes.select("id", F.when(~F.col("joint"), F.col("up")).alias("to")), scratch, "joint-heads")
+    last = ends_of(nodes.select("id", F.when(~F.col("joint") & (F.col("n_out") == 1), F.col("on")).alias("to")), scratch, "joint-ends")
+    units = last.join(nodes.select("id", "w"), "id").groupBy(F.col("end").alias("a")).agg(F.sum("w").alias("w"))
+    inner = last.where("id = end").select(F.col("id").alias("u"))
+    step = e.join(inner, "u").join(last.select(F.col("id").alias("v"), "end"), "v").select(F.col("u").alias("a"), F.col("end").alias("id")).distinct()
+    step = scratch.table(step, "joint-step-0")
+    pairs, known = scratch.table(inner.select(F.col("u").alias("a"), F.col("u").alias("id")), "joint-pairs-0"), 0
     for k in range(1, rounds + 1):
         more = pairs.select("a", F.col("id").alias("mid")).join(step.select(F.col("a").alias("mid"), "id"), "mid").select("a", "id")
-        pairs = scratch.table(pairs.union(more).distinct(), f"anc-{k}")
+        pairs = scratch.table(pairs.union(more).distinct(), f"joint-pairs-{k}")
         n = pairs.count()
         if n == known:
-            return pairs.join(values.select(F.col("id").alias("a"), "value"), "a").groupBy("id").agg(F.sum("value").alias("total"))
+            break
         known = n
-        step = scratch.table(step.select("a", F.col("id").alias("mid")).join(step.select(F.col("a").alias("mid"), "id"), "mid").select("a", "id").distinct(), f"anc-step-{k}")
-    raise RuntimeError(f"paths of more than 2^{rounds} edges")
+        step = scratch.table(step.select("a", F.col("id").alias("mid")).join(step.select(F.col("a").alias("mid"), "id"), "mid").select("a", "id").distinct(), f"joint-step-{k}")
+    else:
+        raise RuntimeError(f"paths of more than 2^{rounds} joints")
+    at_joints = pairs.join(units, "a").groupBy("id").agg(F.sum("w").alias("total"))
+    # a node that leads back to its joint is among that joint's ancestors already
+    known_there = pairs.select(F.col("a").alias("last"), F.col("id").alias("head"), F.lit(True).alias("_back"))
+    way = nodes.join(head.select("id", F.col("end").alias("head")), "id").join(last.select("id", F.col("end").alias("last")), "id").join(known_there, ["last", "head"], "left")
+    way = way.select("id", "head", F.when(~F.col("joint"), F.col("up")).alias("to"), F.when(F.col("joint") | F.col("_back").isNotNull(), 0.0).otherwise(F.col("w")).alias("more"))
+    now = scratch.table(way, "joint-way-0")
+    for k in itertools.count(1):
+        if now.where("to is not null").isEmpty():
+            break
+        far = now.select(F.col("id").alias("to"), F.col("to").alias("_t"), F.col("more").alias("_m"))
+        now = scratch.table(now.join(far, "to", "left").select("id", "head", F.col("_t").alias("to"), (F.col("more") + F.coalesce("_m", F.lit(0.0))).alias("more")), f"joint-way-{k}")
+    return now.join(at_joints.select(F.col("id").alias("head"), "total"), "head").select("id", (F.col("total") + F.col("more")).alias("total"))
 
 
 def min_spanning_forest(edges: DataFrame, scratch: Scratch, weight: str = "length", rounds: int = 40) -> DataFrame:
