@@ -187,6 +187,31 @@ def o7(spark, sf):
     return t.derive_topology(net, scratch).nodes.select("id", "outfall", "shortest_path")
 
 
+#: Outfalls of 40.5 tie with no street. Streets of up to 40 make clusters, which the tree joins first; a cluster keeps its
+#: first outfall edge, unless a sink without one gives it a free way to the waste node.
+_CHOSEN = _PAIRED + """, sh AS (SELECT u, v FROM st WHERE length <= 40 UNION SELECT v, u FROM st WHERE length <= 40), rs AS (SELECT u AS id, v AS o FROM sh UNION SELECT rs.id, sh.v FROM rs JOIN sh ON sh.u = rs.o),
+cl AS (SELECT sp.id, least(sp.id, coalesce(min(rs.o), sp.id)) AS c FROM sp LEFT JOIN rs ON rs.id = sp.id GROUP BY sp.id),
+fr AS (SELECT DISTINCT c FROM cl WHERE id NOT IN (SELECT u FROM st) AND id NOT IN (SELECT u FROM outf)),
+pick AS (SELECT u, v FROM (SELECT outf.u, outf.v, row_number() OVER (PARTITION BY cl.c ORDER BY outf.u, outf.v) AS k FROM outf JOIN cl ON cl.id = outf.u WHERE cl.c NOT IN (SELECT c FROM fr)) WHERE k = 1)"""
+
+
+def _separate(spark, sf, scratch) -> Network:
+    return t.identify_outfalls(_with_river(spark, sf), OutfallDerivation("separate", 40.0, 40.5), scratch)
+
+
+@_("o5_separate_by_cluster", _CHOSEN + " SELECT u, v, u || '-' || v || '-outfall' AS id FROM pick", NFR, recursive=True)
+def o5c(spark, sf):
+    return _separate(spark, sf, Scratch(spark, "o5c")).edges.where("edge_type = 'outfall'").select("u", "v", "id")
+
+
+@_("o7_topology_by_cluster", _CHOSEN + """, dt AS (SELECT u AS a, v AS b, length AS len FROM st UNION ALL SELECT dt.a, st.v, dt.len + st.length FROM dt JOIN st ON st.u = dt.b), hd AS (SELECT DISTINCT u FROM pick),
+w AS (SELECT a AS id, b AS outfall, len FROM dt WHERE b IN (SELECT u FROM hd) UNION ALL SELECT u, u, 0 FROM hd)
+SELECT id, outfall, len AS shortest_path FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY len) AS k FROM w) WHERE k = 1""", NFR, recursive=True)
+def o7c(spark, sf):
+    scratch = Scratch(spark, "o7c")
+    return t.derive_topology(_separate(spark, sf, scratch), scratch).nodes.select("id", "outfall", "shortest_path")
+
+
 @_("o8_derive_topology_withtopo", None)
 def o8(spark, sf):
     scratch = Scratch(spark, "o8")

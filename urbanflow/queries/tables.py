@@ -12,6 +12,7 @@ from urbanflow.operators import metrics as m
 from urbanflow.operators import sections as x
 from urbanflow.operators.network import double_directed
 from urbanflow.queries.base import Area, forest, streets
+from urbanflow.queries.geometry import _G2
 from urbanflow.scratch import Scratch
 from urbanflow.sources import io
 
@@ -85,10 +86,26 @@ def s8(spark, sf) -> DataFrame:
     return io.country_iso3(own, codes, "c_nationkey").select("c_custkey", "iso3")
 
 
-@_("s9_prepare_precipitation", " SELECT unit, count(*) AS n FROM (SELECT 'm/hr' AS unit FROM fx_lonlat) GROUP BY unit", ("fx_lonlat",))
+@_("s9_prepare_precipitation", _G2 + " SELECT id, 'm/hr' AS unit, round(ux, 4) AS x, round(uy, 4) AS y FROM utm", ("fx_lonlat",))
 def s9(spark, sf) -> DataFrame:
     own = io.prepare_precipitation(view(spark, sf, "fx_lonlat").withColumnsRenamed({"lon": "longitude", "lat": "latitude"}))
-    return own.where("x is not null and y is not null").groupBy("unit").agg(F.count(F.lit(1)).alias("n"))
+    return own.select("id", "unit", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
+
+
+@_("s3_load_network", """ SELECT f.u, f.v, f.length, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM fx_forest f JOIN fx_nodes a ON a.id = f.u JOIN fx_nodes b ON b.id = f.v""", NF)
+def s3(spark, sf) -> DataFrame:
+    """The forest as records of a node-link document a pipe, each with its two nodes and no line, read again."""
+    path = Scratch(spark, "s3").path("links.json")
+    ends = forest(spark, sf)
+    n = ends.nodes.select("id", "x", "y")
+    both = ends.edges.join(n.select(F.col("id").alias("u"), F.struct("id", "x", "y").alias("a")), "u").join(n.select(F.col("id").alias("v"), F.struct("id", "x", "y").alias("b")), "v")
+    # both ends carry the pipe's name, so that each record is a network of its own
+    name = lambda c: F.concat_ws(":", "u", "v", c)
+    node = lambda c: F.struct(name(F.lit(c)).alias("id"), F.col(f"{c}.x").alias("x"), F.col(f"{c}.y").alias("y"))
+    link = F.struct(name(F.lit("a")).alias("source"), name(F.lit("b")).alias("target"), "u", "v", "length")
+    both.select(F.array(node("a"), node("b")).alias("nodes"), F.array(link.withField("tail", F.col("u")).withField("head", F.col("v")).dropFields("u", "v")).alias("links")).write.json(path)
+    e = io.load_network(spark, path, lines=True).edges
+    return e.select(F.col("tail").alias("u"), F.col("head").alias("v"), "length", *(F.col("geometry")[k][c].alias(f"{c}{k + 1}") for k in (0, 1) for c in "xy"))
 
 
 @_("s10_read_storm", """ SELECT id AS station, date AS ts, round(sum(value), 4) AS value FROM fx_results WHERE variable = 'click' GROUP BY id, date""", ("fx_results",))

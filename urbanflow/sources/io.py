@@ -63,9 +63,12 @@ def line_text(line: Column) -> Column:
     return F.concat(F.lit("LINESTRING ("), F.array_join(F.transform(line, lambda p: F.concat_ws(" ", p["x"].cast("string"), p["y"].cast("string"))), ", "), F.lit(")"))
 
 
-def load_network(spark: SparkSession, path: str) -> Network:
-    """Node-link JSON: ids as text, WKT to vertices, straight lines where an edge has none."""
-    raw = spark.read.option("multiLine", True).json(path)
+def load_network(spark: SparkSession, path: str, lines: bool = False) -> Network:
+    """Node-link JSON: ids as text, WKT to vertices, straight lines where an edge has none.
+
+    ``lines``: a document a line, which large inputs need to be split; all of them are one network.
+    """
+    raw = spark.read.option("multiLine", not lines).json(path)
     nodes = raw.select(F.explode("nodes").alias("n")).select("n.*").withColumn("id", F.col("id").cast("string"))
     links = raw.select(F.explode("links").alias("e")).select("e.*")
     edges = links.withColumns({"u": F.col("source").cast("string"), "v": F.col("target").cast("string")}).drop("source", "target")
