@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from urbanflow.operators.network import keep_ids
 from urbanflow.operators.spatial import nodes_to_subs
+from urbanflow.scratch import Scratch
 
 
 def apply_warmup(results: DataFrame, warmup: float) -> DataFrame:
@@ -110,13 +111,15 @@ def align_by_id(syn: DataFrame, real: DataFrame, variable: str, syn_ids: DataFra
 def align_by_shape(
     variable: str, syn: DataFrame, real: DataFrame, syn_nodes: DataFrame, real_nodes: DataFrame, shapes: DataFrame, bucket: float, key: str = "sub_id"
 ) -> DataFrame:
-    """``key, date, value_syn, value_real``: sums over the nodes inside each polygon, aligned by date."""
+    """``key, date, value_syn, value_real``: sums over the nodes inside each polygon, aligned by date.
 
-    def total(results: DataFrame, nodes: DataFrame, name: str) -> DataFrame:
-        placed = nodes_to_subs(nodes, shapes, bucket, key).select(F.col("id").cast("string").alias("id"), key)
-        return _by_group(results, placed, variable, key, name)
-
-    return _aligned(total(syn, syn_nodes, "value_syn"), total(real, real_nodes, "value_real"), [key])
+    The nodes of both sides are placed in one join, and their places written once.
+    """
+    sides = [n.select(F.lit(i).alias("_side"), F.col("id").cast("string").alias("id"), "x", "y") for i, n in enumerate((syn_nodes, real_nodes))]
+    placed = nodes_to_subs(sides[0].union(sides[1]), shapes, bucket, key).select("_side", "id", key)
+    placed = Scratch(syn.sparkSession, "shapes").table(placed, "placed")
+    a, b = (_by_group(r, placed.where(F.col("_side") == i).drop("_side"), variable, key, n) for i, (r, n) in enumerate(((syn, "value_syn"), (real, "value_real"))))
+    return _aligned(a, b, [key])
 
 
 def _by_group(results: DataFrame, placed: DataFrame, variable: str, key: str, name: str) -> DataFrame:

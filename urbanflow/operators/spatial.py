@@ -89,17 +89,17 @@ def nodes_to_subs(
     """
     scratch = Scratch(nodes.sparkSession, "places")
     rings = polys.select(F.col(id).alias("_id"), F.col(ring).alias("_ring"), F.xxhash64(ring).alias("_key")).where("_ring is not null and _id is not null")
-    rings = scratch.table(rings.groupBy("_id", "_key").agg(F.first("_ring").alias("_ring"), F.count(F.lit(1)).alias("_copies")), "rings")
+    rings = rings.groupBy("_id", "_key").agg(F.first("_ring").alias("_ring"), F.count(F.lit(1)).alias("_copies"))
     boxes = rings.select("_id", "_key", ring_bbox(F.col("_ring")).alias("_b")).select("_id", "_key", "_b.*")
-    places = scratch.table(nodes.select("x", "y").where("x is not null and y is not null").distinct(), "points")
+    places = nodes.select("x", "y").where("x is not null and y is not null").distinct()
     middles = boxes.select(((F.col("xmin") + F.col("xmax")) / 2).alias("x"), ((F.col("ymin") + F.col("ymax")) / 2).alias("y")).where("x is not null")
     parted = splits(places.union(middles), bucket, scratch, full)
     near = F.col("x").between(F.col("xmin"), F.col("xmax")) & F.col("y").between(F.col("ymin"), F.col("ymax"))
     hits = place_points(places, bucket, parted).join(place_boxes(boxes, bucket, parted), ["_level", "_bx", "_by"]).where(near)
     inside = hits.select("x", "y", "_id", "_key").join(rings, ["_id", "_key"]).where(point_in_ring(F.col("x"), F.col("y"), F.col("_ring")))
     found = inside.select(F.col("x").alias("_x"), F.col("y").alias("_y"), F.col("_id"), F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    met = nodes.join(found, (nodes["x"] == found["_x"]) & (nodes["y"] == found["_y"]), how)
-    return met.select(*(nodes[c] for c in nodes.columns), F.col("_id").alias(id))
+    own = nodes.select(F.struct("*").alias("_n"), F.col("x").alias("_x"), F.col("y").alias("_y"))
+    return own.join(found, ["_x", "_y"], how).select("_n.*", F.col("_id").alias(id))
 
 
 def classify(points: DataFrame, polys: DataFrame, bucket: float, id: str = "sub_id", ring: str = "ring") -> DataFrame:
