@@ -15,7 +15,7 @@ from urbanflow.model import Network
 # WGS84 and the transverse Mercator grid.
 A, FLATTENING, SCALE, EASTING, SOUTHING = 6378137.0, 1 / 298.257223563, 0.9996, 500000.0, 10000000.0
 _N = FLATTENING / (2 - FLATTENING)
-_RADIUS = A / (1 + _N) * (1 + _N**2 / 4 + _N**4 / 64 + _N**6 / 256)
+RADIUS = A / (1 + _N) * (1 + _N**2 / 4 + _N**4 / 64 + _N**6 / 256)
 
 
 def _series(*rows: tuple[float, ...]) -> list[float]:
@@ -40,7 +40,7 @@ INVERSE = _series(
     (4583 / 161280, -108847 / 3991680),
     (20648693 / 638668800,),
 )
-_E = 2 * math.sqrt(_N) / (1 + _N)
+ECCENTRICITY = 2 * math.sqrt(_N) / (1 + _N)
 
 
 def utm_zone(lon: Column) -> Column:
@@ -55,22 +55,22 @@ def utm_epsg(lon: Column, lat: Column) -> Column:
 def to_utm(lon: Column, lat: Column, zone: Column, south: Column) -> Column:
     """struct(x, y): geographic degrees to metres of a UTM zone."""
     phi, lam = F.radians(lat), F.radians(lon - (zone * 6 - 183))
-    t = F.sinh(F.atanh(F.sin(phi)) - F.atanh(F.sin(phi) * _E) * _E)
+    t = F.sinh(F.atanh(F.sin(phi)) - F.atanh(F.sin(phi) * ECCENTRICITY) * ECCENTRICITY)
     xi, eta = F.atan2(t, F.cos(lam)), F.atanh(F.sin(lam) / F.sqrt(t * t + 1))
     east, north = eta, xi
     for j, a in enumerate(FORWARD, 1):
         east = east + F.cos(xi * 2 * j) * F.sinh(eta * 2 * j) * a
         north = north + F.sin(xi * 2 * j) * F.cosh(eta * 2 * j) * a
     return F.struct(
-        (east * (SCALE * _RADIUS) + EASTING).alias("x"),
-        (north * (SCALE * _RADIUS) + F.when(south, SOUTHING).otherwise(0.0)).alias("y"),
+        (east * (SCALE * RADIUS) + EASTING).alias("x"),
+        (north * (SCALE * RADIUS) + F.when(south, SOUTHING).otherwise(0.0)).alias("y"),
     )
 
 
 def from_utm(x: Column, y: Column, zone: Column, south: Column) -> Column:
     """struct(lon, lat): metres of a UTM zone to geographic degrees."""
-    eta = (x - EASTING) / (SCALE * _RADIUS)
-    xi = (y - F.when(south, SOUTHING).otherwise(0.0)) / (SCALE * _RADIUS)
+    eta = (x - EASTING) / (SCALE * RADIUS)
+    xi = (y - F.when(south, SOUTHING).otherwise(0.0)) / (SCALE * RADIUS)
     e, n = eta, xi
     for j, b in enumerate(INVERSE, 1):
         e = e - F.cos(xi * 2 * j) * F.sinh(eta * 2 * j) * b
@@ -80,7 +80,7 @@ def from_utm(x: Column, y: Column, zone: Column, south: Column) -> Column:
     conformal = F.sin(n) / F.sqrt(F.sinh(e) ** 2 + F.cos(n) ** 2)
     s = conformal / F.sqrt(conformal * conformal + 1)
     for _ in range(6):
-        psi = F.asinh(conformal) + F.atanh(s * _E) * _E
+        psi = F.asinh(conformal) + F.atanh(s * ECCENTRICITY) * ECCENTRICITY
         s = F.tanh(psi)
     return F.struct((F.degrees(lam) + zone * 6 - 183).alias("lon"), F.degrees(F.asin(s)).alias("lat"))
 

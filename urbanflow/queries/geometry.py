@@ -19,9 +19,9 @@ def _utm_sql(lon: str, lat: str, zone: str) -> str:
     """x and y of the Krueger series as SQL, over one-row-per-point CTEs."""
     east = " + ".join(f"{a!r} * cos({2 * j} * xi) * sinh({2 * j} * eta)" for j, a in enumerate(g.FORWARD, 1))
     north = " + ".join(f"{a!r} * sin({2 * j} * xi) * cosh({2 * j} * eta)" for j, a in enumerate(g.FORWARD, 1))
-    k = g.SCALE * g._RADIUS
+    k = g.SCALE * g.RADIUS
     return f""", p0 AS (SELECT *, radians({lat}) AS phi, radians({lon} - ({zone} * 6 - 183)) AS lam FROM src),
-p1 AS (SELECT *, sinh(atanh(sin(phi)) - {g._E!r} * atanh({g._E!r} * sin(phi))) AS t FROM p0),
+p1 AS (SELECT *, sinh(atanh(sin(phi)) - {g.ECCENTRICITY!r} * atanh({g.ECCENTRICITY!r} * sin(phi))) AS t FROM p0),
 p2 AS (SELECT *, atan2(t, cos(lam)) AS xi, atanh(sin(lam) / sqrt(1 + t * t)) AS eta FROM p1),
 utm AS (SELECT *, {k!r} * (eta + {east}) + 500000 AS ux,
                {k!r} * (xi + {north}) + CASE WHEN {lat} < 0 THEN 10000000 ELSE 0 END AS uy FROM p2)"""

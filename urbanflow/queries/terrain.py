@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from urbanflow.fixtures import view
-from urbanflow.functions.geometry import box_ring
+from urbanflow.functions.geometry import EASTING, ECCENTRICITY, INVERSE, RADIUS, SCALE, box_ring
 from urbanflow.model import GridSpec
 from urbanflow.operators import raster as r
 from urbanflow.queries.base import Area, forest
@@ -188,7 +188,15 @@ def w1(spark, sf):
     return r.set_elevation(n, view(spark, sf, "fx_cells"), _spec(spark, sf)).select("id", F.round("surface_elevation", 5).alias("surface_elevation"))
 
 
-@_("g5_reproject_cells", None)
+_G5 = f""", b AS (SELECT max(r) + 1 AS rows FROM fx_cells), g AS (SELECT t.r, q.c, ((q.c + 0.5) * 50 + 500000 - {EASTING}) / {SCALE * RADIUS!r} AS eta, ((t.r + 0.5) * 50 + 5649800) / {SCALE * RADIUS!r} AS xi FROM b, LATERAL (SELECT unnest(range(2 * rows)) AS r) t, range(80) q(c)),
+k AS (SELECT r, c, eta - ({" + ".join(f"{f!r} * cos({2 * j} * xi) * sinh({2 * j} * eta)" for j, f in enumerate(INVERSE, 1))}) AS e,
+xi - ({" + ".join(f"{f!r} * sin({2 * j} * xi) * cosh({2 * j} * eta)" for j, f in enumerate(INVERSE, 1))}) AS n FROM g),
+s0 AS (SELECT r, c, degrees(atan2(sinh(e), cos(n))) - 3 AS lon, sin(n) / sqrt(sinh(e) ** 2 + cos(n) ** 2) AS t, t / sqrt(t * t + 1) AS s FROM k),
+{", ".join(f"s{i} AS (SELECT r, c, lon, t, tanh(asinh(t) + atanh(s * {ECCENTRICITY!r}) * {ECCENTRICITY!r}) AS s FROM s{i - 1})" for i in range(1, 7))}
+SELECT CAST(a.r AS INT) AS r, CAST(a.c AS INT) AS c, z FROM s6 a JOIN fx_cells f ON f.r = CAST(floor((degrees(asin(s)) - 51.0) / 0.001) AS INT) AND f.c = CAST(floor((lon + 3.0) / 0.001) AS INT)"""
+
+
+@_("g5_reproject_cells", _G5, ("fx_cells",))
 def g5(spark, sf):
     rows = _spec(spark, sf).rows
     source = GridSpec(-3.0, 51.0, 0.001, 0.001, rows, 50)
