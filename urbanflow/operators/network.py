@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from urbanflow.functions.geometry import angle_deg, buffer_flat, interp1, segmentize, segments, sum_over_delimiter
 from urbanflow.model import Network, TopologyDerivation
 from urbanflow.operators.components import components
+from urbanflow.operators.paths import communities
 from urbanflow.operators.spatial import pairs_within
 from urbanflow.scratch import Scratch
 
@@ -182,19 +183,39 @@ def points_by_type(net: Network) -> DataFrame:
     return net.edges.select("edge_type", F.explode(F.array("u", "v")).alias("id")).distinct()
 
 
+def street_communities(net: Network, scratch: Scratch, weight: str = "length") -> DataFrame:
+    """``id, community`` of every node by modularity of the street edges; a node without one is alone."""
+    streets = net.edges
+    if "edge_type" in streets.columns:
+        streets = streets.where(F.coalesce("edge_type", F.lit("street")) == "street")
+    label = communities(streets, scratch, weight)
+    return net.nodes.select("id").join(label, "id", "left").select("id", F.coalesce("community", "id").alias("community"))
+
+
 def clip_to_catchments(
-    net: Network, basins: DataFrame, method: str = "subbasin", membership: float = 0.5, communities: DataFrame | None = None
+    net: Network,
+    basins: DataFrame,
+    method: str = "subbasin",
+    membership: float = 0.5,
+    communities: DataFrame | None = None,
+    scratch: Scratch | None = None,
 ) -> Network:
     """Cut edges between catchments. ``basins`` is (id, basin), ``communities`` (id, community).
 
     ``subbasin`` drops edges whose ends don't lie in one basin; no basin is never the same basin.
-    ``community``: where at most ``membership`` of a community lies in a basin, the edges between its
-    nodes there and the basin's other nodes are cut. The product of node sets is never made: edges join
-    the labels of both ends, and those join the short list of weak pairs.
+    ``community``: where at most ``membership`` of a community lies in a basin, the edges (key 0, either
+    way round) between any node of the community and the basin's nodes outside it are cut. Communities are
+    those of the streets unless others are given. The product of node sets is never made: edges join the
+    labels of both ends, and the community of one end with the basin of the other joins the weak pairs.
     """
     if method not in ("subbasin", "community"):
         raise ValueError("method must be subbasin or community")
-    own = basins if communities is None else basins.join(communities, "id", "full")
+    own = basins
+    if method == "community":
+        if communities is None:
+            scratch = scratch or Scratch(net.nodes.sparkSession, "clip")
+            communities = scratch.table(street_communities(net, scratch), "street-communities")
+        own = basins.join(communities, "id", "full")
     edges = net.edges
     for end in ("u", "v"):
         cols = [F.col(c).alias(f"_{c}_{end}") for c in own.columns if c != "id"]
@@ -202,12 +223,13 @@ def clip_to_catchments(
     if method == "subbasin":
         return net.with_(edges=edges.where(F.coalesce(F.col("_basin_u") == F.col("_basin_v"), F.lit(False))).select(*net.edges.columns))
     counted = own.groupBy("community", F.coalesce("basin", F.lit(-1)).alias("basin")).agg(F.count(F.lit(1)).alias("n"))
-    share = F.col("n") / F.sum("n").over(Window.partitionBy("community"))
-    weak = counted.withColumn("_share", share).where(F.col("_share") <= membership)
-    for end in ("u", "v"):
-        pair = weak.select(F.col("community").alias(f"_community_{end}"), F.col("basin").alias(f"_b_{end}"), F.lit(True).alias(f"_weak_{end}"))
-        edges = edges.withColumn(f"_b_{end}", F.coalesce(f"_basin_{end}", F.lit(-1))).join(pair, [f"_community_{end}", f"_b_{end}"], "left")
-    cut = (F.col("_b_u") == F.col("_b_v")) & (F.col("_community_u") != F.col("_community_v")) & (F.col("_weak_u").isNotNull() | F.col("_weak_v").isNotNull()) & (F.col("key") == 0)
+    sizes = counted.groupBy("community").agg(F.sum("n").alias("_size"))
+    weak = counted.join(sizes, "community").where(F.col("n") / F.col("_size") <= membership)
+    edges = edges.withColumns({f"_b_{end}": F.coalesce(f"_basin_{end}", F.lit(-1)) for end in "uv"})
+    for end, other in ("uv", "vu"):
+        pair = weak.select(F.col("community").alias(f"_community_{end}"), F.col("basin").alias(f"_b_{other}"), F.lit(True).alias(f"_weak_{end}"))
+        edges = edges.join(pair, [f"_community_{end}", f"_b_{other}"], "left")
+    cut = (F.col("_community_u") != F.col("_community_v")) & (F.col("_weak_u").isNotNull() | F.col("_weak_v").isNotNull()) & (F.col("key") == 0)
     return net.with_(edges=edges.where(~F.coalesce(cut, F.lit(False))).select(*net.edges.columns))
 
 

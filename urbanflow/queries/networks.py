@@ -197,7 +197,7 @@ def n12(spark, sf):
 @_("n12_clip_community", f""", b AS (SELECT id, coalesce({_BASIN}, -1) AS basin, CAST(CAST(id AS BIGINT) % 5 AS INT) AS community FROM fx_nodes),
 weak AS (SELECT community, basin FROM (SELECT community, basin, count(*) / sum(count(*)) OVER (PARTITION BY community) AS share FROM b GROUP BY community, basin) WHERE share <= 0.3)
 SELECT u, v, key FROM fx_edges JOIN b a ON a.id = u JOIN b c ON c.id = v
-WHERE NOT (a.basin = c.basin AND a.community <> c.community AND key = 0 AND ((a.community, a.basin) IN (SELECT (community, basin) FROM weak) OR (c.community, c.basin) IN (SELECT (community, basin) FROM weak)))""", NE)
+WHERE NOT (a.community <> c.community AND key = 0 AND ((a.community, c.basin) IN (SELECT (community, basin) FROM weak) OR (c.community, a.basin) IN (SELECT (community, basin) FROM weak)))""", NE)
 def n12c(spark, sf):
     net = streets(spark, sf)
     basins = net.nodes.select("id", F.expr(_BASIN).alias("basin"))
@@ -205,6 +205,13 @@ def n12c(spark, sf):
     return op.clip_to_catchments(net, basins, "community", 0.3, communities).edges.select("u", "v", "key")
 
 
+@_("n12_clip_own_communities", None)
+def n12o(spark, sf):
+    net = streets(spark, sf)
+    basins = net.nodes.select("id", F.expr(_BASIN).alias("basin"))
+    return op.clip_to_catchments(net, basins, "community", 0.3).edges.select("u", "v", "key")
+
+
 @_("n13_points_by_type", _TYPED + " SELECT DISTINCT kind AS edge_type, unnest([u, v]) AS id FROM t", NE)
 def n13(spark, sf):
     return op.points_by_type(_typed(spark, sf))
