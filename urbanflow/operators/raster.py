@@ -258,8 +258,9 @@ def attach_parts(parts: DataFrame, scratch: Scratch, id: str = "id") -> DataFram
         bucket = lambda df: df.withColumns({"br": F.floor(F.col("r") / size_), "bc": F.floor(F.col("c") / size_)})  # noqa: E731, B023
         a = bucket(loose).withColumn("dr", F.explode(steps)).withColumn("dc", F.explode(steps)).withColumns({"br": F.col("br") + F.col("dr"), "bc": F.col("bc") + F.col("dc")})
         b = bucket(kept).select("br", "bc", F.col("r").alias("kr"), F.col("c").alias("kc"), id)
-        dist = F.hypot(F.col("r") - F.col("kr"), F.col("c") - F.col("kc"))
-        near = a.join(b, ["br", "bc"]).where(dist <= size_).groupBy("region").agg(F.min(F.struct(dist.alias("d"), id)).alias("m")).select("region", F.col(f"m.{id}").alias(id))
+        dr, dc = ((F.col(m) - F.col(n)).cast("long") for m, n in (("r", "kr"), ("c", "kc")))
+        dist = dr * dr + dc * dc  # whole numbers, so ties are ties
+        near = a.join(b, ["br", "bc"]).where(dist <= size_ * size_).groupBy("region").agg(F.min(F.struct(dist.alias("d"), id)).alias("m")).select("region", F.col(f"m.{id}").alias(id))
         near = scratch.table(near, f"attach-{size_}")
         found = found.union(loose.join(near, "region").select(id, "r", "c"))
         loose = scratch.table(loose.join(near, "region", "left_anti"), f"loose-{size_}")

@@ -101,9 +101,12 @@ def r6s(spark, sf):
     return r.subbasins(r.d8(view(spark, sf, "fx_cells")), 2, Scratch(spark, "r6s"))
 
 
-@_("r7_regions", _STEP + """, v AS (SELECT r, c, CAST(z * 100 AS BIGINT) % 4 AS value FROM fx_cells), e AS (SELECT a.r || '_' || a.c AS u, b.r || '_' || b.c AS v FROM v a, s JOIN v b ON b.r = a.r + s.dr AND b.c = a.c + s.dc AND a.value = b.value),
-w AS (SELECT u AS id, v AS o FROM e UNION SELECT w.id, e.v FROM w JOIN e ON e.u = w.o), m AS (SELECT id, min(o) AS o FROM w GROUP BY id)
-SELECT r, c, value, least(r || '_' || c, coalesce(o, r || '_' || c)) AS region FROM v LEFT JOIN m ON m.id = r || '_' || c""", C, recursive=True)
+_R7 = _STEP + """, v AS (SELECT r, c, CAST(z * 100 AS BIGINT) % 4 AS value FROM fx_cells), e AS (SELECT a.r || '_' || a.c AS u, b.r || '_' || b.c AS v FROM v a, s JOIN v b ON b.r = a.r + s.dr AND b.c = a.c + s.dc AND a.value = b.value),
+w AS (SELECT u AS id, v AS o FROM e UNION SELECT w.id, e.v FROM w JOIN e ON e.u = w.o), m AS (SELECT id, min(o) AS o FROM w GROUP BY id),
+rg AS (SELECT r, c, value, least(r || '_' || c, coalesce(o, r || '_' || c)) AS region FROM v LEFT JOIN m ON m.id = r || '_' || c)"""
+
+
+@_("r7_regions", _R7 + " SELECT r, c, value, region FROM rg", C, recursive=True)
 def r7(spark, sf):
     v = view(spark, sf, "fx_cells").select("r", "c", (F.expr("CAST(z * 100 AS BIGINT) % 4")).alias("value"))
     return r.regions(v, Scratch(spark, "r7"))
@@ -146,7 +149,11 @@ def r10(spark, sf):
     return r.remove_overlaps(r.cover(_polys(spark, sf), _spec(spark, sf)))
 
 
-@_("r11_attach_parts", None)
+@_("r11_attach_parts", _R7 + """, k AS (SELECT region, row_number() OVER (PARTITION BY value ORDER BY count(*) DESC, region) AS k FROM rg GROUP BY value, region),
+p AS (SELECT r, c, CAST(value AS STRING) AS id, region, k FROM rg JOIN k USING (region)),
+d AS (SELECT a.region, b.id, min((a.r - b.r) * (a.r - b.r) + (a.c - b.c) * (a.c - b.c)) AS d FROM p a JOIN p b ON a.k > 1 AND b.k = 1 GROUP BY a.region, b.id),
+n AS (SELECT region, id FROM (SELECT *, row_number() OVER (PARTITION BY region ORDER BY d, id) AS o FROM d) WHERE o = 1)
+SELECT id, r, c FROM p WHERE k = 1 UNION ALL SELECT n.id, r, c FROM p JOIN n USING (region) WHERE k > 1""", C, recursive=True)
 def r11(spark, sf):
     v = view(spark, sf, "fx_cells").select(F.expr("CAST(CAST(z * 100 AS BIGINT) % 4 AS STRING)").alias("id"), "r", "c")
     return r.attach_parts(v, Scratch(spark, "r11"))
