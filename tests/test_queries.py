@@ -11,7 +11,7 @@ from urbanflow.queries import ORACLES, QUERIES
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 SLOW = {"p1_components", "p2_reach", "p3_shortest_paths", "p4_levels", "p5_accumulate_general", "p7_greedy_in_tree", "p9_edge_betweenness", "p10_betweenness",
-        "m14_kstest_betweenness", "c7_resistance", "c8_conductance", "o1_pair_rivers", "o5_identify_outfalls_withtopo", "o8_derive_topology_withtopo", "r7_regions", "m6_dominant_outfall"}
+        "m14_kstest_betweenness", "o1_pair_rivers", "o5_identify_outfalls_withtopo", "o8_derive_topology_withtopo", "r7_regions", "m6_dominant_outfall"}
 
 
 @pytest.fixture(scope="module")
