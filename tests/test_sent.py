@@ -36,3 +36,14 @@ def test_nothing_is_broadcast(spark, plans, name):
     }[name]()
     run.collect()
     assert not [p for p in [*plans, plan(run)] if "Broadcast" in p]
+
+
+def test_designs_are_dealt(spark):
+    """Rows that cost much work are dealt over all tasks, and no filter repeats that work before they are."""
+    from urbanflow.queries import QUERIES
+
+    for name in ("d2_evaluate_design", "d4_select_design", "g8_segmentize"):
+        df = QUERIES[name](spark, "/root/testdata/sf0.001")
+        shown = df._jdf.queryExecution().optimizedPlan().toString()
+        assert df.rdd.getNumPartitions() == 4, name
+        assert "array_min" not in shown[shown.index("Repartition") :], name

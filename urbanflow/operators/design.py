@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from urbanflow.model import HydraulicDesign, Network
 from urbanflow.operators.paths import accumulate_forest, levels
-from urbanflow.scratch import Scratch
+from urbanflow.scratch import Scratch, dealt
 
 MANNING = 0.012
 SURCHARGE_STEP = 0.05
@@ -102,7 +102,9 @@ def choose_design(df: DataFrame, params: HydraulicDesign, by: list[str]) -> Data
         g["depth"].alias("depth"), g["cost"].alias("cost_usd"), g["diam"].alias("diam"),
         (g["diff"] / length).alias("slope"), g["velocity"].alias("velocity"), _filling(q, g["velocity"], g["diam"]).alias("fr"),
     ))
-    return df.select(*by, F.array_min(filled).alias("m")).where("m is not null").select(*by, "m.*")
+    # a filter on the chosen design would be moved before the rows are dealt, and all designs computed twice
+    some = df.where(F.exists(grid, lambda g: _cost(length, floor, g["diam"], g["depth"]).isNotNull()))
+    return some.select(*by, F.array_min(filled).alias("m")).select(*by, "m.*")
 
 
 def pipe_by_pipe(net: Network, params: HydraulicDesign, scratch: Scratch) -> Network:
@@ -122,7 +124,7 @@ def pipe_by_pipe(net: Network, params: HydraulicDesign, scratch: Scratch) -> Net
     last = at.agg(F.max("level")).first()[0] or 0  # one row
     pipes = None
     for k in range(last + 1):
-        own = e.where(F.col("level") == k).join(floors.select(F.col("id").alias("u"), "floor"), "u")
+        own = dealt(e.where(F.col("level") == k).join(floors.select(F.col("id").alias("u"), "floor"), "u"))
         done = scratch.table(choose_design(own, params, ["u", "v", "key", "ds_elevation"]), f"pipes-{k}")
         pipes = done if pipes is None else pipes.union(done)
         # all pipes into a node of the next level lie in levels up to this one
