@@ -8,12 +8,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from urbanflow.functions.geometry import angle_deg, buffer_flat, interp1, segmentize, segments, sum_over_delimiter
+from urbanflow.functions.geometry import arms_deg, buffer_flat, interp1, segmentize, segments, sum_over_delimiter
 from urbanflow.model import Network, TopologyDerivation
 from urbanflow.operators.components import components
 from urbanflow.operators.paths import communities
 from urbanflow.operators.spatial import pairs_within
-from urbanflow.scratch import Scratch
+from urbanflow.scratch import Scratch, large
 
 EPS = sys.float_info.epsilon
 
@@ -248,15 +248,25 @@ def set_chahinian_slope(net: Network) -> Network:
 
 
 def set_chahinian_angle(net: Network) -> Network:
-    """Least angle weight over the edges that follow; an edge without one gets 0."""
-    at = net.nodes.select("id", F.struct("x", "y").alias("p"))
-    pairs = edge_pairs(net)
-    for end in ("u", "v", "w"):
-        pairs = pairs.join(at.select(F.col("id").alias(end), F.col("p").alias(f"p_{end}")), end)
-    angle = angle_deg(F.col("p_u"), F.col("p_v"), F.col("p_w"))
-    weight = interp1(angle, [0, 90, 135, 180, 225, 270, 360], [1, 0.2, 0.7, 0, 0.7, 0.2, 1])
+    """Least angle weight over the edges that follow; an edge without one gets 0.
+
+    Places are joined to the edges, and lengths taken there. Edges meet at their common node, where an edge's pairs are reduced to its
+    least weight at once, so edges are shuffled, never pairs.
+    """
+    placed = net.edges.select("u", "v", "key")
+    for end in ("u", "v"):
+        placed = placed.join(large(net.nodes.select(F.col("id").alias(end), F.col("x").alias(f"x_{end}"), F.col("y").alias(f"y_{end}"))), end)
+    # seen from the common node: where an edge comes from, and where the next one goes
+    def arm(a: str, o: str, n: str) -> list[Column]:
+        x, y = (F.col(f"{c}_{a}") - F.col(f"{c}_{o}") for c in "xy")
+        return [x.alias(f"{n}x"), y.alias(f"{n}y"), F.hypot(x, y).alias(f"{n}l")]
+
+    then = placed.select(F.col("u").alias("v"), F.col("v").alias("w"), *arm("v", "u", "b"))
+    pairs = placed.select("u", "v", "key", *arm("u", "v", "a")).join(large(then), "v").where("w <> u")
+    pairs = pairs.select("u", "v", "key", arms_deg(*(F.col(c) for c in ("ax", "ay", "bx", "by")), F.col("al") * F.col("bl")).alias("angle"))
+    weight = interp1(F.col("angle"), [0, 90, 135, 180, 225, 270, 360], [1, 0.2, 0.7, 0, 0.7, 0.2, 1])
     least = pairs.groupBy("u", "v", "key").agg(F.min(weight).alias("chahinian_angle"))
-    return net.with_(edges=net.edges.join(least, ["u", "v", "key"], "left").withColumn("chahinian_angle", F.coalesce("chahinian_angle", F.lit(0.0))))
+    return net.with_(edges=net.edges.join(large(least), ["u", "v", "key"], "left").withColumn("chahinian_angle", F.coalesce("chahinian_angle", F.lit(0.0))))
 
 
 def calculate_weights(net: Network, params: TopologyDerivation) -> Network:
