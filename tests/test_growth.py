@@ -1,10 +1,14 @@
 """Steps whose shuffles, tasks or driver grew faster than their input."""
 
+import random
+import re
+
 import pytest
 
 from tests.test_sent import plan
 from urbanflow.model import Network
-from urbanflow.operators import network
+from urbanflow.operators import distance, network, paths
+from urbanflow.scratch import Scratch
 
 
 @pytest.fixture
@@ -21,3 +25,40 @@ def test_pairs_of_edges_are_not_shuffled(spark, unbroadcast):
     out = network.set_chahinian_angle(Network(nodes, edges)).edges
     assert "hashpartitioning(w" not in plan(out)
     assert {(r.u, r.v): round(r.chahinian_angle, 9) for r in out.collect()} == {("a", "b"): 0.2, ("b", "c"): 0.6, ("b", "a"): 0.0, ("c", "d"): 0.0}
+
+
+def test_lists_are_shuffled_instead_of_cells(spark, unbroadcast):
+    """A product's cells are unpacked behind the last exchange, and a graph's triangles need no row a wedge."""
+    coo = spark.createDataFrame([(i, j, 1.0) for i in range(6) for j in range(6) if i != j], "i long, j long, w double")
+    out = distance.deltacon0(coo, coo.where("i < j"), 6)
+    assert "hashpartitioning(i#" in plan(out) and not re.search(r"hashpartitioning\(i#\d+L?, j#\d+L?", plan(out).split("Generate")[0])
+    assert out.first()["value"] > 0
+    e = spark.createDataFrame([(str(i), str(j)) for i in range(7) for j in range(i)] + [("6", "x")], "u string, v string")
+    out = paths.clustering(e)
+    assert "array_intersect" in plan(out)
+    assert {r.id: r.triangles for r in out.collect()} == {**{str(i): 15 for i in range(7)}, "x": 0}
+
+
+@pytest.mark.parametrize("heavy", [1, 3, 1_000])
+def test_ego_networks_on_both_sides_of_heavy(spark, heavy):
+    rnd = random.Random(5)
+    pairs = {(a, b) for a in range(14) for b in range(a) if rnd.random() < 0.2 or (b == 0 and a % 2)}
+    near = {x: {b if a == x else a for a, b in pairs if x in (a, b)} for x in {n for p in pairs for n in p}}
+    want = {}
+    for x, own in near.items():
+        inside = own | {x}
+        out = [(m, n) for m in own for n in near[m] - inside]
+        want[str(x)] = (sum(1 for a, b in pairs if a in inside and b in inside), len({n for _, n in out}), len(out))
+    got = paths.ego(spark.createDataFrame([(str(a), str(b)) for a, b in pairs], "u string, v string"), heavy)
+    assert {r.id: (r.ego_edges, r.ego_neighbours, r.ego_out) for r in got.collect()} == want
+
+
+def test_merged_tables_are_never_broadcast(spark):
+    """Joins with what a graph job wrote are merged, however small its file; edges between two parts are carried on once."""
+    scratch = Scratch(spark, "t")
+    rows = [(str(k), str(k // 2), 0, float(k % 3)) for k in range(2, 20)] + [("5", "9", 0, 0.5), ("9", "5", 1, 0.5)]
+    e = spark.createDataFrame(rows, "u string, v string, key int, length double")
+    small = scratch.merged().table(e, "e")
+    assert "Broadcast" not in plan(small.join(small.select("u", "key"), "u"))
+    tree = {(r.u, r.v, r.key) for r in paths.min_spanning_forest(e, scratch).collect()}
+    assert len(tree) == 18 and ("5", "9", 0) in tree and ("9", "5", 1) not in tree and ("5", "2", 0) not in tree
