@@ -62,3 +62,12 @@ def test_merged_tables_are_never_broadcast(spark):
     assert "Broadcast" not in plan(small.join(small.select("u", "key"), "u"))
     tree = {(r.u, r.v, r.key) for r in paths.min_spanning_forest(e, scratch).collect()}
     assert len(tree) == 18 and ("5", "9", 0) in tree and ("9", "5", 1) not in tree and ("5", "2", 0) not in tree
+
+
+def test_spanning_forest_of_a_chain_writes_few_tables(spark):
+    n = 300
+    rows = [(f"{i:03}", f"{i + 1:03}", 0, float(i)) for i in range(n)] + [("000", f"{n:03}", 0, 1e9)]
+    scratch = Scratch(spark, "t")
+    tree = paths.min_spanning_forest(spark.createDataFrame(rows, "u string, v string, key int, length double"), scratch)
+    assert {(r.u, r.v, r.key) for r in tree.collect()} == {r[:3] for r in rows[:n]}
+    assert len(set(scratch.places.values())) <= 14  # ways double; with star steps it wrote 16

@@ -289,21 +289,25 @@ def _accumulate_joints(e: DataFrame, weights: DataFrame, scratch: Scratch, round
 def min_spanning_forest(edges: DataFrame, scratch: Scratch, weight: str = "length", rounds: int = 40) -> DataFrame:
     """``u, v, key`` of the undirected minimum spanning forest; ties go to the least (u, v, key).
 
-    Each round every component takes its least edge to another one, and components merge along them. Of the
-    edges between two components only the least is carried on, so that edges grow fewer with the components.
+    Each round every component takes its least edge to another one, and components merge along them. As edges are
+    in one order, these ways meet in pairs that took the same edge, whose lesser one names the merged component:
+    pointers to it double. Of the edges between two components only the least is carried on, so that edges grow
+    fewer with the components.
     """
     scratch = scratch.merged()
     least = lambda df: df.where("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("e").alias("e"))
     e = scratch.table(least(edges.select(F.col("u").alias("a"), F.col("v").alias("b"), F.struct(F.col(weight).alias("w"), "u", "v", "key").alias("e"))), "msf-0")
     tree = None
     for k in range(1, rounds + 1):
-        ends = e.select(F.col("a").alias("c"), F.struct("e", "a", "b").alias("m")).union(e.select("b", F.struct("e", "a", "b")))
-        picked = scratch.table(ends.groupBy("c").agg(F.min("m").alias("m")).select("m.e", "m.a", "m.b").distinct(), f"msf-picked-{k}")
+        ends = e.select(F.col("a").alias("id"), F.struct("e", F.col("b").alias("to")).alias("m")).union(e.select("b", F.struct("e", "a")))
+        picked = scratch.table(ends.groupBy("id").agg(F.min("m").alias("m")).select("id", "m.e", "m.to"), f"msf-picked-{k}")
         if picked.isEmpty():
             break
-        tree = picked if tree is None else tree.union(picked)
-        merged = scratch.table(components(picked.select(F.col("a").alias("u"), F.col("b").alias("v")), scratch, f"msf-cc-{k}"), f"msf-label-{k}")
-        end = lambda c: merged.select(F.col("id").alias(c), F.col("component").alias(f"_{c}"))
+        tree = picked.select("e") if tree is None else tree.union(picked.select("e"))
+        same = picked.select(F.col("to").alias("id"), F.col("id").alias("to"), F.lit(True).alias("_same"))
+        ways = picked.join(same, ["id", "to"], "left").select("id", F.when(F.col("_same").isNull() | (F.col("id") > F.col("to")), F.col("to")).alias("to"))
+        merged = ends_of(ways, scratch, f"msf-ways-{k}")
+        end = lambda c: merged.select(F.col("id").alias(c), F.col("end").alias(f"_{c}"))
         e = scratch.table(least(e.join(end("a"), "a").join(end("b"), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"), "e")), f"msf-{k}")
         scratch.drop(f"msf-{k - 1}")
     return (edges.limit(0) if tree is None else tree.select("e.*")).select("u", "v", "key").distinct()
