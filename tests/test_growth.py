@@ -1,5 +1,6 @@
 """Steps whose shuffles, tasks or driver grew faster than their input."""
 
+import math
 import random
 import re
 
@@ -71,3 +72,27 @@ def test_spanning_forest_of_a_chain_writes_few_tables(spark):
     tree = paths.min_spanning_forest(spark.createDataFrame(rows, "u string, v string, key int, length double"), scratch)
     assert {(r.u, r.v, r.key) for r in tree.collect()} == {r[:3] for r in rows[:n]}
     assert len(set(scratch.places.values())) <= 14  # ways double; with star steps it wrote 16
+
+
+def test_pieces_on_shared_lines_count_once(spark):
+    """Pieces are equal at six decimals, along every line and both ways; other segments are cut without a shuffle."""
+    rnd, third = random.Random(3), 1 / 3
+    rows, want = [], {}
+    for key in range(400):
+        step, k, n = rnd.choice([(1, 0), (-1, 0), (0, 1), (1, 2), (-3, 1), (-2, -1)]), rnd.randrange(6), rnd.randrange(1, 6)
+        size = math.hypot(*step)
+        a, b = (tuple(third + 10.0 * c / size * at for c in step) for at in (k, k + n))
+        rows.append(("u", "v", key, [a, b]))
+        for i in range(n):
+            ends = [tuple(round(p + (q - p) * j / n, 6) + 0.0 for p, q in zip(a, b)) for j in (i, i + 1)]
+            want[tuple(ends)] = key
+    for key in range(400, 420):  # shorter than half a piece
+        a = (rnd.randrange(3) / 7, rnd.randrange(3) / 7)
+        b = (a[0] + 1.0, a[1])
+        rows.append(("u", "v", key, [a, b]))
+        want[tuple(tuple(round(c, 6) for c in p) for p in (a, b))] = key
+    e = spark.createDataFrame(rows, "u string, v string, key int, geometry array<struct<x:double,y:double>>")
+    got = network.split_long_edges(Network(None, e), 10.0 + 1e-9).edges.collect()
+    assert sorted(tuple((p.x, p.y) for p in r.geometry) for r in got) == sorted(want)
+    assert all(r.key == 0 and 0 < r.length <= 10.00001 for r in got)
+    assert len({(r.u, r.v) for r in got}) == len(want)
