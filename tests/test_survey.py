@@ -194,3 +194,15 @@ def test_designs_inside_the_row(spark):
     assert chosen.columns == plain.columns
     assert {r["u"]: tuple(r) for r in chosen.collect()} == want and len(want) > 50
     assert "Exchange" not in chosen._jdf.queryExecution().executedPlan().toString()
+
+
+def test_outfall_flow_counts_pipes_into_ends_that_are_no_nodes(spark):
+    """A pipe whose lower end no edge leaves drains the network, though that end isn't among its nodes."""
+    nodes = spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "id string")
+    edges = lambda rows: spark.createDataFrame(rows, "u string, v string, id string")
+    syn = Network(nodes, edges([("a", "b", "a"), ("c", "gone", "c"), ("d", "c", "d")]))
+    real = Network(nodes.where("id in ('a', 'b')"), edges([("a", "b", "a")]))
+    rows = [(i, "flow", f"2024-01-01 0{h}:00:00", float(v + h)) for i, v in (("a", 1), ("c", 2), ("d", 50)) for h in (0, 1)]
+    results = spark.createDataFrame(rows, "id string, variable string, date string, value double").withColumn("date", F.to_timestamp("date"))
+    # real: 1, 2; synthetic: 1 + 2, 2 + 3
+    assert metrics.metric_factory("outfall_relerror_flow")(syn, real, results, results).first().value == pytest.approx((4 - 1.5) / 1.5)

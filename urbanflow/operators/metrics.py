@@ -121,7 +121,8 @@ def scale_grid(coef: Coefficient, variable: str, syn, real, nodes, scale: float,
 def scale_outfall(coef: Coefficient, variable: str, syn_net: Network, real_net: Network, syn=None, real=None) -> DataFrame:
     """Coefficient between two outfall networks: counts, sums and means of the networks, or their series.
 
-    ``flow`` takes the edges into the sink, ``flooding`` all nodes. An empty network gives infinity.
+    ``flow`` takes the edges whose lower end no edge leaves, be it among the nodes or not, ``flooding`` all
+    nodes. An empty network gives infinity.
     """
     if variable in ("nmanholes", "npipes", "length", "diameter"):
         measure = {
@@ -137,7 +138,7 @@ def scale_outfall(coef: Coefficient, variable: str, syn_net: Network, real_net:
         def ids(n: Network) -> DataFrame:
             if variable == "flooding":
                 return n.nodes.select("id")
-            return n.edges.join(sinks(n).select(F.col("id").alias("v")), "v", "left_semi").select("id")
+            return n.edges.where("v is not null").join(n.edges.select(F.col("u").alias("v")), "v", "left_anti").select("id")
 
         value = coef_of(series.align_by_id(syn, real, variable, ids(syn_net), ids(real_net)), coef)
     else:
