@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from urbanflow.llm import decontamination, jaccard, language_model, licenses, neighbours, sentencepieces, sharding, substrings, tokenfiles, toxicity
-from urbanflow.llm.common import Scratch
+from urbanflow.llm.common import IdTable, Scratch
 
 tokenizers = pytest.importorskip("public_tokenizers")
 
@@ -538,3 +538,20 @@ def test_neighbours_in_full_blocks(spark, monkeypatch):
         s[q] = -np.inf
         assert [found[q, k + 1] for k in range(5)] == list(np.argsort(-s, kind="stable")[:5])
     assert sizes and max(sizes) > 40
+
+
+def test_known_words_are_looked_up_once():
+    """Hashing and finding a word is what most of a table's time goes to."""
+    seen = []
+
+    class Word(bytes):
+        def __hash__(self):
+            seen.append(bytes(self))
+            return bytes.__hash__(self)
+
+    table = IdTable(lambda new: [[len(w), 7] for w in new], 100)
+    first = table.gather([b"one", b"three", b"one"])
+    assert [x.tolist() for x in first] == [[3, 7, 5, 7, 3, 7], [0, 2, 4, 6]]
+    flat, ends = table.gather([Word(b"three"), Word(b"one"), b"seventh", Word(b"three")])
+    assert flat.tolist() == [5, 7, 3, 7, 7, 7, 5, 7] and ends.tolist() == [0, 2, 4, 6, 8]
+    assert seen == [b"three", b"one", b"three"]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterable, Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -114,8 +114,11 @@ class IdTable:
         if len(self.rows) > self.most:
             self._clear()
         known = self.rows
-        new = list(dict.fromkeys([w for w in words if w not in known]))
-        if new:
+        at = np.fromiter(map(known.get, words, repeat(-1)), np.int64, len(words))  # one look-up for a word that is known
+        unknown = np.flatnonzero(at < 0)
+        if len(unknown):
+            missed = [words[i] for i in unknown.tolist()]
+            new = list(dict.fromkeys(missed))
             found = list(self.find(new))
             known.update(zip(new, range(len(known), len(known) + len(new))))
             size = np.fromiter(map(len, found), np.int64, len(found))
@@ -123,7 +126,7 @@ class IdTable:
             self.size = np.concatenate([self.size, size])
             more = np.fromiter(chain.from_iterable(found), np.int32, int(size.sum()))
             self.flat = np.concatenate([self.flat, more])
-        at = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+            at[unknown] = np.fromiter(map(known.__getitem__, missed), np.int64, len(missed))
         size = self.size[at]
         ends = np.concatenate([[0], np.cumsum(size)])
         own = np.repeat(self.begin[at] - ends[:-1], size) + np.arange(ends[-1])
