@@ -216,3 +216,15 @@ def test_outfall_flow_counts_pipes_into_ends_that_are_no_nodes(spark):
     results = spark.createDataFrame(rows, "id string, variable string, date string, value double").withColumn("date", F.to_timestamp("date"))
     # real: 1, 2; synthetic: 1 + 2, 2 + 3
     assert metrics.metric_factory("outfall_relerror_flow")(syn, real, results, results).first().value == pytest.approx((4 - 1.5) / 1.5)
+
+
+@pytest.mark.parametrize("variable", ["flow", "flooding"])
+def test_outfall_series_leave_out_real_dates_before_the_first_synthetic(spark, variable):
+    """The coefficients look at dates where both sides have a value; the real one's earlier dates don't enter its mean."""
+    nodes = spark.createDataFrame([("a",), ("b",)], "id string")
+    net = Network(nodes, spark.createDataFrame([("a", "b", "a")], "u string, v string, id string"))
+    series = lambda first, *values: spark.createDataFrame([("a", variable, f"2024-01-01 0{first + h}:00:00", v) for h, v in enumerate(values)], "id string, variable string, date string, value double").withColumn("date", F.to_timestamp("date"))
+    syn, real = series(2, 3.0, 6.0), series(0, 100.0, 50.0, 1.0, 3.0)
+    # both: (3, 1), (6, 3)
+    assert metrics.metric_factory(f"outfall_relerror_{variable}")(net, net, syn, real).first().value == pytest.approx((4.5 - 2) / 2)
+    assert metrics.metric_factory(f"outfall_nse_{variable}")(net, net, syn, real).first().value == pytest.approx(1 - (4 + 9) / 2)

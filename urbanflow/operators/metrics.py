@@ -122,7 +122,8 @@ def scale_outfall(coef: Coefficient, variable: str, syn_net: Network, real_net:
     """Coefficient between two outfall networks: counts, sums and means of the networks, or their series.
 
     ``flow`` takes the edges whose lower end no edge leaves, be it among the nodes or not, ``flooding`` all
-    nodes. An empty network gives infinity.
+    nodes; real dates before the first synthetic one have no value to compare and are left out. An empty
+    network gives infinity.
     """
     if variable in ("nmanholes", "npipes", "length", "diameter"):
         measure = {
@@ -140,7 +141,8 @@ def scale_outfall(coef: Coefficient, variable: str, syn_net: Network, real_net:
                 return n.nodes.select("id")
             return n.edges.where("v is not null").join(n.edges.select(F.col("u").alias("v")), "v", "left_anti").select("id")
 
-        value = coef_of(series.align_by_id(syn, real, variable, ids(syn_net), ids(real_net)), coef)
+        aligned = series.align_by_id(syn, real, variable, ids(syn_net), ids(real_net))
+        value = coef_of(aligned.where("value_syn is not null"), coef)
     else:
         raise ValueError(f"unknown variable {variable}")
     return value.select(F.coalesce("value", F.lit(INF)).alias("value"))
