@@ -75,3 +75,18 @@ def test_threshold_join(scale):
 def test_quantised(spark):
     row = spark.createDataFrame([([0.5, -0.001, 0.99609375, None],)], "e array<float>").select(hardnegatives.quantised(F.col("e")).alias("q")).first()
     assert row["q"] == [128.0, -1.0, 255.0, None]
+
+
+def test_tables_that_grow_are_never_broadcast(spark, monkeypatch):
+    """Shards, anchors and scores are merged, however few bytes they take on disk; only the number of shards is broadcast."""
+    plans, write = {}, Scratch.table
+
+    def table(self, df, name, by=None):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return write(self, df, name, by)
+
+    monkeypatch.setattr(Scratch, "table", table)
+    rng = np.random.default_rng(3)
+    df = frame(spark, [(i, i % 3, [float(x) for x in rng.integers(-50, 50, 6)]) for i in range(60)])
+    plans["last"] = hardnegatives.mine(df, df.where("vec_id < 6"), Scratch(spark, "t"))._jdf.queryExecution().executedPlan().toString()
+    assert {n for n, p in plans.items() if "BroadcastHashJoin" in p} == {"indexes", "anchors"} and {"near", "far", "positives", "last"} <= set(plans)

@@ -171,6 +171,7 @@ def mine(
     rows give no rows. Other columns are not looked at, whatever their names.
     """
     spark, k = rows.sparkSession, max(positives, negatives) + 1
+    scratch = scratch.merged()  # shards and scores pack into few bytes on disk, and would be built on the driver
 
     def clean(df: DataFrame) -> DataFrame:
         sound = df.where(_SOUND.format(v=f"`{vector}`", label=f"`{label}`", id=f"`{vec_id}`"))
@@ -181,7 +182,7 @@ def mine(
     parts = shuffle_parts(spark)
     sizes = points.groupBy("dim").agg(F.count(F.lit(1)).alias("n"))  # one row a length of vectors
     shards = F.greatest(F.ceil(F.col("n") / shard_rows), F.least(F.ceil(F.col("n") / 1_024), F.lit(parts))).cast("int")
-    sizes = scratch.table(sizes.select("dim", shards.alias("shards")), "sizes")
+    sizes = F.broadcast(scratch.table(sizes.select("dim", shards.alias("shards")), "sizes"))
 
     def plant(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
         own = own.sort_values("ids", key=lambda s: s.map(lambda i: i[0]))
