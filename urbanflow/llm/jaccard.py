@@ -15,11 +15,14 @@ from urbanflow.llm.packed import (
     DEALT,
     DEALT_DDL,
     deal,
+    gather,
     grams,
+    mix,
+    pack,
     sequence_id,
     settle,
     shared_pairs,
-    texts_of,
+    sizes_of_runs,
     word_hashes,
 )
 from urbanflow.operators.components import components
@@ -28,6 +31,8 @@ from urbanflow.operators.components import components
 COUNTED = 0.3
 #: Shingles and sets in one block of a product, about.
 BLOCK_SHINGLES, BLOCK_SETS = 800_000, 1_600
+#: Bits of the filter of rows for each row it lets through, and bits in one of its rows.
+FILTER_BITS, FILTER_ROW = 16, 1 << 20
 
 
 def shingle_set(text: str | None, n: int) -> np.ndarray:
@@ -97,6 +102,100 @@ def _count_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     give_back()
 
 
+def _places(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two bits of a filter for each key."""
+    k = keys.astype(np.uint64)
+    return tuple((mix(k + np.uint64(i)) % np.uint64(bits)).astype(np.int64) for i in (1, 2))
+
+
+def row_filter(rows: DataFrame, count: int) -> np.ndarray:
+    """Bits that tell which of many rows may be among these ``row_key``: two bytes a row reach the driver.
+
+    Every row of ``rows`` passes, and about one in 70 of the others.
+    """
+    bits = parts_for(count * FILTER_BITS, FILTER_ROW, 1) * FILTER_ROW
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.concatenate(_places(np.asarray(batch.column(0)), bits))
+            yield pa.RecordBatch.from_arrays([pa.array(at // FILTER_ROW), pa.array((at % FILTER_ROW).astype(np.int32))], ["chunk", "at"])
+
+    def fill(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
+        flags = np.zeros(FILTER_ROW, np.uint8)
+        flags[own["at"].to_numpy()] = 1
+        return pd.DataFrame({"chunk": [key[0]], "bits": [np.packbits(flags, bitorder="little").tobytes()]})
+
+    out = np.zeros(bits // 8, np.uint8)
+    placed = rows.select("row_key").mapInArrow(place, "chunk long, at int")
+    for r in placed.groupBy("chunk").applyInPandas(fill, "chunk long, bits binary").toLocalIterator():
+        out[r["chunk"] * FILTER_ROW // 8 :][: FILTER_ROW // 8] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+def may_pass(flags: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    ok = np.ones(len(keys), bool)
+    for at in _places(keys, len(flags) * 8):
+        ok &= (flags[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+    return ok
+
+
+def _deal_sets(parts: int):
+    """All shingles of sets, dealt by value."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.frombuffer(x, np.uint64) for x in batch.column(1).to_pylist()]
+            of = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+            yield deal(np.asarray(batch.column(0)), of, np.concatenate(sets) if sets else np.zeros(0, np.uint64), parts)
+        give_back()
+
+    return run
+
+
+def _tell_shared(parts: int):
+    """Tells each set which of its shingles others hold: numbers whose first byte grows with how many do."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        owners, values = gather(batches)
+        runs = sizes_of_runs(values)
+        keep = runs > 1
+        rank = np.minimum(np.round(4 * np.log2(runs[keep])), 255).astype(np.uint64)
+        ids, of = np.unique(owners[keep], return_inverse=True)
+        numbers = (rank << np.uint64(56)) | (values[keep] >> np.uint64(8))
+        yield pack((ids % parts).astype(np.int32)[of], ids, of, numbers)
+        give_back()
+
+    return run
+
+
+def _prefixes(slack: int):
+    """A set's prefix: as many of its rarest shingles as it may have alone, and one more. Those it has alone are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        owners, numbers, size = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], {}
+        for batch in batches:
+            for o, of, v, sid, n in zip(*(batch.column(i).to_pylist() for i in range(1, 6))):
+                if v is None:
+                    size[sid] = n
+                    continue
+                v = np.frombuffer(v, np.uint64)
+                owners.append(np.frombuffer(o, np.int64)[np.frombuffer(of, np.uint16 if len(of) == 2 * len(v) else np.uint32)])
+                numbers.append(v)
+        owners, numbers = np.concatenate(owners), np.concatenate(numbers)
+        order = np.lexsort((numbers, owners))
+        owners, numbers = owners[order], numbers[order]
+        ids, first, held = np.unique(owners, return_index=True, return_counts=True)
+        n = np.fromiter((size[i] for i in ids.tolist()), np.int64, len(ids))
+        take = n * slack // 100 + 1 - (n - held)
+        keep = np.arange(len(owners)) - np.repeat(first, held) < np.repeat(take, held)
+        h, sid, n = numbers[keep].view(np.int64), owners[keep], np.repeat(n, held)[keep].astype(np.int32)
+        for a in range(0, len(h), 200_000):
+            yield pa.RecordBatch.from_arrays([pa.array(x[a : a + 200_000]) for x in (h, sid, n)], ["h", "set_id", "n"])
+        give_back()
+
+    return run
+
+
 def _overlap_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Products of incidence rows: the size of each pair's intersection."""
     for batch in batches:
@@ -196,8 +295,9 @@ def jaccard_groups(
     2. Shingles whose hash is in the lowest ``COUNTED`` share are counted over all sets: inside a batch
        where it alone holds several of their sets, otherwise dealt by value. A set of size s can link only if at most s * (100 - percent) / 100 of its shingles are its
        own, so sets with more unshared ones are done. That drops documents that share a passage only.
-    3. The others' full sets are written. Two that link share one of their least
-       s * (100 - percent) / 100 + 1 hashes (prefix). In each shingle's column every set is paired with
+    3. The others' full sets are written by the tasks that read their texts, and how many hold a shingle is
+       counted. Two that link share one of their rarest s * (100 - percent) / 100 + 1 shingles (prefix), so a
+       passage of many sets makes no column of them all. In each shingle's column every set is paired with
        the column's most central set; products give exact overlaps, and links make components.
     4. Groups of sets under one lead that still hold several components are multiplied in blocks of a
        bounded size, in which all but the largest component meets everything. The product of two blocks' incidence gives all overlaps, pairs below the bound that
@@ -209,7 +309,7 @@ def jaccard_groups(
     tells groups apart in any case (null: no shingles). Repeated rows are copies. Long texts count whole.
     """
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(doc_id, text).alias("row_key"), F.col(text).alias("text"))
-    slack = 100 - percent
+    slack, scratch = 100 - percent, scratch.merged()  # columns and pairs pack into few bytes on disk, and would be built on the driver
     parts = parts_for(text_bytes(docs, text), 24 << 20)
     counted = np.uint64(int(COUNTED * (1 << 64)))
     mapped = own.mapInArrow(
@@ -230,33 +330,32 @@ def jaccard_groups(
     )
     maybe = sets.where(F.col("counted") - F.col("shared") <= F.floor(F.col("n") * slack / 100)).select("set_id", "row_key", "n")
 
+    flags = row_filter(maybe, maybe.count())
+
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done = set()
-        for own_, texts in texts_of(batches, 1):
+        for batch in batches:
+            own_ = batch.filter(pa.array(may_pass(flags, np.asarray(batch.column(0)))))
             new = {}
-            for sid, t in zip(own_.column(0).to_pylist(), texts):
-                if sid not in done:  # repeated rows meet here, as the join brings equal keys together
+            for t in own_.column(1).to_pylist():
+                s = shingle_set(t, n)
+                if len(s) and (sid := sequence_id(s)) not in done:
                     done.add(sid)
-                    new[sid] = shingle_set(t, n).tobytes()
+                    new[sid] = s.tobytes()
             yield pa.RecordBatch.from_arrays([pa.array(list(new), pa.int64()), pa.array(list(new.values()), pa.binary())], ["set_id", "shingles"])
+        give_back()
 
-    picked = own.select("row_key", "text").join(maybe.select("set_id", "row_key"), "row_key").select("set_id", "text")
-    full_sets = scratch.table(picked.mapInArrow(full, "set_id long, shingles binary"), "sets")
+    # texts stay where they are read; a set that passes by chance links with nothing, and may be written by several tasks
+    full_sets = scratch.table(own.select("row_key", "text").mapInArrow(full, "set_id long, shingles binary"), "sets")
+    scratch.settle()
 
-    def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for sid, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                s = np.frombuffer(data, np.uint64)
-                head = s[: len(s) * slack // 100 + 1]
-                m = len(head)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(head.view(np.int64)), pa.array(np.full(m, sid, np.int64)), pa.array(np.full(m, len(s), np.int32)), pa.array(np.arange(m, dtype=np.int32))],
-                    ["h", "set_id", "n", "at"],
-                )
-
-    cells = full_sets.mapInArrow(prefix, "h long, set_id long, n int, at int")
+    size_rows = full_sets.select(F.pmod("set_id", F.lit(parts)).cast("int").alias("part"), *(F.lit(None).cast("binary").alias(c) for c in ("owners", "of", "values")), "set_id", (F.octet_length("shingles") / 8).cast("int").alias("n"))
+    told = full_sets.mapInArrow(_deal_sets(parts), DEALT_DDL).repartitionById(parts, F.col("part")).mapInArrow(_tell_shared(parts), DEALT_DDL)
+    told = told.withColumns({"set_id": F.lit(None).cast("long"), "n": F.lit(None).cast("int")}).union(size_rows)
+    cells = scratch.table(told.repartitionById(parts, F.col("part")).mapInArrow(_prefixes(slack), "h long, set_id long, n int"), "prefixes")
     sizes = cells.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     cells = scratch.table(cells.join(sizes, "h"), "cells")
+    scratch.settle("prefixes")
     # the most central set of a column: its hashes lie in the fullest columns (the original of its copies)
     weight = cells.groupBy("set_id").agg((F.sum(F.log("m")) / (F.floor(F.max("n") * slack / 100) + 1)).alias("weight"))
     leads = (
@@ -278,8 +377,10 @@ def jaccard_groups(
 
     # every pair that shares a column meets in the group of the column's lead
     members = scratch.table(cells.join(leads, "h").where("set_id <> lead").select("lead", "lead_n", "set_id", "n").distinct(), "members")
+    scratch.settle("cells")
     star = members.where(fits("n", "lead_n")).select(F.col("lead").alias("a"), F.col("set_id").alias("b"))
     links = linked(star, "links")
+    scratch.settle()
     grouped = components(links, scratch, "cc-a").withColumnRenamed("id", "set_id")
 
     left = scratch.table(members.join(grouped, "set_id", "left").withColumn("component", F.coalesce("component", "set_id")), "left")
@@ -304,9 +405,17 @@ def jaccard_groups(
     to = F.when(F.col("in_rest"), F.col("rest_blocks") + F.col("bulk_blocks") - 1).otherwise(F.col("rest_blocks") - 1)
     dealt = placed.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), to)))
     dealt = dealt.select("lead", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "set_id", "component")
-    products = dealt.join(full_sets, "set_id").groupBy("lead", "i", "j").applyInPandas(_block_product(percent), "u long, v long")
-    more = scratch.table(products, "links-more")
-    final = components(links.union(more), scratch, "cc-b").withColumnRenamed("id", "set_id")
+    # sets go to many blocks where groups are large: in rounds, none of which moves more than about all sets once
+    moved = placed.agg(F.sum(F.col("n") * (to + 1)).alias("n")).first()["n"]
+    rounds = parts_for(moved, max(full_sets.agg(F.sum(F.octet_length("shingles")) / 8).first()[0] or 0, 8 * BLOCK_SHINGLES))
+    for k in range(rounds):
+        now = dealt.where(F.pmod(F.xxhash64("lead", "i", "j"), F.lit(rounds)) == k)
+        products = now.join(full_sets, "set_id").groupBy("lead", "i", "j").applyInPandas(_block_product(percent), "u long, v long")
+        links = links.union(scratch.table(products, f"links-more-{k}"))
+        scratch.settle()
+    scratch.settle("left", "sets")
+    final = components(links, scratch, "cc-b").withColumnRenamed("id", "set_id")
+    scratch.settle()
 
     named = sets.select("set_id", "first").join(final, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     least = named.groupBy("component").agg(F.min("first").alias("component_id"))
